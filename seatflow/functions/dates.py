@@ -71,9 +71,16 @@ def iso_text(local: Column, offset: str = ZONE_OFFSET) -> Column:
     return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))
 
 
-def iso_in_zone(ts: Column, zone: str = ZONE, offset: str = ZONE_OFFSET) -> Column:
-    """ISO text of a UTC wall-clock time (TIMESTAMP_NTZ), seen in a fixed-offset zone."""
-    return iso_text(F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz")), offset)
+def iso_in_zone(
+    ts: Column, zone: str = ZONE, offset: str = ZONE_OFFSET, source: str | None = None
+) -> Column:
+    """ISO text of an instant, seen in a zone with a fixed offset.
+
+    ``source`` names the zone of a TIMESTAMP_NTZ; a TIMESTAMP needs none.
+    """
+    source_zone = F.current_timezone() if source is None else F.lit(source)
+    local = F.convert_timezone(source_zone, F.lit(zone), ts.cast("timestamp_ntz"))
+    return iso_text(local, offset)
 
 
 def slot_time(start: Column, day: Column, slot: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seatflow.functions.cleaning import strip
 
-NBSP = " "
+NBSP = "\u00a0"
 
 # Entities found in the pages; '&amp;' must be decoded last.
 ENTITIES = {
@@ -18,7 +18,7 @@ ENTITIES = {
     "&apos;": "'",
     "&#39;": "'",
     "&#x27;": "'",
-    "&rsquo;": "’",
+    "&rsquo;": "\u2019",
     "&amp;": "&",
 }
 
@@ -54,7 +54,7 @@ def paren_int(col: Column) -> Column:
 
 
 def non_blank_lines(col: Column) -> Column:
-    lines = F.transform(F.split(col, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip)
+    lines = F.transform(F.split(col, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)
     return F.filter(lines, lambda line: line != "")
 
 
