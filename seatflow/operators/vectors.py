@@ -178,13 +178,10 @@ def scope_gate(
 ) -> DataFrame:
     """Best distance of every question (1.0 without a hit) and whether it is out of scope."""
     best = hits.groupBy("query_id").agg(F.min("distance").alias("_best"))
+    asked = questions.select(F.col(query_id).alias("query_id"), has_entity.alias("_has_entity"))
     return (
-        questions.join(best, F.col(query_id) == F.col("query_id"), "left")
-        .select(
-            F.col(query_id).alias("query_id"),
-            F.coalesce("_best", F.lit(1.0)).alias("best_distance"),
-            has_entity.alias("_has_entity"),
-        )
+        asked.join(best, "query_id", "left")
+        .select("query_id", F.coalesce("_best", F.lit(1.0)).alias("best_distance"), "_has_entity")
         .withColumn("out_of_scope", (F.col("best_distance") > limit) & ~F.col("_has_entity"))
         .drop("_has_entity")
     )

@@ -22,7 +22,7 @@ COMPETITIVE_PHASES = ("2B", "2C", "2C(S)")
 
 @dataclass(frozen=True)
 class Params:
-    """Training settings; the defaults are those of the reference model."""
+    """Training settings of the production model."""
 
     trees: int = 300
     depth: int = 5
@@ -121,7 +121,7 @@ def run_record(
                     F.struct(
                         F.concat(
                             F.lit("mae_phase_"),
-                            F.regexp_replace(F.element_at(F.array(*by_category.columns[:1]), 1), r"[()]", ""),
+                            F.regexp_replace(by_category.columns[0], r"[()]", ""),
                         ),
                         "mae",
                     )

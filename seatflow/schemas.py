@@ -3,11 +3,27 @@
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<double>": T.ArrayType(T.DoubleType()),
+}
 
 
-RAW_BALLOTS = _struct(
+def struct(text: str) -> T.StructType:
+    """Schema from ``name type [not null], ...``; needs no running session."""
+    fields = []
+    for part in text.split(","):
+        name, kind, *rest = part.split()
+        fields.append(T.StructField(name, _TYPES[kind], nullable=not rest))
+    return T.StructType(fields)
+
+
+RAW_BALLOTS = struct(
     "school_name string, total_vacancy bigint, phase string, vacancy bigint, applied bigint,"
     "taken bigint, ballot_scenario_code string, ballot_description string,"
     "ballot_applicants bigint, ballot_vacancies bigint, ballot_chance_pct double,"
@@ -23,7 +39,7 @@ SCHOOL_TEXT_COLUMNS = (
 
 SCHOOL_FLAG_COLUMNS = ["sap_ind", "autonomous_ind", "gifted_ind", "ip_ind"]
 
-RAW_SCHOOLS = _struct(
+RAW_SCHOOLS = struct(
     ", ".join(f"{c} string" for c in SCHOOL_TEXT_COLUMNS)
     + ", postal_code int, "
     + ", ".join(f"{c} boolean" for c in SCHOOL_FLAG_COLUMNS)
@@ -36,7 +52,7 @@ SCHOOL_CONTACT_COLUMNS = (
     "sixth_vp_name"
 ).split()
 
-VACANCY_EVENTS = _struct(
+VACANCY_EVENTS = struct(
     "event_id string not null, phase string not null, registration_year int not null,"
     "school_name string not null, snapshot_timestamp timestamp not null,"
     "snapshot_type string not null, vacancy_at_open int not null,"
@@ -44,31 +60,31 @@ VACANCY_EVENTS = _struct(
     "simulation_day int not null"
 )
 
-SEED_PHASES = _struct(
+SEED_PHASES = struct(
     "phase_raw string, phase_normalised string, phase_raw_label string,"
     "phase_normalised_label string, valid_from_year int, valid_to_year int,"
     "is_competitive boolean, balloting_required string, qualified_groups string,"
     "distance string, eligibility string"
 )
-SEED_BALLOTING_CODES = _struct(
+SEED_BALLOTING_CODES = struct(
     "priority int, codes string, description string, additional_notes string,"
     "has_balloting boolean"
 )
-SEED_LIFECYCLE = _struct(
+SEED_LIFECYCLE = struct(
     "school_name_clean string, school_status string, inactive_from_year int,"
     "inactive_to_year int, merged_into string"
 )
-SEED_NAME_MAPPING = _struct("sgschooling_name string, moe_school_name string")
-SEED_STATUSES = _struct("school_status string, description string")
-SEED_FLAGS = _struct("config_key string, config_value boolean")
+SEED_NAME_MAPPING = struct("sgschooling_name string, moe_school_name string")
+SEED_STATUSES = struct("school_status string, description string")
+SEED_FLAGS = struct("config_key string, config_value boolean")
 
-PREDICTIONS = _struct(
+PREDICTIONS = struct(
     "school_name string not null, phase string not null, registration_year int not null,"
     "predicted_subscription_rate double not null, predicted_ballot_chance_pct double not null,"
     "model_version string not null, trained_at timestamp not null"
 )
 
-KNOWLEDGE_CHUNKS = _struct(
+KNOWLEDGE_CHUNKS = struct(
     "doc_id string, domain string, topic string, source_file string, source_url string,"
     "policy_year int, canonical_source string, content string, embedding array<double>"
 )

@@ -15,14 +15,21 @@ FRONT_FIELDS = ("topic", "source_url", "policy_year", "canonical_source")
 
 
 def read_documents(
-    spark: SparkSession, path: str, skip: Sequence[str] = SKIP, suffix: str = ".md"
+    spark: SparkSession,
+    path: str,
+    skip: Sequence[str] = SKIP,
+    suffix: str = ".md",
+    name: Column | None = None,
 ) -> DataFrame:
-    """``source_file, text``: whole files, without those whose name holds a skip word."""
+    """``source_file, text``: whole files, without those whose name holds a skip word.
+
+    ``name`` takes a document name out of ``_metadata.file_path``; it is the file
+    name unless given.
+    """
+    name = F.col("_metadata.file_name") if name is None else name
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        .select(name.alias("source_file"), F.col("value").alias("text"))
         .filter(F.col("source_file").endswith(suffix))
     )
     for word in skip:
