@@ -23,7 +23,7 @@ from seatflow.functions.dates import iso_in_zone
 from seatflow.functions.keys import surrogate_key
 from seatflow.operators.filters import apply_filters, in_order, lookup_one
 from seatflow.operators.lookups import split_dimension
-from seatflow.operators.trends import with_total
+from seatflow.operators.trends import group_total
 from seatflow.plans import ballots
 
 catalog = Catalog()
@@ -147,7 +147,8 @@ def remaining_places(spark, sf):
 )
 def over_capacity(spark, sf):
     capacity = 3 * F.col("vacancy")
-    return with_total(cells(spark, sf), ["entity", "year"], "taken", "total_taken").select(
+    total = group_total(F.col("taken"), ["entity", "year"]).alias("total_taken")
+    return cells(spark, sf).select("*", total).select(
         "entity",
         "category",
         "year",
@@ -367,7 +368,7 @@ EXPLAIN = """CASE WHEN ballot_risk_level = 'HIGH' THEN
     ELSE 'No balloting in the last 3 years. Average subscription rate of '
       || coalesce(shown, 'unavailable') || '. Ballot risk is currently low based on recent trends.' END"""
 
-SHOWN = "printf('%.2fx', CAST(round(CAST(subscription_rate_3yr_avg AS DECIMAL(38, 12)), 2) AS DOUBLE))"
+SHOWN = "printf('%.2fx', subscription_rate_3yr_avg)"
 
 
 @query(

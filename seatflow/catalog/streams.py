@@ -98,6 +98,8 @@ def stream_upsert(spark, sf):
     return St.read_latest(spark, path, EVENT, SLOT[:2], ORDER)
 
 
+# The exact binary value of a share as a whole number: share * 2**68.
+TWO68 = "295147905179352825856"
 SLOTS = ", ".join(f"({d}, '{s}', {p})" for d, s, p in SCHEDULE)
 
 
@@ -109,7 +111,8 @@ SLOTS = ", ".join(f"({d}, '{s}', {p})" for d, s, p in SCHEDULE)
       AND phase_normalised IN ('2B', '2C', '2C(S)') AND is_active AND has_full_figures AND vacancy > 0),
     counted AS (SELECT *, CAST(round_even(CAST(coalesce(applied, 0) AS DOUBLE) * CAST(share AS DOUBLE), 0)
       AS BIGINT) AS n FROM seed CROSS JOIN s),
-    reached AS (SELECT *, greatest(0, vacancy - n) AS remaining FROM counted)
+    left_over AS (SELECT *, greatest(0, vacancy - n) AS remaining FROM counted),
+    reached AS (SELECT *, 10000 * CAST((vacancy - remaining) / vacancy * {TWO68} AS HUGEINT) AS q FROM left_over)
     SELECT md5(school_name_clean || '-' || phase_normalised || '-' || registration_year || '-'
         || simulation_day || '-' || snapshot_type) AS event_id,
       school_name_clean AS school_name, phase_normalised AS phase, registration_year,
@@ -117,7 +120,8 @@ SLOTS = ", ".join(f"({d}, '{s}', {p})" for d, s, p in SCHEDULE)
         + to_hours(CASE snapshot_type WHEN 'midday' THEN 12 ELSE 18 END), '%Y-%m-%dT%H:%M:%S') || '+08:00'
         AS snapshot_timestamp,
       snapshot_type, vacancy AS vacancy_at_open, remaining AS vacancy_remaining, n AS applied_count,
-      round_even((vacancy - remaining) / vacancy, 4) AS pct_filled,
+      (q // {TWO68} + CASE WHEN 2 * (q % {TWO68}) > {TWO68}
+          OR (2 * (q % {TWO68}) = {TWO68} AND (q // {TWO68}) % 2 = 1) THEN 1 ELSE 0 END) / 10000 AS pct_filled,
       CAST(simulation_day AS INTEGER) AS simulation_day
     FROM reached""",
 )

@@ -53,7 +53,7 @@ def vector_top_k_batch(spark, sf):
 def vector_top_k_blocks(spark, sf):
     """The same answer by the way taken when the queries are too many to send."""
     return V.top_k(
-        table(spark, sf, "embeddings"), _topics(spark, sf), 5, "vec_id", max_shipped_values=64,
+        table(spark, sf, "embeddings"), _topics(spark, sf), 5, "vec_id", max_shipped=4,
         block_rows=128,
     )
 

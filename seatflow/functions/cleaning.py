@@ -48,6 +48,25 @@ def fill_when(col: Column, condition: Column, value: object) -> Column:
     return F.when(col.isNull() & condition, F.lit(value)).otherwise(col)
 
 
+def round_binary(col: Column, digits: int) -> Column:
+    """Rounding of the exact binary value, half to even, as float formatting does it.
+
+    The product with a power of ten is taken with its rounding error, so a value
+    just beside a rounding edge falls on its own side. For values below 2**26.
+    """
+    scale = float(10**digits)
+    spread = col * F.lit(134217729.0)  # 2**27 + 1 halves the bits of a double
+    high = spread - (spread - col)
+    product = col * F.lit(scale)
+    error = (high * F.lit(scale) - product) + (col - high) * F.lit(scale)
+    floor = F.floor(product).cast("double")
+    rest = product - floor
+    up = (rest > 0.5) | (
+        (rest == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(floor, F.lit(2.0)) == 1)))
+    )
+    return (floor + up.cast("int")) / F.lit(scale)
+
+
 def round_to(col: Column, digits: int) -> Column:
     """Half-up rounding that does not depend on the order floats were added in.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seatflow.functions.cleaning import round_to
+from seatflow.functions.cleaning import round_binary, round_to
 
 # Categories without published figures before the cutoff year.
 POLICY_CATEGORIES = ("1", "2A(1)", "2A(2)", "2A")
@@ -87,7 +87,7 @@ def chance_ratio(rate: Column) -> Column:
 
 def explain_risk(tier: Column, occurrences: Column, average: Column, change: Column) -> Column:
     """Sentence for a risk tier. LOW says "No balloting" whatever the count is."""
-    rate = F.format_string("%.2fx", round_to(average, 2))
+    rate = F.format_string("%.2fx", round_binary(average, 2))
     in_all = F.concat(
         F.lit("Balloted in all 3 of the last 3 years with an average subscription rate of "), rate
     )
@@ -130,7 +130,7 @@ def fill_progress(capacity: Column, count: Column) -> tuple[Column, Column]:
     """Places left (never below zero) and filled share (0 when there is no capacity)."""
     left = F.greatest(F.lit(0), capacity - count)
     share = F.when(
-        capacity > 0, F.bround(F.try_divide(capacity - left, capacity), 4)
+        capacity > 0, round_binary(F.try_divide(capacity - left, capacity), 4)
     ).otherwise(F.lit(0.0))
     return left, share
 

@@ -1,8 +1,8 @@
 """Rolling measures over the years of an entity and category.
 
-Input rows are unique per key and year (``keep_latest`` or an aggregation
-comes first), so a window group never holds more rows than there are years,
-however many raw rows the key had.
+Input rows are unique per entity, category and year (``keep_latest`` or an
+aggregation comes first), so a window group never holds more rows than there
+are years, or categories for a total, however many raw rows the key had.
 """
 
 from __future__ import annotations
@@ -51,14 +51,6 @@ def offset_lag(
     )
 
 
-def with_total(df: DataFrame, keys: Sequence[str], col: str, alias: str) -> DataFrame:
-    """Group total on every row.
-
-    The total is aggregated before the shuffle and joined back, because a
-    window without order would put a whole group into one task. NULL keys form
-    a group of their own, as they do in a window.
-    """
-    total = df.groupBy(*keys).agg(F.sum(col).alias(alias))
-    right = total.select(*[F.col(k).alias(f"_{k}") for k in keys], alias)
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(right, same, "left").drop(*[f"_{k}" for k in keys])
+def group_total(col: Column, keys: Sequence[str]) -> Column:
+    """Group total on every row; the group holds the categories of an entity and year."""
+    return F.sum(col).over(W.partitionBy(*keys))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Query vectors are sent to the tasks only up to this many values; above it
-# both sides are cut into blocks and shuffled instead.
-MAX_SHIPPED_VALUES = 2_000_000
+# Query vectors are sent to the tasks only up to this many; above it both sides
+# are cut into blocks and shuffled instead.
+MAX_SHIPPED = 4_000
 BLOCK_ROWS = 20_000
 QUERY_SLICE = 256
 DIGITS = 6
@@ -123,15 +123,15 @@ def top_k(
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "embedding",
-    max_shipped_values: int = MAX_SHIPPED_VALUES,
+    max_shipped: int = MAX_SHIPPED,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_id, id, distance, rank``: the ``k`` nearest rows of every query, exactly.
 
     Filter ``corpus`` first for a metadata condition. A task keeps only ``k``
     rows per query, so what is shuffled afterwards is small. The query vectors
-    are sent to the tasks if their number of values is below the bound, which is
-    checked on at most that many rows; otherwise both sides meet in blocks.
+    are sent to the tasks if there are no more than ``max_shipped``, which takes
+    one look at that many rows; otherwise both sides meet in blocks.
     """
     base = corpus.filter(F.col(vector).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("embedding")
@@ -144,10 +144,8 @@ def top_k(
         f"query_id {asked.schema['query_id'].dataType.simpleString()}, "
         f"id {base.schema['id'].dataType.simpleString()}, distance double"
     )
-    width_row = asked.select(F.size("embedding").alias("w")).first()
-    most = max(1, max_shipped_values // max(1, width_row["w"] if width_row else 1))
-    head = asked.limit(most + 1).collect()
-    if len(head) <= most:
+    head = asked.limit(max_shipped + 1).collect()
+    if len(head) <= max_shipped:
         ids = np.array([r["query_id"] for r in head])
         units = _unit([r["embedding"] for r in head]) if head else np.empty((0, 0))
         found = base.mapInPandas(_scan(ids, units, k), schema)

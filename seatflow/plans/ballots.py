@@ -124,8 +124,9 @@ def stage_ballots(raw: DataFrame, seeds: Seeds) -> DataFrame:
             F.col("description").alias("ballot_description_mapped"),
         ],
     )
-    total = trends.with_total(
-        coded, ["school_name_clean", "registration_year"], "taken", "_total_taken"
+    total = coded.withColumn(
+        "_total_taken",
+        trends.group_total(F.col("taken"), ["school_name_clean", "registration_year"]),
     )
     published = has_full_figures(F.col("phase_normalised"), F.col("registration_year"))
     capacity = F.col("total_vacancy")

@@ -45,7 +45,7 @@ def project_fill(
         ]
     )
     rows = seeds.select(*key_cols, capacity, final, start.alias("_start"), F.inline(slots))
-    count = F.bround(F.coalesce(F.col(final), F.lit(0)) * F.col("share")).cast("bigint")
+    count = F.rint(F.coalesce(F.col(final), F.lit(0)) * F.col("share")).cast("bigint")
     rows = rows.withColumn("applied_count", count)
     left, filled = fill_progress(F.col(capacity), F.col("applied_count"))
     time = slot_time(F.col("_start"), F.col("simulation_day"), F.col("snapshot_type"))
