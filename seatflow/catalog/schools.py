@@ -15,26 +15,30 @@ query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
 CURRENT = S.PIPELINE_CURRENT
 
 
-def dim(spark, sf):
-    primary = ballots.stage_primary_schools(S.raw_schools(spark, sf))
-    return ballots.dim_school(primary, S.seeds(spark, sf), S.PIPELINE_AS_OF)
+def primary(spark, sf):
+    return ballots.stage_primary_schools(S.raw_schools(spark, sf))
 
 
-def general(spark, sf):
-    return ballots.dim_school_generalinfo(
-        ballots.stage_primary_schools(S.raw_schools(spark, sf))
+def dim(spark, sf, seeds=None):
+    return ballots.dim_school(
+        primary(spark, sf), seeds or S.seeds(spark, sf), S.PIPELINE_AS_OF
     )
 
 
-def fact(spark, sf):
-    staged = ballots.stage_ballots(S.raw_ballots(spark, sf), S.seeds(spark, sf))
-    return ballots.fact_balloting(staged, dim(spark, sf))
+def dim_and_fact(spark, sf):
+    seeds = S.seeds(spark, sf)
+    schools = dim(spark, sf, seeds)
+    staged = ballots.stage_ballots(S.raw_ballots(spark, sf), seeds)
+    return schools, ballots.fact_balloting(staged, schools)
+
+
+def general(spark, sf):
+    return ballots.dim_school_generalinfo(primary(spark, sf))
 
 
 def mart(spark, sf):
-    return ballots.mart_school_analysis(
-        fact(spark, sf), dim(spark, sf), S.PIPELINE_AS_OF, S.PIPELINE_RISK
-    )
+    schools, fact = dim_and_fact(spark, sf)
+    return ballots.mart_school_analysis(fact, schools, S.PIPELINE_AS_OF, S.PIPELINE_RISK)
 
 
 DIM_COLUMNS = (
@@ -59,7 +63,7 @@ FACT_COLUMNS = (
 
 @query("fact_balloting", WITH_FACT + f"SELECT {', '.join(FACT_COLUMNS)} FROM fact")
 def fact_balloting(spark, sf):
-    return fact(spark, sf).select(*FACT_COLUMNS)
+    return dim_and_fact(spark, sf)[1].select(*FACT_COLUMNS)
 
 
 MART_COLUMNS = [

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seatflow.functions.cleaning import strip
 
+MANY = 1_000_000_000
 NBSP = "\u00a0"
 
 # Entities found in the pages; '&amp;' must be decoded last.
@@ -27,6 +30,11 @@ _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 ANY_TAG = rf"(?s)</?[a-zA-Z!]{_ATTRS}>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decode_entities(col: Column) -> Column:
     for entity, text in ENTITIES.items():
         col = F.replace(col, F.lit(entity), F.lit(text))
@@ -67,26 +75,29 @@ def parse_tooltip(title: Column, body: Column) -> Column:
 
     If a label occurs more than once, the last line wins.
     """
-    lines = non_blank_lines(body)
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
 
-    def labelled(label: str) -> Column:
-        hits = F.filter(rest, lambda line: F.lower(line).startswith(label))
-        return F.try_element_at(hits, F.lit(-1))
+    def fields(lines: Column) -> Column:
+        rest = F.slice(lines, F.lit(2), F.lit(MANY))
+
+        def labelled(label: str) -> Column:
+            hits = F.filter(rest, lambda line: F.lower(line).startswith(label))
+            return F.try_element_at(hits, F.lit(-1))
+
+        return F.struct(
+            F.nullif(strip(decode_entities(title)), F.lit("")).alias("code"),
+            F.try_element_at(lines, F.lit(1)).alias("description"),
+            parse_int(_after_colon(labelled("applicants:"))).alias("applicants"),
+            parse_int(_after_colon(labelled("vacancies:"))).alias("vacancies"),
+            first_number(labelled("ballot chance:")).alias("chance_pct"),
+        )
 
-    return F.struct(
-        F.nullif(strip(decode_entities(title)), F.lit("")).alias("code"),
-        F.try_element_at(lines, F.lit(1)).alias("description"),
-        parse_int(_after_colon(labelled("applicants:"))).alias("applicants"),
-        parse_int(_after_colon(labelled("vacancies:"))).alias("vacancies"),
-        first_number(labelled("ballot chance:")).alias("chance_pct"),
-    )
+    return let(non_blank_lines(body), fields)
 
 
 def elements(html: Column, tag: str) -> Column:
     """Inner markup of every ``tag`` element, in order; a missing end tag is tolerated."""
-    pattern = rf"(?is)<{tag}\b{_ATTRS}>(.*?)(?=</{tag}\b|<{tag}\b|\z)"
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    inner = F.slice(F.split(html, rf"(?i)<{tag}\b{_ATTRS}>"), F.lit(2), F.lit(MANY))
+    return F.transform(inner, lambda part: F.get(F.split(part, rf"(?i)</{tag}\b", 2), F.lit(0)))
 
 
 def first_element(html: Column, tag: str) -> Column:

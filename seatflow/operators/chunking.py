@@ -51,44 +51,46 @@ def heading_windows(text: Column, size: int, overlap: int) -> Column:
 
     Pieces are packed until ``size`` is reached; a new chunk starts with the
     last whole pieces of the one before, as far as they fit into ``overlap``.
+    Pieces lie end to end in the text, so packing works on their lengths alone.
     """
     _check(size, overlap)
-    state = "struct<done:array<string>,open:array<string>>"
 
-    def joined(parts: Column) -> Column:
-        return F.array_join(parts, "")
+    def pack(acc: Column, length: Column) -> Column:
+        """Add a piece to the open chunk [first, last), or close it first.
 
-    def tail(parts: Column, piece: Column) -> Column:
-        """Longest run of last pieces that fits the overlap and leaves room for the next."""
-        room = F.least(F.lit(overlap), F.lit(size) - F.length(piece))
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(parts) + 1),
-            lambda i: F.length(joined(F.slice(parts, i, F.size(parts) + 1 - i))) <= room,
-        )
-        first = F.coalesce(F.array_min(starts), F.size(parts) + 1)
-        return F.slice(parts, first, F.size(parts) + 1 - first)
-
-    def pack(acc: Column, piece: Column) -> Column:
-        full = F.length(joined(acc["open"])) + F.length(piece) > size
-        closed = full & (F.size(acc["open"]) > 0)
-        one = F.array(piece)
+        ``near`` holds the starts of the pieces in the last ``overlap`` characters.
+        """
+        first, last, near = acc["first"], acc["last"], acc["near"]
+        closed = (last + length - first > size) & (last > first)
+        room = F.least(F.lit(overlap), F.lit(size) - length)
+        reopened = F.array_min(F.filter(near, lambda s: s >= last - room))
         return F.struct(
-            F.when(closed, F.concat(acc["done"], F.array(joined(acc["open"]))))
+            F.when(closed, F.concat(acc["done"], F.array(F.struct(first.alias("a"), last.alias("b")))))
             .otherwise(acc["done"])
             .alias("done"),
-            F.when(closed, F.concat(tail(acc["open"], piece), one))
-            .otherwise(F.concat(acc["open"], one))
-            .alias("open"),
+            F.when(closed, F.coalesce(reopened, last)).otherwise(first).alias("first"),
+            (last + length).alias("last"),
+            F.filter(
+                F.concat(near, F.array(last)), lambda s: s >= last + length - overlap
+            ).alias("near"),
         )
 
-    empty = F.from_json(F.lit('{"done":[],"open":[]}'), state)
-    chunks = F.aggregate(
-        _pieces(text, size, overlap),
-        empty,
+    begin = F.struct(
+        F.array().cast("array<struct<a:int,b:int>>").alias("done"),
+        F.lit(0).alias("first"),
+        F.lit(0).alias("last"),
+        F.array().cast("array<int>").alias("near"),
+    )
+    spans = F.aggregate(
+        F.transform(_pieces(text, size, overlap), F.length),
+        begin,
         pack,
-        lambda acc: F.concat(acc["done"], F.array(joined(acc["open"]))),
+        lambda acc: F.concat(
+            acc["done"], F.array(F.struct(acc["first"].alias("a"), acc["last"].alias("b")))
+        ),
     )
-    return F.filter(F.transform(chunks, strip), lambda c: c != "")
+    chunks = F.transform(spans, lambda c: strip(F.substring(text, c["a"] + 1, c["b"] - c["a"])))
+    return F.filter(chunks, lambda c: c != "")
 
 
 def chunk(
@@ -102,15 +104,18 @@ def chunk(
     """One row per chunk of every non-empty text.
 
     ``chunk_id`` hashes document, place and content, so a re-run gives the same
-    ids. Nothing is shuffled.
+    ids. Nothing is shuffled. The outer explode keeps Spark from computing the
+    windows a second time in a filter of its own.
     """
     windows = heading_windows if headings else fixed_windows
     return (
-        df.filter(F.length(text) > 0)
-        .select(
+        df.select(
             *[c for c in df.columns if c != text],
-            F.posexplode(windows(F.col(text), size, overlap)).alias("chunk_index", "content"),
+            F.posexplode_outer(windows(F.col(text), size, overlap)).alias(
+                "chunk_index", "content"
+            ),
         )
+        .filter(F.col("content") != "")
         .withColumn(
             "chunk_id",
             F.md5(

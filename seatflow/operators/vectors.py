@@ -37,31 +37,32 @@ def _unit(vectors: Sequence) -> np.ndarray:
     return m / norms
 
 
-def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` smallest distances; equal ones by id, unknown ones last."""
-    if len(dist) > 4 * k:
-        edge = np.partition(dist, k - 1)[k - 1]
-        near = np.flatnonzero(dist <= edge) if not math.isnan(edge) else np.arange(len(dist))
-    else:
-        near = np.arange(len(dist))
-    return near[np.lexsort((ids[near], dist[near]))[:k]]
-
-
-def _nearest(query_ids: np.ndarray, query_units: np.ndarray, corpus: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` nearest corpus rows of every query, within one block."""
-    frames = [pd.DataFrame({"query_id": query_ids[:0], "id": corpus["id"][:0], "distance": []})]
-    if len(query_ids) and len(corpus):
-        ids, units = corpus["id"].to_numpy(), _unit(corpus["embedding"]).T
-        for start in range(0, len(query_ids), QUERY_SLICE):
-            part = slice(start, start + QUERY_SLICE)
-            dist = np.round(1.0 - query_units[part] @ units, DIGITS)
-            for query, row in zip(query_ids[part], dist):
-                best = _best(row, ids, k)
-                frames.append(
-                    pd.DataFrame({"query_id": query, "id": ids[best], "distance": row[best]})
-                )
-    out = pd.concat(frames, ignore_index=True)
-    return out[out["distance"].notna()]
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest rows per query; equal distances by id."""
+    ordered = found.sort_values(["query_id", "distance", "id"], ignore_index=True)
+    return ordered.groupby("query_id", sort=False).head(k)
+
+
+def _nearest(
+    query_ids: np.ndarray, query_units: np.ndarray, corpus: pd.DataFrame, k: int
+) -> pd.DataFrame:
+    """The ``k`` nearest corpus rows of every query, within one block.
+
+    All rows as near as the k-th are looked at, so ties are cut by id alone.
+    """
+    ids, units = corpus["id"].to_numpy(), _unit(corpus["embedding"]).T
+    frames = []
+    for start in range(0, len(query_ids), QUERY_SLICE):
+        part = slice(start, start + QUERY_SLICE)
+        dist = np.round(1.0 - query_units[part] @ units, DIGITS)
+        dist[np.isnan(dist)] = np.inf
+        edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.inf
+        rows, cols = np.nonzero((dist <= edge) & (dist < np.inf))
+        found = pd.DataFrame(
+            {"query_id": query_ids[part][rows], "id": ids[cols], "distance": dist[rows, cols]}
+        )
+        frames.append(_first(found, k))
+    return pd.concat(frames, ignore_index=True)
 
 
 def _scan(
@@ -72,12 +73,9 @@ def _scan(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
         for batch in batches:
-            found = _nearest(query_ids, query_units, batch, k)
-            if kept is not None:
-                found = pd.concat([kept, found], ignore_index=True)
-                found = found.sort_values(["query_id", "distance", "id"])
-                found = found.groupby("query_id", sort=False).head(k)
-            kept = found
+            if len(batch) and len(query_ids):
+                found = _nearest(query_ids, query_units, batch, k)
+                kept = found if kept is None else _first(pd.concat([kept, found]), k)
         if kept is not None:
             yield kept
 

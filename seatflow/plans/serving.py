@@ -177,7 +177,7 @@ def recommend_all(
                     c["category"].alias("category"), c["years"].alias("years"), *off
                 )),
         )
-    flat = nested.select(*ENTITY_COLUMNS, F.inline("categories")).withColumnRenamed(
+    flat = nested.select(*ENTITY_COLUMNS, F.inline_outer("categories")).withColumnRenamed(
         "category", "phase_normalised"
     )
     flat = _nested_records(flat, predictions, interim)
@@ -191,10 +191,10 @@ def recommend_all(
 
 def recommend_all_rows(nested: DataFrame) -> DataFrame:
     """The nested answer as one row per school, phase and year, with its place."""
-    return nested.select("school_name_clean", F.inline("categories")).select(
+    return nested.select("school_name_clean", F.inline_outer("categories")).select(
         "school_name_clean",
         F.col("category").alias("phase_normalised"),
-        F.posexplode("years").alias("place", "y"),
+        F.posexplode_outer("years").alias("place", "y"),
     ).select("school_name_clean", "phase_normalised", "place", "y.*")
 
 
@@ -235,7 +235,7 @@ def recommend_one_rows(nested: DataFrame) -> DataFrame:
         "school_name_clean",
         "trend.*",
         F.size("reference_years").alias("n_reference_years"),
-        F.posexplode("history").alias("place", "y"),
+        F.posexplode_outer("history").alias("place", "y"),
     ).select("school_name_clean", "place", "n_reference_years", *TREND_COLUMNS, "y.*")
 
 

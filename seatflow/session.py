@@ -18,7 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "static",
+    # Call sites for error messages cost a stack walk per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -36,6 +37,8 @@ def build_session(app: str = "seatflow", master: str | None = None, **conf: str)
                 builder.config("spark.sql.shuffle.partitions", cores)
                 .config("spark.ui.enabled", "false")
                 .config("spark.driver.memory", "8g")
+                # Little data on few cores: keep all cores busy all the same.
+                .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             )
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)

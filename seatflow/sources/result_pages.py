@@ -68,9 +68,13 @@ def parse_pages(pages: DataFrame, html: str, year: str) -> DataFrame:
         headers(F.col(html)).alias("_phases"),
         body_rows(F.col(html)).alias("_rows"),
     )
+    # The outer explode keeps Spark from finding the starts twice, once to filter.
     blocks = rows.select(
-        "registration_year", "_phases", "_rows", F.explode(block_starts(F.col("_rows"))).alias("_at")
-    )
+        "registration_year",
+        "_phases",
+        "_rows",
+        F.explode_outer(block_starts(F.col("_rows"))).alias("_at"),
+    ).filter(F.col("_at").isNotNull())
 
     def cells(offset: int) -> Column:
         return P.elements(F.get("_rows", F.col("_at") + offset), "td")
@@ -99,10 +103,16 @@ def parse_pages(pages: DataFrame, html: str, year: str) -> DataFrame:
     def cell(name: str) -> Column:
         return F.get(name, F.col("_pos") + 1)
 
-    tip = P.tag_attributes(F.col("_cell"), "span", "tt")
-    records = blocks.withColumn("_cell", cell("_taken")).withColumn(
-        "_tip",
-        P.parse_tooltip(P.attribute(tip, "data-tt-title"), P.attribute(tip, "data-tt")),
+    records = (
+        blocks.withColumn("_cell", cell("_taken"))
+        .withColumn("_attrs", P.tag_attributes(F.col("_cell"), "span", "tt"))
+        .withColumn(
+            "_tip",
+            P.parse_tooltip(
+                P.attribute(F.col("_attrs"), "data-tt-title"),
+                P.attribute(F.col("_attrs"), "data-tt"),
+            ),
+        )
     )
     return records.select(
         "school_name",
