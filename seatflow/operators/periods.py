@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,24 @@ def completed_and_current(
     )
 
 
+def with_latest_completed(
+    df: DataFrame, keys: Sequence[str], year: str, current: int, predicate: Column
+) -> DataFrame:
+    """Rows of the keys whose latest completed row meets the predicate.
+
+    For rows that are unique per key and year; the window shares its shuffle with
+    ``completed_and_current``. ``ranking.qualify`` does the same for any rows.
+    """
+    completed_year = F.when(F.col(year) < current, F.col(year))
+    return (
+        df.withColumn(
+            "_qualifies", F.max_by(predicate, completed_year).over(W.partitionBy(*keys))
+        )
+        .filter(F.col("_qualifies"))
+        .drop("_qualifies")
+    )
+
+
 def pad_current_year(
     df: DataFrame, keys: Sequence[str], year: str, current: int
 ) -> DataFrame:

@@ -57,6 +57,16 @@ def rows_at_latest(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame
     return df.join(latest, [*keys, period], "left_semi")
 
 
+def top_rank(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
+    """Rows of the latest period per key in one shuffle, where a key has few such rows.
+
+    Earlier periods are dropped before the shuffle. ``rows_at_latest`` is the way
+    for keys that may hold many rows in their latest period.
+    """
+    window = W.partitionBy(*keys).orderBy(F.col(period).desc_nulls_last())
+    return df.withColumn("_rank", F.rank().over(window)).filter("_rank = 1").drop("_rank")
+
+
 def qualify(
     df: DataFrame, candidates: DataFrame, keys: Sequence[str], order: str, predicate: Column
 ) -> DataFrame:

@@ -143,14 +143,18 @@ def top_k(
         f"id {base.schema['id'].dataType.simpleString()}, distance double"
     )
     head = asked.limit(max_shipped + 1).collect()
-    if len(head) <= max_shipped:
+    shipped = len(head) <= max_shipped
+    if shipped:
         ids = np.array([r["query_id"] for r in head])
         units = _unit([r["embedding"] for r in head]) if head else np.empty((0, 0))
         found = base.mapInPandas(_scan(ids, units, k), schema)
     else:
         found = _by_blocks(base, asked, k, schema, block_rows)
     window = W.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    # Counted queries give a known number of rows; if small, a later join need not
+    # shuffle the corpus for them.
+    return F.broadcast(best) if shipped and len(head) * k <= 10 * MAX_SHIPPED else best
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:

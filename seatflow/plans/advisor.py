@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seatflow.functions.cleaning import canonical
 from seatflow.functions.metrics import mask_not_open
 from seatflow.operators.nesting import text_block
-from seatflow.operators.ranking import keep_latest, rows_at_latest
+from seatflow.operators.ranking import keep_latest, top_rank
 from seatflow.operators.vectors import OUT_OF_SCOPE, scope_gate, top_k
 
 TOP_K = 3
@@ -64,7 +64,7 @@ def _shown(col: str) -> Column:
 
 def ballot_blocks(mart: DataFrame, name: str = "school_name_clean") -> DataFrame:
     """Per school the rows of its latest year, the current one included, as text."""
-    rows = rows_at_latest(mart, [name], "registration_year")
+    rows = top_rank(mart, [name], "registration_year")
     rows = rows.withColumn(
         "_tier", mask_not_open(F.col("vacancy"), F.col("ballot_risk_level"))
     )

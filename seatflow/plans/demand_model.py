@@ -114,27 +114,16 @@ def run_record(
         *[F.lit(x) for pair in asdict(params).items() for x in (pair[0], str(pair[1]))]
     )
     # One entry per category of the model.
-    per = by_category.agg(
-        F.map_from_entries(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        F.concat(
-                            F.lit("mae_phase_"),
-                            F.regexp_replace(by_category.columns[0], r"[()]", ""),
-                        ),
-                        "mae",
-                    )
-                )
-            )
-        ).alias("mae_by_category"),
-        F.lit(run_name).alias("run_name"),
+    entry = F.struct(
+        F.concat(F.lit("mae_phase_"), F.regexp_replace(by_category.columns[0], r"[()]", "")), "mae"
     )
-    return (
-        metrics.withColumn("run_name", F.lit(run_name))
-        .withColumn("params", settings)
-        .join(per, "run_name")
-        .withColumn("logged_at", F.current_timestamp())
+    per = by_category.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))))
+    return metrics.select(
+        F.lit(run_name).alias("run_name"),
+        settings.alias("params"),
+        "*",
+        per.scalar().alias("mae_by_category"),
+        F.current_timestamp().alias("logged_at"),
     )
 
 

@@ -13,8 +13,8 @@ from seatflow.functions.metrics import explain_risk
 from seatflow.operators.filters import apply_filters, in_order, lookup_one
 from seatflow.operators.lookups import attach_record
 from seatflow.operators.nesting import facet_rows, nest_all, nest_one
-from seatflow.operators.periods import completed_and_current
-from seatflow.operators.ranking import qualify, top_n
+from seatflow.operators.periods import completed_and_current, with_latest_completed
+from seatflow.operators.ranking import top_n
 from seatflow.plans.ballots import MART_PHASES
 
 # Pick-list orders.
@@ -216,11 +216,10 @@ def recommend_one(
     if phase.upper() not in MART_PHASES:
         raise ValueError(f"phase must be one of {MART_PHASES}")
     rows = apply_filters(mart, is_active=True, phase_normalised=phase, **filters)
-    completed = rows.filter(F.col("registration_year") < current_year)
     count = F.col("ballot_occurrences_last_3yr")
     wanted = {True: count > 0, False: count == 0, None: F.lit(True)}[has_balloting_3yr]
     key = ["school_name_clean"]
-    chosen = qualify(rows, completed, key, "registration_year", wanted)
+    chosen = with_latest_completed(rows, key, "registration_year", current_year, wanted)
     kept = completed_and_current(chosen, key, "registration_year", current_year, 3)
     nested = nest_one(
         kept, ENTITY_COLUMNS, "registration_year", YEAR_COLUMNS, TREND_COLUMNS, current_year
