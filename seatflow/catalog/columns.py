@@ -327,10 +327,9 @@ def flag_gated_join(spark, sf):
     predicted = out.select(
         "entity", "category", "year", (F.col("rate") * 1.01).alias("predicted")
     )
-    places = (
-        table(spark, sf, "supplier")
-        .filter("s_suppkey % 2 = 0")
-        .select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("place"))
+    known = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey"))
+    places = table(spark, sf, "supplier").select(
+        known.alias("entity"), F.col("s_name").alias("place")
     )
     if flag(config, "AMERICA"):
         out = out.join(predicted, ["entity", "category", "year"], "left")

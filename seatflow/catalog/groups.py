@@ -133,8 +133,11 @@ def mae_by_group(spark, sf):
 )
 def lookup_fallback(spark, sf):
     nation = table(spark, sf, "nation")
-    mapping = nation.filter("n_nationkey % 2 = 0").select(
-        F.concat(F.lit(" "), F.lower("n_name")).alias("known_as"),
+    # Every second name is blank in the mapping and so stays as it is.
+    mapping = nation.select(
+        F.when(
+            F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" "), F.lower("n_name"))
+        ).alias("known_as"),
         F.concat(F.lit("LAND "), F.col("n_nationkey").cast("string")).alias("official"),
     )
     named = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -149,12 +152,12 @@ def lookup_fallback(spark, sf):
        FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""",
 )
 def lookup_validate(spark, sf):
-    known = table(spark, sf, "region").filter("r_regionkey < 3")
+    key = F.when(F.col("r_regionkey") < 3, F.col("r_regionkey"))
     return attach(
         table(spark, sf, "nation"),
-        known,
-        F.col("n_regionkey") == F.col("r_regionkey"),
-        ["r_regionkey", F.col("r_name").alias("category")],
+        table(spark, sf, "region"),
+        "n_regionkey",
+        [key.alias("n_regionkey"), F.col("r_name").alias("category")],
     ).select("n_nationkey", "n_name", "category")
 
 
@@ -185,10 +188,9 @@ def lookup_codes(spark, sf):
 def fact_attach_key(spark, sf):
     from seatflow.functions.keys import surrogate_key
 
-    dim = (
-        table(spark, sf, "supplier")
-        .filter("s_suppkey % 4 > 0")
-        .select(F.col("s_suppkey").alias("l_suppkey"), surrogate_key("s_name").alias("supplier_key"))
+    known = F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey"))
+    dim = table(spark, sf, "supplier").select(
+        known.alias("l_suppkey"), surrogate_key("s_name").alias("supplier_key")
     )
     fact = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return attach(fact, dim, "l_suppkey")

@@ -1,11 +1,13 @@
 """Data-quality rules."""
 
-from pyspark.sql import functions as F
-
+from seatflow.catalog import standins as S
 from seatflow.catalog.registry import Catalog
-from seatflow.catalog.standins import CELLS, cells, table
+from seatflow.catalog.standins import CELLS, WITH_MART, cells, table
 from seatflow.operators import quality
 from seatflow.operators.quality import Rule
+from seatflow.plans import ballots
+from seatflow.plans.table_rules import rules_for
+from seatflow.session import fresh_path
 
 catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
@@ -109,3 +111,56 @@ def _report_sql():
 def dq_report(spark, sf):
     tables = {n: table(spark, sf, n) for n in ("lineitem", "orders", "customer")}
     return quality.run_checks({**tables, "cells": cells(spark, sf)}, RULES)
+
+
+PIPELINE_TABLES = {
+    "dim_school": """SELECT *, CASE WHEN address IS NOT NULL THEN 'PRIMARY' END AS mainlevel_code FROM dim""",
+    "dim_school_generalinfo": """SELECT md5(school_name_clean) AS school_key, email_address, telephone_no,
+        'https://example.com/' || k AS url_address, principal_name, NULL AS first_vp_name
+      FROM primary_schools""",
+    "fact_balloting": "SELECT * FROM fact",
+    "mart_school_analysis": "SELECT * FROM mart",
+    "balloting_codes": "SELECT * FROM codes",
+    "school_lifecycle": "SELECT * FROM lifecycle",
+}
+
+
+def _rule_sql(rule):
+    column, table, where = rule.column, rule.table, rule.where or "true"
+    if rule.kind == "not_null":
+        count = f"SELECT count(*) FROM {table} WHERE ({where}) AND {column} IS NULL"
+    elif rule.kind == "unique":
+        count = f"""SELECT count(*) FROM (SELECT {column} FROM {table} WHERE {column} IS NOT NULL
+            GROUP BY 1 HAVING count(*) > 1)"""
+    elif rule.kind == "accepted":
+        listed = ", ".join(f"'{v}'" for v in rule.arg)
+        count = f"SELECT count(*) FROM {table} WHERE {column} NOT IN ({listed})"
+    else:
+        parent, key = rule.arg
+        count = f"""SELECT count(DISTINCT {column}) FROM {table} WHERE {column} IS NOT NULL
+            AND {column} NOT IN (SELECT {key} FROM {parent} WHERE {key} IS NOT NULL)"""
+    name = rule.name.replace("'", "''")
+    return f"SELECT '{table}' AS table_name, '{name}' AS rule, CAST(({count}) AS BIGINT) AS violations"
+
+
+def _pipeline_sql():
+    views = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in PIPELINE_TABLES.items())
+    rows = " UNION ALL ".join(_rule_sql(r) for r in rules_for(PIPELINE_TABLES))
+    return f"""{WITH_MART}, {views}, report AS ({rows})
+      SELECT *, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status FROM report"""
+
+
+@query("dq_pipeline", _pipeline_sql())
+def dq_pipeline(spark, sf):
+    """The rules of the admission tables on the stored pipeline tables."""
+    seeds = S.seeds(spark, sf)
+    tables = ballots.build_tables(
+        S.raw_ballots(spark, sf),
+        S.raw_schools(spark, sf),
+        seeds,
+        fresh_path(spark, "checked"),
+        S.PIPELINE_AS_OF,
+        S.PIPELINE_RISK,
+    )
+    tables |= {"balloting_codes": seeds.balloting_codes, "school_lifecycle": seeds.lifecycle}
+    return quality.run_checks(tables, rules_for(tables))

@@ -1,5 +1,8 @@
 """The admission pipeline and its serving queries on the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatflow.catalog import standins as S
@@ -8,6 +11,7 @@ from seatflow.catalog.registry import Catalog
 from seatflow.catalog.standins import WITH_DIM, WITH_FACT, WITH_MART
 from seatflow.operators.filters import lookup_one
 from seatflow.plans import advisor, ballots, serving
+from seatflow.session import fresh_path
 
 catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
@@ -126,27 +130,50 @@ def detail_lookup(spark, sf):
     return found.select("school_name_clean", "principal_name", "email_address")
 
 
+@query(
+    "result_count",
+    WITH_DIM
+    + """SELECT count(*) AS count, 'asia' AS zone_code, true AS is_active FROM dim
+         WHERE zone_code = 'ASIA' AND is_active""",
+)
+def result_count(spark, sf):
+    found = serving.list_schools(dim(spark, sf), zone_code="asia")
+    return serving.result_count(found, zone_code="asia", dgp_code=None, is_active=True)
+
+
 @query(
     "pick_lists",
     WITH_DIM
     + """, known AS (SELECT * FROM dim WHERE zone_code <> 'UNKNOWN' AND dgp_code <> 'UNKNOWN')
-    SELECT 'all_estates' AS list, dgp_code AS value FROM known GROUP BY 2
-    UNION ALL SELECT 'type_codes', type_code FROM known WHERE type_code IS NOT NULL GROUP BY 2
-    UNION ALL SELECT 'nature_codes', nature_code FROM known GROUP BY 2
-    UNION ALL SELECT 'schools', school_name_clean FROM dim WHERE is_active AND dgp_code <> 'UNKNOWN'""",
+    SELECT 'zones' AS list, zone_code AS value, CAST(NULL AS VARCHAR) AS within FROM known
+      WHERE zone_code IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY 2
+    UNION ALL SELECT 'estates_by_zone', dgp_code, zone_code FROM known
+      WHERE zone_code IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY 2, 3
+    UNION ALL SELECT 'all_estates', dgp_code, NULL FROM known GROUP BY 2
+    UNION ALL SELECT 'type_codes', type_code, NULL FROM known WHERE type_code IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'nature_codes', nature_code, NULL FROM known GROUP BY 2
+    UNION ALL SELECT 'schools', school_name_clean, dgp_code FROM dim
+      WHERE is_active AND dgp_code <> 'UNKNOWN'""",
 )
 def pick_lists(spark, sf):
-    lists = serving.metadata_rows(dim(spark, sf))
-    value = {"all_estates": "dgp_code", "type_codes": "type_code", "nature_codes": "nature_code",
-             "schools": "school_name"}
+    lists = serving.metadata_rows(dim(spark, sf), zone_order=("ASIA", "EUROPE", "AFRICA"))
+    columns = {
+        "zones": ("zone_code", None),
+        "estates_by_zone": ("dgp_code", "zone_code"),
+        "all_estates": ("dgp_code", None),
+        "type_codes": ("type_code", None),
+        "nature_codes": ("nature_code", None),
+        "schools": ("school_name", "dgp_code"),
+    }
     parts = [
-        lists[name].select(F.lit(name).alias("list"), F.col(col).alias("value"))
-        for name, col in value.items()
+        lists[name].select(
+            F.lit(name).alias("list"),
+            F.col(value).alias("value"),
+            (F.col(within) if within else F.lit(None).cast("string")).alias("within"),
+        )
+        for name, (value, within) in columns.items()
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 YEAR_SQL = ", ".join(c for c in serving.YEAR_COLUMNS)
@@ -366,15 +393,55 @@ def interim_lookup(spark, sf):
     return serving.interim_for(interim, CURRENT, zone_code="europe")
 
 
-@query("recommend_enriched")
+@query(
+    "recommend_enriched",
+    WITH_MART
+    + f""", chosen AS (SELECT * FROM mart WHERE is_active AND zone_code = 'EUROPE'
+        AND registration_year <= {CURRENT}),
+    pairs AS (SELECT school_name_clean, phase_normalised,
+        CAST(max(registration_year) FILTER (WHERE registration_year < {CURRENT}) IS NOT NULL AS INTEGER) + 1
+          AS n_years FROM chosen GROUP BY 1, 2),
+    p AS (SELECT * FROM mart WHERE registration_year = {CURRENT - 1} AND subscription_rate_3yr_avg IS NOT NULL),
+    s AS (SELECT 'SUPPLIER#' || lpad(user_id::VARCHAR, 9, '0') AS school_name,
+        CASE event_type WHEN 'click' THEN '2B' WHEN 'view' THEN '2C' ELSE '2C(S)' END AS phase, ts, event_id
+      FROM events QUALIFY row_number() OVER (PARTITION BY school_name, phase ORDER BY ts DESC) = 1)
+    SELECT a.school_name_clean, a.phase_normalised, n_years,
+      p.subscription_rate_3yr_avg AS predicted_subscription_rate,
+      CAST(event_id % 150 AS INTEGER) AS applied_count, event_id IS NOT NULL AS has_interim
+    FROM pairs a LEFT JOIN p ON p.school_name_clean = a.school_name_clean
+        AND p.phase_normalised = a.phase_normalised
+      LEFT JOIN s ON s.school_name = a.school_name_clean AND s.phase = a.phase_normalised""",
+)
 def recommend_enriched(spark, sf):
-    """Both flags on: predictions and interim counts nested into every phase."""
+    """Both flags on: predictions and interim counts nested into every phase, then flat."""
     staged = ballots.stage_snapshots(snapshots(spark, sf))
     interim = ballots.mart_vacancy_interim(staged, dim(spark, sf))
-    return serving.recommend_all(
+    nested = serving.recommend_all(
         mart(spark, sf),
         CURRENT,
         predictions=serving.predictions_for(_predictions(spark, sf), CURRENT),
         interim=serving.interim_for(interim, CURRENT, zone_code="europe"),
         zone_code="europe",
     )
+    return nested.select("school_name_clean", F.inline_outer("categories")).select(
+        "school_name_clean",
+        F.col("category").alias("phase_normalised"),
+        F.size("years").alias("n_years"),
+        F.col("ml_prediction.predicted_subscription_rate").alias("predicted_subscription_rate"),
+        F.col("interim.applied_count").alias("applied_count"),
+        F.col("interim").isNotNull().alias("has_interim"),
+    )
+
+
+@query("school_mart_stored", SQL["school_mart"])
+def school_mart_stored(spark, sf):
+    """All tables written one after the other, each built from the stored one before."""
+    tables = ballots.build_tables(
+        S.raw_ballots(spark, sf),
+        S.raw_schools(spark, sf),
+        S.seeds(spark, sf),
+        fresh_path(spark, "tables"),
+        S.PIPELINE_AS_OF,
+        S.PIPELINE_RISK,
+    )
+    return tables["mart_school_analysis"].select(*MART_COLUMNS)

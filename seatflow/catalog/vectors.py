@@ -98,6 +98,74 @@ def hit_at_k(spark, sf):
     return V.hit_at_k(results, truth, "topic", "accepted")
 
 
+BY_TOPIC = (
+    "WITH bt AS ("
+    + schools.SQL["text_block"]
+    + "), att AS ("
+    + schools.SQL["attribute_block"]
+    + "), ct AS ("
+    + schools.SQL["contact_block"]
+    + f"""), {DIST},
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM dist
+      WHERE query_id <> 9 QUALIFY rank <= 3),
+    policy AS (SELECT query_id, min(distance) AS best, string_agg('vector ' || vec_id,
+        chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS policy_context,
+        string_agg('label-' || label || '.md', '|' ORDER BY rank) AS files FROM top GROUP BY 1),
+    asked AS (SELECT query_id, CASE WHEN query_id % 2 = 0
+        THEN 'SUPPLIER#' || lpad(query_id::VARCHAR, 9, '0') END AS name FROM q),
+    context AS (SELECT a.query_id, a.name, nullif(concat_ws(chr(10), ballot_text,
+        CASE WHEN a.query_id % 3 = 0 THEN attribute_text END,
+        CASE WHEN a.query_id % 3 = 1 THEN contact_text END), '') AS c
+      FROM asked a LEFT JOIN bt ON bt.school_name_clean = name
+        LEFT JOIN att ON att.school_name_clean = name LEFT JOIN ct ON ct.school_name_clean = name),
+    gated AS (SELECT *, coalesce(best, 1.0) AS best_distance,
+        coalesce(best, 1.0) > 0.6 AND name IS NULL AS out_of_scope
+      FROM context LEFT JOIN policy USING (query_id))
+    SELECT query_id, best_distance, out_of_scope,
+      CASE WHEN NOT out_of_scope THEN policy_context END AS policy_context,
+      CASE WHEN NOT out_of_scope THEN files END AS files,
+      CASE WHEN NOT out_of_scope THEN coalesce(c, 'No specific school data requested.') END AS school_context,
+      NOT out_of_scope AND c IS NOT NULL AS school_context_used
+    FROM gated"""
+)
+
+
+@query("retrieve_by_topic", BY_TOPIC)
+def retrieve_by_topic(spark, sf):
+    """The whole retrieval with the vectors as chunks and one question per topic."""
+    n = F.col("query_id")
+    asked = _topics(spark, sf).select(
+        "query_id",
+        F.when(n != 9, F.col("embedding")).alias("embedding"),
+        F.when(n % 3 == 0, "Which ZONE is it in?")
+        .when(n % 3 == 1, "Give me a telephone number")
+        .otherwise("Hello")
+        .alias("question"),
+        F.when(
+            n % 2 == 0, F.array(F.concat(F.lit("supplier#"), F.lpad(n.cast("string"), 9, "0")))
+        ).alias("school_names"),
+    )
+    label = F.concat(F.lit("label-"), F.col("label").cast("string"))
+    chunks = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("doc_id"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"),
+        label.alias("topic"),
+        F.concat(label, F.lit(".md")).alias("source_file"),
+        F.lit("https://example.com").alias("source_url"),
+        "embedding",
+    )
+    out = retrieve_context(
+        asked,
+        chunks,
+        schools.mart(spark, sf),
+        schools.dim(spark, sf),
+        schools.general(spark, sf),
+        question_id="query_id",
+    )
+    files = F.array_join(F.transform("sources", lambda s: s["source_file"]), "|")
+    return out.withColumn("files", files).drop("sources")
+
+
 def _question_context(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     chunks = embed_hashed(chunk(docs, "text", "doc_id"), "content").select(

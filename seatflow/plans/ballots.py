@@ -350,3 +350,39 @@ def write_by_year(df: DataFrame, path: str, files: int | None = None) -> None:
     replace_partitions(
         df, path, ["registration_year"], ["school_name_clean", "phase_normalised"], files
     )
+
+
+def build_tables(
+    raw_ballots: DataFrame,
+    raw_schools: DataFrame,
+    seeds: Seeds,
+    path: str,
+    as_of=None,
+    threshold: float = RISK_THRESHOLD,
+) -> dict[str, DataFrame]:
+    """Write dimensions, fact and mart below ``path`` and return the stored tables.
+
+    Every table is read back before the next is built from it, so no step is
+    computed twice and a lost executor costs at most one table.
+    """
+    spark = raw_ballots.sparkSession
+    tables: dict[str, DataFrame] = {}
+
+    def store(name: str, df: DataFrame, yearly: bool = False) -> DataFrame:
+        place = f"{path}/{name}"
+        if yearly:
+            write_by_year(df, place)
+        else:
+            df.write.mode("overwrite").parquet(place)
+        tables[name] = spark.read.schema(df.schema).parquet(place)
+        return tables[name]
+
+    primary = stage_primary_schools(raw_schools)
+    dim = store("dim_school", dim_school(primary, seeds, as_of))
+    store("dim_school_generalinfo", dim_school_generalinfo(primary))
+    staged = stage_ballots(raw_ballots, seeds)
+    fact = store("fact_balloting", fact_balloting(staged, dim), yearly=True)
+    store(
+        "mart_school_analysis", mart_school_analysis(fact, dim, as_of, threshold), yearly=True
+    )
+    return tables

@@ -85,18 +85,28 @@ def school_detail(dim: DataFrame, general: DataFrame, name: str) -> DataFrame:
     return lookup_one(dim, "school_name_clean", name).join(general, "school_key", "left")
 
 
-def metadata_rows(dim: DataFrame) -> dict[str, DataFrame]:
+def result_count(found: DataFrame, **echo: str | bool | None) -> DataFrame:
+    """One row: number of results and the filters they were asked with."""
+    given = [F.lit(v).alias(k) for k, v in echo.items() if v is not None]
+    return found.agg(F.count("*").alias("count")).select("count", *given)
+
+
+def metadata_rows(
+    dim: DataFrame,
+    zone_order: Sequence[str] = ZONE_ORDER,
+    nature_order: Sequence[str] = NATURE_ORDER,
+) -> dict[str, DataFrame]:
     """Filter values in display order and the active schools, each as rows."""
     known = dim.filter((F.col("zone_code") != "UNKNOWN") & (F.col("dgp_code") != "UNKNOWN"))
     estates = facet_rows(dim, "zone_code", "dgp_code")
     active = dim.filter(F.col("is_active") & (F.col("dgp_code") != "UNKNOWN"))
     return {
-        "zones": in_order(known.select("zone_code").distinct(), "zone_code", ZONE_ORDER),
-        "estates_by_zone": estates.filter(F.col("zone_code").isin(*ZONE_ORDER)),
+        "zones": in_order(known.select("zone_code").distinct(), "zone_code", zone_order),
+        "estates_by_zone": estates.filter(F.col("zone_code").isin(*zone_order)),
         "all_estates": known.select("dgp_code").distinct().orderBy("dgp_code"),
         "type_codes": known.select("type_code").dropna().distinct().orderBy("type_code"),
         "nature_codes": in_order(
-            known.select("nature_code").distinct(), "nature_code", NATURE_ORDER
+            known.select("nature_code").distinct(), "nature_code", nature_order
         ),
         "schools": active.select(
             F.col("school_name_clean").alias("school_name"), "dgp_code"

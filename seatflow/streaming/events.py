@@ -29,6 +29,31 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return parse_events(spark.readStream.text(path), schema)
 
 
+def read_queue(
+    spark: SparkSession, servers: str, topic: str, schema: T.StructType
+) -> DataFrame:
+    """Stream of typed events from a Kafka topic; needs the Kafka connector of Spark."""
+    raw = (
+        spark.readStream.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("subscribe", topic)
+        .option("startingOffsets", "earliest")
+        .load()
+    )
+    return parse_events(raw, schema)
+
+
+def write_queue(df: DataFrame, servers: str, topic: str, key_cols: Sequence[str]) -> None:
+    """Keyed JSON messages to a Kafka topic; needs the Kafka connector of Spark."""
+    (
+        encode_events(df, key_cols)
+        .write.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("topic", topic)
+        .save()
+    )
+
+
 def run_append(
     stream: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
