@@ -31,7 +31,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def _unit(vectors: Sequence) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
+    rows = list(vectors)
+    if len({len(v) for v in rows}) != 1:
+        raise ValueError("vectors differ in width")
+    m = np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     norms[norms == 0] = np.nan
     return m / norms
