@@ -2,12 +2,22 @@
 
 from pyspark.sql import functions as F
 
+from seatflow.catalog import schools
 from seatflow.catalog.registry import Catalog
-from seatflow.catalog.standins import CURRENT, RATED, SPARSE, rated, sparse_cells, table
+from seatflow.catalog.standins import (
+    CURRENT,
+    PIPELINE_CURRENT,
+    RATED,
+    SPARSE,
+    WITH_MART,
+    rated,
+    sparse_cells,
+)
 from seatflow.functions.cleaning import round_to
 from seatflow.operators import features
 from seatflow.plans import demand_model as D
 from seatflow.session import fresh_path
+from seatflow.sources.tables import overwrite_table
 
 catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
@@ -111,3 +121,33 @@ def run_log(spark, sf):
     path = fresh_path(spark, "runs")
     D.log_run(D.run_record("trees", PARAMS, overall, by_category), path)
     return spark.read.parquet(path).drop("logged_at")
+
+
+@query(
+    "historical_rows",
+    WITH_MART
+    + """SELECT m.school_name_clean AS school_name, m.phase_normalised AS phase, m.registration_year,
+      m.subscription_rate, m.vacancy, d.zone_code, d.nature_code, d.sap_ind, d.autonomous_ind, d.gifted_ind
+    FROM mart m JOIN dim d USING (school_key)
+    WHERE m.phase_normalised IN ('2B', '2C', '2C(S)') AND NOT m.is_current_year""",
+)
+def historical_rows(spark, sf):
+    return D.historical_rows(schools.mart(spark, sf), schools.dim(spark, sf))
+
+
+@query("school_predictions")
+def school_predictions(spark, sf):
+    """Training on the stored mart rows, and the prediction table it leaves behind."""
+    path = fresh_path(spark, "training")
+    D.historical_rows(schools.mart(spark, sf), schools.dim(spark, sf)).write.parquet(path)
+    table, _ = D.train_and_predict(
+        spark.read.parquet(path),
+        train_years=range(2019, 2022),
+        eval_years=[2022],
+        predict_year=PIPELINE_CURRENT,
+        version="trees-1",
+        params=PARAMS,
+    )
+    out = fresh_path(spark, "predictions")
+    overwrite_table(table, out)
+    return spark.read.parquet(out).drop("trained_at")

@@ -143,15 +143,15 @@ def _rule_sql(rule):
     return f"SELECT '{table}' AS table_name, '{name}' AS rule, CAST(({count}) AS BIGINT) AS violations"
 
 
-def _pipeline_sql():
+def _tables_sql():
     views = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in PIPELINE_TABLES.items())
     rows = " UNION ALL ".join(_rule_sql(r) for r in rules_for(PIPELINE_TABLES))
     return f"""{WITH_MART}, {views}, report AS ({rows})
       SELECT *, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status FROM report"""
 
 
-@query("dq_pipeline", _pipeline_sql())
-def dq_pipeline(spark, sf):
+@query("dq_tables", _tables_sql())
+def dq_tables(spark, sf):
     """The rules of the admission tables on the stored pipeline tables."""
     seeds = S.seeds(spark, sf)
     tables = ballots.build_tables(

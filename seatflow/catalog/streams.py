@@ -10,7 +10,7 @@ from seatflow.schemas import struct
 from seatflow.session import fresh_path
 from seatflow.streaming import events as E
 from seatflow.streaming import state as St
-from seatflow.streaming.projection import SCHEDULE, project_fill
+from seatflow.streaming.projection import SCHEDULE, project_fill, window_start
 
 catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
@@ -116,7 +116,8 @@ SLOTS = ", ".join(f"({d}, '{s}', {p})" for d, s, p in SCHEDULE)
     SELECT md5(school_name_clean || '-' || phase_normalised || '-' || registration_year || '-'
         || simulation_day || '-' || snapshot_type) AS event_id,
       school_name_clean AS school_name, phase_normalised AS phase, registration_year,
-      strftime(TIMESTAMP '2026-08-08' + to_days(simulation_day - 1)
+      strftime(CASE phase_normalised WHEN '2B' THEN TIMESTAMP '2026-07-24'
+          ELSE TIMESTAMP '2026-08-08' END + to_days(simulation_day - 1)
         + to_hours(CASE snapshot_type WHEN 'midday' THEN 12 ELSE 18 END), '%Y-%m-%dT%H:%M:%S') || '+08:00'
         AS snapshot_timestamp,
       snapshot_type, vacancy AS vacancy_at_open, remaining AS vacancy_remaining, n AS applied_count,
@@ -127,4 +128,7 @@ SLOTS = ", ".join(f"({d}, '{s}', {p})" for d, s, p in SCHEDULE)
 )
 def fill_projection(spark, sf):
     open_rows = serving.projection_seeds(schools.mart(spark, sf), ("2B", "2C", "2C(S)"))
-    return project_fill(open_rows, F.lit("2026-08-08").cast("date"))
+    windows = {(schools.CURRENT, "2B"): "2026-07-24", (schools.CURRENT, "2C"): "2026-08-08"}
+    return project_fill(
+        open_rows, window_start(F.col("registration_year"), F.col("phase"), windows)
+    )

@@ -113,9 +113,10 @@ BY_TOPIC = (
         string_agg('label-' || label || '.md', '|' ORDER BY rank) AS files FROM top GROUP BY 1),
     asked AS (SELECT query_id, CASE WHEN query_id % 2 = 0
         THEN 'SUPPLIER#' || lpad(query_id::VARCHAR, 9, '0') END AS name FROM q),
-    context AS (SELECT a.query_id, a.name, nullif(concat_ws(chr(10), ballot_text,
+    context AS (SELECT a.query_id, a.name, replace(nullif(concat_ws(chr(10), ballot_text,
         CASE WHEN a.query_id % 3 = 0 THEN attribute_text END,
-        CASE WHEN a.query_id % 3 = 1 THEN contact_text END), '') AS c
+        CASE WHEN a.query_id % 3 = 1 THEN contact_text END), ''),
+        ': ' || name || chr(10), ': ' || lower(name) || chr(10)) AS c
       FROM asked a LEFT JOIN bt ON bt.school_name_clean = name
         LEFT JOIN att ON att.school_name_clean = name LEFT JOIN ct ON ct.school_name_clean = name),
     gated AS (SELECT *, coalesce(best, 1.0) AS best_distance,

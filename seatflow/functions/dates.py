@@ -39,7 +39,10 @@ def is_active(status: Column, to_year: Column, as_of=None) -> Column:
 def status_text(
     active: Column, status: Column, from_year: Column, to_year: Column, merged_into: Column
 ) -> Column:
-    """Sentence for a lifecycle state; NULL if a part it needs is NULL."""
+    """Sentence for a lifecycle state; NULL if a part it needs is NULL.
+
+    Fixed values: the sentences are shown to users as they stand.
+    """
     closed = "School is not for enrollment. "
     return (
         F.when(active, F.lit("School is active for enrollment"))

@@ -86,7 +86,10 @@ def chance_ratio(rate: Column) -> Column:
 
 
 def explain_risk(tier: Column, occurrences: Column, average: Column, change: Column) -> Column:
-    """Sentence for a risk tier. LOW says "No balloting" whatever the count is."""
+    """Sentence for a risk tier. LOW says "No balloting" whatever the count is.
+
+    Fixed values: the four sentences are shown to users as they stand.
+    """
     rate = F.format_string("%.2fx", round_binary(average, 2))
     in_all = F.concat(
         F.lit("Balloted in all 3 of the last 3 years with an average subscription rate of "), rate

@@ -171,6 +171,13 @@ def unique_sources(df: DataFrame, key: str = "query_id") -> DataFrame:
     return keep_latest(rows, [key, "source_file"], [F.col("place").asc()])
 
 
+def _as_asked(text: Column, name: Column, asked: Column) -> Column:
+    """A block whose heading shows the name the way the question spelled it."""
+    at = F.position(name, text)
+    rest = F.substring(text, at + F.length(name), F.length(text))
+    return F.concat(F.substring(text, F.lit(1), at - 1), asked, rest)
+
+
 def retrieve_context(
     questions: DataFrame,
     chunks: DataFrame,
@@ -210,7 +217,7 @@ def retrieve_context(
     )
 
     def section(text: str, wanted: Column) -> Column:
-        part = F.when(wanted, F.col(text))
+        part = F.when(wanted, _as_asked(F.col(text), F.col("school_name_clean"), F.col("_name")))
         found = F.sort_array(
             F.collect_list(F.when(part.isNotNull(), F.struct("place", part.alias("t"))))
         )

@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.functions.metrics import chance_ratio
-from seatflow.operators.features import LAGS
+from seatflow.operators.features import LAGS, lag_features, prediction_frame, time_split
 from seatflow.operators.summaries import mae_by, regression_metrics
 from seatflow.session import use_checkpoints
 
 NUMERIC = (*LAGS, "rate_3yr_mean", "lag1_vacancy")
 COMPETITIVE_PHASES = ("2B", "2C", "2C(S)")
+SCHOOL_KEYS = ("school_name", "phase")
+SCHOOL_CATEGORICAL = ("phase", "zone_code", "nature_code")
+SCHOOL_FLAGS = ("sap_ind", "autonomous_ind", "gifted_ind")
+SCHOOL_NUMERIC = (*NUMERIC, "registration_year", *SCHOOL_FLAGS)
+TARGET = "subscription_rate"
 
 
 @dataclass(frozen=True)
@@ -32,6 +37,22 @@ class Params:
     seed: int = 42
 
 
+def historical_rows(mart: DataFrame, dim: DataFrame) -> DataFrame:
+    """Completed years of the competitive phases with the school attributes of today."""
+    rows = mart.filter(
+        F.col("phase_normalised").isin(*COMPETITIVE_PHASES) & ~F.col("is_current_year")
+    ).select(
+        "school_key",
+        F.col("school_name_clean").alias("school_name"),
+        F.col("phase_normalised").alias("phase"),
+        "registration_year",
+        TARGET,
+        "vacancy",
+    )
+    attributes = dim.select("school_key", "zone_code", "nature_code", *SCHOOL_FLAGS)
+    return rows.join(attributes, "school_key").drop("school_key")
+
+
 def _with_gaps_marked(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """Trees here need numbers: a NULL becomes -1 and a flag column says so."""
     return df.withColumns(
@@ -86,6 +107,52 @@ def score(model: PipelineModel, frame: DataFrame, numeric: Sequence[str]) -> Dat
     )
 
 
+def prediction_table(scored: DataFrame, version: str) -> DataFrame:
+    """Scored rows in the layout of the prediction table, with the run columns."""
+    return scored.select(
+        "school_name",
+        "phase",
+        F.col("registration_year").cast("int").alias("registration_year"),
+        "predicted_subscription_rate",
+        "predicted_ballot_chance_pct",
+        F.lit(version).alias("model_version"),
+        F.current_timestamp().alias("trained_at"),
+    )
+
+
+def train_and_predict(
+    history: DataFrame,
+    train_years: Sequence[int],
+    eval_years: Sequence[int],
+    predict_year: int,
+    version: str,
+    params: Params = Params(),
+) -> tuple[DataFrame, DataFrame]:
+    """(prediction table, run record) of one training on the school rows.
+
+    The feature rows are read once per tree level, so pass stored rows.
+    """
+    year = "registration_year"
+    lagged = lag_features(history, SCHOOL_KEYS, year, TARGET, "vacancy", SCHOOL_FLAGS)
+    split = time_split(lagged, year, TARGET, train_years, eval_years)
+    model = train(
+        split.filter("part = 'train'"), TARGET, SCHOOL_CATEGORICAL, SCHOOL_NUMERIC, params
+    )
+    held_out = predict(model, split.filter("part = 'eval'"), SCHOOL_NUMERIC)
+    record = run_record(version, params, *evaluate(held_out, TARGET, "phase"))
+    frame = prediction_frame(
+        history,
+        SCHOOL_KEYS,
+        year,
+        predict_year,
+        TARGET,
+        "vacancy",
+        ["zone_code", "nature_code", *SCHOOL_FLAGS],
+        SCHOOL_FLAGS,
+    )
+    return prediction_table(score(model, frame, SCHOOL_NUMERIC), version), record
+
+
 def importances(model: PipelineModel, spark: SparkSession, limit: int = 10) -> DataFrame:
     """Feature weights, heaviest first. Their number is the number of features."""
     names = model.stages[1].getInputCols()

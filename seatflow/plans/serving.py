@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatflow.functions.cleaning import canonical
@@ -157,6 +157,13 @@ def _nested_records(df: DataFrame, predictions: DataFrame | None, interim: DataF
     return df
 
 
+def _by_place(df: DataFrame) -> DataFrame:
+    """Answers in display order: estate, then school."""
+    return df.orderBy(
+        F.col("dgp_code").asc_nulls_first(), F.col("school_name_clean").asc_nulls_first()
+    )
+
+
 def recommend_all(
     mart: DataFrame,
     current_year: int,
@@ -181,12 +188,11 @@ def recommend_all(
             F.lit(None).cast(PREDICTION_TYPE).alias("ml_prediction"),
             F.lit(None).cast(INTERIM_TYPE).alias("interim"),
         ]
-        return nested.withColumn(
-            "categories",
-            F.transform("categories", lambda c: F.struct(
-                    c["category"].alias("category"), c["years"].alias("years"), *off
-                )),
-        )
+
+        def with_nulls(c: Column) -> Column:
+            return F.struct(c["category"].alias("category"), c["years"].alias("years"), *off)
+
+        return _by_place(nested.withColumn("categories", F.transform("categories", with_nulls)))
     flat = nested.select(*ENTITY_COLUMNS, F.inline_outer("categories")).withColumnRenamed(
         "category", "phase_normalised"
     )
@@ -194,8 +200,10 @@ def recommend_all(
     entry = F.struct(
         F.col("phase_normalised").alias("category"), "years", "ml_prediction", "interim"
     )
-    return flat.groupBy(*ENTITY_COLUMNS).agg(
-        F.sort_array(F.collect_list(entry)).alias("categories")
+    return _by_place(
+        flat.groupBy(*ENTITY_COLUMNS).agg(
+            F.sort_array(F.collect_list(entry)).alias("categories")
+        )
     )
 
 
@@ -235,7 +243,7 @@ def recommend_one(
         kept, ENTITY_COLUMNS, "registration_year", YEAR_COLUMNS, TREND_COLUMNS, current_year
     )
     nested = nested.withColumn("phase_normalised", F.lit(phase))
-    return _nested_records(nested, predictions, interim)
+    return _by_place(_nested_records(nested, predictions, interim))
 
 
 def recommend_one_rows(nested: DataFrame) -> DataFrame:

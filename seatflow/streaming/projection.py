@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,27 @@ SCHEDULE = (
 )
 
 
+# First day of the three-day window per year and phase.
+WINDOW_START = {
+    (2026, "2B"): "2026-07-24",
+    (2026, "2C"): "2026-08-08",
+    (2026, "2C(S)"): "2026-08-24",
+}
+
+
+def window_start(
+    year: Column, phase: Column, windows: Mapping[tuple[int, str], str] = WINDOW_START
+) -> Column:
+    """First day of the window of a year and phase, NULL if none is announced."""
+    return reduce(
+        lambda acc, item: acc.when(
+            (year == item[0][0]) & (phase == item[0][1]), F.lit(item[1]).cast("date")
+        ),
+        windows.items(),
+        F,
+    )
+
+
 def project_fill(
     seeds: DataFrame,
     start: Column,

@@ -233,7 +233,7 @@ def test_context(spark, built):
     got = {r.query_id: r for r in out.collect()}
     assert got["q1"].policy_context == "first\n\n---\n\nsecond"
     text = got["q1"].school_context
-    parts = ["Balloting Data: GIRLS'", "Balloting Data: NEW", "Attributes: GIRLS'", "Transport: NEW"]
+    parts = ["Balloting Data: girls'", "Balloting Data: new", "Attributes: girls'", "Transport: new"]
     assert [text.index(p) for p in parts] == sorted(text.index(p) for p in parts)
     assert "## 2023 Balloting Data" in text and "ballot_risk=N/A" in text
     assert "Mother tongue: Chinese\n" in text
