@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.catalog.standins import RATED, rated, supplier_places, table
+from seatflow.catalog.standins import RATED, rated, table
 from seatflow.operators import summaries
 from seatflow.operators.lookups import attach, map_or_keep
-from seatflow.operators.nesting import facet_lists
+from seatflow.operators.nesting import facet_lists, facet_rows
 
 catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
@@ -36,26 +36,38 @@ def distinct_tuples(spark, sf):
     return summaries.filter_values(part, ["kind", "p_brand"], ["kind", "p_brand", "p_size"])
 
 
+def _places(spark, sf):
+    zone = F.when(F.col("r_name") == "ASIA", "UNKNOWN").otherwise(F.col("r_name"))
+    return (
+        table(spark, sf, "customer")
+        .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumn("zone", zone)
+    )
+
+
+PLACES = """customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+       WHERE r_name <> 'ASIA'"""
+
+
 @query(
     "facet_lists",
-    """SELECT r_name, count(DISTINCT n_name) AS n, string_agg(DISTINCT n_name, '|' ORDER BY n_name) AS estates
-       FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY r_name""",
+    f"""SELECT r_name AS zone, count(DISTINCT n_name) AS n,
+         string_agg(DISTINCT n_name, '|' ORDER BY n_name) AS estates FROM {PLACES} GROUP BY 1""",
 )
 def facets(spark, sf):
-    places = (
-        table(spark, sf, "nation")
-        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .withColumn(
-            "r_name", F.when(F.col("r_name") == "ASIA", "UNKNOWN").otherwise(F.col("r_name"))
-        )
-    )
-    return facet_lists(places, "r_name", "n_name").select(
-        "r_name",
+    return facet_lists(_places(spark, sf), "zone", "n_name").select(
+        "zone",
         F.size("values").cast("bigint").alias("n"),
         F.array_join("values", "|").alias("estates"),
     )
 
 
+@query("facet_rows", f"SELECT DISTINCT r_name AS zone, c_name FROM {PLACES}")
+def facet_pairs(spark, sf):
+    return facet_rows(_places(spark, sf), "zone", "c_name")
+
+
 @query(
     "last_non_null",
     """SELECT user_id, event_type,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,18 +14,14 @@ from seatflow.functions.cleaning import strip
 MANY = 1_000_000_000
 NBSP = "\u00a0"
 
-# Entities found in the pages; '&amp;' must be decoded last.
-ENTITIES = {
-    "&nbsp;": NBSP,
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&#39;": "'",
-    "&#x27;": "'",
-    "&rsquo;": "\u2019",
-    "&amp;": "&",
-}
+# Entity names and their texts, from the tables of the standard library; the
+# usual ones come first because a map is searched from its start.
+_USUAL = ("amp", "lt", "gt", "quot", "nbsp")
+ENTITIES = json.dumps(
+    {n: chr(name2codepoint[n]) for n in _USUAL}
+    | {"apos": "'"}
+    | {n: chr(code) for n, code in sorted(name2codepoint.items()) if n not in _USUAL}
+)
 
 # A tag; a '>' inside a quoted attribute does not end it.
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
@@ -35,10 +33,36 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _character(code: Column) -> Column:
+    """Text of a code point; a number that is none gives the replacement character."""
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    word = F.unhex(F.lpad(F.hex(code), 8, "0"))
+    return F.when(real, F.decode(word, "UTF-32")).otherwise("\ufffd")
+
+
 def decode_entities(col: Column) -> Column:
-    for entity, text in ENTITIES.items():
-        col = F.replace(col, F.lit(entity), F.lit(text))
-    return col
+    """Named and numeric entities to text, in one pass; unknown names stay as they are."""
+    names = F.from_json(F.lit(ENTITIES), "map<string,string>")
+
+    def decoded(part: Column) -> Column:
+        token = F.substring_index(part, ";", 1)
+        rest = F.substring(part, F.length(token) + 2, F.length(part))
+        code = F.when(
+            token.rlike("^#[xX]"), F.conv(F.substring(token, 3, 9), 16, 10)
+        ).otherwise(F.substring(token, 2, 9))
+        text = F.when(token.startswith("#"), _character(code.cast("bigint"))).otherwise(
+            F.coalesce(F.try_element_at(names, token), F.concat(F.lit("&"), token, F.lit(";")))
+        )
+        return F.concat(text, rest)
+
+    parts = F.split(col, r"&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);)")
+    whole = let(
+        parts,
+        lambda p: F.array_join(
+            F.concat(F.slice(p, 1, 1), F.transform(F.slice(p, F.lit(2), F.lit(MANY)), decoded)), ""
+        ),
+    )
+    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
 
 
 def parse_int(col: Column) -> Column:

@@ -33,6 +33,7 @@ class Params:
     depth: int = 5
     rate: float = 0.05
     sampling: float = 0.8
+    columns: float = 0.8
     min_leaf: int = 5
     seed: int = 42
 
@@ -84,7 +85,8 @@ def train(
         GBTRegressor(
             featuresCol="features", labelCol=target, predictionCol="predicted",
             maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate,
-            subsamplingRate=params.sampling, minInstancesPerNode=params.min_leaf,
+            subsamplingRate=params.sampling, featureSubsetStrategy=str(params.columns),
+            minInstancesPerNode=params.min_leaf,
             seed=params.seed, checkpointInterval=10, cacheNodeIds=True, maxBins=64,
         ),
     ]

@@ -26,6 +26,8 @@ from seatflow.operators.ranking import keep_latest
 def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Stateful aggregation: the record of a key that sorts last by ``order``.
 
+    The state holds every key ever seen; for keys without end, such as slots over
+    many years, ``run_upsert`` gives the same table without state.
     ``order`` ends in a unique column, so a restart gives the same answer. The
     batch twin is ``keep_latest``.
     """
@@ -76,7 +78,9 @@ def read_latest(
     ]
     if not parts:
         return spark.createDataFrame([], schema)
-    return keep_latest(spark.read.schema(schema).parquet(*parts), keys, order)
+    merged = spark.read.schema(schema).parquet(*parts)
+    # A base or a delta alone holds every key once.
+    return merged if len(parts) == 1 else keep_latest(merged, keys, order)
 
 
 def compact(

@@ -148,6 +148,15 @@ def test_parse_numbers(rows):
     assert values(df, P.paren_int(x)) == [None, None, None, None, None, 300, None]
 
 
+def test_entities_in_one_pass(rows):
+    import html
+
+    texts = ["a &lt;b&gt; &amp;lt; &#39;x&#x27; &eacute;&nbsp;&rsquo;", "&unknown; & &;", "&#8627;&#128512;",
+             "plain", "&#0;&#xD800;&#x110000;", "&amp;&amp;#39;", None]
+    got = values(rows([(t,) for t in texts], "x string"), P.decode_entities(F.col("x")))
+    assert got == [t and html.unescape(t) for t in texts]
+
+
 def test_tooltip(rows):
     body = "SC within 1km needs to ballot\r\n\n Applicants: 1,056 \nVacancies: 20\nBallot Chance: 36.5%"
     df = rows([("SC&lt;1", body), ("", None), (None, "only text")], "t string, b string")

@@ -25,7 +25,7 @@ def test_no_pair_product_and_no_python_rows(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert operator not in text
-    if not re.search("vector|scope|hit_at_k|context", name):
+    if not re.search("vector|scope|hit_at_k|retrieve|context", name):
         assert not re.search("InPandas|ArrowEval", text)
 
 

@@ -179,3 +179,27 @@ def test_shared_folder():
     assert shared_dir(Master("local[2]", None)).startswith("/tmp/seatflow-")
     with pytest.raises(RuntimeError):
         shared_dir(Master("yarn", None))
+
+
+def test_rules_of_the_tables():
+    from collections import Counter
+
+    from seatflow.plans.table_rules import table_rules
+
+    kinds = Counter((r.kind, r.where is not None) for r in table_rules())
+    assert kinds == {
+        ("unique", False): 14, ("not_null", False): 34, ("not_null", True): 14,
+        ("relationship", False): 6, ("accepted", False): 3,
+    }
+    assert len({(r.table, r.name) for r in table_rules()}) == 71
+
+
+def test_facets(rows):
+    from seatflow.operators.nesting import facet_lists, facet_rows
+
+    df = rows([("E", "b"), ("E", "a"), ("E", "a"), ("UNKNOWN", "x"), ("W", "UNKNOWN"), (None, "y")],
+              "z string, e string")
+    assert [tuple(r) for r in facet_lists(df, "z", "e").collect()] == [("E", ["a", "b"])]
+    assert facet_rows(df, "z", "e").count() == 2
+    with pytest.raises(ValueError):
+        facet_lists(df, "z", "e", most=1)
