@@ -33,6 +33,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+# Control characters that stand for a cut; markup text holds none.
+CUT, END = "\x02", "\x03"
+
+
+def cut(col: Column, pattern: str) -> Column:
+    """Parts of a text between the matches of a pattern.
+
+    Splitting by a pattern compiles it for every value; replacing keeps it
+    compiled, and splitting by one plain character needs none.
+    """
+    return F.split(F.regexp_replace(col, pattern, CUT), CUT)
+
+
 def _character(code: Column) -> Column:
     """Text of a code point; a number that is none gives the replacement character."""
     real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
@@ -42,6 +55,11 @@ def _character(code: Column) -> Column:
 
 def decode_entities(col: Column) -> Column:
     """Named and numeric entities to text, in one pass; unknown names stay as they are."""
+    return let(col, _decode)
+
+
+def _decode(col: Column) -> Column:
+    """``decode_entities`` of a plain column or lambda variable."""
     names = F.from_json(F.lit(ENTITIES), "map<string,string>")
 
     def decoded(part: Column) -> Column:
@@ -55,7 +73,7 @@ def decode_entities(col: Column) -> Column:
         )
         return F.concat(text, rest)
 
-    parts = F.split(col, r"&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);)")
+    parts = cut(col, r"&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);)")
     whole = let(
         parts,
         lambda p: F.array_join(
@@ -68,25 +86,25 @@ def decode_entities(col: Column) -> Column:
 def parse_int(col: Column) -> Column:
     """Whole number after dropping commas and hard blanks; NULL for anything else."""
     digits = strip(F.translate(col, "," + NBSP, ""))
-    return F.when(digits.rlike(r"^[0-9]+$"), digits.try_cast("bigint"))
+    return F.regexp_extract(digits, r"^[0-9]+$", 0).try_cast("bigint")
 
 
 def first_number(col: Column) -> Column:
     """First run of digits and dots as a double."""
-    return F.nullif(F.regexp_extract(col, r"[0-9.]+", 0), F.lit("")).try_cast("double")
+    return F.regexp_extract(col, r"[0-9.]+", 0).try_cast("double")
 
 
 def first_int(col: Column) -> Column:
-    return F.nullif(F.regexp_extract(col, r"[0-9]+", 0), F.lit("")).try_cast("bigint")
+    return F.regexp_extract(col, r"[0-9]+", 0).try_cast("bigint")
 
 
 def paren_int(col: Column) -> Column:
     """First whole number that stands alone in parentheses."""
-    return F.nullif(F.regexp_extract(col, r"\(([0-9]+)\)", 1), F.lit("")).try_cast("bigint")
+    return F.regexp_extract(col, r"\(([0-9]+)\)", 1).try_cast("bigint")
 
 
 def non_blank_lines(col: Column) -> Column:
-    lines = F.transform(F.split(col, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)
+    lines = F.transform(cut(col, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)
     return F.filter(lines, lambda line: line != "")
 
 
@@ -108,7 +126,7 @@ def parse_tooltip(title: Column, body: Column) -> Column:
             return F.try_element_at(hits, F.lit(-1))
 
         return F.struct(
-            F.nullif(strip(decode_entities(title)), F.lit("")).alias("code"),
+            let(strip(decode_entities(title)), lambda t: F.nullif(t, F.lit(""))).alias("code"),
             F.try_element_at(lines, F.lit(1)).alias("description"),
             parse_int(_after_colon(labelled("applicants:"))).alias("applicants"),
             parse_int(_after_colon(labelled("vacancies:"))).alias("vacancies"),
@@ -120,8 +138,9 @@ def parse_tooltip(title: Column, body: Column) -> Column:
 
 def elements(html: Column, tag: str) -> Column:
     """Inner markup of every ``tag`` element, in order; a missing end tag is tolerated."""
-    inner = F.slice(F.split(html, rf"(?i)<{tag}\b{_ATTRS}>"), F.lit(2), F.lit(MANY))
-    return F.transform(inner, lambda part: F.get(F.split(part, rf"(?i)</{tag}\b", 2), F.lit(0)))
+    closed = F.regexp_replace(html, rf"(?i)</{tag}\b", END)
+    inner = F.slice(cut(closed, rf"(?i)<{tag}\b{_ATTRS}>"), F.lit(2), F.lit(MANY))
+    return F.transform(inner, lambda part: F.substring_index(part, END, 1))
 
 
 def first_element(html: Column, tag: str) -> Column:
@@ -130,14 +149,14 @@ def first_element(html: Column, tag: str) -> Column:
 
 def inner_text(html: Column) -> Column:
     """Text of a fragment: every text node stripped, then joined without a gap."""
-    nodes = F.transform(F.split(html, ANY_TAG), lambda t: strip(decode_entities(t)))
+    nodes = F.transform(cut(html, ANY_TAG), lambda t: strip(_decode(t)))
     return F.array_join(nodes, "")
 
 
 def direct_text(html: Column) -> Column:
     """First text that is not inside a nested element."""
     flat = F.regexp_replace(html, rf"(?is)<([a-z][a-z0-9]*)\b{_ATTRS}>.*?</\1\s*>", "<i>")
-    nodes = F.filter(F.split(flat, ANY_TAG), lambda t: t != "")
+    nodes = F.filter(cut(flat, ANY_TAG), lambda t: t != "")
     return strip(decode_entities(F.get(nodes, F.lit(0))))
 
 
@@ -150,7 +169,7 @@ def tag_attributes(html: Column, tag: str, css_class: str) -> Column:
 
 def attribute(attrs: Column, name: str) -> Column:
     """Value of a quoted attribute, entities decoded; NULL if absent or empty."""
-    double = F.regexp_extract(attrs, rf'(?is)(?<![\w-]){name}\s*=\s*"([^"]*)"', 1)
-    single = F.regexp_extract(attrs, rf"(?is)(?<![\w-]){name}\s*=\s*'([^']*)'", 1)
-    picked = F.coalesce(F.nullif(double, F.lit("")), F.nullif(single, F.lit("")))
-    return decode_entities(picked)
+    quoted = F.regexp_extract(
+        attrs, rf"""(?is)(?<![\w-]){name}\s*=\s*("[^"]*"|'[^']*')""", 1
+    )
+    return let(quoted, lambda q: _decode(F.when(F.length(q) > 2, F.substring(q, F.lit(2), F.length(q) - 2))))

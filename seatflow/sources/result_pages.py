@@ -68,7 +68,7 @@ def parse_pages(pages: DataFrame, html: str, year: str) -> DataFrame:
         headers(F.col(html)).alias("_phases"),
         body_rows(F.col(html)).alias("_rows"),
     )
-    # The outer explode keeps Spark from finding the starts twice, once to filter.
+    # The outer explodes keep Spark from computing the arrays twice, once to filter.
     blocks = rows.select(
         "registration_year",
         "_phases",
@@ -97,8 +97,8 @@ def parse_pages(pages: DataFrame, html: str, year: str) -> DataFrame:
         "_vacancy",
         "_applied",
         "_taken",
-        F.posexplode("_phases").alias("_pos", "phase"),
-    )
+        F.posexplode_outer("_phases").alias("_pos", "phase"),
+    ).filter(F.col("phase").isNotNull())
 
     def cell(name: str) -> Column:
         return F.get(name, F.col("_pos") + 1)
