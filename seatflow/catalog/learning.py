@@ -17,7 +17,7 @@ from seatflow.functions.cleaning import round_to
 from seatflow.operators import features
 from seatflow.plans import demand_model as D
 from seatflow.session import fresh_path
-from seatflow.sources.tables import overwrite_table
+from seatflow.sources.tables import overwrite_table, stored
 
 catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
@@ -94,7 +94,8 @@ PARAMS = D.Params(trees=10)
 
 
 def _trained(spark, sf):
-    split = features.time_split(_features(spark, sf), "year", "rate", range(1995, 2000), [2000])
+    rows = stored(_features(spark, sf), fresh_path(spark, "features"))
+    split = features.time_split(rows, "year", "rate", range(1995, 2000), [2000])
     model = D.train(split.filter("part = 'train'"), "rate", CATEGORICAL, NUMERIC, PARAMS)
     return model, split.filter("part = 'eval'")
 
@@ -138,14 +139,13 @@ def historical_rows(spark, sf):
 @query("school_predictions")
 def school_predictions(spark, sf):
     """Training on the stored mart rows, and the prediction table it leaves behind."""
-    path = fresh_path(spark, "training")
-    D.historical_rows(schools.mart(spark, sf), schools.dim(spark, sf)).write.parquet(path)
     table, _ = D.train_and_predict(
-        spark.read.parquet(path),
+        D.historical_rows(schools.mart(spark, sf), schools.dim(spark, sf)),
         train_years=range(2019, 2022),
         eval_years=[2022],
         predict_year=PIPELINE_CURRENT,
         version="trees-1",
+        path=fresh_path(spark, "training"),
         params=PARAMS,
     )
     out = fresh_path(spark, "predictions")

@@ -6,6 +6,7 @@ mart are meant to be written with ``write_by_year``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -359,20 +360,23 @@ def build_tables(
     path: str,
     as_of=None,
     threshold: float = RISK_THRESHOLD,
+    keep: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
     """Write dimensions, fact and mart below ``path`` and return the stored tables.
 
     Every table is read back before the next is built from it, so no step is
-    computed twice and a lost executor costs at most one table.
+    computed twice and a lost executor costs at most one table. Tables named in
+    ``keep`` are taken as they are stored: after a load of new results the two
+    dimensions, for example.
     """
     spark = raw_ballots.sparkSession
     tables: dict[str, DataFrame] = {}
 
     def store(name: str, df: DataFrame, yearly: bool = False) -> DataFrame:
         place = f"{path}/{name}"
-        if yearly:
+        if name not in keep and yearly:
             write_by_year(df, place)
-        else:
+        elif name not in keep:
             df.write.mode("overwrite").parquet(place)
         tables[name] = spark.read.schema(df.schema).parquet(place)
         return tables[name]

@@ -15,6 +15,7 @@ from seatflow.functions.metrics import chance_ratio
 from seatflow.operators.features import LAGS, lag_features, prediction_frame, time_split
 from seatflow.operators.summaries import mae_by, regression_metrics
 from seatflow.session import use_checkpoints
+from seatflow.sources.tables import stored
 
 NUMERIC = (*LAGS, "rate_3yr_mean", "lag1_vacancy")
 COMPETITIVE_PHASES = ("2B", "2C", "2C(S)")
@@ -128,14 +129,20 @@ def train_and_predict(
     eval_years: Sequence[int],
     predict_year: int,
     version: str,
+    path: str,
     params: Params = Params(),
 ) -> tuple[DataFrame, DataFrame]:
     """(prediction table, run record) of one training on the school rows.
 
-    The feature rows are read once per tree level, so pass stored rows.
+    Training reads its rows several times, so the history and its features are
+    first written below ``path``.
     """
     year = "registration_year"
-    lagged = lag_features(history, SCHOOL_KEYS, year, TARGET, "vacancy", SCHOOL_FLAGS)
+    history = stored(history, f"{path}/history")
+    lagged = stored(
+        lag_features(history, SCHOOL_KEYS, year, TARGET, "vacancy", SCHOOL_FLAGS),
+        f"{path}/features",
+    )
     split = time_split(lagged, year, TARGET, train_years, eval_years)
     model = train(
         split.filter("part = 'train'"), TARGET, SCHOOL_CATEGORICAL, SCHOOL_NUMERIC, params

@@ -83,6 +83,12 @@ def overwrite_table(df: DataFrame, path: str, version: str | None = None) -> Non
     df.write.mode("overwrite").parquet(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The frame written to ``path`` and read back: a short lineage for what is read often."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, path: str) -> None:
     """Create a table over ``path`` unless it exists."""
     columns = ", ".join(

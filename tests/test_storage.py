@@ -203,3 +203,8 @@ def test_facets(rows):
     assert facet_rows(df, "z", "e").count() == 2
     with pytest.raises(ValueError):
         facet_lists(df, "z", "e", most=1)
+
+
+def test_audit_column(rows):
+    df = io.with_audit(rows([(1,)], "a long"))
+    assert df.first().loaded_at is not None
