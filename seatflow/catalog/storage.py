@@ -146,9 +146,9 @@ def partition_replace(spark, sf):
         "o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), "o_orderstatus"
     )
     first = rows.withColumn("load", F.lit("first")).drop("o_orderstatus")
-    io.append_partitioned(first, path, ["year"], ["o_custkey"], files=4)
+    io.append_partitioned(first, path, ["year"], ["o_custkey"])
     second = rows.filter("year = 1999 AND o_orderstatus = 'F'").withColumn("load", F.lit("second"))
-    io.replace_partitions(second.drop("o_orderstatus"), path, ["year"], ["o_custkey"], files=4)
+    io.replace_partitions(second.drop("o_orderstatus"), path, ["year"], ["o_custkey"])
     return spark.read.schema(first.schema).parquet(path)
 
 

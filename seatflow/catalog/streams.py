@@ -1,5 +1,7 @@
 """Streams over the events, run to the end of the input, and the fill projection."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from seatflow.catalog import schools
@@ -22,10 +24,9 @@ ORDER = ["at", "event_id"]
 SLOT = ["user_id", "event_type", "day"]
 
 
-def _arrived(spark, sf):
-    """Events as JSON lines in several files, the way a queue would deliver them."""
-    path = fresh_path(spark, "arrived")
-    rows = table(spark, sf, "events").select(
+def _arrive(spark, sf, path, condition):
+    """Events that meet the condition as JSON lines in the inbox at ``path``."""
+    rows = table(spark, sf, "events").filter(condition).select(
         "user_id",
         "event_type",
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
@@ -33,39 +34,38 @@ def _arrived(spark, sf):
         "event_id",
         "value",
     )
-    encoded = E.encode_events(rows, ["user_id", "event_type"]).select("value")
-    encoded.repartition(6).write.mode("overwrite").text(path)
-    return path
-
-
-def _stream(spark, sf):
-    raw = spark.readStream.option("maxFilesPerTrigger", 3).text(_arrived(spark, sf))
-    return E.parse_events(raw, EVENT)
+    E.encode_events(rows, ["user_id", "event_type"]).select("value").write.mode("append").text(path)
 
 
-def _finish(run):
-    run.awaitTermination()
-    if run.exception():
-        raise run.exception()
+def _in_two_parts(spark, sf, start):
+    """Run a stream to the end, twice from one checkpoint: views and clicks come first."""
+    inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
+    early = F.col("event_type").isin("view", "click")
+    for condition in (early, ~early):
+        _arrive(spark, sf, inbox, condition)
+        run = start(E.read_events(spark, inbox, EVENT), out, mark)
+        run.awaitTermination()
+        if run.exception():
+            raise run.exception()
+    return out
 
 
 ALL = """SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day,
-    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "at", event_id, value FROM events"""
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS at, event_id, value FROM events"""
 
 
 @query("stream_parse", ALL)
 def stream_parse(spark, sf):
-    out, mark = fresh_path(spark, "parsed"), fresh_path(spark, "mark")
-    _finish(E.run_append(E.read_events(spark, _arrived(spark, sf), EVENT), out, mark))
-    return spark.read.schema(EVENT).parquet(out)
+    """Typed events out of JSON text, by the same function for tables and streams."""
+    inbox = fresh_path(spark, "inbox")
+    _arrive(spark, sf, inbox, F.lit(True))
+    return E.parse_events(spark.read.text(inbox), EVENT)
 
 
 @query("stream_append", ALL)
 def stream_append(spark, sf):
-    """The stream is started twice from one checkpoint; the second run adds nothing."""
-    source, out, mark = _arrived(spark, sf), fresh_path(spark, "out"), fresh_path(spark, "mark")
-    for _ in range(2):
-        _finish(E.run_append(E.read_events(spark, source, EVENT), out, mark))
+    """Every event exactly once although the stream stopped and started again."""
+    out = _in_two_parts(spark, sf, E.run_append)
     return spark.read.schema(EVENT).parquet(out)
 
 
@@ -74,28 +74,28 @@ def _latest(keys):
         ORDER BY "at" DESC, event_id DESC) = 1"""
 
 
+def _kept(spark, sf, run, keys):
+    out = _in_two_parts(spark, sf, partial(run, keys=keys, order=ORDER))
+    return out, St.read_latest(spark, out, EVENT, keys, ORDER)
+
+
 @query("stream_dedupe", _latest(SLOT))
 def stream_dedupe(spark, sf):
     """Latest record per slot out of the state store."""
-    path, mark = fresh_path(spark, "slots"), fresh_path(spark, "mark")
-    _finish(St.run_state(_stream(spark, sf), path, mark, SLOT, ORDER))
-    return St.read_latest(spark, path, EVENT, SLOT, ORDER)
+    return _kept(spark, sf, St.run_state, SLOT)[1]
 
 
-@query("stream_latest", _latest(SLOT[:2]))
+@query("stream_latest", _latest(["user_id"]))
 def stream_latest(spark, sf):
-    path, mark = fresh_path(spark, "latest"), fresh_path(spark, "mark")
-    _finish(St.run_state(_stream(spark, sf), path, mark, SLOT[:2], ORDER))
-    return St.read_latest(spark, path, EVENT, SLOT[:2], ORDER)
+    return _kept(spark, sf, St.run_state, ["user_id"])[1]
 
 
-@query("stream_upsert", _latest(SLOT[:2]))
+@query("stream_upsert", _latest(["user_id"]))
 def stream_upsert(spark, sf):
     """Micro-batches merged into a table, which is compacted at the end."""
-    path, mark = fresh_path(spark, "upsert"), fresh_path(spark, "mark")
-    _finish(St.run_upsert(_stream(spark, sf), path, mark, SLOT[:2], ORDER))
-    St.compact(spark, path, EVENT, SLOT[:2], ORDER)
-    return St.read_latest(spark, path, EVENT, SLOT[:2], ORDER)
+    out, _ = _kept(spark, sf, St.run_upsert, ["user_id"])
+    St.compact(spark, out, EVENT, ["user_id"], ORDER)
+    return St.read_latest(spark, out, EVENT, ["user_id"], ORDER)
 
 
 # The exact binary value of a share as a whole number: share * 2**68.
