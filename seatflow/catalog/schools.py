@@ -203,7 +203,7 @@ RECOMMEND_ALL = (
 @query("recommend_all", RECOMMEND_ALL)
 def recommend_all(spark, sf):
     nested = serving.recommend_all(
-        mart(spark, sf), CURRENT, zone_code="america", nature_code="girls' school"
+        mart(spark, sf), CURRENT, ordered=False, zone_code="america", nature_code="girls' school"
     )
     return serving.recommend_all_rows(nested)
 
@@ -239,7 +239,7 @@ def nest_all(spark, sf):
 )
 def recommend_one(spark, sf):
     nested = serving.recommend_one(
-        mart(spark, sf), "2C", CURRENT, has_balloting_3yr=True, zone_code="ASIA"
+        mart(spark, sf), "2C", CURRENT, has_balloting_3yr=True, ordered=False, zone_code="ASIA"
     )
     return serving.recommend_one_rows(nested)
 
@@ -421,6 +421,7 @@ def recommend_enriched(spark, sf):
         CURRENT,
         predictions=serving.predictions_for(_predictions(spark, sf), CURRENT),
         interim=serving.interim_for(interim, CURRENT, zone_code="europe"),
+        ordered=False,
         zone_code="europe",
     )
     return nested.select("school_name_clean", F.inline_outer("categories")).select(

@@ -57,7 +57,7 @@ def _nearest(
     frames = []
     for start in range(0, len(query_ids), QUERY_SLICE):
         part = slice(start, start + QUERY_SLICE)
-        dist = np.round(1.0 - query_units[part] @ units, DIGITS)
+        dist = np.round(1.0 - query_units[part] @ units, DIGITS) + 0.0  # no negative zero
         dist[np.isnan(dist)] = np.inf
         edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.inf
         rows, cols = np.nonzero((dist <= edge) & (dist < np.inf))

@@ -157,8 +157,10 @@ def _nested_records(df: DataFrame, predictions: DataFrame | None, interim: DataF
     return df
 
 
-def _by_place(df: DataFrame) -> DataFrame:
+def _by_place(df: DataFrame, ordered: bool) -> DataFrame:
     """Answers in display order: estate, then school."""
+    if not ordered:
+        return df
     return df.orderBy(
         F.col("dgp_code").asc_nulls_first(), F.col("school_name_clean").asc_nulls_first()
     )
@@ -169,6 +171,7 @@ def recommend_all(
     current_year: int,
     predictions: DataFrame | None = None,
     interim: DataFrame | None = None,
+    ordered: bool = True,
     **filters,
 ) -> DataFrame:
     """Active schools with every phase: latest completed year and the current year.
@@ -192,7 +195,9 @@ def recommend_all(
         def with_nulls(c: Column) -> Column:
             return F.struct(c["category"].alias("category"), c["years"].alias("years"), *off)
 
-        return _by_place(nested.withColumn("categories", F.transform("categories", with_nulls)))
+        return _by_place(
+            nested.withColumn("categories", F.transform("categories", with_nulls)), ordered
+        )
     flat = nested.select(*ENTITY_COLUMNS, F.inline_outer("categories")).withColumnRenamed(
         "category", "phase_normalised"
     )
@@ -203,7 +208,8 @@ def recommend_all(
     return _by_place(
         flat.groupBy(*ENTITY_COLUMNS).agg(
             F.sort_array(F.collect_list(entry)).alias("categories")
-        )
+        ),
+        ordered,
     )
 
 
@@ -223,6 +229,7 @@ def recommend_one(
     has_balloting_3yr: bool | None = None,
     predictions: DataFrame | None = None,
     interim: DataFrame | None = None,
+    ordered: bool = True,
     **filters,
 ) -> DataFrame:
     """Active schools in one phase: last three completed years, current year and trend.
@@ -243,7 +250,7 @@ def recommend_one(
         kept, ENTITY_COLUMNS, "registration_year", YEAR_COLUMNS, TREND_COLUMNS, current_year
     )
     nested = nested.withColumn("phase_normalised", F.lit(phase))
-    return _by_place(_nested_records(nested, predictions, interim))
+    return _by_place(_nested_records(nested, predictions, interim), ordered)
 
 
 def recommend_one_rows(nested: DataFrame) -> DataFrame:

@@ -24,6 +24,15 @@ SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Shuffles start wide and are merged to the advisory size once their real size is
+# known; large scan splits keep the number of map tasks of a 100 TB read in bounds.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
 def build_session(app: str = "seatflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the package settings; ``conf`` overrides them."""
@@ -40,6 +49,8 @@ def build_session(app: str = "seatflow", master: str | None = None, **conf: str)
                 # Little data on few cores: keep all cores busy all the same.
                 .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             )
+    if not (master or "").startswith("local"):
+        conf = {**CLUSTER_SETTINGS, **conf}
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
