@@ -109,8 +109,8 @@ def stage_ballots(raw: DataFrame, seeds: Seeds) -> DataFrame:
         base,
         seeds.name_mapping,
         "_name",
-        straight_apostrophe(F.col("sgschooling_name")),
-        F.col("moe_school_name"),
+        straight_apostrophe(F.col("listed_name")),
+        F.col("official_name"),
         "school_name_clean",
     ).drop("_name")
     phased = attach(

@@ -17,7 +17,7 @@ KEYS = {
     "phases": ("phase_raw",),
     "balloting_codes": ("codes",),
     "school_lifecycle": ("school_name_clean",),
-    "school_name_mapping": ("sgschooling_name", "moe_school_name"),
+    "school_name_mapping": ("listed_name", "official_name"),
     "school_statuses": ("school_status",),
     "app_config": ("config_key",),
 }

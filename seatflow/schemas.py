@@ -74,7 +74,7 @@ SEED_LIFECYCLE = struct(
     "school_name_clean string, school_status string, inactive_from_year int,"
     "inactive_to_year int, merged_into string"
 )
-SEED_NAME_MAPPING = struct("sgschooling_name string, moe_school_name string")
+SEED_NAME_MAPPING = struct("listed_name string, official_name string")
 SEED_STATUSES = struct("school_status string, description string")
 SEED_FLAGS = struct("config_key string, config_value boolean")
 

@@ -208,3 +208,11 @@ def test_facets(rows):
 def test_audit_column(rows):
     df = io.with_audit(rows([(1,)], "a long"))
     assert df.first().loaded_at is not None
+
+
+def test_seed_columns_go_by_position(spark, tmp_path):
+    path = tmp_path / "names.csv"
+    path.write_text("from_site,from_ministry\nAI TONG,AI TONG SCHOOL\n")
+    got = io.load_seed(spark, str(path), schemas.SEED_NAME_MAPPING)
+    assert got.columns == ["listed_name", "official_name"]
+    assert tuple(got.first()) == ("AI TONG", "AI TONG SCHOOL")
