@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatflow.session import fresh_path
@@ -41,3 +42,25 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def label_sample(labelled: DataFrame, per_label: int, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``doc_id, label``, the first ``per_label`` of each label in a
+    hashed order of the ids. Each label gets its first row before any gets its second. Rows
+    without an id or a label are left out."""
+    key = F.md5(F.col("doc_id").cast("string"))
+    order = W.partitionBy("label").orderBy("key", "doc_id")
+    return (
+        labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+        .select("doc_id", "label", key.alias("key"))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= per_label)
+        .orderBy("place", "key", "label")
+        .limit(rows)
+    )
+
+
+def with_text(documents: DataFrame, sample: DataFrame) -> DataFrame:
+    """``text, label, key`` of the sampled documents. The sample is broadcast: its rows are bounded."""
+    texts = documents.select("doc_id", "text")
+    return texts.join(F.broadcast(sample), "doc_id").select("text", "label", "key")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, mixing, warc
-from seatflow.llm.common import table
+from seatflow.llm import chat_format, lang_id, mixing, quality, warc
+from seatflow.llm.common import remainder, table
 
 catalog = Catalog()
 QUERIES, SQL = catalog.queries, catalog.sql
@@ -42,6 +42,27 @@ def op1_warc_segments(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf, "pages")).drop("digest_ok")
 
 
+@catalog.query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    documents = table(spark, sf, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    network = lang_id.train(documents.where(~held_out))
+    return lang_id.identify(documents, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@catalog.query("op5_quality_cnn")
+def op5_quality_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of all documents, learned from the labels that are not held out."""
+    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    network = quality.train(documents, labels.where(~held_out))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return quality.score(documents, network).select(
+        "doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted")
+    )
+
+
 OP6_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{SQL_WORD}')), 0)::BIGINT AS size,
