@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, lang_id, mixing, quality, warc
+from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, quality, warc
 from seatflow.llm.common import remainder, table
 
 catalog = Catalog()
@@ -102,6 +102,18 @@ def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@catalog.query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    scorer = deobfuscate.train(documents, labels.where(~held_out))
+    predicted = (F.col("score") >= deobfuscate.THRESHOLD).cast("int")
+    return deobfuscate.score(documents, scorer).select(
+        "doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted")
+    )
+
+
 OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
