@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, quality, warc
+from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, prefix_forest, quality, va_file, warc
 from seatflow.llm.common import remainder, table
 
 catalog = Catalog()
@@ -42,6 +42,27 @@ def op1_warc_segments(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf, "pages")).drop("digest_ok")
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@catalog.query("op2_va_file", OP2_SQL)
+def op2_va_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 highest inner products in 256ths of every 50th vector against all."""
+    return va_file.whole_top_k(table(spark, sf, "embeddings"))
+
+
 @catalog.query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""
@@ -158,3 +179,9 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.encode("loss_text", "utf-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@catalog.query("op10_prefix_forest")
+def op10_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 nearest by cosine of every 50th vector against all."""
+    return prefix_forest.nearest_embeddings(table(spark, sf, "embeddings"))
