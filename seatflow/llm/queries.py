@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, prefix_forest, quality, va_file, warc
+from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, pieces, prefix_forest, quality, va_file, warc
 from seatflow.llm.common import remainder, table
 
 catalog = Catalog()
@@ -135,6 +135,20 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@catalog.query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Piece ids of all documents, and whether they spell the text again."""
+    vocabulary = pieces.Vocabulary.load()
+    encoded = pieces.decode(pieces.encode(table(spark, sf, "documents"), vocabulary), vocabulary)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        F.length("decoded").cast("long").alias("n_chars"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("text_sha256"),
+    )
+
+
 OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
