@@ -10,7 +10,7 @@ all. Bias and ReLU follow the maximum, which gives the same values and costs les
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -202,23 +202,9 @@ def training_windows(texts: DataFrame, shape: Shape, per_text: int) -> tuple[np.
     return windows, bags, [r["label"] for r in rows]
 
 
-def scored(documents: DataFrame, network: Network | None, schema: str, of_logits: Callable) -> DataFrame:
-    """Map ``(pass-through columns..., text)`` to the pass-through columns and those of ``schema``.
-
-    ``of_logits`` turns the logits of a batch into the new columns. No column but the text
-    reaches the network. Without a network the logits are zeros of one class.
-    """
-    names = documents.columns[:-1]
-    kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    new = [c.split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(len(names)))
-            logits = network.text_logits(data, offsets) if network else np.zeros((batch.num_rows, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *of_logits(logits)], [*names, *new])
-
-    return documents.mapInArrow(run, f"{kept}, {schema}")
+def text_logits(network: Network | None, texts: pa.Array) -> np.ndarray:
+    """Logits of a batch of texts; without a network zeros of one class."""
+    return network.text_logits(*text_bytes(texts)) if network else np.zeros((len(texts), 1))
 
 
 NAMES = ["label", "key", "windows"]

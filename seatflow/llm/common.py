@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,3 +66,27 @@ def with_text(documents: DataFrame, sample: DataFrame) -> DataFrame:
     """``text, label, key`` of the sampled documents. The sample is broadcast: its rows are bounded."""
     texts = documents.select("doc_id", "text")
     return texts.join(F.broadcast(sample), "doc_id").select("text", "label", "key")
+
+
+def scored_rows(
+    documents: DataFrame, keep: Sequence[str], new: Sequence[str], of_texts: Callable
+) -> tuple[DataFrame, list[Column]]:
+    """Columns made from the text alone, beside the columns named in ``keep``.
+
+    ``of_texts`` turns an Arrow batch of texts into one array per type in ``new``. The frame
+    has names of its own, ``c0``... for the kept columns and ``n0``... for the new ones, so that
+    no name of the documents can clash; the second value gives the kept ones their names back.
+    """
+    columns = list(dict.fromkeys([*keep, "text"]))
+    at = columns.index("text")
+    kinds = [documents.schema[c].dataType.simpleString() for c in keep]
+    rows = documents.select(*[documents[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    names = [f"c{i}" for i in range(len(keep))] + [f"n{i}" for i in range(len(new))]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, [*kinds, *new], strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = of_texts(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names)
+
+    return rows.mapInArrow(run, schema), [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatflow.llm.common import label_sample, with_text
+from seatflow.llm.common import label_sample, scored_rows, with_text
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {
@@ -306,20 +306,18 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(at[0]), 0.05), float(at[1])
 
 
-def score(documents: DataFrame, scorer: Scorer, *keep: str) -> DataFrame:
-    """``doc_id``, the columns named in ``keep`` and ``score``: the chance of being toxic, 0 to 1.
+def score(documents: DataFrame, scorer: Scorer) -> DataFrame:
+    """``doc_id, score``: the chance of being toxic, 0 to 1.
 
     Every row is restored and scored from its whole text alone. Null and empty texts have no
     evidence, which scores low. Repeated ids give repeated rows; an empty table gives none.
     """
-    columns = list(dict.fromkeys(["doc_id", *keep]))
-    rows = documents.select(*columns, F.col("text").alias("own text"))
-    names = [*columns, "score"]
+    found, kept = scored_rows(documents, ["doc_id"], ["double"], lambda x: [pa.array(scorer.chance(x.to_pylist()))])
+    return found.select(*kept, F.col("n0").alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chance = scorer.chance(batch.column(len(columns)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(chance)], names)
 
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kept}, score double")
+def accepted(documents: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score below ``threshold``."""
+    columns = documents.columns
+    found, kept = scored_rows(documents, columns, ["double"], lambda x: [pa.array(scorer.chance(x.to_pylist()))])
+    return found.where(F.col("n0") < threshold).select(*kept)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatflow.llm import byte_cnn
-from seatflow.llm.common import label_sample, with_text
+from seatflow.llm.common import label_sample, scored_rows, with_text
 
 UNDETERMINED = "und"
 
@@ -61,16 +61,17 @@ def identify(documents: DataFrame, network: byte_cnn.Network | None) -> DataFram
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     classes = network.classes if network else [UNDETERMINED]
 
-    def best(logits: np.ndarray) -> list[pa.Array]:
-        chance = byte_cnn.softmax(logits)
+    def best(texts: pa.Array) -> list[pa.Array]:
+        chance = byte_cnn.softmax(byte_cnn.text_logits(network, texts))
         top = chance.argmax(axis=1)
         return [pa.array([classes[i] for i in top], pa.string()), pa.array(chance[np.arange(len(top)), top])]
 
     rows = documents.select("doc_id", letter.alias("letter"), "text")
-    found = byte_cnn.scored(rows, network, "lang_pred string, score double", best)
+    found, kept = scored_rows(rows, ["doc_id", "letter"], ["string", "double"], best)
+    found = found.select(*kept, "n0", "n1")
     known = F.col("letter") & F.lit(network is not None)
     return found.select(
         "doc_id",
-        F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"),
-        F.when(known, F.col("score")).otherwise(0.0).alias("score"),
+        F.when(known, F.col("n0")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(known, F.col("n1")).otherwise(0.0).alias("score"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatflow.llm import byte_cnn
-from seatflow.llm.common import label_sample, with_text
+from seatflow.llm.common import label_sample, scored_rows, with_text
 
 
 @dataclass(frozen=True)
@@ -53,17 +53,26 @@ def train(
     )
 
 
-def score(documents: DataFrame, network: byte_cnn.Network | None, *keep: str) -> DataFrame:
-    """``doc_id``, the columns named in ``keep`` and ``score``: the chance of label 1, 0 to 1.
+def _chances(network: byte_cnn.Network | None):
+    def chance(texts: pa.Array) -> list[pa.Array]:
+        logits = byte_cnn.text_logits(network, texts)
+        return [pa.array(byte_cnn.softmax(logits)[:, 1] if network else np.full(len(texts), 0.5))]
+
+    return chance
+
+
+def score(documents: DataFrame, network: byte_cnn.Network | None) -> DataFrame:
+    """``doc_id, score``: the chance of label 1, 0 to 1.
 
     Every row is scored from its whole text alone. Null and empty texts get the share of
     label 1 among the labelled; without a network all scores are 0.5. Repeated ids give
     repeated rows; an empty table gives none.
     """
+    found, kept = scored_rows(documents, ["doc_id"], ["double"], _chances(network))
+    return found.select(*kept, F.col("n0").alias("score"))
 
-    def chance(logits: np.ndarray) -> list[pa.Array]:
-        return [pa.array(byte_cnn.softmax(logits)[:, 1] if network else np.full(len(logits), 0.5))]
 
-    columns = dict.fromkeys(["doc_id", *keep])
-    rows = documents.select(*columns, F.col("text").alias("_text") if "text" in columns else F.col("text"))
-    return byte_cnn.scored(rows, network, "score double", chance)
+def accepted(documents: DataFrame, network: byte_cnn.Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score ``threshold`` or more."""
+    found, kept = scored_rows(documents, documents.columns, ["double"], _chances(network))
+    return found.where(F.col("n0") >= threshold).select(*kept)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, pieces, prefix_forest, quality, va_file, warc
+from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, ngram_join, pieces, prefix_forest, quality, va_file, warc
 from seatflow.llm.common import remainder, table
 
 catalog = Catalog()
@@ -63,6 +63,35 @@ def op2_va_file(spark: SparkSession, sf: str) -> DataFrame:
     return va_file.whole_top_k(table(spark, sf, "embeddings"))
 
 
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SQL_WORD}') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r(a, b) AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), m AS (
+  SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.least, s.doc_id)) AS component_id
+FROM s LEFT JOIN m ON s.doc_id = m.doc_id
+"""
+
+
+@catalog.query("op3_ngram_join", OP3_SQL)
+def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents that share 90 percent of their 3-word shingles."""
+    return ngram_join.join_groups(table(spark, sf, "documents"))
+
+
 @catalog.query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""
