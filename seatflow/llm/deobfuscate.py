@@ -35,6 +35,8 @@ EDGE = ".,;:!?\"'()[]{}<>*#%&|~^`_-=/\\…«»„“”’‘–—"
 SYMBOLS = 64
 #: Log costs in the channel.
 REPLACED, REMOVED, COLLAPSED = -1.5, -1.0, -0.3
+#: Of a look-alike that stands for nothing, beside letters.
+KEPT = -8.0
 THRESHOLD = 0.5
 CACHED = 300_000
 
@@ -99,7 +101,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if i and token[i - 1] == c and _in_run(token, i):
                 ways.append(("", COLLAPSED))
         else:
-            ways = [(" ", 0.0)]
+            ways = [(" ", KEPT if c in LOOKALIKES else 0.0)]
             ways += [(x, REPLACED) for x in LOOKALIKES.get(c, "")]
             if spelled and c in APART:
                 ways.append(("", REMOVED))
