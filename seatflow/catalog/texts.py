@@ -22,14 +22,21 @@ query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
 
 @query(
     "parse_int",
-    """SELECT doc_id, n_chars AS from_count, CAST(NULL AS BIGINT) AS from_text FROM documents""",
+    r"""WITH p AS (SELECT doc_id, n_chars, text, length(text) AS n,
+      trim(replace(replace(regexp_extract(text, '[0-9][0-9,.\x{a0}]*'), ',', ''), chr(160), '')) AS run FROM documents)
+    SELECT doc_id, n_chars AS from_count,
+      CASE WHEN regexp_full_match(run, '[0-9]+') THEN TRY_CAST(run AS BIGINT) END AS from_run,
+      CASE WHEN regexp_full_match(trim(replace(replace(text, ',', ''), chr(160), ''), E' \\t\\n\\x0b\\x0c\\r'), '[0-9]+')
+        THEN TRY_CAST(replace(replace(text, ',', ''), chr(160), '') AS BIGINT) END AS from_text FROM p""",
 )
 def parse_int(spark, sf):
+    """Numbers spelled out, the first run of digits and marks of each text, and the text itself."""
     spelled = F.concat(F.lit(P.NBSP), F.format_number("n_chars", 0), F.lit(" "))
     return table(spark, sf, "documents").select(
         "doc_id",
         P.parse_int(spelled).alias("from_count"),
-        P.parse_int(F.concat("text", F.lit(" x"))).alias("from_text"),
+        P.parse_int(F.regexp_extract("text", r"[0-9][0-9,.\xa0]*", 0)).alias("from_run"),
+        P.parse_int(F.col("text")).alias("from_text"),
     )
 
 
@@ -95,7 +102,7 @@ def labelled_lines(spark, sf):
         '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS cell FROM hits""",
 )
 def html_cells(spark, sf):
-    html = F.col("html")
+    html = P.without_hidden(F.col("html"))
     tags = F.array(
         *[
             F.struct(F.lit(tag).alias("tag"), P.elements(html, tag).alias("cells"))
@@ -228,13 +235,16 @@ def marked_documents(spark, sf):
     "front_matter",
     """SELECT 'doc' || doc_id || '.md' AS source_file, CASE WHEN doc_id % 3 > 0 THEN lang END AS topic,
          'https://example.com/' || doc_id AS source_url, '2026' AS policy_year, source AS canonical_source,
-         '# Title' AS body_start FROM documents""",
+         md5(body) AS body_md5, length(body)::BIGINT AS body_length
+       FROM (SELECT *, trim('# Title' || chr(10) || chr(10)
+           || replace(text, chr(10), chr(10) || chr(10) || '## Part' || chr(10)),
+           ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents)""",
 )
 def front_matter(spark, sf):
     out = split_front_matter(marked_documents(spark, sf))
     return out.select(
         "source_file", "topic", "source_url", "policy_year", "canonical_source",
-        F.substring("text", 1, 7).alias("body_start"),
+        F.md5("text").alias("body_md5"), F.length("text").cast("bigint").alias("body_length"),
     )
 
 

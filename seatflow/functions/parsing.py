@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seatflow.functions.cleaning import strip
 
-MANY = 1_000_000_000
 NBSP = "\u00a0"
 
-# Entity names and their texts, from the tables of the standard library; the
-# usual ones come first because a map is searched from its start.
-_USUAL = ("amp", "lt", "gt", "quot", "nbsp")
-ENTITIES = json.dumps(
-    {n: chr(name2codepoint[n]) for n in _USUAL}
-    | {"apos": "'"}
-    | {n: chr(code) for n, code in sorted(name2codepoint.items()) if n not in _USUAL}
-)
+# Entity names and their texts, from the tables of the standard library. The usual ones come
+# first because a map is searched from its start. Names without a semicolon are the old ones
+# that pages may write without it; a text that starts with one holds it.
+_USUAL = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")
+NAMED = json.dumps({n: html5[n] for n in (*_USUAL, *sorted(n for n in html5 if n.endswith(";") and n not in _USUAL))})
+OLD_NAMED = json.dumps({n: t for n, t in sorted(html5.items()) if not n.endswith(";")})
+OLD_LENGTHS = sorted({len(n) for n in html5 if not n.endswith(";")}, reverse=True)
+# Code points that pages write for the characters of a Windows code page.
+WINDOWS = json.dumps({str(n): html.unescape(f"&#{n};") for n in (0, 13, *range(0x80, 0xA0))})
+
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 # A tag; a '>' inside a quoted attribute does not end it.
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
@@ -50,34 +53,47 @@ def _character(code: Column) -> Column:
     """Text of a code point; a number that is none gives the replacement character."""
     real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     word = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    return F.when(real, F.decode(word, "UTF-32")).otherwise("\ufffd")
+    windows = F.from_json(F.lit(WINDOWS), "map<string,string>")
+    return F.coalesce(
+        F.when((code < 0xA0) & ((code >= 0x80) | code.isin(0, 13)), F.try_element_at(windows, code.cast("string"))),
+        F.when(real, F.decode(word, "UTF-32")),
+        F.lit("\ufffd"),
+    )
 
 
 def decode_entities(col: Column) -> Column:
-    """Named and numeric entities to text, in one pass; unknown names stay as they are."""
+    """Named and numeric entities to text, in one pass; unknown names stay as they are.
+
+    The semicolon may be missing after a number and after the old names.
+    """
     return let(col, _decode)
 
 
 def _decode(col: Column) -> Column:
     """``decode_entities`` of a plain column or lambda variable."""
-    names = F.from_json(F.lit(ENTITIES), "map<string,string>")
+    named = F.from_json(F.lit(NAMED), "map<string,string>")
+    old = F.from_json(F.lit(OLD_NAMED), "map<string,string>")
 
     def decoded(part: Column) -> Column:
-        token = F.substring_index(part, ";", 1)
-        rest = F.substring(part, F.length(token) + 2, F.length(part))
-        code = F.when(
-            token.rlike("^#[xX]"), F.conv(F.substring(token, 3, 9), 16, 10)
-        ).otherwise(F.substring(token, 2, 9))
-        text = F.when(token.startswith("#"), _character(code.cast("bigint"))).otherwise(
-            F.coalesce(F.try_element_at(names, token), F.concat(F.lit("&"), token, F.lit(";")))
+        """A part that began with an ampersand."""
+        number = F.regexp_extract(part, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 0)
+        digits = F.regexp_replace(number, "[#;]", "")
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 9), 16, 10)).otherwise(digits)
+        name = F.regexp_extract(part, r"^[a-zA-Z][a-zA-Z0-9]{0,31};", 0)
+        short = [F.substring(part, 1, n) for n in OLD_LENGTHS]
+        text = F.coalesce(
+            F.when(number != "", F.concat(_character(code.cast("bigint")), F.substring(part, F.length(number) + 1, F.length(part)))),
+            F.when(name != "", F.concat(F.try_element_at(named, name), F.substring(part, F.length(name) + 1, F.length(part)))),
+            *[F.concat(F.try_element_at(old, s), F.substring(part, F.length(s) + 1, F.length(part))) for s in short],
+            F.concat(F.lit("&"), part),
         )
-        return F.concat(text, rest)
+        return text
 
-    parts = cut(col, r"&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);)")
+    parts = cut(col, r"&(?=#[0-9xX]|[a-zA-Z])")
     whole = let(
         parts,
         lambda p: F.array_join(
-            F.concat(F.slice(p, 1, 1), F.transform(F.slice(p, F.lit(2), F.lit(MANY)), decoded)), ""
+            F.concat(F.slice(p, 1, 1), F.transform(F.slice(p, F.lit(2), F.size(p)), decoded)), ""
         ),
     )
     return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
@@ -119,7 +135,7 @@ def parse_tooltip(title: Column, body: Column) -> Column:
     """
 
     def fields(lines: Column) -> Column:
-        rest = F.slice(lines, F.lit(2), F.lit(MANY))
+        rest = F.slice(lines, F.lit(2), F.size(lines))
 
         def labelled(label: str) -> Column:
             hits = F.filter(rest, lambda line: F.lower(line).startswith(label))
@@ -139,10 +155,15 @@ def parse_tooltip(title: Column, body: Column) -> Column:
 def elements(html: Column, tag: str) -> Column:
     """Inner markup of every ``tag`` element, in order; a missing end tag is tolerated."""
     closed = F.regexp_replace(html, rf"(?i)</{tag}\b", END)
-    inner = F.slice(cut(closed, rf"(?i)<{tag}\b{_ATTRS}>"), F.lit(2), F.lit(MANY))
+    inner = let(cut(closed, rf"(?i)<{tag}\b{_ATTRS}>"), lambda p: F.slice(p, F.lit(2), F.size(p)))
     return F.transform(inner, lambda part: F.substring_index(part, END, 1))
 
 
+def without_hidden(html: Column) -> Column:
+    """Markup without comments, scripts and styles, which hold no content."""
+    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|<(script|style)\b{_ATTRS}>.*?(?:</\1\s*>|\z)", "")
+
+
 def first_element(html: Column, tag: str) -> Column:
     return F.get(elements(html, tag), F.lit(0))
 
@@ -154,10 +175,31 @@ def inner_text(html: Column) -> Column:
 
 
 def direct_text(html: Column) -> Column:
-    """First text that is not inside a nested element."""
-    flat = F.regexp_replace(html, rf"(?is)<([a-z][a-z0-9]*)\b{_ATTRS}>.*?</\1\s*>", "<i>")
-    nodes = F.filter(cut(flat, ANY_TAG), lambda t: t != "")
-    return strip(decode_entities(F.get(nodes, F.lit(0))))
+    """First text that is not inside a nested element.
+
+    The depth is counted tag by tag, so elements of one name may be nested.
+    """
+    void = "|".join(VOID_TAGS)
+    return let(
+        F.struct(cut(html, ANY_TAG).alias("texts"), F.regexp_extract_all(html, F.lit(f"({ANY_TAG})"), F.lit(1)).alias("tags")),
+        lambda page: strip(decode_entities(_first_at_top(page["texts"], page["tags"], void))),
+    )
+
+
+def _first_at_top(texts: Column, tags: Column, void: str) -> Column:
+    def step(at: Column, pair: Column) -> Column:
+        tag, text = F.coalesce(pair["tags"], F.lit("")), pair["texts"]
+        free = (at["depth"] == 0) & at["found"].isNull() & (text != "")
+        flat = tag.rlike(rf"(?i)^<(?:!|(?:{void})\b)") | tag.endswith("/>") | (tag == "")
+        move = F.when(flat, 0).when(tag.startswith("</"), -1).otherwise(1)
+        return F.struct(
+            F.greatest(at["depth"] + move, F.lit(0)).alias("depth"),
+            F.when(free, text).otherwise(at["found"]).alias("found"),
+        )
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("found"))
+    pairs = F.zip_with(texts, tags, lambda x, t: F.struct(x.alias("texts"), t.alias("tags")))
+    return F.aggregate(pairs, begin, step, lambda at: at["found"])
 
 
 def tag_attributes(html: Column, tag: str, css_class: str) -> Column:

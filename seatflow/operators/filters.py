@@ -11,21 +11,34 @@ from pyspark.sql import functions as F
 from seatflow.functions.cleaning import canonical
 
 
-def apply_filters(df: DataFrame, **wanted: str | bool | None) -> DataFrame:
-    """AND of all given filters: text without case, flags exact, None means no filter."""
+def apply_filters(
+    df: DataFrame, canonical_columns: Sequence[str] = (), **wanted: str | bool | None
+) -> DataFrame:
+    """AND of all given filters: text without case, flags exact, None means no filter.
+
+    Columns named in ``canonical_columns`` hold canonical text, so they are compared bare,
+    which reaches the scan; other text columns may be in any case.
+    """
     for name, value in wanted.items():
         if value is None or value == "":
             continue
-        if isinstance(value, str):
+        if isinstance(value, str) and name in canonical_columns:
+            df = df.filter(F.col(name) == F.lit(value.upper().strip()))
+        elif isinstance(value, str):
             df = df.filter(F.upper(name) == F.upper(F.lit(value)))
         else:
             df = df.filter(F.col(name) == F.lit(value))
     return df
 
 
-def lookup_one(df: DataFrame, col: str, name: str) -> DataFrame:
-    """At most one row whose canonical name equals the given one."""
-    return df.filter(canonical(F.col(col)) == F.lit(name.upper().strip())).limit(1)
+def lookup_one(df: DataFrame, col: str, name: str, is_canonical: bool = False) -> DataFrame:
+    """At most one row whose canonical name equals the given one.
+
+    ``is_canonical`` says that the column holds canonical names, as built tables do; then the
+    filter is pushed to the scan.
+    """
+    column = F.col(col) if is_canonical else canonical(F.col(col))
+    return df.filter(column == F.lit(name.upper().strip())).limit(1)
 
 
 def rank_of(col: Column, order: Sequence[str]) -> Column:

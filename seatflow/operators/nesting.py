@@ -125,13 +125,9 @@ def facet_rows(df: DataFrame, outer: str, inner: str) -> DataFrame:
     )
 
 
-def facet_lists(df: DataFrame, outer: str, inner: str, most: int = 100_000) -> DataFrame:
-    """Per outer value the sorted list of its inner values: the pick list a person reads.
-
-    The pairs are counted first, up to ``most``; beyond it they are no pick list
-    any more and ``facet_rows`` gives them as rows.
+def facet_lists(df: DataFrame, outer: str, inner: str) -> DataFrame:
+    """Per outer value the sorted list of its distinct inner values: the pick list a person
+    reads. ``facet_rows`` gives the same as rows, where a list would get too long for one row.
     """
     pairs = facet_rows(df, outer, inner)
-    if pairs.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} values: use facet_rows")
     return pairs.groupBy(outer).agg(F.sort_array(F.collect_list(inner)).alias("values"))

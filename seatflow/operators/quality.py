@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,11 +75,48 @@ def _scan_measure(rule: Rule) -> Column:
     return F.when(F.count_if(where) > 0, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
 
 
+def _session(tables: dict[str, DataFrame]) -> SparkSession:
+    return next((df.sparkSession for df in tables.values()), None) or SparkSession.active()
+
+
+def _entry(rule: Rule, value: Column) -> Column:
+    return F.struct(F.lit(rule.name).alias("rule"), value.cast("string").alias("value"))
+
+
+def _counted_values(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """rule, value, n: how often each known value of a checked column occurs."""
+    entries = [
+        F.when(F.expr(r.where), _entry(r, F.col(r.column))) if r.where else _entry(r, F.col(r.column))
+        for r in rules
+    ]
+    rows = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return rows.filter(F.col("value").isNotNull()).groupBy("rule", "value").agg(F.count("*").alias("n"))
+
+
+def _known_values(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
+    """rule, value of the parents; one scan for all columns of a parent."""
+    parents = dict.fromkeys(r.arg[0] for r in rules)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            tables[p].select(
+                F.explode(F.array(*[_entry(r, F.col(r.arg[1])) for r in rules if r.arg[0] == p])).alias("e")
+            ).select("e.*")
+            for p in parents
+        ],
+    )
+
+
 def run_checks(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> DataFrame:
     """Report of all rules: table, rule, violations, status.
 
-    The rules a scan can answer share one pass per table.
+    The rules a scan can answer share one pass per table. So do all its unique rules, and all
+    its relationship rules: their columns are stacked as (rule, value) rows and counted once.
+    Without rules the report is empty.
     """
+    if not rules:
+        empty = "table_name string, rule string, violations long, status string"
+        return _session(tables).createDataFrame([], empty)
     parts = []
     for table in dict.fromkeys(r.table for r in rules):
         df = tables[table]
@@ -97,19 +134,21 @@ def run_checks(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> DataFrame
                 ).alias("checks")
             )
             parts.append(counted.select(F.lit(table).alias("table_name"), F.inline("checks")))
-        for r in own:
-            scoped = df.filter(r.where) if r.where else df
-            if r.kind == "unique":
-                bad = unique(scoped, r.column)
-            elif r.kind == "relationship":
-                bad = relationship(scoped, r.column, tables[r.arg[0]], r.arg[1])
-            else:
+        for kind in ("unique", "relationship"):
+            stacked = [r for r in own if r.kind == kind]
+            if not stacked:
                 continue
-            parts.append(
-                bad.agg(F.count("*").alias("violations")).select(
-                    F.lit(table).alias("table_name"), F.lit(r.name).alias("rule"), "violations"
-                )
-            )
+            bad = _counted_values(df, stacked)
+            if kind == "unique":
+                bad = bad.filter("n > 1")
+            else:
+                bad = bad.join(_known_values(tables, stacked), ["rule", "value"], "left_anti")
+            counts = [
+                F.struct(F.lit(r.name).alias("rule"), F.count_if(F.col("rule") == r.name).alias("violations"))
+                for r in stacked
+            ]
+            counted = bad.agg(F.array(*counts).alias("checks"))
+            parts.append(counted.select(F.lit(table).alias("table_name"), F.inline("checks")))
     report = reduce(DataFrame.unionByName, parts)
     return report.withColumn(
         "status", F.when(F.col("violations") == 0, "pass").otherwise("fail")

@@ -36,7 +36,7 @@ from seatflow.operators import trends
 from seatflow.operators.lookups import attach, map_or_keep, merge_dimension, split_dimension
 from seatflow.operators.ranking import keep_latest
 from seatflow.schemas import SCHOOL_CONTACT_COLUMNS, SCHOOL_FLAG_COLUMNS, SCHOOL_TEXT_COLUMNS
-from seatflow.sources.tables import replace_partitions
+from seatflow.sources.tables import overwrite_partitioned, replace_partitions
 
 # Fixed values of the admission data.
 PRIMARY_LEVELS = ("PRIMARY", "MIXED LEVEL (P1-S4)")
@@ -346,11 +346,19 @@ def build(raw_ballots: DataFrame, raw_schools: DataFrame, seeds: Seeds, as_of=No
     return dim, dim_school_generalinfo(primary), fact, mart_school_analysis(fact, dim, as_of)
 
 
-def write_by_year(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Partitioned by year and sorted by school and phase, so filters skip files and row groups."""
-    replace_partitions(
-        df, path, ["registration_year"], ["school_name_clean", "phase_normalised"], files
-    )
+def write_by_year(
+    df: DataFrame, path: str, files: int | None = None, years: Sequence[int] | None = None
+) -> None:
+    """Partitioned by year and sorted by school and phase, so filters skip files and row groups.
+
+    The table is replaced as a whole, so years that are gone from ``df`` leave it. With
+    ``years`` only these are replaced; of them, those without rows keep what was stored.
+    """
+    by, sort = ["registration_year"], ["school_name_clean", "phase_normalised"]
+    if years is not None:
+        replace_partitions(df.filter(F.col(by[0]).isin(*years)), path, by, sort, files)
+    else:
+        overwrite_partitioned(df, path, by, sort, files)
 
 
 def build_tables(
@@ -361,13 +369,15 @@ def build_tables(
     as_of=None,
     threshold: float = RISK_THRESHOLD,
     keep: Sequence[str] = (),
+    years: Sequence[int] | None = None,
 ) -> dict[str, DataFrame]:
     """Write dimensions, fact and mart below ``path`` and return the stored tables.
 
     Every table is read back before the next is built from it, so no step is
     computed twice and a lost executor costs at most one table. Tables named in
     ``keep`` are taken as they are stored: after a load of new results the two
-    dimensions, for example.
+    dimensions, for example. Fact and mart are replaced whole; ``years`` limits
+    that to some years.
     """
     spark = raw_ballots.sparkSession
     tables: dict[str, DataFrame] = {}
@@ -375,7 +385,7 @@ def build_tables(
     def store(name: str, df: DataFrame, yearly: bool = False) -> DataFrame:
         place = f"{path}/{name}"
         if name not in keep and yearly:
-            write_by_year(df, place)
+            write_by_year(df, place, years=years)
         elif name not in keep:
             df.write.mode("overwrite").parquet(place)
         tables[name] = spark.read.schema(df.schema).parquet(place)

@@ -88,10 +88,14 @@ def train(
             maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate,
             subsamplingRate=params.sampling, featureSubsetStrategy=str(params.columns),
             minInstancesPerNode=params.min_leaf,
-            seed=params.seed, checkpointInterval=10, cacheNodeIds=True, maxBins=64,
+            seed=params.seed, checkpointInterval=10, cacheNodeIds=True,
         ),
     ]
-    return Pipeline(stages=stages).fit(marked.filter(F.col(target).isNotNull()))
+    rows = marked.filter(F.col(target).isNotNull())
+    indexer = stages[0].fit(rows)
+    # A categorical feature needs a bin per value, and one for values not seen in training.
+    stages[-1].setMaxBins(max([64, *(len(labels) + 1 for labels in indexer.labelsArray)]))
+    return Pipeline(stages=[indexer, *stages[1:]]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame, numeric: Sequence[str]) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Parameterised read queries over the built tables, each one lazy plan."""
+"""Parameterised read queries over the built tables, each one lazy plan.
+
+School names and phases of built tables are canonical, so filters on them are compared bare
+and reach the scan; given names and phases may be in any case.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatflow.functions.cleaning import canonical
 from seatflow.functions.dates import iso_in_zone
 from seatflow.functions.metrics import explain_risk
 from seatflow.operators.filters import apply_filters, in_order, lookup_one
@@ -82,7 +85,7 @@ def list_schools(dim: DataFrame, is_active: bool | None = True, **filters) -> Da
 
 def school_detail(dim: DataFrame, general: DataFrame, name: str) -> DataFrame:
     """One school with its contact details, or no row."""
-    return lookup_one(dim, "school_name_clean", name).join(general, "school_key", "left")
+    return lookup_one(dim, "school_name_clean", name, is_canonical=True).join(general, "school_key", "left")
 
 
 def result_count(found: DataFrame, **echo: str | bool | None) -> DataFrame:
@@ -117,7 +120,7 @@ def metadata_rows(
 def predictions_for(predictions: DataFrame, year: int, phase: str | None = None) -> DataFrame:
     out = predictions.filter(F.col("registration_year") == year)
     if phase:
-        out = out.filter(F.col("phase") == phase)
+        out = out.filter(F.col("phase") == phase.upper())
     return out.select("school_name", "phase", *PREDICTION_COLUMNS)
 
 
@@ -133,7 +136,7 @@ def interim_for(
         interim.filter(F.col("registration_year") == year), zone_code=zone_code, dgp_code=dgp_code
     )
     if phase:
-        out = out.filter(F.col("phase") == phase)
+        out = out.filter(F.col("phase") == phase.upper())
     time = iso_in_zone(F.col("snapshot_timestamp")).alias("snapshot_timestamp")
     return out.select(
         "school_name", "phase", *[time if c == "snapshot_timestamp" else c for c in INTERIM_COLUMNS]
@@ -238,9 +241,10 @@ def recommend_one(
     year it does not qualify.
     """
     _checked(filters, location=True)
-    if phase.upper() not in MART_PHASES:
+    phase = phase.upper()
+    if phase not in MART_PHASES:
         raise ValueError(f"phase must be one of {MART_PHASES}")
-    rows = apply_filters(mart, is_active=True, phase_normalised=phase, **filters)
+    rows = apply_filters(mart, ["phase_normalised"], is_active=True, phase_normalised=phase, **filters)
     count = F.col("ballot_occurrences_last_3yr")
     wanted = {True: count > 0, False: count == 0, None: F.lit(True)}[has_balloting_3yr]
     key = ["school_name_clean"]
@@ -272,9 +276,9 @@ def assess_risk(
     """
     rows = mart.filter(F.col("registration_year") < current_year)
     if name is not None:
-        rows = rows.filter(canonical(F.col("school_name_clean")) == name.upper().strip())
+        rows = rows.filter(F.col("school_name_clean") == name.upper().strip())
     if phase is not None:
-        rows = rows.filter(F.col("phase_normalised") == phase)
+        rows = rows.filter(F.col("phase_normalised") == phase.upper())
     keys = ["school_name_clean", "phase_normalised"]
     ranked = top_n(rows, keys, ["registration_year"], 3, rank_col="row_rank")
     text = explain_risk(

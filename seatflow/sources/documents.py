@@ -43,22 +43,35 @@ def _close(text: Column) -> Column:
 
 
 def front_matter(text: Column) -> Column:
-    """Map of the ``key: value`` lines between the fences; an empty value is NULL."""
+    """Map of the ``key: value`` lines between the fences; an empty value is NULL.
+
+    Of a repeated key the last line counts. A comment behind a value is dropped, and quotes
+    around one; inside quotes a number sign is text.
+    """
     head = F.when(_close(text) > 0, F.substring(text, F.lit(5), _close(text) - 5))
     lines = F.filter(F.split(head, r"\r?\n"), lambda line: line.rlike(r"^[A-Za-z_][\w-]*\s*:"))
     pairs = F.transform(
         lines,
         lambda line: F.struct(
             strip(F.substring_index(line, ":", 1)).alias("key"),
-            F.nullif(
-                F.regexp_replace(
-                    strip(F.regexp_replace(line, r"^[^:]*:", "")), r"""^(["'])(.*)\1$""", "$2"
-                ),
-                F.lit(""),
-            ).alias("value"),
+            F.nullif(_plain_value(strip(F.regexp_replace(line, r"^[^:]*:", ""))), F.lit("")).alias("value"),
+        ),
+    )
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return F.aggregate(
+        F.coalesce(pairs, none),
+        F.map_from_entries(none),
+        lambda found, p: F.map_concat(
+            F.map_filter(found, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])
         ),
     )
-    return F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>")))
+
+
+def _plain_value(value: Column) -> Column:
+    quoted = r"""^(["'])(.*?)\1\s*(?:#.*)?$"""
+    return F.when(value.rlike(quoted), F.regexp_extract(value, quoted, 2)).otherwise(
+        strip(F.regexp_replace(value, r"(?:^|\s)#.*$", ""))
+    )
 
 
 def body(text: Column) -> Column:

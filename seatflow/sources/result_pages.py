@@ -1,126 +1,180 @@
 """Result pages of one year to one record per school and phase.
 
 A page has one table. Its head lists the phases; its body holds four rows per
-school: name, vacancy, applied, taken. Rows are found and taken apart with
-column expressions, page by page, without a shuffle.
+school: name, vacancy, applied, taken. Each page is read once, from end to end,
+by the parser of the standard library inside a task; what it finds becomes rows
+without a shuffle, and numbers and tooltips are column expressions on these.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatflow.functions import parsing as P
+from seatflow.functions.cleaning import WHITE_SPACE
 
 ARROW = "↳"
 
+CELL_FIELDS = (
+    "school_name total_text phase vacancy_text applied_text taken_direct taken_text tip_title tip_text"
+).split()
+
 
-def headers(html: Column) -> Column:
-    """Ordered phase names of the table head."""
-    cells = F.transform(P.elements(P.first_element(html, "thead"), "th"), P.inner_text)
-    return F.filter(cells, lambda c: (c != "") & (F.lower(c) != "school"))
+class Cell:
+    """A table cell: its text nodes, the first one of its own, its strong text and its tooltip."""
 
+    def __init__(self) -> None:
+        self.nodes: list[str] = []
+        self.raw: list[str] = []
+        self.direct: str | None = None
+        self.strong: list[str] | None = None
+        self.tip: dict[str, str | None] | None = None
 
-def body_rows(html: Column) -> Column:
-    """Inner markup of the rows of the table body."""
-    return P.elements(P.first_element(html, "tbody"), "tr")
+    @property
+    def text(self) -> str:
+        return "".join(self.nodes)
 
 
-def block_starts(rows: Column) -> Column:
-    """Places of the rows that open a school block.
+class PageParser(HTMLParser):
+    """Cells of the first table head and of the rows of the first table body.
 
-    A row whose first cell has no arrow opens a block and claims the next three
-    rows. Other rows are skipped; a block cut short by the end stops the page.
+    Comments, scripts and styles hold no text. A missing end tag of a cell or a row is
+    tolerated: the next one ends it.
     """
-    count = F.size(rows)
-
-    def step(acc: Column, place: Column) -> Column:
-        cell = P.inner_text(P.first_element(F.get(rows, place), "td"))
-        opens = (place >= acc["free"]) & ~F.contains(F.coalesce(cell, F.lit("")), F.lit(ARROW))
-        whole = place + 3 < count
-        return F.struct(
-            F.when(opens & whole, place + 4)
-            .when(opens, count)
-            .otherwise(acc["free"])
-            .alias("free"),
-            F.when(opens & whole, F.concat(acc["starts"], F.array(place)))
-            .otherwise(acc["starts"])
-            .alias("starts"),
-        )
 
-    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("starts"))
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(places, start, step, lambda acc: acc["starts"])
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.heads: list[Cell] = []
+        self.rows: list[list[Cell]] = []
+        self.part = ""  # thead or tbody while inside the first one
+        self.seen: set[str] = set()
+        self.cell: Cell | None = None
+        self.open: list[str] = []  # tags open inside the cell
+        self.mute = ""
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("script", "style"):
+            self.mute = tag
+        elif tag in ("thead", "tbody"):
+            self.cell = None
+            self.part = "" if tag in self.seen else tag
+            self.seen.add(tag)
+        elif tag == "tr" and self.part:
+            self.cell = None
+            if self.part == "tbody":
+                self.rows.append([])
+        elif tag in ("td", "th") and self.part:
+            self.cell, self.open = Cell(), []
+            if self.part == "thead" and tag == "th":
+                self.heads.append(self.cell)
+            elif self.part == "tbody" and tag == "td" and self.rows:
+                self.rows[-1].append(self.cell)
+        elif self.cell is not None:
+            if tag == "span" and self.cell.tip is None and "tt" in (dict(attrs).get("class") or "").split():
+                self.cell.tip = dict(attrs)
+            if tag not in P.VOID_TAGS:
+                self.open.append(tag)
+                if tag == "strong" and self.cell.strong is None:
+                    self.cell.strong = []
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in P.VOID_TAGS:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == self.mute:
+            self.mute = ""
+        elif tag in ("thead", "tbody", "table"):
+            self.part, self.cell = "", None
+        elif tag in ("tr", "td", "th"):
+            self.cell = None
+        elif tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data: str) -> None:
+        cell = self.cell
+        if cell is None or self.mute:
+            return
+        node = data.strip(WHITE_SPACE)
+        cell.raw.append(data)
+        cell.nodes.append(node)
+        if not self.open and cell.direct is None:
+            cell.direct = node
+        if "strong" in self.open and cell.strong is not None:
+            cell.strong.append(node)
+
+
+def _blocks(rows: list[list[Cell]]) -> Iterator[list[list[Cell]]]:
+    """Four rows per school. A row whose first cell has no arrow opens a block and claims the
+    next three rows. Other rows are skipped; a block cut short by the end stops the page."""
+    at = 0
+    while at < len(rows):
+        if rows[at] and ARROW in rows[at][0].text:
+            at += 1
+        elif at + 3 < len(rows):
+            yield rows[at : at + 4]
+            at += 4
+        else:
+            return
+
+
+def read_page(html: str) -> list[tuple]:
+    """Texts of one page, one tuple of ``CELL_FIELDS`` per school and phase."""
+    parser = PageParser()
+    parser.feed(html)
+    parser.close()
+    phases = [h.text for h in parser.heads if h.text and h.text.lower() != "school"]
+    found = []
+    for head, vacancy, applied, taken in _blocks(parser.rows):
+        strong = next((c.strong for c in head if c.strong is not None), None)
+        name = "".join(strong) if strong is not None else head[0].text if head else ""
+        total = vacancy[0].text if vacancy else None
+        for place, phase in enumerate(phases, start=1):
+            left, asked, cell = (row[place] if place < len(row) else None for row in (vacancy, applied, taken))
+            tip = (cell.tip if cell else None) or {}
+            found.append((
+                name, total, phase, left and left.text, asked and asked.text, cell and cell.direct,
+                cell and "".join(cell.raw), tip.get("data-tt-title") or None, tip.get("data-tt") or None,
+            ))
+    return found
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        years, rows = [], []
+        for year, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = read_page(html.as_py() or "")
+            rows += found
+            years += [year] * len(found)
+        columns = zip(*rows, strict=True) if rows else [[]] * len(CELL_FIELDS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(years, pa.int64()), *(pa.array(c, pa.string()) for c in columns)],
+            ["registration_year", *CELL_FIELDS],
+        )
 
 
-def first_count(cell: Column) -> Column:
+def first_count(direct: Column, plain: Column) -> Column:
     """Number of a cell: its direct text, else the first digits anywhere in it."""
-    plain = F.regexp_replace(cell, P.ANY_TAG, "")
-    return F.coalesce(P.parse_int(P.direct_text(cell)), P.first_int(plain))
+    return F.coalesce(P.parse_int(direct), P.first_int(plain))
 
 
 def parse_pages(pages: DataFrame, html: str, year: str) -> DataFrame:
     """Pages to records with the columns of the raw result table (without load time)."""
-    rows = pages.select(
-        F.col(year).cast("bigint").alias("registration_year"),
-        headers(F.col(html)).alias("_phases"),
-        body_rows(F.col(html)).alias("_rows"),
-    )
-    # The outer explodes keep Spark from computing the arrays twice, once to filter.
-    blocks = rows.select(
-        "registration_year",
-        "_phases",
-        "_rows",
-        F.explode_outer(block_starts(F.col("_rows"))).alias("_at"),
-    ).filter(F.col("_at").isNotNull())
-
-    def cells(offset: int) -> Column:
-        return P.elements(F.get("_rows", F.col("_at") + offset), "td")
-
-    blocks = blocks.select(
-        "registration_year",
-        "_phases",
-        F.get("_rows", F.col("_at")).alias("_head"),
-        cells(1).alias("_vacancy"),
-        cells(2).alias("_applied"),
-        cells(3).alias("_taken"),
-    ).select(
-        "registration_year",
-        F.coalesce(
-            P.inner_text(P.first_element(F.col("_head"), "strong")),
-            P.inner_text(P.first_element(F.col("_head"), "td")),
-            F.lit(""),
-        ).alias("school_name"),
-        P.paren_int(P.inner_text(F.get("_vacancy", F.lit(0)))).alias("total_vacancy"),
-        "_vacancy",
-        "_applied",
-        "_taken",
-        F.posexplode_outer("_phases").alias("_pos", "phase"),
-    ).filter(F.col("phase").isNotNull())
-
-    def cell(name: str) -> Column:
-        return F.get(name, F.col("_pos") + 1)
-
-    records = (
-        blocks.withColumn("_cell", cell("_taken"))
-        .withColumn("_attrs", P.tag_attributes(F.col("_cell"), "span", "tt"))
-        .withColumn(
-            "_tip",
-            P.parse_tooltip(
-                P.attribute(F.col("_attrs"), "data-tt-title"),
-                P.attribute(F.col("_attrs"), "data-tt"),
-            ),
-        )
-    )
+    schema = "registration_year long, " + ", ".join(f"{c} string" for c in CELL_FIELDS)
+    cells = pages.select(F.col(year).cast("bigint"), F.col(html)).mapInArrow(_read, schema)
+    records = cells.withColumn("_tip", P.parse_tooltip(F.col("tip_title"), F.col("tip_text")))
     return records.select(
         "school_name",
-        "total_vacancy",
+        P.paren_int(F.col("total_text")).alias("total_vacancy"),
         "phase",
-        P.parse_int(P.inner_text(cell("_vacancy"))).alias("vacancy"),
-        P.parse_int(P.inner_text(cell("_applied"))).alias("applied"),
-        first_count(F.col("_cell")).alias("taken"),
+        P.parse_int(F.col("vacancy_text")).alias("vacancy"),
+        P.parse_int(F.col("applied_text")).alias("applied"),
+        first_count(F.col("taken_direct"), F.col("taken_text")).alias("taken"),
         F.col("_tip.code").alias("ballot_scenario_code"),
         F.col("_tip.description").alias("ballot_description"),
         F.col("_tip.applicants").alias("ballot_applicants"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +10,39 @@ from pyspark.sql import types as T
 
 
 def load_snapshot_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV snapshot with a header. Types are inferred, at the price of a second
-    scan, only when no schema is given."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    scan, only when no schema is given. ``multi_line`` allows line breaks inside
+    quotes; then each file is read by one task, otherwise files are split."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def load_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A small typed CSV; the reader skips a byte order mark itself."""
-    return (
-        spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+def load_seed(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    names: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """A small typed CSV; the reader skips a byte order mark itself.
+
+    ``names`` gives the header of each column of the schema; columns are then found by
+    header, whatever their order, and a header that is missing raises. Without it they
+    are taken by position.
+    """
+    reader = spark.read.option("header", True).option("escape", '"')
+    if names is None:
+        return reader.schema(schema).csv(path)
+    found = reader.csv(path)
+    missing = [names[f.name] for f in schema.fields if names[f.name] not in found.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}; it has {found.columns}")
+    return found.select(
+        *[F.col(f"`{names[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
     )
 
 
@@ -61,6 +82,19 @@ def append_partitioned(
     _clustered(df, by, sort, files).write.mode("append").partitionBy(*by).parquet(path)
 
 
+def overwrite_partitioned(
+    df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = (), files: int | None = None
+) -> None:
+    """Replace the whole table: partitions that ``df`` does not hold are gone afterwards."""
+    (
+        _clustered(df, by, sort, files)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*by)
+        .parquet(path)
+    )
+
+
 def replace_partitions(
     df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = (), files: int | None = None
 ) -> None:
@@ -90,9 +124,10 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, path: str) -> None:
-    """Create a table over ``path`` unless it exists."""
+    """Create a table over ``path`` unless it exists; fields that must be known stay so."""
     columns = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields
+        f"`{f.name}` {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL")
+        for f in schema.fields
     )
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}'")
 
