@@ -4,7 +4,7 @@ Two sets whose Jaccard similarity reaches the threshold have T shingles in commo
 from their sizes. Texts with equal sets are collapsed first. In an order of shingles that all
 texts share, rarest first, two similar sets have a shingle in common among the first few of
 each, so the texts that hold a shingle there form a unit in which all their partners for that
-shingle are found; units with the same members are searched once.
+shingle are found. Units that share members are searched together, as far as a task can.
 
 In a unit the texts are indexed by inverted lists. For a text the long lists of its shingles
 are put aside, the short ones are merged, counting how often each other text occurs; those
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -283,6 +283,40 @@ def _search(percent: int):
     return run
 
 
+def _node() -> Column:
+    return F.struct(*KEYS)
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """What a task has to search at a time: unit, left, right, block, n and key of each member.
+
+    Units that hang together by their members become one, so that a set is sent once, unless
+    the whole would be too big for a task. Then each unit stays by itself, split into blocks
+    if it has to be, and a member goes to all pairs of blocks that its own block is one of.
+    """
+    first = members.groupBy("unit").agg(F.min("node").alias("v"))
+    edges = members.join(first, "unit").select(F.col("node").alias("u"), "v")
+    roots = component_roots(edges).withColumnRenamed("root", "whole")
+    members = members.join(roots, "node", "left").withColumn("whole", F.coalesce("whole", "node"))
+    sets = members.select("whole", "node", "n").distinct()
+    sizes = stored(sets.groupBy("whole").agg(F.sum("n").alias("shingles")), "join-wholes")
+    fits = F.col("shingles") <= BLOCK_SHINGLES
+    whole = sets.join(sizes.where(fits), "whole").select(
+        F.xxhash64("whole").alias("unit"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("block"),
+        "n", "node.*",
+    )
+    big = members.join(sizes.where(~fits).select("whole"), "whole").select("unit", "n", "node.*")
+    blocks = big.groupBy("unit").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    big = big.join(blocks, "unit").withColumn("block", F.pmod(F.xxhash64(*KEYS), "blocks").cast("int"))
+    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return whole.unionByName(
+        big.select(
+            "unit", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+            "block", "n", *KEYS,
+        )
+    )
+
+
 def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Per row of ``doc_id, text``: doc_id, n_shingles, component_id.
 
@@ -309,26 +343,20 @@ def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH
     postings = sets.select(F.explode("firsts").alias("unit"), "n", *KEYS)
 
     # A unit per shingle that stands first in several sets; of equal units only one.
-    members = F.bit_xor(F.xxhash64(*KEYS)).alias("members")
     units = postings.groupBy("unit").agg(
-        F.count("*").alias("size"), members, F.sum("n").alias("shingles"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64(*KEYS)).alias("members"), F.sum("n").alias("shingles"),
+        F.min("n").alias("low"), F.max("n").alias("high"),
+    )
     apart = (F.col("size") == 2) & (100 * F.col("low") < percent * F.col("high"))
     units = units.where((F.col("size") > 1) & ~apart).groupBy("size", "members", "shingles").agg(F.min("unit").alias("unit"))
-    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
-    units = stored(units.select("unit", blocks.alias("blocks")), "join-units")
-
-    # Each member goes to the pairs of blocks that its own block is one of.
-    dealt = postings.join(units, "unit").withColumn("block", F.pmod(F.xxhash64(*KEYS), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "unit", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "n", *KEYS
-    )
-    dealt = stored(dealt, "join-members")
-    wanted = stored(dealt.select(*KEYS).distinct().join(sets.select("doc_id", *KEYS), KEYS).select("doc_id", *KEYS), "join-wanted")
+    units = stored(units.select("unit"), "join-units")
+    members = stored(postings.join(units, "unit").select("unit", "n", _node().alias("node")), "join-members")
+    dealt = stored(_dealt(members), "join-dealt")
 
     # Whole sets of the members only. A set's text is found by id; its key tells it from
     # other texts under the same id.
-    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    wanted = dealt.select(*KEYS).distinct().join(sets.select("doc_id", *KEYS), KEYS)
+    ids = stored(wanted.select(F.col("doc_id").alias("id")).distinct(), "join-ids")
     whole = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(
         _sets(width, classes), "a long, b long, shingles binary"
     )
