@@ -16,7 +16,6 @@ and remembered.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -31,10 +30,14 @@ from seatflow.llm.common import stored
 
 #: The word mark, which stands for a space.
 MARK = "▁"
+_FACTOR = 0x9E3779B97F4A7C15
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-#: Parts that a worker remembers at most.
-REMEMBERED = 500_000
+#: Texts whose ids are made, and handed on, at a time.
+SLICE = 512
+#: Parts that a worker remembers at most, and characters of those that are solved together.
+REMEMBERED = 250_000
+TOGETHER_CHARS = 32
 #: An unknown character scores this much below the lowest piece.
 UNKNOWN_BELOW = 10.0
 NEVER = -np.inf
@@ -74,6 +77,11 @@ class Vocabulary:
     def unknown(self) -> float:
         return min(self.scores.values()) - UNKNOWN_BELOW
 
+    @cached_property
+    def letters(self) -> frozenset[str]:
+        """Characters that are pieces."""
+        return frozenset(p for p in self.scores if len(p) == 1)
+
     @cached_property
     def pairs(self) -> frozenset[str]:
         """Neighbours within a piece; between any others every path has a node."""
@@ -97,12 +105,31 @@ class Vocabulary:
         return re.compile("(?s).+")
 
     @cached_property
-    def spelled(self) -> list[bytes]:
-        """The bytes that each id decodes to."""
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes that the ids decode to, one after the other, and their starts and lengths."""
         out = [b"" if i in self.silent else t.replace(MARK, " ").encode() for i, t in enumerate(self.texts)]
         for b, i in enumerate(self.byte_ids):
             out[i] = bytes([b])
-        return out
+        sizes = np.array([len(x) for x in out], np.int64)
+        return np.frombuffer(b"".join(out), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A hash table of pieces and of what starts them: hashes, scores (never for mere
+        starts) and ids; a hash stands at its own place or at the next free one behind it."""
+        size = 1 << max(10, (4 * len(self.branches)).bit_length())
+        keys, scores, ids = np.zeros(size, np.uint64), np.full(size, NEVER), np.full(size, -1, np.int32)
+        for text, score in self.branches.items():
+            key = 0
+            for char in text:
+                key = (key + ord(char) + 1) * _FACTOR % (1 << 64)
+            at = key >> 64 - (size.bit_length() - 1)
+            while keys[at]:
+                if keys[at] == key:
+                    raise ValueError("two pieces have one hash")
+                at = (at + 1) % size
+            keys[at], scores[at], ids[at] = key, score, self.ids.get(text, -1)
+        return keys, scores, ids
 
     def __getstate__(self) -> dict:
         names = ("texts", "scores", "ids", "byte_ids", "silent")
@@ -156,43 +183,128 @@ def best_path(text: str, vocabulary: Vocabulary) -> tuple[float, list[int]]:
     return best[size], ends[::-1]
 
 
+def _found(table: tuple, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes in the table, -1 for those that are not in it."""
+    keys = table[0]
+    at = (hashes >> np.uint64(64 - (len(keys).bit_length() - 1))).astype(np.int64)
+    seen = keys[at]
+    out = np.where(seen == hashes, at, -1)
+    open_ = np.flatnonzero((seen != hashes) & (seen != 0))
+    while len(open_):
+        at[open_] = (at[open_] + 1) % len(keys)
+        seen = keys[at[open_]]
+        hit = seen == hashes[open_]
+        out[open_[hit]] = at[open_[hit]]
+        open_ = open_[~hit & (seen != 0)]
+    return out
+
+
+def best_paths(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, list[np.ndarray] | np.ndarray]:
+    """``best_path`` of texts of one length whose characters all are pieces, in step.
+
+    Gives the scores and a matrix with the ids of the pieces, -1 in front where there are fewer.
+    """
+    n, size = len(texts), len(texts[0])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
+    table = vocabulary.table
+    best = np.full((size + 1, n), NEVER)
+    best[0] = 0.0
+    back, last = np.zeros((size + 1, n), np.int64), np.full((size + 1, n), -1, np.int32)
+    for start in range(size):
+        rows, hashes = np.arange(n), np.zeros(n, np.uint64)
+        for end in range(start + 1, size + 1):
+            hashes = (hashes + codes[rows, end - 1] + np.uint64(1)) * np.uint64(_FACTOR)
+            at = _found(table, hashes)
+            known = at >= 0
+            if not known.all():
+                rows, hashes, at = rows[known], hashes[known], at[known]
+            if not len(rows):
+                break
+            total = best[start, rows] + table[1][at]
+            better = total > best[end, rows]
+            at, hit = at[better], rows[better]
+            best[end, hit], back[end, hit], last[end, hit] = total[better], start, table[2][at]
+    ids = np.full((n, size), -1, np.int32)
+    node, rows, column = np.full(n, size), np.arange(n), size
+    while len(rows):
+        column -= 1
+        ids[rows, column] = last[node, rows]
+        node = back[node, rows]
+        rows, node = rows[node > 0], node[node > 0]
+    return best[size], ids
+
+
 class Memory(dict):
-    """The ids of solved parts. When it is full, the older half is kept aside, and parts that
-    are met again come back from there."""
+    """Solved parts: each has a number, under which its ids and its score are kept.
+
+    Parts that are met for the first time are solved together, a length at a time. A full
+    memory is emptied.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        found = self.older.get(part)
-        if found is None:
-            _, ends = best_path(part, self.vocabulary)
-            ids, start = self.vocabulary.ids, 0
-            pieces: list[int] = []
-            for end in ends:
-                known = ids.get(part[start:end])
-                if known is None:
-                    pieces += self.vocabulary.spell(part[start:end])
-                else:
-                    pieces.append(known)
-                start = end
-            found = tuple(pieces)
-        if 2 * len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[part] = found
-        return found
-
-    def ids(self, text: str) -> list[int]:
-        """Ids of a text that starts and ends where it may be cut."""
-        return list(chain.from_iterable(map(self.__getitem__, self.vocabulary.parts.findall(text))))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids_ = np.zeros(0, np.int32)
+        self.starts, self.sizes, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def learn(self, parts: set[str]) -> None:
+        if len(self) + len(parts) > REMEMBERED:
+            self.forget()
+        plain, by = self.vocabulary.letters.issuperset, {}
+        for part in parts:
+            if part not in self:
+                by.setdefault(len(part) if len(part) <= TOGETHER_CHARS and plain(part) else 0, []).append(part)
+        ids, sizes, scores = [self.ids_], [self.sizes], [self.scores]
+        for length, some in by.items():
+            self.update(zip(some, range(len(self), len(self) + len(some)), strict=True))
+            if length:
+                score, matrix = best_paths(some, self.vocabulary)
+                used = matrix >= 0
+                ids.append(matrix[used])
+                sizes.append(used.sum(axis=1))
+                scores.append(score)
+            else:
+                for part in some:
+                    score, ends = best_path(part, self.vocabulary)
+                    starts = [0, *ends[:-1]]
+                    spelled = [x for a, b in zip(starts, ends, strict=True) for x in self.vocabulary.spell(part[a:b])]
+                    ids.append(np.array(spelled, np.int32))
+                    sizes.append(np.array([len(spelled)]))
+                    scores.append(np.array([score]))
+        self.ids_, self.sizes, self.scores = np.concatenate(ids), np.concatenate(sizes), np.concatenate(scores)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all parts of texts that start and end where they may be cut, parts of each text)."""
+        split = [self.vocabulary.parts.findall(t) for t in texts]
+        new = set().union(*split).difference(self)
+        if new:
+            before = len(self)
+            self.learn(new)
+            if len(self) < before + len(new):  # it was emptied
+                self.learn(set().union(*split))
+        n = np.array([len(x) for x in split], np.int64)
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum())), n
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        numbers, parts = self.numbers(texts)
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.arange(ends[-1]) + np.repeat(self.starts[numbers] - ends[:-1], sizes)
+        return self.ids_[flat], np.diff(ends[np.concatenate([[0], np.cumsum(parts)])])
+
+    def ids_of(self, text: str) -> list[int]:
+        return self.ids([text])[0].tolist()
 
     def score(self, text: str) -> float:
         """The score of a text that starts and ends where it may be cut."""
-        parts = Counter(self.vocabulary.parts.findall(text))
-        return sum(n * best_path(part, self.vocabulary)[0] for part, n in parts.items())
+        numbers, _ = self.numbers([text])
+        return float(self.scores[numbers].sum())
 
 
 _MEMORIES: dict[int, Memory] = {}
@@ -292,7 +404,7 @@ class Chunk:
         head = Chunk(self.body[:low], "").forward(vocabulary, first[None])[1]
         return (
             _spelled(vocabulary, text, head, low)
-            + memory.ids(self.body[low:high])
+            + memory.ids_of(self.body[low:high])
             + _spelled(vocabulary, text[high:], self.tail(vocabulary, high)[1], end - high)
         )
 
@@ -336,14 +448,30 @@ def _lists(ids: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _spell_out(ids: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> pa.Array:
+    """The texts that runs of ids spell, without the mark in front."""
+    data, starts, lengths = vocabulary.spelled
+    length = lengths[ids]
+    ends = np.concatenate([[0], np.cumsum(length)])
+    flat = data[np.arange(ends[-1]) + np.repeat(starts[ids] - ends[:-1], length)]
+    offsets = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    spelled = flat.tobytes()
+    return pa.array([spelled[a + 1 : b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+
+
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Kept columns and the text to kept columns, ids and, if it is named, what the ids spell."""
     memory = memory_of(vocabulary)
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        for first in range(0, batch.num_rows, 256):
-            ids = [memory.ids(normalized(t.as_py())) for t in texts[first : first + 256]]
-            kept = [c.slice(first, 256) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, _lists(ids)], names)
+        for first in range(0, batch.num_rows, SLICE):
+            ids, sizes = memory.ids([normalized(t.as_py()) for t in texts[first : first + SLICE]])
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+            if "decoded" in names:
+                made.append(_spell_out(ids, sizes, vocabulary))
+            kept = [c.slice(first, SLICE) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names)
 
 
 PLACE = "row long, place long, places long"
@@ -433,23 +561,29 @@ def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> Data
     return traced.groupBy("row").agg(F.flatten(F.transform(whole, lambda x: x["ids"])).alias("ids"))
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(
+    documents: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, decoded: bool = False
+) -> DataFrame:
     """``doc_id, ids array<int>`` of every row, from its whole text.
 
     Texts of more than ``chunk_chars`` characters are solved in chunks; the result is the same
     to the id. Null and empty texts have no ids. Repeated rows give repeated rows, an empty
-    table none; a null id is kept; other columns are not looked at.
+    table none; a null id is kept; other columns are not looked at. With ``decoded`` there is
+    a third column as of ``decode``, made while the ids are at hand.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     giant = F.length("text") > chunk_chars
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "ids", *["decoded"] * decoded]
     small = rows.where(~giant).mapInArrow(
-        lambda batches: _encode(batches, vocabulary, ["doc_id", "ids"]), f"doc_id {kind}, ids array<int>"
+        lambda batches: _encode(batches, vocabulary, names),
+        f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded,
     )
     # A row number of their own, since document ids may repeat; stored, so that it stays.
     giants = stored(rows.where(giant).withColumn("row", F.monotonically_increasing_id()), "piece-giants")
     ids = _giants(giants.select("row", "text"), vocabulary, chunk_chars)
-    return small.unionByName(giants.select("row", "doc_id").join(ids, "row").select("doc_id", "ids"))
+    large = giants.select("row", "doc_id").join(ids, "row").select("doc_id", "ids")
+    return small.unionByName(decode(large, vocabulary) if decoded else large)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -460,15 +594,15 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     names = encoded.columns
     at = names.index("ids")
-    spelled = vocabulary.spelled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(at)
-            texts = [
-                b"".join(map(spelled.__getitem__, x.as_py() or ())).decode("utf-8", "replace")[1:] for x in lists
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            for first in range(0, batch.num_rows, SLICE):
+                some = batch.slice(first, SLICE)
+                lists = some.column(at).fill_null([])
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = _spell_out(ids, np.diff(lists.offsets.to_numpy()), vocabulary)
+                yield pa.RecordBatch.from_arrays([*some.columns, texts], [*names, "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kept}, decoded string")

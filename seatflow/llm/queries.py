@@ -168,7 +168,7 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Piece ids of all documents, and whether they spell the text again."""
     vocabulary = pieces.Vocabulary.load()
-    encoded = pieces.decode(pieces.encode(table(spark, sf, "documents"), vocabulary), vocabulary)
+    encoded = pieces.encode(table(spark, sf, "documents"), vocabulary, decoded=True)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),

@@ -83,7 +83,7 @@ def test_same_path_as_the_library(vocabulary, library):
 
     bytes_ = set(vocabulary.byte_ids)
     for word in words:
-        ours = memory.ids(P.normalized(word))
+        ours = memory.ids_of(P.normalized(word))
         paths = [list(x) for x in library.nbest_encode_as_ids(word, 2)]
         assert score(ours) == score(paths[0]) >= score(library.encode(word))
         if len(paths) < 2 or score(paths[1]) < score(paths[0]):
@@ -131,9 +131,34 @@ def test_products_are_associative_and_scanned():
 
 
 def test_memory_forgets_without_changing_results(vocabulary, monkeypatch):
-    monkeypatch.setattr(P, "REMEMBERED", 6)
-    small, words = P.Memory(vocabulary), "one two three four five six seven eight one two nine one".split()
-    text = " ".join(words * 3)
-    got = small.ids(P.normalized(text))
+    monkeypatch.setattr(P, "REMEMBERED", 9)
+    words = "one two three four five six seven eight one two nine one".split()
+    texts = [P.normalized(" ".join(words[i : i + 4])) for i in range(8)]
+    small = P.Memory(vocabulary)
+    got = [small.ids_of(t) for t in texts]
+    assert len(small) <= 9
     monkeypatch.setattr(P, "REMEMBERED", 10_000)
-    assert got == P.Memory(vocabulary).ids(P.normalized(text)) and len(small) <= 4
+    large = P.Memory(vocabulary)
+    ids, sizes = large.ids(texts)
+    assert got == [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_parts_solved_together_are_solved_alike(vocabulary):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("▁abethrs.é") for _ in range(n)) for n in range(1, 30) for _ in range(20)]
+    memory = P.Memory(vocabulary)
+    memory.learn(set(texts))
+    for text in texts:
+        score, ends = P.best_path(text, vocabulary)
+        n = memory[text]
+        found = memory.ids_[memory.starts[n] : memory.starts[n] + memory.sizes[n]].tolist()
+        assert found == [x for a, b in zip([0, *ends[:-1]], ends) for x in vocabulary.spell(text[a:b])]
+        assert memory.scores[n] == score
+
+
+def test_decoded_with_the_ids(spark, rows, vocabulary):
+    frame = rows([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    got = P.encode(frame, vocabulary, 100, decoded=True)
+    assert {r["doc_id"]: r["decoded"] for r in got.collect()} == {i: t or "" for i, t in enumerate(texts())}
+    spelled = P.decode(rows([(1, None), (2, []), (3, [3 + 0xFF])], "doc_id long, ids array<int>"), vocabulary)
+    assert [r["decoded"] for r in spelled.orderBy("doc_id").collect()] == ["", "", ""]
