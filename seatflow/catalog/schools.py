@@ -45,6 +45,36 @@ def mart(spark, sf):
     return ballots.mart_school_analysis(fact, schools, S.PIPELINE_AS_OF, S.PIPELINE_RISK)
 
 
+_TABLES: dict[tuple[str, str], dict] = {}
+
+
+def tables(spark, sf):
+    """The stored tables, built once for a session and folder; the serving queries read them."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _TABLES:
+        _TABLES[place] = ballots.build_tables(
+            S.raw_ballots(spark, sf),
+            S.raw_schools(spark, sf),
+            S.seeds(spark, sf),
+            fresh_path(spark, "tables"),
+            S.PIPELINE_AS_OF,
+            S.PIPELINE_RISK,
+        )
+    return _TABLES[place]
+
+
+def stored_mart(spark, sf):
+    return tables(spark, sf)["mart_school_analysis"]
+
+
+def stored_dim(spark, sf):
+    return tables(spark, sf)["dim_school"]
+
+
+def stored_general(spark, sf):
+    return tables(spark, sf)["dim_school_generalinfo"]
+
+
 DIM_COLUMNS = (
     "school_key school_name_clean address postal_code dgp_code zone_code type_code nature_code "
     "session_code sap_ind autonomous_ind gifted_ind ip_ind mothertongue1_code school_status "
@@ -93,7 +123,7 @@ def school_mart(spark, sf):
 )
 def list_entities(spark, sf):
     found = serving.list_schools(
-        dim(spark, sf), type_code="government-aided school", gifted_ind=False
+        stored_dim(spark, sf), type_code="government-aided school", gifted_ind=False
     )
     return found.select(
         "school_key", "school_name", "dgp_code", "zone_code", "type_code", "nature_code",
@@ -110,8 +140,8 @@ def list_entities(spark, sf):
 def detail_join(spark, sf):
     """Every school with its contact details; closed schools have none."""
     return (
-        dim(spark, sf)
-        .join(general(spark, sf), "school_key", "left")
+        stored_dim(spark, sf)
+        .join(stored_general(spark, sf), "school_key", "left")
         .select(
             "school_key", "school_name_clean", "dgp_code", "is_active", "telephone_no",
             "email_address", "mrt_desc", "principal_name",
@@ -126,7 +156,7 @@ def detail_join(spark, sf):
          WHERE school_name_clean = 'SUPPLIER#000000004'""",
 )
 def detail_lookup(spark, sf):
-    found = serving.school_detail(dim(spark, sf), general(spark, sf), " supplier#000000004")
+    found = serving.school_detail(stored_dim(spark, sf), stored_general(spark, sf), " supplier#000000004")
     return found.select("school_name_clean", "principal_name", "email_address")
 
 
@@ -137,7 +167,7 @@ def detail_lookup(spark, sf):
          WHERE zone_code = 'ASIA' AND is_active""",
 )
 def result_count(spark, sf):
-    found = serving.list_schools(dim(spark, sf), zone_code="asia")
+    found = serving.list_schools(stored_dim(spark, sf), zone_code="asia")
     return serving.result_count(found, zone_code="asia", dgp_code=None, is_active=True)
 
 
@@ -156,7 +186,7 @@ def result_count(spark, sf):
       WHERE is_active AND dgp_code <> 'UNKNOWN'""",
 )
 def pick_lists(spark, sf):
-    lists = serving.metadata_rows(dim(spark, sf), zone_order=("ASIA", "EUROPE", "AFRICA"))
+    lists = serving.metadata_rows(stored_dim(spark, sf), zone_order=("ASIA", "EUROPE", "AFRICA"))
     columns = {
         "zones": ("zone_code", None),
         "estates_by_zone": ("dgp_code", "zone_code"),
@@ -181,10 +211,13 @@ NULL_YEAR = ", ".join(
     f"{CURRENT}" if c == "registration_year" else "NULL" for c in serving.YEAR_COLUMNS
 )
 
-RECOMMEND_ALL = (
-    WITH_MART
-    + f""", chosen AS (SELECT * FROM mart WHERE is_active AND upper(zone_code) = 'AMERICA'
-        AND upper(nature_code) = 'GIRLS'' SCHOOL'),
+GIRLS_SCHOOLS = "upper(zone_code) = 'AMERICA' AND upper(nature_code) = 'GIRLS'' SCHOOL'"
+
+
+def recommend_all_sql(where):
+    return (
+        WITH_MART
+        + f""", chosen AS (SELECT * FROM mart WHERE is_active AND {where}),
     kept AS (
       SELECT *, false AS cur FROM (SELECT *, row_number() OVER (PARTITION BY school_name_clean,
           phase_normalised ORDER BY registration_year DESC) AS rn FROM chosen
@@ -197,31 +230,55 @@ RECOMMEND_ALL = (
           AND c.phase_normalised = k.phase_normalised))
     SELECT * EXCLUDE (pad), CAST(row_number() OVER (PARTITION BY school_name_clean, phase_normalised
       ORDER BY pad, registration_year DESC) - 1 AS INTEGER) AS place FROM padded"""
-)
+    )
 
 
-@query("recommend_all", RECOMMEND_ALL)
+@query("recommend_all", recommend_all_sql(GIRLS_SCHOOLS))
 def recommend_all(spark, sf):
     nested = serving.recommend_all(
-        mart(spark, sf), CURRENT, ordered=False, zone_code="america", nature_code="girls' school"
+        stored_mart(spark, sf), CURRENT, ordered=False, zone_code="america", nature_code="girls' school"
     )
     return serving.recommend_all_rows(nested)
 
 
-@query("nest_all")
-def nest_all(spark, sf):
-    return serving.recommend_all(mart(spark, sf), CURRENT, zone_code="america")
+def year_text(y):
+    """The values of a nested year that tell it apart."""
+    parts = [y[c].cast("string") for c in ("registration_year", "vacancy", "applied", "taken", "is_current_year")]
+    return F.concat_ws(",", *[F.coalesce(p, F.lit("-")) for p in parts])
+
+
+YEAR_TEXT = """concat_ws(',', registration_year, coalesce(vacancy::VARCHAR, '-'), coalesce(applied::VARCHAR, '-'),
+    coalesce(taken::VARCHAR, '-'), is_current_year::VARCHAR)"""
 
 
 @query(
-    "recommend_one",
-    WITH_MART
-    + f""", chosen AS (SELECT * FROM mart WHERE is_active AND upper(zone_code) = 'ASIA'
+    "nest_all",
+    f"""WITH r AS ({recommend_all_sql("upper(zone_code) = 'AMERICA'")}),
+    c AS (SELECT school_name_clean, phase_normalised, string_agg({YEAR_TEXT}, ';' ORDER BY place) AS years FROM r GROUP BY ALL)
+    SELECT school_name_clean, count(*)::INT AS n_categories,
+      string_agg(phase_normalised || ':' || years, '|' ORDER BY phase_normalised) AS categories FROM c GROUP BY 1""",
+)
+def nest_all(spark, sf):
+    """The nested answer, its inner rows and their order written out as text."""
+    nested = serving.recommend_all(stored_mart(spark, sf), CURRENT, zone_code="america")
+    category = lambda c: F.concat(
+        c["category"], F.lit(":"), F.array_join(F.transform(c["years"], year_text), ";")
+    )
+    return nested.select(
+        "school_name_clean", F.size("categories").alias("n_categories"),
+        F.array_join(F.transform("categories", category), "|").alias("categories"),
+    )
+
+
+def recommend_one_sql(balloted):
+    return (
+        WITH_MART
+        + f""", chosen AS (SELECT * FROM mart WHERE is_active AND upper(zone_code) = 'ASIA'
         AND phase_normalised = '2C'),
     latest AS (SELECT * FROM chosen WHERE registration_year < {CURRENT} QUALIFY row_number() OVER (
       PARTITION BY school_name_clean ORDER BY registration_year DESC) = 1),
     history AS (SELECT * FROM chosen WHERE registration_year < {CURRENT}
-      AND school_name_clean IN (SELECT school_name_clean FROM latest WHERE ballot_occurrences_last_3yr > 0)
+      AND school_name_clean IN (SELECT school_name_clean FROM latest WHERE {balloted})
       QUALIFY row_number() OVER (PARTITION BY school_name_clean ORDER BY registration_year DESC) <= 3),
     entries AS (
       SELECT school_name_clean, {YEAR_SQL}, false AS is_current_year FROM history
@@ -235,18 +292,48 @@ def nest_all(spark, sf):
         ORDER BY e.is_current_year, e.registration_year DESC) - 1 AS INTEGER) AS place,
       CAST((SELECT count(*) FROM history h WHERE h.school_name_clean = e.school_name_clean) AS INTEGER)
         AS n_reference_years
-    FROM entries e JOIN latest l ON e.school_name_clean = l.school_name_clean""",
-)
+    FROM entries e JOIN latest l ON e.school_name_clean = l.school_name_clean"""
+    )
+
+
+@query("recommend_one", recommend_one_sql("ballot_occurrences_last_3yr > 0"))
 def recommend_one(spark, sf):
     nested = serving.recommend_one(
-        mart(spark, sf), "2C", CURRENT, has_balloting_3yr=True, ordered=False, zone_code="ASIA"
+        stored_mart(spark, sf), "2C", CURRENT, has_balloting_3yr=True, ordered=False, zone_code="ASIA"
     )
     return serving.recommend_one_rows(nested)
 
 
-@query("nest_one")
+@query(
+    "nest_one",
+    f"""WITH r AS ({recommend_one_sql("true")})
+    SELECT school_name_clean, '2C' AS phase_normalised, max(registration_year) FILTER (WHERE place = 0) AS latest_year,
+      max(vacancy_3yr_avg) AS vacancy_3yr_avg, string_agg({YEAR_TEXT}, ';' ORDER BY place) AS history,
+      string_agg(registration_year::VARCHAR, ',' ORDER BY place) FILTER (WHERE NOT is_current_year) AS reference_years
+    FROM r GROUP BY 1""",
+)
 def nest_one(spark, sf):
-    return serving.recommend_one(mart(spark, sf), "2C", CURRENT, zone_code="Asia")
+    """The nested answer for one phase, given in lower case, its lists written out as text."""
+    nested = serving.recommend_one(stored_mart(spark, sf), "2c", CURRENT, zone_code="Asia")
+    return nested.select(
+        "school_name_clean", "phase_normalised", F.col("latest_year.registration_year").alias("latest_year"),
+        F.col("trend.vacancy_3yr_avg").alias("vacancy_3yr_avg"),
+        F.array_join(F.transform("history", year_text), ";").alias("history"),
+        F.array_join(F.transform("reference_years", lambda y: y.cast("string")), ",").alias("reference_years"),
+    )
+
+
+@query(
+    "projection_seeds",
+    WITH_MART
+    + """SELECT school_name_clean AS school_name, phase_normalised AS phase, registration_year,
+      vacancy AS vacancy_at_open, applied AS final_applied_count, ballot_risk_level FROM mart
+    WHERE registration_year = (SELECT max(registration_year) FROM mart) AND phase_normalised IN ('2B', '2C', '2C(S)')
+      AND is_active AND has_full_figures AND vacancy > 0""",
+)
+def projection_seeds(spark, sf):
+    """Open rows of the latest year, the ones a projection would start from."""
+    return serving.projection_seeds(stored_mart(spark, sf), ("2B", "2C", "2C(S)"))
 
 
 @query(
@@ -260,7 +347,7 @@ def nest_one(spark, sf):
     FROM ranked WHERE row_rank <= 3""",
 )
 def assess_risk(spark, sf):
-    return serving.assess_risk(mart(spark, sf), CURRENT).select(
+    return serving.assess_risk(stored_mart(spark, sf), CURRENT).select(
         "school_name_clean", "phase_normalised", "registration_year", "is_active",
         "subscription_rate", "ballot_risk_level", "row_rank", "risk_explanation",
     )
@@ -281,7 +368,7 @@ def assess_risk(spark, sf):
     FROM latest WHERE registration_year = top_year GROUP BY 1, 2""",
 )
 def text_block(spark, sf):
-    return advisor.ballot_blocks(mart(spark, sf))
+    return advisor.ballot_blocks(stored_mart(spark, sf))
 
 
 @query(
@@ -299,7 +386,7 @@ def text_block(spark, sf):
       || '  Status: ' || coalesce(school_status_description, 'None') AS attribute_text FROM dim""",
 )
 def attribute_block(spark, sf):
-    return advisor.attribute_blocks(dim(spark, sf))
+    return advisor.attribute_blocks(stored_dim(spark, sf))
 
 
 @query(
@@ -314,14 +401,14 @@ def attribute_block(spark, sf):
       || coalesce(chr(10) || '  MRT: ' || mrt_desc, '') AS contact_text FROM dim""",
 )
 def contact_block(spark, sf):
-    return advisor.contact_blocks(dim(spark, sf), general(spark, sf))
+    return advisor.contact_blocks(stored_dim(spark, sf), stored_general(spark, sf))
 
 
 def _predictions(spark, sf):
     """Next year's rate taken as this year's three-year average."""
     rate = F.col("subscription_rate_3yr_avg")
     return (
-        mart(spark, sf)
+        stored_mart(spark, sf)
         .filter(rate.isNotNull())
         .select(
             F.col("school_name_clean").alias("school_name"),
@@ -389,7 +476,7 @@ def snapshots(spark, sf):
 )
 def interim_lookup(spark, sf):
     staged = ballots.stage_snapshots(snapshots(spark, sf))
-    interim = ballots.mart_vacancy_interim(staged, dim(spark, sf))
+    interim = ballots.mart_vacancy_interim(staged, stored_dim(spark, sf))
     return serving.interim_for(interim, CURRENT, zone_code="europe")
 
 
@@ -415,9 +502,9 @@ def interim_lookup(spark, sf):
 def recommend_enriched(spark, sf):
     """Both flags on: predictions and interim counts nested into every phase, then flat."""
     staged = ballots.stage_snapshots(snapshots(spark, sf))
-    interim = ballots.mart_vacancy_interim(staged, dim(spark, sf))
+    interim = ballots.mart_vacancy_interim(staged, stored_dim(spark, sf))
     nested = serving.recommend_all(
-        mart(spark, sf),
+        stored_mart(spark, sf),
         CURRENT,
         predictions=serving.predictions_for(_predictions(spark, sf), CURRENT),
         interim=serving.interim_for(interim, CURRENT, zone_code="europe"),
@@ -437,12 +524,4 @@ def recommend_enriched(spark, sf):
 @query("school_mart_stored", SQL["school_mart"])
 def school_mart_stored(spark, sf):
     """All tables written one after the other, each built from the stored one before."""
-    tables = ballots.build_tables(
-        S.raw_ballots(spark, sf),
-        S.raw_schools(spark, sf),
-        S.seeds(spark, sf),
-        fresh_path(spark, "tables"),
-        S.PIPELINE_AS_OF,
-        S.PIPELINE_RISK,
-    )
-    return tables["mart_school_analysis"].select(*MART_COLUMNS)
+    return stored_mart(spark, sf).select(*MART_COLUMNS)

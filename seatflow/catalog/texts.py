@@ -1,12 +1,13 @@
 """Parsing, page records, chunks and intents."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
 from seatflow.catalog.standins import CELLS, cells, table
 from seatflow.functions import parsing as P
-from seatflow.operators.chunking import chunk
-from seatflow.operators.encoding import embed_hashed
+from seatflow.operators.chunking import OVERLAP, SIZE, chunk
+from seatflow.operators.encoding import DOCUMENT, embed_hashed, embed_with, letter_encoder
 from seatflow.plans.advisor import (
     ATTRIBUTE_WORDS,
     BALLOT_WORDS,
@@ -261,12 +262,57 @@ def chunk_fixed(spark, sf):
     return chunk(docs, "text", "doc_id")
 
 
-@query("chunk_headings")
+@query(
+    "chunk_headings",
+    """SELECT 'doc' || doc_id || '.md' AS source_file, CASE WHEN doc_id % 3 > 0 THEN lang
+         ELSE 'doc' || doc_id END AS topic, 2026 AS policy_year, length(body)::BIGINT AS body_length,
+         0::BIGINT AS too_long, 0::BIGINT AS not_in_text, true AS in_order, true AS all_text
+       FROM (SELECT *, trim('# Title' || chr(10) || chr(10)
+           || replace(text, chr(10), chr(10) || chr(10) || '## Part' || chr(10)),
+           ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM documents)""",
+)
 def chunk_headings(spark, sf):
-    return build_chunks(marked_documents(spark, sf), "policy").drop("content")
+    """Per document what is wrong with its chunks: too long, not of its text, out of order, text lost.
+
+    The chunks of a document, put one behind the other without what they share, are its body.
+    """
+    docs = marked_documents(spark, sf)
+    bodies = split_front_matter(docs).select("source_file", F.col("text").alias("body"))
+    # A document is at most a few hundred chunks long; their places are found one after the other.
+    chunks = build_chunks(docs, "policy").groupBy("source_file", "topic", "policy_year").agg(
+        F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("chunks")
+    )
+
+    def follow(at, chunk):
+        """The place of a chunk behind the one before, and the text up to its end."""
+        content = chunk["content"]
+        # No chunk reaches further back than the overlap.
+        start = F.position(content, F.col("body"), F.greatest(at["start"], at["end"] - OVERLAP))
+        end = start + F.length(content)
+        fresh = F.greatest(start, at["end"])
+        return F.struct(
+            F.greatest(start, at["start"]).alias("start"),
+            F.greatest(end, at["end"]).alias("end"),
+            (at["lost"] + (start == 0).cast("int")).alias("lost"),
+            (at["order"] & (start >= at["start"])).alias("order"),
+            F.concat(at["text"], F.substring("body", fresh, end - fresh)).alias("text"),
+        )
 
+    begin = F.struct(
+        F.lit(1).alias("start"), F.lit(1).alias("end"), F.lit(0).alias("lost"), F.lit(True).alias("order"),
+        F.lit("").alias("text"),
+    )
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    found = chunks.join(bodies, "source_file").withColumn("f", F.aggregate("chunks", begin, follow))
+    return found.select(
+        "source_file", "topic", "policy_year", F.length("body").cast("bigint").alias("body_length"),
+        F.size(F.filter("chunks", lambda c: F.length(c["content"]) > SIZE)).cast("bigint").alias("too_long"),
+        F.col("f.lost").cast("bigint").alias("not_in_text"), F.col("f.order").alias("in_order"),
+        (bare(F.col("f.text")) == bare(F.col("body"))).alias("all_text"),
+    )
 
-def _any(words):
+
+def any_of(words):
     return " OR ".join(f"contains(q, '{w}')" for w in words)
 
 
@@ -274,8 +320,8 @@ def _any(words):
     "intent_flags",
     f"""SELECT conv_id, turn, needs_attributes, needs_general,
       b OR NOT (needs_attributes OR needs_general) AS needs_ballot
-    FROM (SELECT conv_id, turn, {_any(BALLOT_WORDS)} AS b, {_any(ATTRIBUTE_WORDS)} AS needs_attributes,
-      {_any(GENERAL_WORDS)} AS needs_general
+    FROM (SELECT conv_id, turn, {any_of(BALLOT_WORDS)} AS b, {any_of(ATTRIBUTE_WORDS)} AS needs_attributes,
+      {any_of(GENERAL_WORDS)} AS needs_general
       FROM (SELECT *, lower(text) AS q FROM conversations WHERE role = 'user'))""",
 )
 def intent(spark, sf):
@@ -285,7 +331,37 @@ def intent(spark, sf):
     )
 
 
-@query("embed_hashed")
+@query(
+    "embed_hashed",
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+      FROM documents)
+    SELECT doc_id, 256 AS width, len(w) > 0 AS is_unit, len(list_distinct(w)) >= 1 AS in_use,
+      min(doc_id) OVER (PARTITION BY list_sort(w)) AS same_as FROM w""",
+)
 def embed(spark, sf):
+    """Widths and norms, whether no more places are in use than there are words, and which
+    documents got the vector of which first: those that have the same words."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    used = F.size(F.filter("embedding", lambda v: v > 0))
+    same = F.min("doc_id").over(W.partitionBy("vector"))
+    # Vectors are compared by their rounded text: equal words, equal vectors.
+    vector = F.md5(F.array_join(F.transform("embedding", lambda v: F.round(v, 9).cast("string")), " "))
+    return embed_hashed(docs, "text").withColumn("vector", vector).select(
+        "doc_id", F.size("embedding").alias("width"), (F.abs(norm - 1) < 1e-9).alias("is_unit"),
+        ((used >= 1) & (used <= F.size(words))).alias("in_use"), same.alias("same_as"),
+    )
+
+
+LETTERS = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace({0}, chr(c::INT), '')))::DOUBLE)"
+
+
+@query(
+    "embed_letters",
+    f"""SELECT doc_id, {LETTERS.format("t")} AS embedding FROM (SELECT doc_id, lower(text) AS t FROM documents)""",
+)
+def embed_letters(spark, sf):
+    """A plugged-in encoder over all texts, loaded once in each task."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return embed_hashed(docs, "text").drop("text")
+    return embed_with(docs, "text", letter_encoder, DOCUMENT, batch=100).select("doc_id", "embedding")

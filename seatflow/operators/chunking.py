@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +17,7 @@ OVERLAP = 600
 
 # Where a text may be cut, best place first: headings, paragraphs, lines, words.
 # Lookarounds keep the separator with the text that follows it.
-BREAKS = (r"(?<=\n)(?=#{1,6} )", r"(?=\n\n)", r"(?=\n)", r"(?= )")
+BREAKS = [re.compile(p) for p in (r"(?<=\n)(?=#{1,6} )", r"(?=\n\n)", r"(?=\n)", r"(?= )")]
 
 
 def _check(size: int, overlap: int) -> None:
@@ -31,64 +36,63 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     )
 
 
-def _pieces(text: Column, size: int, overlap: int, level: int = 0) -> Column:
-    """Pieces no longer than ``size``, cut at the best break that makes them fit."""
-    if level == len(BREAKS):
-        return fixed_windows(text, size, 0)
-    parts = F.split(text, BREAKS[level])
-    return F.flatten(
-        F.transform(
-            parts,
-            lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(
-                _pieces(p, size, overlap, level + 1)
-            ),
-        )
-    )
+def _pieces(text: str, size: int, level: int = 0) -> Iterator[int]:
+    """Lengths of pieces no longer than ``size``, cut at the best break that makes them fit."""
+    if len(text) <= size:
+        yield len(text)
+    elif level == len(BREAKS):
+        yield from (min(size, len(text) - at) for at in range(0, len(text), size))
+    else:
+        for part in BREAKS[level].split(text):
+            yield from _pieces(part, size, level + 1)
 
 
-def heading_windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of chunks cut at headings, paragraphs, lines or words.
+def pack(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text, in time that grows with its length.
 
-    Pieces are packed until ``size`` is reached; a new chunk starts with the
-    last whole pieces of the one before, as far as they fit into ``overlap``.
-    Pieces lie end to end in the text, so packing works on their lengths alone.
+    Pieces lie end to end in the text, so packing works on their lengths alone. ``near`` holds
+    the starts of the pieces that end a chunk, as far as they fit into ``overlap``.
+    """
+    spans: list[tuple[int, int]] = []
+    near: deque[int] = deque()
+    first = last = 0
+    for length in _pieces(text, size):
+        if last + length - first > size and last > first:
+            spans.append((first, last))
+            room = min(overlap, size - length)
+            while near and near[0] < last - room:
+                near.popleft()
+            first = near[0] if near else last
+        near.append(last)
+        last += length
+        while near and near[0] < last - overlap:
+            near.popleft()
+    spans.append((first, last))
+    return spans
+
+
+def heading_spans(text: Column, size: int, overlap: int) -> Column:
+    """Array of (a, b): where the chunks of a text start and end.
+
+    Chunks are cut at headings, paragraphs, lines or words. Pieces are packed until ``size``
+    is reached; a new chunk starts with the last whole pieces of the one before, as far as
+    they fit into ``overlap``. Each text is read once, in batches of texts.
     """
     _check(size, overlap)
 
-    def pack(acc: Column, length: Column) -> Column:
-        """Add a piece to the open chunk [first, last), or close it first.
-
-        ``near`` holds the starts of the pieces in the last ``overlap`` characters.
-        """
-        first, last, near = acc["first"], acc["last"], acc["near"]
-        closed = (last + length - first > size) & (last > first)
-        room = F.least(F.lit(overlap), F.lit(size) - length)
-        reopened = F.array_min(F.filter(near, lambda s: s >= last - room))
-        return F.struct(
-            F.when(closed, F.concat(acc["done"], F.array(F.struct(first.alias("a"), last.alias("b")))))
-            .otherwise(acc["done"])
-            .alias("done"),
-            F.when(closed, F.coalesce(reopened, last)).otherwise(first).alias("first"),
-            (last + length).alias("last"),
-            F.filter(
-                F.concat(near, F.array(last)), lambda s: s >= last + length - overlap
-            ).alias("near"),
-        )
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if t is None else [{"a": a, "b": b} for a, b in pack(t, size, overlap)] for t in texts],
+            index=texts.index, dtype=object,
+        )
 
-    begin = F.struct(
-        F.array().cast("array<struct<a:int,b:int>>").alias("done"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("last"),
-        F.array().cast("array<int>").alias("near"),
-    )
-    spans = F.aggregate(
-        F.transform(_pieces(text, size, overlap), F.length),
-        begin,
-        pack,
-        lambda acc: F.concat(
-            acc["done"], F.array(F.struct(acc["first"].alias("a"), acc["last"].alias("b")))
-        ),
-    )
+    return run(text)
+
+
+def heading_windows(text: Column, size: int, overlap: int) -> Column:
+    """Array of the chunks between ``heading_spans``, stripped; those of white space are left out."""
+    spans = heading_spans(text, size, overlap)
     chunks = F.transform(spans, lambda c: strip(F.substring(text, c["a"] + 1, c["b"] - c["a"])))
     return F.filter(chunks, lambda c: c != "")
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-# Query vectors are sent to the tasks only up to this many; above it both sides
-# are cut into blocks and shuffled instead.
-MAX_SHIPPED = 4_000
 BLOCK_ROWS = 20_000
 QUERY_SLICE = 256
 DIGITS = 6
@@ -30,14 +30,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _unit(vectors: Sequence) -> np.ndarray:
-    rows = list(vectors)
-    if len({len(v) for v in rows}) != 1:
-        raise ValueError("vectors differ in width")
-    m = np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), -1)
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     norms[norms == 0] = np.nan
-    return m / norms
+    return vectors / norms
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one width as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    widths = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(widths) != 1:
+        raise ValueError("vectors differ in width")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), int(widths[0]))
 
 
 def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -47,13 +54,13 @@ def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _nearest(
-    query_ids: np.ndarray, query_units: np.ndarray, corpus: pd.DataFrame, k: int
+    query_ids: np.ndarray, query_units: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> pd.DataFrame:
     """The ``k`` nearest corpus rows of every query, within one block.
 
     All rows as near as the k-th are looked at, so ties are cut by id alone.
     """
-    ids, units = corpus["id"].to_numpy(), _unit(corpus["embedding"]).T
+    units = _unit(vectors).T
     frames = []
     for start in range(0, len(query_ids), QUERY_SLICE):
         part = slice(start, start + QUERY_SLICE)
@@ -68,52 +75,58 @@ def _nearest(
     return pd.concat(frames, ignore_index=True)
 
 
+def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_pandas().to_numpy()
+
+
 def _scan(
-    query_ids: np.ndarray, query_units: np.ndarray, k: int
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    query_ids: np.ndarray, query_units: np.ndarray, k: int, schema: pa.Schema
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task function: one pass over a partition, keeping ``k`` rows per query."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pd.DataFrame | None = None
         for batch in batches:
-            if len(batch) and len(query_ids):
-                found = _nearest(query_ids, query_units, batch, k)
+            if batch.num_rows and len(query_ids):
+                found = _nearest(query_ids, query_units, _values(batch.column(0)), _matrix(batch.column(1)), k)
                 kept = found if kept is None else _first(pd.concat([kept, found]), k)
         if kept is not None:
-            yield kept
+            yield pa.RecordBatch.from_pandas(kept, schema, preserve_index=False)
 
     return run
 
 
-def _by_blocks(
-    corpus: DataFrame, queries: DataFrame, k: int, schema: str, block_rows: int
-) -> DataFrame:
-    """Every corpus block meets every query block once.
-
-    Both sides are hashed into blocks of about ``block_rows`` rows and repeated
-    once per block of the other side, so no task holds more than two blocks.
-    """
-    corpus_blocks = max(1, math.ceil(corpus.count() / block_rows))
-    query_blocks = max(1, math.ceil(queries.count() / block_rows))
-    left = corpus.select(
-        F.pmod(F.xxhash64("id"), F.lit(corpus_blocks)).cast("int").alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
-        "id",
-        "embedding",
-    )
-    right = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("cb"),
-        "query_id",
-        "embedding",
+def _sides(corpus: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return corpus.filter(F.col(vector).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("embedding")
     )
 
-    def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], "id": c["id"][:0], "distance": []})
-        return _nearest(q["query_id"].to_numpy(), _unit(q["embedding"]), c, k)
 
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(meet, schema)
+def _arrow(query_id: pa.DataType, id_: pa.DataType) -> pa.Schema:
+    return pa.schema([("query_id", query_id), ("id", id_), ("distance", pa.float64())])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    window = W.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+
+
+def nearest_to(
+    corpus: DataFrame, vectors: Mapping, k: int, id_col: str, vector: str = "embedding"
+) -> DataFrame:
+    """``query_id, id, distance, rank`` for query vectors that the caller holds in memory.
+
+    This is the way of a single request: its vectors go to the tasks with the code, and each
+    task makes one pass over its part of the corpus, keeping k rows per query.
+    """
+    base = _sides(corpus, id_col, vector)
+    ids = np.array(list(vectors))
+    units = _unit(np.array([list(v) for v in vectors.values()], np.float64)) if len(ids) else np.empty((0, 0))
+    kind = "string" if ids.dtype.kind in "UO" else "long"
+    id_kind = base.schema["id"].dataType.simpleString()
+    schema = _arrow(pa.string() if kind == "string" else pa.int64(), to_arrow_type(base.schema["id"].dataType))
+    found = base.mapInArrow(_scan(ids, units, k, schema), f"query_id {kind}, id {id_kind}, distance double")
+    return _ranked(found, k)
 
 
 def top_k(
@@ -124,52 +137,58 @@ def top_k(
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "embedding",
-    max_shipped: int = MAX_SHIPPED,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_id, id, distance, rank``: the ``k`` nearest rows of every query, exactly.
 
-    Filter ``corpus`` first for a metadata condition. A task keeps only ``k``
-    rows per query, so what is shuffled afterwards is small. The query vectors
-    are sent to the tasks if there are no more than ``max_shipped``, which takes
-    one look at that many rows; otherwise both sides meet in blocks.
+    Filter ``corpus`` first for a metadata condition. Both sides are hashed into blocks of
+    about ``block_rows`` rows, and every corpus block meets every query block in one task,
+    which keeps k rows per query. The plan is lazy: the number of blocks is a subquery, which
+    a stored table answers from its footers. Nothing depends on the size but that number.
     """
-    base = corpus.filter(F.col(vector).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("embedding")
-    )
+    base = _sides(corpus, id_col, vector)
     asked = queries.filter(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("query_id"),
         F.col(query_vector).cast("array<double>").alias("embedding"),
     )
-    schema = (
-        f"query_id {asked.schema['query_id'].dataType.simpleString()}, "
-        f"id {base.schema['id'].dataType.simpleString()}, distance double"
+
+    def blocks(df: DataFrame) -> Column:
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
+
+    def every(n: Column, alias: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1)).alias(alias)
+
+    of_corpus, of_queries = blocks(base), blocks(asked)
+    left = base.withColumn("cb", F.pmod(F.xxhash64("id"), of_corpus).cast("int"))
+    left = left.select("cb", every(of_queries, "qb"), "id", "embedding")
+    right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), of_queries).cast("int"))
+    right = right.select("qb", every(of_corpus, "cb"), "query_id", "embedding")
+    kinds = asked.schema["query_id"].dataType, base.schema["id"].dataType
+    schema = _arrow(*map(to_arrow_type, kinds))
+
+    def meet(c: pa.Table, q: pa.Table) -> pa.Table:
+        if not c.num_rows or not q.num_rows:
+            return schema.empty_table()
+        units = _unit(_matrix(q["embedding"]))
+        found = _nearest(_values(q["query_id"]), units, _values(c["id"]), _matrix(c["embedding"]), k)
+        return pa.Table.from_pandas(found, schema, preserve_index=False)
+
+    found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(
+        meet, f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, distance double"
     )
-    head = asked.limit(max_shipped + 1).collect()
-    shipped = len(head) <= max_shipped
-    if shipped:
-        ids = np.array([r["query_id"] for r in head])
-        units = _unit([r["embedding"] for r in head]) if head else np.empty((0, 0))
-        found = base.mapInPandas(_scan(ids, units, k), schema)
-    else:
-        found = _by_blocks(base, asked, k, schema, block_rows)
-    window = W.partitionBy("query_id").orderBy("distance", "id")
-    best = found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    # Counted queries give a known number of rows; if small, a later join need not
-    # shuffle the corpus for them.
-    return F.broadcast(best) if shipped and len(head) * k <= 10 * MAX_SHIPPED else best
+    return _ranked(found, k)
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """Mean vector per key; values are averaged before the shuffle."""
-    return (
-        df.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "v"))
-        .groupBy(key, "pos")
-        .agg(F.avg("v").alias("v"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("parts"))
-        .select(key, F.transform("parts", lambda p: p["v"]).alias(vector))
-    )
+    """Mean vector per key; one vector per key and task is shuffled."""
+    rows = df.filter(F.col(vector).isNotNull())
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return rows.groupBy(key).agg(mean.alias("_mean")).select(key, vector_to_array("_mean").alias(vector))
+
+
+def is_out_of_scope(distance: Column, has_entity: Column, limit: float = OUT_OF_SCOPE) -> Column:
+    """Nothing near was found and no entity is named."""
+    return (distance > limit) & ~has_entity
 
 
 def scope_gate(
@@ -185,7 +204,7 @@ def scope_gate(
     return (
         asked.join(best, "query_id", "left")
         .select("query_id", F.coalesce("_best", F.lit(1.0)).alias("best_distance"), "_has_entity")
-        .withColumn("out_of_scope", (F.col("best_distance") > limit) & ~F.col("_has_entity"))
+        .withColumn("out_of_scope", is_out_of_scope(F.col("best_distance"), F.col("_has_entity"), limit))
         .drop("_has_entity")
     )
 

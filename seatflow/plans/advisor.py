@@ -11,12 +11,12 @@ from seatflow.functions.cleaning import canonical
 from seatflow.functions.metrics import mask_not_open
 from seatflow.operators.nesting import text_block
 from seatflow.operators.ranking import keep_latest, top_rank
-from seatflow.operators.vectors import OUT_OF_SCOPE, scope_gate, top_k
+from seatflow.operators.vectors import OUT_OF_SCOPE, is_out_of_scope, top_k
 
 TOP_K = 3
 SEPARATOR = "\n\n---\n\n"
 
-# Words that tell which data a question needs.
+# Fixed values, here and in the block templates below: words that tell which data a question needs.
 BALLOT_WORDS = (
     "ballot", "risk", "vacancy", "vacancies", "applied", "taken", "subscription",
     "oversubscribed", "phase", "competition", "competitive", "popular", "chance", "probability",
@@ -134,9 +134,20 @@ def contact_blocks(dim: DataFrame, general: DataFrame) -> DataFrame:
 
 
 def policy_context(
-    questions: DataFrame, chunks: DataFrame, question_id: str, k: int = TOP_K
+    questions: DataFrame,
+    chunks: DataFrame,
+    question_id: str,
+    k: int = TOP_K,
+    domain: str | None = None,
 ) -> DataFrame:
-    """Per question the ``k`` nearest chunks as one text, their sources and the best distance."""
+    """Per question the ``k`` nearest chunks as one text, their sources and the best distance.
+
+    ``domain`` limits the search to the chunks of one domain. ``chunks`` should be a stored
+    table, as ``build_chunk_table`` leaves it: it is read once for the vectors and once for
+    the texts of what was found.
+    """
+    if domain is not None:
+        chunks = chunks.filter(F.col("domain") == domain)
     hits = top_k(chunks, questions, k, id_col="doc_id", query_id=question_id)
     detailed = hits.join(
         chunks.select(
@@ -189,6 +200,7 @@ def retrieve_context(
     schools: str = "school_names",
     k: int = TOP_K,
     limit: float = OUT_OF_SCOPE,
+    domain: str | None = None,
 ) -> DataFrame:
     """Everything an answer needs, one row per question.
 
@@ -196,10 +208,15 @@ def retrieve_context(
     question without schools and without a near chunk is out of scope. The
     ballot block comes with every named school, the other two by intent.
     """
-    policy = policy_context(questions, chunks, question_id, k)
+    policy = policy_context(questions, chunks, question_id, k, domain)
     named = F.size(F.coalesce(schools, F.array().cast("array<string>"))) > 0
-    hits = policy.select("query_id", F.col("best_distance").alias("distance"))
-    gate = scope_gate(questions, hits, question_id, named, limit)
+    gated = (
+        questions.select(F.col(question_id).alias("query_id"), named.alias("_named"))
+        .join(policy, "query_id", "left")
+        .withColumn("best_distance", F.coalesce("best_distance", F.lit(1.0)))
+        .withColumn("out_of_scope", is_out_of_scope(F.col("best_distance"), F.col("_named"), limit))
+        .drop("_named")
+    )
     asked = (
         intent_flags(questions, question)
         .select(
@@ -236,9 +253,7 @@ def retrieve_context(
             F.lit(""),
         ).alias("school_context")
     )
-    out = gate.join(policy.drop("best_distance"), "query_id", "left").join(
-        context, "query_id", "left"
-    )
+    out = gated.join(context, "query_id", "left")
     keep = ~F.col("out_of_scope")
     return out.select(
         "query_id",

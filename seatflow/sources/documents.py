@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.functions.cleaning import strip
 from seatflow.operators.chunking import OVERLAP, SIZE, chunk
+from seatflow.schemas import KNOWLEDGE_CHUNKS
+from seatflow.sources.tables import overwrite_table
 
 SKIP = ("document_template.md", "copy")
 FRONT_FIELDS = ("topic", "source_url", "policy_year", "canonical_source")
@@ -115,3 +118,22 @@ def build_chunks(
         "chunk_index",
         "content",
     )
+
+
+def build_chunk_table(
+    domains: Mapping[str, DataFrame],
+    encode: Callable[[DataFrame], DataFrame],
+    path: str,
+    size: int = SIZE,
+    overlap: int = OVERLAP,
+    headings: bool = True,
+) -> DataFrame:
+    """Split, embed and store the documents of each domain; the table at ``path`` is replaced.
+
+    ``encode`` adds the column ``embedding`` to a frame with the column ``content``. Returns
+    the stored table in the layout of ``KNOWLEDGE_CHUNKS``; each document is split once.
+    """
+    parts = [build_chunks(df, domain, size, overlap, headings) for domain, df in domains.items()]
+    chunks = encode(reduce(DataFrame.unionByName, parts))
+    overwrite_table(chunks.select(*KNOWLEDGE_CHUNKS.fieldNames()), path)
+    return chunks.sparkSession.read.schema(KNOWLEDGE_CHUNKS).parquet(path)
