@@ -1,16 +1,17 @@
 """Similarity self-join on shingle sets by T-occurrence search over inverted lists.
 
 Two sets whose Jaccard similarity reaches the threshold have T shingles in common, T following
-from their sizes. Texts with equal sets are collapsed first. In an order of shingles that all
-texts share, rarest first, two similar sets have a shingle in common among the first few of
-each, so the texts that hold a shingle there form a unit in which all their partners for that
-shingle are found. Units that share members are searched together, as far as a task can.
+from their sizes, and so differ in no more than a known number of shingles. Texts with equal
+sets are one. To bring similar texts together, the range of hashes is cut into more blocks
+than they can differ in: at least one block then holds the same shingles in both, so texts
+that have an equal block form a unit, and texts that share no block are never compared.
+Units that hang together by their members are searched together, as far as a task can.
 
 In a unit the texts are indexed by inverted lists. For a text the long lists of its shingles
 are put aside, the short ones are merged, counting how often each other text occurs; those
 that occur often enough are probed in the long lists (DivideSkip); those that reach the
 overlap are linked. Pairs known to be connected are skipped, and a unit gives only the edges
-of a spanning forest, never all pairs. A unit too big for one task is split into blocks that
+of a spanning forest, never all pairs. A unit too big for one task is split into parts that
 meet two at a time, so nothing is capped.
 """
 
@@ -30,17 +31,21 @@ from seatflow.llm.shingles import WIDTH, mix, shingle_sets
 
 #: Least similarity, in percent.
 PERCENT = 90
-#: Counters from which the order of shingles is estimated. Any order is right; the estimate
-#: only keeps frequent shingles out of the first ones. 4 MB, whatever the corpus.
-CELLS = 1 << 22
-CELL_ROWS = 64
-#: Shingles of a block of a unit, about: 8 MB.
+#: Sizes of sets that are cut into the same blocks differ by this factor at most.
+SIZE_STEP = 1.5
+#: Blocks beyond those that are needed, and so empty blocks that a set may have without
+#: having to say so.
+SPARE = 2
+#: Bits of the map by which block hashes that occur once are left out before a join. 4 MB,
+#: whatever the corpus; a full map leaves out nothing and changes no result.
+MAP_BITS = 1 << 25
+#: Shingles of a part of a unit, about: 8 MB.
 BLOCK_SHINGLES = 1 << 20
 #: Weight of the long lists' length in DivideSkip's choice of how many to put aside.
 MU = 0.0085
 
 KEYS = ["a", "b"]
-_A, _B = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7)
+_A, _B, _C = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def overlap(nx, ny, percent: int = PERCENT):
@@ -54,99 +59,93 @@ def _set_key(found: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def size_bounds(upto: int) -> list[int]:
+    """First sizes of the classes, up to one beyond ``upto``."""
+    bounds = [1]
+    while bounds[-1] <= upto:
+        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * SIZE_STEP)))
+    return bounds
 
 
-def _cell(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
+def block_hashes(found: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the blocks of a sorted set, one of which any similar but different set shares.
 
-
-def _count(width: int):
-    """Sizes and keys of the sets of all texts, and at the end how often each cell was met."""
-    names = ["doc_id", "n", "a", "b", "cells", "counts"]
+    The class of the larger of two similar sets fixes the cut, so a set is cut for its own
+    class and for those that a larger partner can be in. With d differences and d + 1 + SPARE
+    blocks, 1 + SPARE blocks or more are equal. Empty ones are told only by sets that have
+    more than SPARE of them; of two sets, one of which has fewer, an equal block is not empty.
+    """
+    n = len(found)
+    bounds = size_bounds(100 * n // percent)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found ^ _C), dtype=np.uint64)])
+    high = found >> np.uint64(32)
+    out = []
+    for k in range(len(bounds) - 1):
+        if bounds[k + 1] <= n:
+            continue
+        differ = 2 * (bounds[k + 1] - 1) * (100 - percent) // (100 + percent)
+        if not differ:
+            continue  # only equal sets are similar
+        blocks = differ + 1 + SPARE
+        ends = np.searchsorted((high * np.uint64(blocks)) >> np.uint64(32), np.arange(1, blocks, dtype=np.uint64))
+        ends = np.concatenate([[0], ends, [n]])
+        names = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 40))
+        hashes = mix(sums[ends[1:]] - sums[ends[:-1]] + names)
+        filled = ends[1:] > ends[:-1]
+        out.append(hashes if blocks - np.count_nonzero(filled) > SPARE else hashes[filled])
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _keyed(width: int, percent: int):
+    """Size, key and block hashes of the set of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             n, a, b = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            met, held = [], 0
+            lists = [np.zeros(0, np.int64)] * batch.num_rows
             for text, found in shingle_sets(*text_bytes(batch.column(1)), width):
                 n[text] = len(found)
                 a[text], b[text] = _set_key(found)
-                met.append(_cell(found))
-                held += len(found)
-                if held > 1 << 20:
-                    cells += np.bincount(np.concatenate(met), minlength=CELLS)
-                    met, held = [], 0
-            if met:
-                cells += np.bincount(np.concatenate(met), minlength=CELLS)
-            nothing = pa.nulls(batch.num_rows)
+                lists[text] = block_hashes(found, percent)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (n, a, b)), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names
+                [batch.column(0), *map(pa.array, (n, a, b)), hashes], ["doc_id", "n", "a", "b", "blocks"]
             )
-        rows = [x.tobytes() for x in np.minimum(cells, 255).astype(np.uint8).reshape(CELL_ROWS, -1)]
-        none = pa.nulls(CELL_ROWS, pa.int64())
-        kind = pa.nulls(CELL_ROWS, batch.column(0).type) if cells.any() else None
-        if kind is not None:
-            place = pa.array(range(CELL_ROWS), pa.int32())
-            yield pa.RecordBatch.from_arrays([kind, none, none, none, place, pa.array(rows, pa.binary())], names)
 
     return run
 
 
-def _classes(counted: DataFrame) -> np.ndarray:
-    """For each cell a class of 0 to 63 that rises with the logarithm of its count."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(CELLS // CELL_ROWS, np.int64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint8)
-        rank = np.minimum(63, 2 * np.log2(total + 1)).astype(np.uint8)
-        return pa.table({"cells": table.column("cells")[:1], "rank": pa.array([rank.tobytes()], pa.binary())})
-
-    rows = counted.where("counts is not null").select("cells", "counts")
-    rows = rows.groupBy("cells").applyInArrow(add, "cells int, rank binary").collect()
-    out = np.zeros((CELL_ROWS, CELLS // CELL_ROWS), np.uint8)
-    for row in rows:
-        out[row["cells"]] = np.frombuffer(bytes(row["rank"]), np.uint8)
-    return out.reshape(-1)
+def _hash_map(units: DataFrame) -> np.ndarray:
+    """Bits that are set for the units' hashes. At most MAP_BITS / 64 words come to the driver."""
+    bit = F.col("unit").bitwiseAND(F.lit(MAP_BITS - 1))
+    word = F.expr("shiftleft(1L, int(bit & 63))")
+    rows = units.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("place"), word.alias("word"))
+    rows = rows.groupBy("place").agg(F.bit_or("word").alias("word")).toPandas()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[rows["place"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
+    return out
 
 
-def _ordered(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The set in the common order, rarest first; the numbers name the shingles as well."""
-    rank = classes[_cell(found)].astype(np.uint64)
-    return np.sort((rank << np.uint64(57)) | (found >> np.uint64(7)))
-
-
-def _firsts(width: int, classes: np.ndarray, percent: int):
-    """The first shingles of each set: any similar set has one of them among its own."""
+def _in_map(known: np.ndarray):
+    """Keep the block hashes whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n, a, b, lists = [], [], [], [], []
-            for text, found in shingle_sets(*text_bytes(batch.column(1)), width):
-                size = len(found)
-                key = _set_key(found)
-                first = _ordered(found, classes)[: size - -(-percent * size // 100) + 1]
-                at.append(text)
-                n.append(size)
-                a.append(key[0])
-                b.append(key[1])
-                lists.append(_signed(first))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(at, pa.int64())),
-                *(pa.array(x, pa.int64()) for x in (n, a, b)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-            ], ["doc_id", "n", "a", "b", "firsts"])
+            lists = batch.column(3)
+            hashes = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(lists.offsets.to_numpy())
+            bit = hashes & (MAP_BITS - 1)
+            keep = (known[bit >> 6] >> (bit & 63)) & 1 == 1
+            row = np.repeat(np.arange(batch.num_rows), sizes)[keep]
+            taken = [batch.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(hashes[keep])], ["n", "a", "b", "unit"])
 
     return run
 
 
-def _sets(width: int, classes: np.ndarray):
-    """Whole sets in the common order, as bytes."""
+def _sets(width: int):
+    """Whole sets as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +154,7 @@ def _sets(width: int, classes: np.ndarray):
                 key = _set_key(found)
                 a.append(key[0])
                 b.append(key[1])
-                sets.append(_ordered(found, classes).tobytes())
+                sets.append(found.tobytes())
                 if len(sets) >= 512:
                     yield _set_batch(a, b, sets)
                     a, b, sets = [], [], []
@@ -291,11 +290,12 @@ def _dealt(members: DataFrame) -> DataFrame:
     """What a task has to search at a time: unit, left, right, block, n and key of each member.
 
     Units that hang together by their members become one, so that a set is sent once, unless
-    the whole would be too big for a task. Then each unit stays by itself, split into blocks
-    if it has to be, and a member goes to all pairs of blocks that its own block is one of.
+    the whole would be too big for a task. Then each unit stays by itself (of equal units only
+    one), split into parts if it has to be, and a member goes to all pairs of parts that its
+    own part is one of.
     """
     first = members.groupBy("unit").agg(F.min("node").alias("v"))
-    edges = members.join(first, "unit").select(F.col("node").alias("u"), "v")
+    edges = members.join(first, "unit").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
     roots = component_roots(edges).withColumnRenamed("root", "whole")
     members = members.join(roots, "node", "left").withColumn("whole", F.coalesce("whole", "node"))
     sets = members.select("whole", "node", "n").distinct()
@@ -305,14 +305,18 @@ def _dealt(members: DataFrame) -> DataFrame:
         F.xxhash64("whole").alias("unit"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("block"),
         "n", "node.*",
     )
-    big = members.join(sizes.where(~fits).select("whole"), "whole").select("unit", "n", "node.*")
-    blocks = big.groupBy("unit").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    big = big.join(blocks, "unit").withColumn("block", F.pmod(F.xxhash64(*KEYS), "blocks").cast("int"))
-    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    big = members.join(sizes.where(~fits).select("whole"), "whole").select("unit", "n", "node")
+    units = big.groupBy("unit").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.sum("n").alias("shingles")
+    )
+    units = units.where("size > 1").groupBy("size", "nodes", "shingles").agg(F.min("unit").alias("unit"))
+    parts = units.select("unit", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    big = big.join(parts, "unit").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return whole.unionByName(
         big.select(
             "unit", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-            "block", "n", *KEYS,
+            "block", "n", "node.*",
         )
     )
 
@@ -329,36 +333,28 @@ def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH
     """
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.mapInArrow(
-        _count(width), f"doc_id {kind}, n long, a long, b long, cells int, counts binary"
+    rows = docs.mapInArrow(
+        _keyed(width, percent), f"doc_id {kind}, n long, a long, b long, blocks array<long>"
     )
-    counted = stored(counted, "join-counts")
-    rows = counted.where("counts is null").select("doc_id", "n", *KEYS)
-    classes = _classes(counted)
-
-    # One row per distinct set, with its first shingles.
-    firsts = docs.mapInArrow(_firsts(width, classes, percent), f"doc_id {kind}, n long, a long, b long, firsts array<long>")
-    sets = firsts.groupBy("n", *KEYS).agg(F.min("doc_id").alias("doc_id"), F.first("firsts").alias("firsts"))
-    sets = stored(sets, "join-sets")
-    postings = sets.select(F.explode("firsts").alias("unit"), "n", *KEYS)
-
-    # A unit per shingle that stands first in several sets; of equal units only one.
-    units = postings.groupBy("unit").agg(
-        F.count("*").alias("size"), F.bit_xor(F.xxhash64(*KEYS)).alias("members"), F.sum("n").alias("shingles"),
-        F.min("n").alias("low"), F.max("n").alias("high"),
-    )
-    apart = (F.col("size") == 2) & (100 * F.col("low") < percent * F.col("high"))
-    units = units.where((F.col("size") > 1) & ~apart).groupBy("size", "members", "shingles").agg(F.min("unit").alias("unit"))
-    units = stored(units.select("unit"), "join-units")
-    members = stored(postings.join(units, "unit").select("unit", "n", _node().alias("node")), "join-members")
-    dealt = stored(_dealt(members), "join-dealt")
+    rows = stored(rows, "join-keys")
+    least = rows.where("n > 0").groupBy(*KEYS).agg(F.min("doc_id").alias("least"))
+    least = stored(least, "join-sets")
+
+    # A unit per block that different sets share. Equal sets count once, however many copies
+    # there are, and counting needs no more than the smallest and the largest key.
+    blocks = rows.select(F.explode("blocks").alias("unit"), "a")
+    units = blocks.groupBy("unit").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    units = stored(units.where("low <> high").select("unit"), "join-units")
+    shared = rows.select("n", *KEYS, "blocks").mapInArrow(_in_map(_hash_map(units)), "n long, a long, b long, unit long")
+    members = shared.distinct().join(units, "unit").select("unit", "n", _node().alias("node"))
+    dealt = stored(_dealt(stored(members, "join-members")), "join-dealt")
 
     # Whole sets of the members only. A set's text is found by id; its key tells it from
     # other texts under the same id.
-    wanted = dealt.select(*KEYS).distinct().join(sets.select("doc_id", *KEYS), KEYS)
-    ids = stored(wanted.select(F.col("doc_id").alias("id")).distinct(), "join-ids")
+    wanted = dealt.select(*KEYS).distinct().join(least, KEYS)
+    ids = stored(wanted.select(F.col("least").alias("id")).distinct(), "join-ids")
     whole = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(
-        _sets(width, classes), "a long, b long, shingles binary"
+        _sets(width), "a long, b long, shingles binary"
     )
     whole = stored(whole, "join-whole").dropDuplicates(KEYS)
     ready = dealt.join(whole, KEYS).select("unit", "left", "right", *KEYS, "block", "shingles", "n")
@@ -368,12 +364,11 @@ def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH
     roots = component_roots(edges)
 
     # The smallest id of each component, and from there to the rows.
-    least = rows.where("n > 0").groupBy(*KEYS).agg(F.min("doc_id").alias("least"))
-    least = least.select(F.struct(*KEYS).alias("node"), "least").join(roots, "node", "left")
+    least = least.select(_node().alias("node"), "least").join(roots, "node", "left")
     least = least.withColumn("root", F.coalesce("root", "node"))
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(names, "root").select("node.a", "node.b", "component_id")
-    found = rows.join(named, KEYS, "left")
+    found = rows.drop("blocks").join(named, KEYS, "left")
     return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

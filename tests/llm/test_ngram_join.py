@@ -6,7 +6,7 @@ import pytest
 
 from seatflow.llm import ngram_join
 from seatflow.llm.components import component_roots
-from seatflow.llm.ngram_join import Index, forest, overlap
+from seatflow.llm.ngram_join import Index, block_hashes, forest, overlap
 from seatflow.llm.shingles import shingle_sets
 
 
@@ -102,6 +102,24 @@ def test_search_finds_all_partners(seed):
     assert len(edges) <= len(sets) - 1
 
 
+@pytest.mark.parametrize("percent", [80, 90, 95])
+def test_similar_sets_share_a_block(percent):
+    """Also small sets, and sets on both sides of a bound between size classes."""
+    rng = np.random.default_rng(percent)
+    tried = 0
+    for _ in range(3000):
+        n = int(rng.choice([*range(2, 30), 40, 60, 100, 200, 333]))
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        other = base[rng.random(len(base)) > rng.choice([0.02, 0.05, 0.1])]
+        other = np.unique(np.concatenate([other, rng.integers(0, 2**64, rng.integers(0, 2 + n // 12), dtype=np.uint64)]))
+        common = len(np.intersect1d(base, other))
+        if len(other) and not np.array_equal(base, other):
+            if 100 * common >= percent * (len(base) + len(other) - common):
+                tried += 1
+                assert set(block_hashes(base, percent)) & set(block_hashes(other, percent))
+    assert tried > 150
+
+
 def test_overlap_is_the_threshold():
     for nx in range(1, 40):
         for ny in range(nx, 45):
