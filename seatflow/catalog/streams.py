@@ -1,7 +1,5 @@
 """Streams over the events, run to the end of the input, and the fill projection."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from seatflow.catalog import schools
@@ -18,15 +16,23 @@ catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
 
 EVENT = struct(
-    "user_id bigint, event_type string, day string, at string, event_id bigint, value double"
+    "user_id bigint not null, event_type string not null, day string not null, at string not null,"
+    "event_id bigint not null, value double"
 )
 ORDER = ["at", "event_id"]
 SLOT = ["user_id", "event_type", "day"]
 
 
+PARTS = ("day(ts) <= 10", "day(ts) BETWEEN 11 AND 20", "day(ts) > 20")
+BAD = """SELECT '{"event_id":' || event_id AS value, 'malformed' AS problem FROM events WHERE event_id % 50 = 0
+    UNION ALL SELECT '{"event_id":' || event_id || '}', 'no user_id' FROM events WHERE event_id % 50 = 1"""
+
+
 def _arrive(spark, sf, path, condition):
-    """Events that meet the condition as JSON lines in the inbox at ``path``."""
-    rows = table(spark, sf, "events").filter(condition).select(
+    """Events that meet the condition as JSON lines in the inbox at ``path``, and among them
+    lines that are cut off or lack required fields. Two files, so more than one micro-batch."""
+    events = table(spark, sf, "events").filter(condition)
+    rows = events.select(
         "user_id",
         "event_type",
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
@@ -34,16 +40,19 @@ def _arrive(spark, sf, path, condition):
         "event_id",
         "value",
     )
-    E.encode_events(rows, ["user_id", "event_type"]).select("value").write.mode("append").text(path)
+    start = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"))
+    end = F.when(F.col("event_id") % 50 == 0, "").when(F.col("event_id") % 50 == 1, "}")
+    bad = events.select(F.concat(start, end).alias("value")).filter("value is not null")
+    lines = E.encode_events(rows, ["user_id", "event_type"]).select("value").unionByName(bad)
+    lines.repartition(2).write.mode("append").text(path)
 
 
-def _in_two_parts(spark, sf, start):
-    """Run a stream to the end, twice from one checkpoint: views and clicks come first."""
+def _in_parts(spark, sf, start):
+    """Run a stream to the end, three times from one checkpoint: the events come by time."""
     inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
-    early = F.col("event_type").isin("view", "click")
-    for condition in (early, ~early):
-        _arrive(spark, sf, inbox, condition)
-        run = start(E.read_events(spark, inbox, EVENT), out, mark)
+    for part in PARTS:
+        _arrive(spark, sf, inbox, part)
+        run = start(E.read_lines(spark, inbox, max_files=1), out, mark)
         run.awaitTermination()
         if run.exception():
             raise run.exception()
@@ -56,17 +65,27 @@ ALL = """SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day,
 
 @query("stream_parse", ALL)
 def stream_parse(spark, sf):
-    """Typed events out of JSON text, by the same function for tables and streams."""
-    inbox = fresh_path(spark, "inbox")
-    _arrive(spark, sf, inbox, F.lit(True))
-    return E.parse_events(spark.read.text(inbox), EVENT)
+    """Typed events out of a stream of JSON lines, held in memory by no one: a table takes them."""
+    out = _in_parts(spark, sf, lambda lines, out, mark: E.run_append(E.parse_events(lines, EVENT), out, mark))
+    return spark.read.schema(EVENT).parquet(out)
+
+
+@query("stream_rejects", BAD)
+def stream_rejects(spark, sf):
+    """The lines that are no valid events, with the reason, in a table of their own."""
+    out = _in_parts(spark, sf, lambda lines, out, mark: E.run_append(E.rejected_events(lines, EVENT), out, mark))
+    return spark.read.schema("value string, problem string").parquet(out)
 
 
 @query("stream_append", ALL)
 def stream_append(spark, sf):
-    """Every event exactly once although the stream stopped and started again."""
-    out = _in_two_parts(spark, sf, E.run_append)
-    return spark.read.schema(EVENT).parquet(out)
+    """Every event exactly once although the stream stopped and started again, even for nothing."""
+
+    def twice(lines, out, mark):
+        E.run_append(E.parse_events(lines, EVENT), out, mark).awaitTermination()
+        return E.run_append(E.parse_events(lines, EVENT), out, mark)
+
+    return spark.read.schema(EVENT).parquet(_in_parts(spark, sf, twice))
 
 
 def _latest(keys):
@@ -74,28 +93,33 @@ def _latest(keys):
         ORDER BY "at" DESC, event_id DESC) = 1"""
 
 
-def _kept(spark, sf, run, keys):
-    out = _in_two_parts(spark, sf, partial(run, keys=keys, order=ORDER))
-    return out, St.read_latest(spark, out, EVENT, keys, ORDER)
+def _kept(spark, sf, run, keys, **more):
+    def start(lines, out, mark):
+        return run(E.parse_events(lines, EVENT), out, mark, keys=keys, order=ORDER, **more)
+
+    return St.read_latest(spark, _in_parts(spark, sf, start), EVENT)
+
+
+# The events of a part come in no order, so the state has to outlast a part.
+IN_STATE = {"time": "at", "delay": "11 days"}
 
 
 @query("stream_dedupe", _latest(SLOT))
 def stream_dedupe(spark, sf):
     """Latest record per slot out of the state store."""
-    return _kept(spark, sf, St.run_state, SLOT)[1]
+    return _kept(spark, sf, St.run_state, SLOT, **IN_STATE)
 
 
 @query("stream_latest", _latest(["user_id"]))
 def stream_latest(spark, sf):
-    return _kept(spark, sf, St.run_state, ["user_id"])[1]
+    """Latest record per user: the state keeps some days, the table all users."""
+    return _kept(spark, sf, St.run_state, ["user_id"], **IN_STATE)
 
 
 @query("stream_upsert", _latest(["user_id"]))
 def stream_upsert(spark, sf):
-    """Micro-batches merged into a table, which is compacted at the end."""
-    out, _ = _kept(spark, sf, St.run_upsert, ["user_id"])
-    St.compact(spark, out, EVENT, ["user_id"], ORDER)
-    return St.read_latest(spark, out, EVENT, ["user_id"], ORDER)
+    """Micro-batches merged into the buckets of a table, without state."""
+    return _kept(spark, sf, St.run_upsert, ["user_id"])
 
 
 # The exact binary value of a share as a whole number: share * 2**68.
@@ -127,7 +151,7 @@ SLOTS = ", ".join(f"({d}, '{s}', {p})" for d, s, p in SCHEDULE)
     FROM reached""",
 )
 def fill_projection(spark, sf):
-    open_rows = serving.projection_seeds(schools.mart(spark, sf), ("2B", "2C", "2C(S)"))
+    open_rows = serving.projection_seeds(schools.stored_mart(spark, sf), ("2B", "2C", "2C(S)"))
     windows = {(schools.CURRENT, "2B"): "2026-07-24", (schools.CURRENT, "2C"): "2026-08-08"}
     return project_fill(
         open_rows, window_start(F.col("registration_year"), F.col("phase"), windows)

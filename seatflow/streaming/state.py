@@ -1,20 +1,17 @@
-"""Latest record per key, kept by a stream.
+"""Latest record per key, kept by a stream in a plain partitioned table.
 
-The table is a base version plus one delta per micro-batch:
-
-    <path>/base/version=<batch>/...     all keys up to that batch
-    <path>/delta/batch=<batch>/...      keys changed by that batch
-
-A batch that is replayed after a failure overwrites its own delta, so no record
-is doubled. Readers merge the newest base with the deltas after it; ``compact``
-writes the next base. A micro-batch therefore costs what it changed, not the
-size of the table.
+The table at ``path`` is partitioned by a bucket of the keys. A micro-batch reads the buckets
+that its keys fall into, merges them and replaces exactly these by Spark's own dynamic
+partition overwrite; so it costs what its buckets hold, not the whole table. The merged rows
+are first written beside the table. A batch that is replayed after a failure finds them there
+and only replaces the buckets again, whatever state the failure left them in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,88 +19,103 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seatflow.operators.ranking import keep_latest
 
+BUCKET = "bucket"
+BUCKETS = 16
 
-def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Stateful aggregation: the record of a key that sorts last by ``order``.
 
-    The state holds every key ever seen; for keys without end, such as slots over
-    many years, ``run_upsert`` gives the same table without state.
-    ``order`` ends in a unique column, so a restart gives the same answer. The
-    batch twin is ``keep_latest``.
-    """
-    rest = [c for c in stream.columns if c not in keys]
-    place = F.struct(*order)
-    return (
-        stream.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), place).alias("_record"))
-        .select(*keys, "_record.*")
+def _with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def _stored_schema(schema: T.StructType) -> T.StructType:
+    fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields if f.name != BUCKET]
+    return T.StructType([*fields, T.StructField(BUCKET, T.IntegerType(), True)])
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(BUCKET)
+        .parquet(path)
     )
 
 
-def write_delta(batch: DataFrame, batch_id: int, path: str) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+def _is_written(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:  # no such folder, or one without finished files
+        return False
 
 
-def upsert_batch(path: str, keys: Sequence[str], order: Sequence[str]):
-    """``foreachBatch`` function that merges a micro-batch into the table at ``path``."""
+def make_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """An empty table, unless there is one."""
+    spark.createDataFrame([], _stored_schema(schema)).write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One record per key."""
+    return spark.read.schema(_stored_schema(schema)).parquet(path).drop(BUCKET)
+
+
+def upsert_batch(
+    path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that merges a micro-batch into the table at ``path``.
+
+    More buckets make a batch of few keys cheaper; their number must stay as it was.
+    """
+    beside, done = f"{path}-merged", f"{path}-done"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_delta(keep_latest(batch, keys, order), batch_id, path)
+        spark, schema = batch.sparkSession, _stored_schema(batch.schema)
+        if not _is_written(spark, f"{done}/batch={batch_id}"):
+            fresh = _with_bucket(keep_latest(batch, keys, order), keys, buckets).select(*schema.fieldNames()).persist()
+            touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # no more than there are buckets
+            known = spark.read.schema(schema).parquet(path).filter(F.col(BUCKET).isin(touched))
+            merged = keep_latest(known.unionByName(fresh), keys, order)
+            merged.write.mode("overwrite").partitionBy(BUCKET).parquet(beside)
+            fresh.unpersist()
+            spark.range(1).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+        _replace(spark.read.schema(schema).parquet(beside), path)
 
     return run
 
 
-def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
-    """Numbers in the names of the finished ``<name>=<number>`` folders."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    place = hadoop.Path(folder)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(hadoop.Path(f"{folder}/{name}=*/_SUCCESS")) or []
-    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+def latest_state(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, delay: str, span: str = "1 day"
+) -> DataFrame:
+    """Stateful aggregation: the record of a key that sorts last by ``order``, per span of time.
 
+    ``time`` is a timestamp column, or text of one. The state of a span is dropped once events
+    ``delay`` after its end were seen; events that are later than that do not count any more.
+    So the state holds the keys of the last spans, not all keys ever seen. ``order`` ends in a
+    unique column, so a restart gives the same answer.
+    """
+    rest = [c for c in stream.columns if c not in keys]
+    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    return (
+        timed.groupBy(F.window("_time", span), *keys)
+        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_record"))
+        .select(*keys, "_record.*")
+        .select(*stream.columns)
+    )
 
-def read_latest(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    keys: Sequence[str],
-    order: Sequence[str],
-) -> DataFrame:
-    """One record per key: newest base merged with the deltas after it."""
-    bases = _numbers(spark, f"{path}/base", "version")
-    after = bases[-1] if bases else -1
-    parts = [f"{path}/base/version={after}"] if bases else []
-    parts += [
-        f"{path}/delta/batch={n}" for n in _numbers(spark, f"{path}/delta", "batch") if n > after
-    ]
-    if not parts:
-        return spark.createDataFrame([], schema)
-    merged = spark.read.schema(schema).parquet(*parts)
-    # A base or a delta alone holds every key once.
-    return merged if len(parts) == 1 else keep_latest(merged, keys, order)
-
-
-def compact(
-    spark: SparkSession,
+
+def run_upsert(
+    stream: DataFrame,
     path: str,
-    schema: T.StructType,
+    checkpoint: str,
     keys: Sequence[str],
     order: Sequence[str],
-) -> None:
-    """Write everything merged so far as the next base; earlier parts stay readable."""
-    deltas = _numbers(spark, f"{path}/delta", "batch")
-    bases = _numbers(spark, f"{path}/base", "version")
-    if deltas and (not bases or deltas[-1] > bases[-1]):
-        merged = read_latest(spark, path, schema, keys, order)
-        merged.write.mode("overwrite").parquet(f"{path}/base/version={deltas[-1]}")
-
-
-def run_upsert(
-    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]
+    buckets: int = BUCKETS,
+    mode: str = "append",
 ) -> StreamingQuery:
-    """Merge a stream into the table at ``path``; every micro-batch leaves one delta."""
+    """Merge a stream into the table at ``path``, one micro-batch after the other."""
+    make_table(stream.sparkSession, path, stream.schema)
     return (
-        stream.writeStream.foreachBatch(upsert_batch(path, keys, order))
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(upsert_batch(path, keys, order, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -111,14 +123,16 @@ def run_upsert(
 
 
 def run_state(
-    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    time: str,
+    delay: str,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Keep the latest record per key in the state store; changed keys go out as deltas."""
-    return (
-        latest_state(stream, keys, order)
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: write_delta(batch, batch_id, path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Keep the latest record per key and span in the state store; changed ones go to the table,
+    which also holds what the state has dropped."""
+    changed = latest_state(stream, keys, order, time, delay)
+    return run_upsert(changed, path, checkpoint, keys, order, buckets, mode="update")
