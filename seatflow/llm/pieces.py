@@ -32,9 +32,10 @@ from seatflow.llm.common import stored
 MARK = "▁"
 _FACTOR = 0x9E3779B97F4A7C15
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 65_536
 #: Texts whose ids are made, and handed on, at a time.
 SLICE = 512
+CHUNKS = 32
 #: Parts that a worker remembers at most, and characters of those that are solved together.
 REMEMBERED = 250_000
 TOGETHER_CHARS = 32
@@ -301,10 +302,11 @@ class Memory(dict):
     def ids_of(self, text: str) -> list[int]:
         return self.ids([text])[0].tolist()
 
-    def score(self, text: str) -> float:
-        """The score of a text that starts and ends where it may be cut."""
-        numbers, _ = self.numbers([text])
-        return float(self.scores[numbers].sum())
+    def score(self, texts: list[str]) -> np.ndarray:
+        """The scores of texts that start and end where they may be cut."""
+        numbers, parts = self.numbers(texts)
+        sums = np.concatenate([[0.0], np.cumsum(self.scores[numbers])])
+        return np.diff(sums[np.concatenate([[0], np.cumsum(parts)])])
 
 
 _MEMORIES: dict[int, Memory] = {}
@@ -368,10 +370,13 @@ class Chunk:
         start[0, 0] = 0.0
         return Chunk(self.body[high:], self.ahead).forward(vocabulary, start)
 
-    def transfer(self, memory: Memory) -> np.ndarray:
+    def middle(self, cut: tuple[int, int] | None) -> str:
+        """The text between the cuts."""
+        return self.body[cut[0] : cut[1]] if cut else ""
+
+    def transfer(self, vocabulary: Vocabulary, cut: tuple[int, int] | None, middle: float) -> np.ndarray:
         """Best score from each state at the chunk's start to each state at its end."""
-        vocabulary = memory.vocabulary
-        states, cut = vocabulary.longest, self.cuts(vocabulary)
+        states = vocabulary.longest
         unit = np.full((states, states), NEVER)
         np.fill_diagonal(unit, 0.0)
         if cut is None:
@@ -379,11 +384,10 @@ class Chunk:
         low, high = cut
         head = Chunk(self.body[:low], "").forward(vocabulary, unit)[0][low]
         tail = self.tail(vocabulary, high)[0][len(self.body) - high :][:states, 0]
-        return head[:, None] + (memory.score(self.body[low:high]) + tail)[None, :]
+        return head[:, None] + (middle + tail)[None, :]
 
-    def origins(self, memory: Memory, first: np.ndarray) -> list[int]:
+    def origins(self, vocabulary: Vocabulary, first: np.ndarray) -> list[int]:
         """For each end state the start state that its best path comes from, -1 if there is none."""
-        vocabulary = memory.vocabulary
         states, cut = vocabulary.longest, self.cuts(vocabulary)
         if cut is None:
             best, back = self.forward(vocabulary, first[None])
@@ -394,9 +398,10 @@ class Chunk:
         tail = self.tail(vocabulary, high)[0][len(self.body) - high :][:states, 0]
         return [_origin(back, low) if x > NEVER else -1 for x in tail]
 
-    def trace(self, memory: Memory, first: np.ndarray, state: int) -> list[int]:
+    def trace(
+        self, vocabulary: Vocabulary, cut: tuple[int, int] | None, middle: np.ndarray, first: np.ndarray, state: int
+    ) -> list[int]:
         """Ids of the pieces that start here, on the best path to an end state."""
-        vocabulary, cut = memory.vocabulary, self.cuts(memory.vocabulary)
         text, end = self.body + self.ahead, len(self.body) + state
         if cut is None:
             return _spelled(vocabulary, text, self.forward(vocabulary, first[None])[1], end)
@@ -404,7 +409,7 @@ class Chunk:
         head = Chunk(self.body[:low], "").forward(vocabulary, first[None])[1]
         return (
             _spelled(vocabulary, text, head, low)
-            + memory.ids_of(self.body[low:high])
+            + middle.tolist()
             + _spelled(vocabulary, text[high:], self.tail(vocabulary, high)[1], end - high)
         )
 
@@ -498,9 +503,16 @@ def _split(chunk_chars: int, ahead: int):
     return run
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[Chunk]:
-    for body, ahead in zip(batch.column("body"), batch.column("ahead"), strict=True):
-        yield Chunk(body.as_py(), ahead.as_py())
+def _chunks(batch: pa.RecordBatch) -> list[Chunk]:
+    columns = batch.column("body").to_pylist(), batch.column("ahead").to_pylist()
+    return [Chunk(body, ahead) for body, ahead in zip(*columns, strict=True)]
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few chunks, whose parts are solved together."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, CHUNKS):
+            yield batch.slice(first, CHUNKS)
 
 
 def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> DataFrame:
@@ -511,8 +523,11 @@ def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> Data
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(vocabulary)
-        for batch in batches:
-            found = [c.transfer(memory).tobytes() for c in _chunks(batch)]
+        for batch in _few(batches):
+            chunks_ = _chunks(batch)
+            cuts = [c.cuts(vocabulary) for c in chunks_]
+            scores = memory.score([c.middle(cut) for c, cut in zip(chunks_, cuts, strict=True)])
+            found = [c.transfer(vocabulary, *x).tobytes() for c, *x in zip(chunks_, cuts, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["row", "place", "places", "matrix"])
 
     def reached(table: pa.Table) -> pa.Table:
@@ -529,10 +544,9 @@ def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> Data
     known = stored(chunks.join(firsts, ["row", "place"]), "piece-scores")
 
     def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = memory_of(vocabulary)
         for batch in batches:
             firsts = [np.frombuffer(x.as_py(), np.float64) for x in batch.column("first")]
-            found = [c.origins(memory, f) for c, f in zip(_chunks(batch), firsts, strict=True)]
+            found = [c.origins(vocabulary, f) for c, f in zip(_chunks(batch), firsts, strict=True)]
             place = [batch.column("row"), batch.column("place")]
             yield pa.RecordBatch.from_arrays([*place, pa.array(found, pa.list_(pa.int64()))], ["row", "place", "origins"])
 
@@ -550,10 +564,15 @@ def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> Data
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(vocabulary)
-        for batch in batches:
+        for batch in _few(batches):
+            chunks_ = _chunks(batch)
+            cuts = [c.cuts(vocabulary) for c in chunks_]
+            flat, sizes = memory.ids([c.middle(cut) for c, cut in zip(chunks_, cuts, strict=True)])
+            middles = np.split(flat, np.cumsum(sizes)[:-1])
             firsts = [np.frombuffer(x.as_py(), np.float64) for x in batch.column("first")]
             states_ = batch.column("state").to_pylist()
-            ids = [c.trace(memory, f, s) for c, f, s in zip(_chunks(batch), firsts, states_, strict=True)]
+            rows = zip(chunks_, cuts, middles, firsts, states_, strict=True)
+            ids = [c.trace(vocabulary, *x) for c, *x in rows]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("place"), _lists(ids)], ["row", "place", "ids"])
 
     traced = known.join(ends, ["row", "place"]).mapInArrow(traces, "row long, place long, ids array<int>")
