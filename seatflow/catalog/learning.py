@@ -1,5 +1,8 @@
 """Lag features, split, demand model and prediction rows."""
 
+from functools import reduce
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seatflow.catalog import schools
@@ -89,39 +92,83 @@ def prediction_frame(spark, sf):
     return _frame(spark, sf).withColumn("rate_3yr_mean", round_to(F.col("rate_3yr_mean"), 6))
 
 
-# A shorter training than the default of 300 trees; the rows are all used.
-PARAMS = D.Params(trees=10)
+PARAMS = D.Params()
+FEATURES = [*[f"{c}_index" for c in CATEGORICAL], *[f"{c}_{s}" for c in NUMERIC for s in ("value", "known")]]
+_TRAINED: dict[tuple[str, str], tuple] = {}
 
 
 def _trained(spark, sf):
-    rows = stored(_features(spark, sf), fresh_path(spark, "features"))
-    split = features.time_split(rows, "year", "rate", range(1995, 2000), [2000])
-    model = D.train(split.filter("part = 'train'"), "rate", CATEGORICAL, NUMERIC, PARAMS)
-    return model, split.filter("part = 'eval'")
+    """(model, split rows), trained once for a session and folder."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _TRAINED:
+        rows = stored(_features(spark, sf), fresh_path(spark, "features"))
+        split = features.time_split(rows, "year", "rate", range(1995, 2000), [2000])
+        model = D.train(split.filter("part = 'train'"), "rate", CATEGORICAL, NUMERIC, PARAMS)
+        _TRAINED[place] = model, split
+    return _TRAINED[place]
+
+
+def _soundness():
+    """Rates are at least 0 and chances what the rates say."""
+    rate, chance = F.col("predicted_subscription_rate"), F.col("predicted_ballot_chance_pct")
+    said = F.when(rate <= 1, 1.0).otherwise(1 / rate)
+    return (rate >= 0).alias("rate_ok"), (F.abs(chance - said) < 1e-12).alias("chance_ok")
 
 
-@query("gbt_predict")
+@query(
+    "gbt_predict",
+    f"SELECT entity, category, year, true AS rate_ok, true AS chance_ok FROM ({SQL['prediction_frame']})",
+)
 def gbt_predict(spark, sf):
+    """Predictions of the full model: one for each row to predict, each one sound."""
     model, _ = _trained(spark, sf)
     scored = D.score(model, _frame(spark, sf), NUMERIC)
-    return scored.select(
-        *KEYS, "year", "predicted_subscription_rate", "predicted_ballot_chance_pct"
-    )
+    return scored.select(*KEYS, "year", *_soundness())
 
 
-@query("gbt_importances")
+@query(
+    "gbt_importances",
+    f"""SELECT unnest({FEATURES}) AS feature, true AS is_share, true AS shares_sum_to_one""",
+)
 def gbt_importances(spark, sf):
+    """A weight for every feature; together they are one."""
     model, _ = _trained(spark, sf)
-    return D.importances(model, spark)
+    weights = D.importances(model, spark, limit=None)
+    total = F.sum("importance").over(W.partitionBy())
+    return weights.select(
+        "feature", F.col("importance").between(0, 1).alias("is_share"),
+        (F.abs(total - 1) < 1e-9).alias("shares_sum_to_one"),
+    )
 
 
-@query("run_log")
+@query(
+    "run_log",
+    f"""WITH {SPARSE}, part AS (SELECT category, year, CASE WHEN year < 2000 THEN 'train' ELSE 'eval' END AS part
+      FROM sparse WHERE rate IS NOT NULL AND year BETWEEN 1995 AND 2000)
+    SELECT 'trees' AS run_name, '300' AS trees, '42' AS seed, 'rate' AS target, {len(FEATURES)} AS n_features,
+      {len(FEATURES)} AS n_importances, true AS errors_known,
+      count(*) FILTER (WHERE part = 'train') AS train_rows, min(year) FILTER (WHERE part = 'train') AS train_first_year,
+      max(year) FILTER (WHERE part = 'train') AS train_last_year, count(*) FILTER (WHERE part = 'eval') AS eval_rows,
+      min(year) FILTER (WHERE part = 'eval') AS eval_first_year, max(year) FILTER (WHERE part = 'eval') AS eval_last_year,
+      list_sort(list_transform(list_distinct(list(category) FILTER (WHERE part = 'eval')),
+        lambda c: 'mae_phase_' || c)) AS by_category
+    FROM part""",
+)
 def run_log(spark, sf):
-    model, held_out = _trained(spark, sf)
-    overall, by_category = D.evaluate(D.predict(model, held_out, NUMERIC), "rate", "category")
+    """What a run leaves behind, read back."""
+    model, split = _trained(spark, sf)
+    held_out = D.predict(model, split.filter("part = 'eval'"), NUMERIC)
+    overall, by_category = D.evaluate(held_out, "rate", "category")
     path = fresh_path(spark, "runs")
-    D.log_run(D.run_record("trees", PARAMS, overall, by_category), path)
-    return spark.read.parquet(path).drop("logged_at")
+    D.log_run(D.run_record("trees", PARAMS, overall, by_category, split, "year", "rate", model), path)
+    known = [F.col(c).isNotNull() for c in overall.columns]
+    return spark.read.parquet(path).select(
+        "run_name", F.col("params.trees").alias("trees"), F.col("params.seed").alias("seed"), "target",
+        F.size("features").alias("n_features"), F.size("importances").alias("n_importances"),
+        reduce(lambda a, b: a & b, known).alias("errors_known"),
+        *[f"{p}_{c}" for p in ("train", "eval") for c in ("rows", "first_year", "last_year")],
+        F.array_sort(F.map_keys("mae_by_category")).alias("by_category"),
+    )
 
 
 @query(
@@ -136,18 +183,39 @@ def historical_rows(spark, sf):
     return D.historical_rows(schools.mart(spark, sf), schools.dim(spark, sf))
 
 
-@query("school_predictions")
+_PREDICTED: dict[tuple[str, str], str] = {}
+
+
+def _predicted(spark, sf):
+    """Where the prediction table of a training on the school rows is, made once for a session and folder."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _PREDICTED:
+        tables = schools.tables(spark, sf)
+        table, _ = D.train_and_predict(
+            D.historical_rows(tables["mart_school_analysis"], tables["dim_school"]),
+            train_years=range(2019, 2022),
+            eval_years=[2022],
+            predict_year=PIPELINE_CURRENT,
+            version="trees-1",
+            path=fresh_path(spark, "training"),
+            params=PARAMS,
+        )
+        out = fresh_path(spark, "predictions")
+        overwrite_table(table, out)
+        _PREDICTED[place] = out
+    return _PREDICTED[place]
+
+
+@query(
+    "school_predictions",
+    f"""WITH h AS ({SQL["historical_rows"]})
+    SELECT school_name, phase, {PIPELINE_CURRENT} AS registration_year, 'trees-1' AS model_version,
+      true AS rate_ok, true AS chance_ok FROM h
+    GROUP BY 1, 2 HAVING count(subscription_rate) FILTER (WHERE registration_year
+      BETWEEN {PIPELINE_CURRENT} - 3 AND {PIPELINE_CURRENT} - 1) > 0""",
+)
 def school_predictions(spark, sf):
     """Training on the stored mart rows, and the prediction table it leaves behind."""
-    table, _ = D.train_and_predict(
-        D.historical_rows(schools.mart(spark, sf), schools.dim(spark, sf)),
-        train_years=range(2019, 2022),
-        eval_years=[2022],
-        predict_year=PIPELINE_CURRENT,
-        version="trees-1",
-        path=fresh_path(spark, "training"),
-        params=PARAMS,
+    return spark.read.parquet(_predicted(spark, sf)).select(
+        "school_name", "phase", "registration_year", "model_version", *_soundness()
     )
-    out = fresh_path(spark, "predictions")
-    overwrite_table(table, out)
-    return spark.read.parquet(out).drop("trained_at")

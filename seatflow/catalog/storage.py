@@ -169,13 +169,17 @@ def overwrite_reload(spark, sf):
 
 @query("ensure_table", "SELECT p_partkey, p_name, p_size FROM part")
 def ensure_table(spark, sf):
+    """Made twice, filled once, and taken out of the catalog again; the files are read."""
     path = fresh_path(spark, "table")
     name = "seatflow_" + path.rsplit("-", 1)[1]
     rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
-    io.ensure_table(spark, name, rows.schema, path)
-    io.ensure_table(spark, name, rows.schema, path)
-    rows.write.insertInto(name)
-    return spark.table(name)
+    schema = struct("p_partkey bigint not null, p_name string, p_size int")
+    io.ensure_table(spark, name, schema, path)
+    io.ensure_table(spark, name, schema, path)
+    io.insert_rows(rows.select("p_size", "p_partkey", "p_name"), name)
+    found = spark.table(name).schema
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(found).parquet(path)
 
 
 @query(
@@ -184,7 +188,11 @@ def ensure_table(spark, sf):
        WHERE item_id % 10 <> 3""",
 )
 def doc_source(spark, sf):
-    """Every benchmark text as a file of its own; names with a skip word are left out."""
+    """Every benchmark text as a document of its own; names with a skip word are left out.
+
+    The given table holds the benchmark items of an evaluation, a list that does not grow
+    with the corpus, so a folder per document stays small.
+    """
     path = fresh_path(spark, "documents")
     kind = F.when(F.col("item_id") % 10 == 3, "copy").otherwise("page")
     name = F.concat(kind, F.lit("-"), F.col("item_id").cast("string"))

@@ -152,7 +152,9 @@ def train_and_predict(
         split.filter("part = 'train'"), TARGET, SCHOOL_CATEGORICAL, SCHOOL_NUMERIC, params
     )
     held_out = predict(model, split.filter("part = 'eval'"), SCHOOL_NUMERIC)
-    record = run_record(version, params, *evaluate(held_out, TARGET, "phase"))
+    record = run_record(
+        version, params, *evaluate(held_out, TARGET, "phase"), split, year, TARGET, model
+    )
     frame = prediction_frame(
         history,
         SCHOOL_KEYS,
@@ -166,16 +168,14 @@ def train_and_predict(
     return prediction_table(score(model, frame, SCHOOL_NUMERIC), version), record
 
 
-def importances(model: PipelineModel, spark: SparkSession, limit: int = 10) -> DataFrame:
+def importances(model: PipelineModel, spark: SparkSession, limit: int | None = 10) -> DataFrame:
     """Feature weights, heaviest first. Their number is the number of features."""
     names = model.stages[1].getInputCols()
     weights = model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(w)) for n, w in zip(names, weights)]
-    return (
-        spark.createDataFrame(rows, "feature string, importance double")
-        .orderBy(F.col("importance").desc(), "feature")
-        .limit(limit)
-    )
+    rows = [(n, float(w)) for n, w in zip(names, weights, strict=True)]
+    frame = spark.createDataFrame(rows, "feature string, importance double")
+    frame = frame.orderBy(F.col("importance").desc(), "feature")
+    return frame if limit is None else frame.limit(limit)
 
 
 def evaluate(scored: DataFrame, target: str, category: str) -> tuple[DataFrame, DataFrame]:
@@ -187,21 +187,43 @@ def evaluate(scored: DataFrame, target: str, category: str) -> tuple[DataFrame,
 
 
 def run_record(
-    run_name: str, params: Params, metrics: DataFrame, by_category: DataFrame
+    run_name: str,
+    params: Params,
+    metrics: DataFrame,
+    by_category: DataFrame,
+    split: DataFrame,
+    year: str,
+    target: str,
+    model: PipelineModel,
 ) -> DataFrame:
-    """One row per run: settings, errors overall and per category."""
+    """One row per run: settings, what it was trained and held out on, features and their
+    weights, errors overall and per category."""
     settings = F.create_map(
         *[F.lit(x) for pair in asdict(params).items() for x in (pair[0], str(pair[1]))]
     )
+    category = by_category.columns[0]
     # One entry per category of the model.
-    entry = F.struct(
-        F.concat(F.lit("mae_phase_"), F.regexp_replace(by_category.columns[0], r"[()]", "")), "mae"
-    )
+    entry = F.struct(F.concat(F.lit("mae_phase_"), F.regexp_replace(category, r"[()]", "")), "mae")
     per = by_category.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))))
-    return metrics.select(
+    names = model.stages[1].getInputCols()
+    weights = dict(zip(names, map(float, model.stages[-1].featureImportances.toArray()), strict=True))
+    of_part = lambda part, c: c(F.when(F.col("part") == part, F.col(year)))
+    data = split.agg(
+        *[
+            of_part(part, fn).alias(f"{part}_{what}")
+            for part in ("train", "eval")
+            for what, fn in (("rows", F.count), ("first_year", F.min), ("last_year", F.max))
+        ]
+    )
+    figures = data.select(F.struct("*")).scalar()
+    return metrics.withColumn("data", figures).select(
         F.lit(run_name).alias("run_name"),
         settings.alias("params"),
-        "*",
+        F.lit(target).alias("target"),
+        F.array(*map(F.lit, names)).alias("features"),
+        F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]).alias("importances"),
+        *metrics.columns,
+        "data.*",
         per.scalar().alias("mae_by_category"),
         F.current_timestamp().alias("logged_at"),
     )

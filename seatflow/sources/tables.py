@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Table property with the names of the fields that must be known.
+REQUIRED = "required.fields"
+
+
 def load_snapshot_csv(
     spark: SparkSession,
     path: str,
@@ -124,12 +128,32 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, path: str) -> None:
-    """Create a table over ``path`` unless it exists; fields that must be known stay so."""
-    columns = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL")
-        for f in schema.fields
+    """Create a table over ``path`` unless it exists.
+
+    Spark takes every column of a file table as nullable, so the fields that must be known are
+    kept as a property of the table, which ``insert_rows`` obeys.
+    """
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    required = ",".join(f.name for f in schema.fields if not f.nullable)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}'"
+        f" TBLPROPERTIES ('{REQUIRED}' = '{required}')"
     )
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}'")
+
+
+def insert_rows(df: DataFrame, name: str) -> None:
+    """Append rows, by column name, to a table made by ``ensure_table``.
+
+    A NULL in a required field ends the job before anything is committed.
+    """
+    spark = df.sparkSession
+    found = spark.sql(f"SHOW TBLPROPERTIES {name}").filter(F.col("key") == REQUIRED).first()
+    required = [c for c in (found["value"] if found else "").split(",") if c]
+    checked = {
+        c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} of {name} must be known"))).otherwise(F.col(c))
+        for c in required
+    }
+    df.withColumns(checked).select(spark.table(name).columns).write.insertInto(name)
 
 
 def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:

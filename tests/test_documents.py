@@ -5,7 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from seatflow.operators.chunking import chunk
-from seatflow.sources.documents import build_chunks, read_documents, split_front_matter
+from seatflow.operators.chunking import pack as windows
+from seatflow.operators.encoding import embed_with, letter_encoder
+from seatflow.schemas import KNOWLEDGE_CHUNKS
+from seatflow.sources.documents import build_chunk_table, build_chunks, read_documents, split_front_matter
 
 DOC = """---
 source_url: https://example.com/a:b
@@ -36,6 +39,46 @@ def test_front_matter(rows):
     assert chunks["a.md"].policy_year == 2026
 
 
+def test_front_matter_that_repeats_and_comments(rows):
+    text = """---
+topic: first
+policy_year: 2026 # checked
+canonical_source: "a # b" # not this
+source_url: https://example.com/#top
+topic: last
+---
+body"""
+    got = split_front_matter(rows([("a.md", text)], "source_file string, text string")).first()
+    assert (got.topic, got.policy_year, got.canonical_source, got.source_url, got.text) == (
+        "last", "2026", "a # b", "https://example.com/#top", "body",
+    )
+
+
+def test_chunk_table(spark, rows, tmp_path):
+    docs = rows([("a.md", "# A\n\nabc"), ("b.md", "xyz")], "source_file string, text string")
+    path = str(tmp_path / "chunks")
+    encode = lambda df: embed_with(df, "content", letter_encoder)
+    for _ in range(2):  # a second run replaces the first
+        table = build_chunk_table({"one": docs.limit(1), "two": docs}, encode, path)
+    assert table.schema == KNOWLEDGE_CHUNKS
+    assert sorted((r.domain, r.source_file) for r in table.collect()) == [("one", "a.md"), ("two", "a.md"), ("two", "b.md")]
+    assert all(len(r.embedding) == 26 for r in table.collect())
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    text = "\n## Head\n\nsome words in a line\n" * 32_000
+
+    def seconds(n):
+        start = time.process_time()
+        windows(text[:n], 4000, 600)
+        return time.process_time() - start
+
+    seconds(10_000)
+    assert min(seconds(1_000_000) for _ in range(3)) < 2.5 * min(seconds(500_000) for _ in range(3))
+
+
 def test_fixed_chunks_equal_slices(rows):
     rng = random.Random(1)
     texts = ["x" * n for n in (1, 39, 40, 41, 74, 75, 100)]

@@ -91,6 +91,35 @@ def test_stored_tables_equal_the_lazy_ones(spark, inputs, built, tmp_path):
     assert row.vacancy_yoy_change == 2 and row.zone_code == "EAST"
 
 
+def test_a_rebuild_drops_years_that_are_gone(spark, inputs, tmp_path):
+    raw, schools, seeds = inputs
+    path = str(tmp_path / "tables")
+    years = lambda t: {r[0] for r in t.select("registration_year").distinct().collect()}
+    whole = ballots.build_tables(raw, schools, seeds, path, AS_OF)
+    assert 2022 in years(whole["fact_balloting"]) and 2022 in years(whole["mart_school_analysis"])
+    less = ballots.build_tables(raw.filter("registration_year <> 2022"), schools, seeds, path, AS_OF)
+    assert 2022 not in years(less["fact_balloting"]) | years(less["mart_school_analysis"])
+    before = years(less["fact_balloting"])
+    some = ballots.build_tables(raw, schools, seeds, path, AS_OF, years=[2022])
+    assert years(some["fact_balloting"]) == before | {2022}
+
+
+def test_phases_in_any_case(spark, built):
+    _, _, _, mart = built
+    predictions = spark.createDataFrame(
+        [("GIRLS' SCHOOL", "2C", 2024, 1.5, 0.6)],
+        "school_name string, phase string, registration_year long, predicted_subscription_rate double,"
+        "predicted_ballot_chance_pct double",
+    )
+    for phase in ("2C", "2c"):
+        found = serving.predictions_for(predictions, 2024, phase)
+        row = serving.recommend_one(mart, phase, 2024, predictions=found, zone_code="EAST").filter(
+            "school_name_clean = 'GIRLS'' SCHOOL'"
+        ).first()
+        assert row.phase_normalised == "2C" and row.ml_prediction.predicted_subscription_rate == 1.5
+        assert serving.assess_risk(mart, 2024, phase=phase).count() > 0
+
+
 def one(df, **where):
     for col, value in where.items():
         df = df.filter(F.col(col) == value)
@@ -250,7 +279,10 @@ def test_context(spark, built):
          ("q3", "hello", vec(-1, -1), ["nobody"])],
         "question_id string, question string, embedding array<double>, school_names array<string>",
     )
-    out = advisor.retrieve_context(questions, chunks, mart, dim, general, k=2)
+    other = chunks.withColumn("domain", F.lit("other")).withColumn("content", F.lit("wrong domain"))
+    other = other.withColumn("doc_id", F.concat(F.lit("0"), "doc_id"))
+    both = chunks.withColumn("domain", F.lit("policy")).unionByName(other)
+    out = advisor.retrieve_context(questions, both, mart, dim, general, k=2, domain="policy")
     got = {r.query_id: r for r in out.collect()}
     assert got["q1"].policy_context == "first\n\n---\n\nsecond"
     text = got["q1"].school_context
@@ -318,3 +350,22 @@ def test_interim(spark, built):
     assert [(r.school_name, r.snapshot_timestamp, r.applied_count) for r in got] == [
         ("NEW", "2024-07-24T18:00:00+08:00", 20)
     ]
+
+
+def test_no_rules_no_report(rows):
+    assert run_checks({"t": rows([(1,)], "a int")}, []).count() == 0
+
+
+def test_rules_share_a_pass(rows):
+    tables = {
+        "c": rows([(1, "x"), (1, "y"), (None, "z"), (2, None)], "a int, b string"),
+        "p": rows([(1, "x"), (3, "y")], "k int, l string"),
+    }
+    rules = [
+        Rule("c", "unique", "a"), Rule("c", "unique", "b"), Rule("c", "unique", "a", where="b <> 'x'"),
+        Rule("c", "relationship", "a", arg=("p", "k")), Rule("c", "relationship", "b", arg=("p", "l")),
+    ]
+    got = {r["rule"]: r["violations"] for r in run_checks(tables, rules).collect()}
+    assert got == {
+        "unique:a": 1, "unique:b": 0, "unique:a where b <> 'x'": 0, "relationship:a": 1, "relationship:b": 1,
+    }

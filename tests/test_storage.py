@@ -185,11 +185,14 @@ def test_model_beats_the_group_mean(spark, tmp_path):
     assert overall.first().mae < base.first().mae / 2
     path = str(tmp_path / "runs")
     for name in ("one", "two"):
-        D.log_run(D.run_record(name, params, overall, by_category), path)
+        D.log_run(D.run_record(name, params, overall, by_category, split, "year", "rate", model), path)
     runs = spark.read.parquet(path).collect()
     assert {r.run_name for r in runs} == {"one", "two"}
     assert set(runs[0].mae_by_category) == {"mae_phase_A", "mae_phase_B"}
-    assert runs[0].params["trees"] == "15"
+    assert runs[0].params["trees"] == "15" and runs[0].target == "rate"
+    assert (runs[0].train_rows, runs[0].eval_rows) == (300, 60)
+    assert (runs[0].train_first_year, runs[0].train_last_year, runs[0].eval_last_year) == (2010, 2014, 2015)
+    assert set(runs[0].features) == set(runs[0].importances) and "c_index" in runs[0].features
     top = D.importances(model, spark, 3).collect()
     assert len(top) == 3 and top[0].importance >= top[1].importance
     unseen = spark.createDataFrame(
@@ -247,3 +250,44 @@ def test_seed_columns_go_by_position(spark, tmp_path):
     got = io.load_seed(spark, str(path), schemas.SEED_NAME_MAPPING)
     assert got.columns == ["listed_name", "official_name"]
     assert tuple(got.first()) == ("AI TONG", "AI TONG SCHOOL")
+
+
+def test_a_thousand_categories_train(spark):
+    rows = spark.range(4000).select(
+        F.concat(F.lit("zone"), (F.col("id") % 1000).cast("string")).alias("zone"),
+        (F.col("id") % 7).cast("double").alias("x"),
+        (F.col("id") % 3).cast("double").alias("rate"),
+    )
+    model = D.train(rows, "rate", ["zone"], ["x"], D.Params(trees=1, depth=2))
+    assert model.stages[-1].getMaxBins() >= 1001
+    assert D.predict(model, rows, ["x"]).count() == 4000
+
+
+def test_seeds_by_header(spark, tmp_path):
+    path = tmp_path / "seed.csv"
+    path.write_text("b,a\n2,1\n")
+    schema = schemas.struct("first int, second string")
+    got = io.load_seed(spark, str(path), schema, names={"first": "a", "second": "b"})
+    assert [tuple(r) for r in got.collect()] == [(1, "2")]
+    with pytest.raises(ValueError, match="lacks"):
+        io.load_seed(spark, str(path), schema, names={"first": "a", "second": "c"})
+
+
+def test_line_breaks_in_quotes_on_request(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n')
+    schema = schemas.struct("a int, b string")
+    got = io.load_snapshot_csv(spark, str(path), schema, multi_line=True).collect()
+    assert [tuple(r) for r in got] == [(1, "x\ny"), (2, "z")]
+
+
+def test_required_fields_stay_required(spark, tmp_path):
+    name = "needed_" + tmp_path.name.replace("-", "_")
+    io.ensure_table(spark, name, schemas.struct("a int not null, b string"), str(tmp_path / "t"))
+    try:
+        io.insert_rows(spark.createDataFrame([("x", 1), (None, 2)], "b string, a int"), name)
+        with pytest.raises(Exception, match="must be known"):
+            io.insert_rows(spark.createDataFrame([("x", 3), ("y", None)], "b string, a int").coalesce(1), name)
+        assert sorted(r.a for r in spark.table(name).collect()) == [1, 2]
+    finally:
+        spark.sql(f"DROP TABLE {name}")

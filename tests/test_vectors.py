@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatflow.operators import vectors as V
-from seatflow.operators.encoding import embed_hashed, embed_with
+from seatflow.operators.encoding import QUERY, embed_hashed, embed_with, letter_encoder
 
 
 def brute(corpus, queries, k):
@@ -33,12 +33,15 @@ def data():
     return corpus, queries
 
 
-@pytest.mark.parametrize("max_shipped", [100, 3])
-def test_top_k_is_exact(spark, data, max_shipped):
+@pytest.mark.parametrize("way", ["blocks", "one block", "held queries"])
+def test_top_k_is_exact(spark, data, way):
     corpus, queries = data
     c = spark.createDataFrame([*corpus, (999, None)], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([*queries, ("none", None)], "query_id string, embedding array<double>")
-    got = V.top_k(c.repartition(5), q, 4, "vec_id", max_shipped=max_shipped, block_rows=70)
+    if way == "held queries":
+        got = V.nearest_to(c.repartition(5), dict(queries), 4, "vec_id")
+    else:
+        got = V.top_k(c.repartition(5), q, 4, "vec_id", block_rows=70 if way == "blocks" else 1000)
     got = {(r.query_id, r.id, round(r.distance, 6), r["rank"]) for r in got.collect()}
     want = brute(corpus, queries, 4)
     assert {(a, b, abs(c), d) for a, b, c, d in got} == {(a, b, abs(c), d) for a, b, c, d in want}
@@ -88,5 +91,16 @@ def test_encoders(spark):
     assert np.linalg.norm(out[1]) == pytest.approx(1.0)
     assert sorted(x for x in out[2] if x) == pytest.approx([2**-0.5, 2**-0.5])
     assert sum(out[3]) == 0
-    lengths = embed_with(df, "text", lambda texts: [[len(t), 1] for t in texts])
-    assert [r.embedding for r in lengths.orderBy("id").collect()] == [[5, 1], [5, 1], [0, 1]]
+    sizes = embed_with(df.coalesce(1), "text", lambda: lambda texts, mode: [[len(t), len(texts), len(mode)] for t in texts],
+                       QUERY, batch=2)
+    assert [r.embedding for r in sizes.orderBy("id").collect()] == [[5, 2, 5], [5, 2, 5], [0, 1, 5]]
+    letters = embed_with(df, "text", letter_encoder).orderBy("id").collect()
+    assert letters[0].embedding[:3] == [2, 1, 0] and sum(letters[2].embedding) == 0
+    with pytest.raises(ValueError):
+        embed_with(df, "text", letter_encoder, "other")
+
+
+def test_mean_vectors(rows):
+    df = rows([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0, 6.0]), ("b", None)], "k string, embedding array<double>")
+    got = {r.k: r.embedding for r in V.mean_vectors(df, "k").collect()}
+    assert got == {"a": [2.0, 3.0], "b": [5.0, 6.0]}
