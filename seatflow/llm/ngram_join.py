@@ -127,6 +127,11 @@ def _hash_map(units: DataFrame) -> np.ndarray:
     return out
 
 
+def _is_in(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes & (MAP_BITS - 1)
+    return (known[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
 def _in_map(known: np.ndarray):
     """Keep the block hashes whose bit is set."""
 
@@ -135,8 +140,7 @@ def _in_map(known: np.ndarray):
             lists = batch.column(3)
             hashes = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy())
-            bit = hashes & (MAP_BITS - 1)
-            keep = (known[bit >> 6] >> (bit & 63)) & 1 == 1
+            keep = _is_in(known, hashes)
             row = np.repeat(np.arange(batch.num_rows), sizes)[keep]
             taken = [batch.column(i).take(pa.array(row)) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*taken, pa.array(hashes[keep])], ["n", "a", "b", "unit"])
@@ -144,13 +148,14 @@ def _in_map(known: np.ndarray):
     return run
 
 
-def _sets(width: int):
-    """Whole sets as bytes."""
+def _sets(width: int, known: np.ndarray):
+    """Whole sets, as bytes, of the texts whose hash is in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sets = [], [], []
-            for _, found in shingle_sets(*text_bytes(batch.column(0)), width):
+            wanted = pa.array(_is_in(known, batch.column(0).to_numpy()))
+            for _, found in shingle_sets(*text_bytes(batch.column(1).filter(wanted)), width):
                 key = _set_key(found)
                 a.append(key[0])
                 b.append(key[1])
@@ -349,12 +354,12 @@ def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH
     members = shared.distinct().join(units, "unit").select("unit", "n", _node().alias("node"))
     dealt = stored(_dealt(stored(members, "join-members")), "join-dealt")
 
-    # Whole sets of the members only. A set's text is found by id; its key tells it from
-    # other texts under the same id.
+    # Whole sets of the members only: a map of their ids finds the texts without a shuffle of
+    # texts, and the join by key leaves out what a full map lets through.
     wanted = dealt.select(*KEYS).distinct().join(least, KEYS)
-    ids = stored(wanted.select(F.col("least").alias("id")).distinct(), "join-ids")
-    whole = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(
-        _sets(width), "a long, b long, shingles binary"
+    ids = stored(wanted.select(F.xxhash64("least").alias("unit")).distinct(), "join-ids")
+    whole = docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(
+        _sets(width, _hash_map(ids)), "a long, b long, shingles binary"
     )
     whole = stored(whole, "join-whole").dropDuplicates(KEYS)
     ready = dealt.join(whole, KEYS).select("unit", "left", "right", *KEYS, "block", "shingles", "n")

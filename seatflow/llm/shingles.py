@@ -92,18 +92,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> I
 
     A shingle is ``width`` words in a row; a text with fewer words is one shingle as a whole.
     """
-    words, counts = word_hashes(data, offsets)
-    ends = np.cumsum(counts)
-    if len(words) >= width:
-        runs = np.zeros(len(words) - width + 1, np.uint64)
-        for i in range(width):
-            runs = mix(runs * np.uint64(3) + words[i : len(words) - width + 1 + i] + np.uint64(i))
-    for text in np.flatnonzero(counts):
-        n, end = int(counts[text]), int(ends[text])
-        if n >= width:
-            yield int(text), np.unique(runs[end - n : end - width + 1])
-        else:
-            whole = np.array([n], np.uint64)
-            for i in range(end - n, end):
-                whole = mix(whole * np.uint64(5) + words[i : i + 1])
-            yield int(text), whole
+    first = 0
+    while first < len(offsets) - 1:  # a piece of texts at a time, so that little is held
+        upto = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        words, counts = word_hashes(data, offsets[first : upto + 1])
+        ends = np.cumsum(counts)
+        if len(words) >= width:
+            runs = np.zeros(len(words) - width + 1, np.uint64)
+            for i in range(width):
+                runs = mix(runs * np.uint64(3) + words[i : len(words) - width + 1 + i] + np.uint64(i))
+        for text in np.flatnonzero(counts):
+            n, end = int(counts[text]), int(ends[text])
+            if n >= width:
+                yield first + int(text), np.unique(runs[end - n : end - width + 1])
+            else:
+                whole = np.array([n], np.uint64)
+                for i in range(end - n, end):
+                    whole = mix(whole * np.uint64(5) + words[i : i + 1])
+                yield first + int(text), whole
+        first = upto
