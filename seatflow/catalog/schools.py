@@ -75,6 +75,19 @@ def stored_general(spark, sf):
     return tables(spark, sf)["dim_school_generalinfo"]
 
 
+@query(
+    "staged_schools",
+    """SELECT CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) || ' SCHOOL'
+        WHEN s_suppkey % 5 = 0 THEN upper(s_name) || chr(39) || 'S' ELSE upper(s_name) END AS school_name_clean,
+      CASE WHEN s_suppkey % 4 <> 0 THEN '6' || s_suppkey END AS telephone_no, true AS loaded_just_now FROM supplier""",
+)
+def staged_schools(spark, sf):
+    """All schools as they are staged, with the time of the load."""
+    staged = ballots.stage_schools(S.raw_schools(spark, sf))
+    recent = F.col("loaded_at").between(F.current_timestamp() - F.expr("INTERVAL 1 HOUR"), F.current_timestamp())
+    return staged.select("school_name_clean", "telephone_no", recent.alias("loaded_just_now"))
+
+
 DIM_COLUMNS = (
     "school_key school_name_clean address postal_code dgp_code zone_code type_code nature_code "
     "session_code sap_ind autonomous_ind gifted_ind ip_ind mothertongue1_code school_status "

@@ -36,7 +36,7 @@ from seatflow.operators import trends
 from seatflow.operators.lookups import attach, map_or_keep, merge_dimension, split_dimension
 from seatflow.operators.ranking import keep_latest
 from seatflow.schemas import SCHOOL_CONTACT_COLUMNS, SCHOOL_FLAG_COLUMNS, SCHOOL_TEXT_COLUMNS
-from seatflow.sources.tables import overwrite_partitioned, replace_partitions
+from seatflow.sources.tables import overwrite_partitioned, replace_partitions, with_audit
 
 # Fixed values of the admission data.
 PRIMARY_LEVELS = ("PRIMARY", "MIXED LEVEL (P1-S4)")
@@ -67,19 +67,21 @@ class Seeds:
 
 
 def stage_schools(raw: DataFrame) -> DataFrame:
-    """All schools with the missing-value word turned into NULL."""
-    return raw.select(
-        *[scrub(F.col(c)).alias(c) for c in SCHOOL_TEXT_COLUMNS],
-        canonical(F.col("school_name")).alias("school_name_clean"),
-        "postal_code",
-        *SCHOOL_FLAG_COLUMNS,
+    """All schools with the missing-value word turned into NULL, and the time of the load."""
+    return with_audit(
+        raw.select(
+            *[scrub(F.col(c)).alias(c) for c in SCHOOL_TEXT_COLUMNS],
+            canonical(F.col("school_name")).alias("school_name_clean"),
+            "postal_code",
+            *SCHOOL_FLAG_COLUMNS,
+        )
     )
 
 
 def stage_primary_schools(raw: DataFrame) -> DataFrame:
     schools = stage_schools(raw).filter(F.col("mainlevel_code").isin(*PRIMARY_LEVELS))
     return schools.withColumn("type_code", recode(F.col("type_code"), TYPE_NAMES)).drop(
-        "school_name"
+        "school_name", "loaded_at"
     )
 
 
