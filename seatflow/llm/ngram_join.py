@@ -294,36 +294,41 @@ def _node() -> Column:
 def _dealt(members: DataFrame) -> DataFrame:
     """What a task has to search at a time: unit, left, right, block, n and key of each member.
 
-    Units that hang together by their members become one, so that a set is sent once, unless
-    the whole would be too big for a task. Then each unit stays by itself (of equal units only
-    one), split into parts if it has to be, and a member goes to all pairs of parts that its
-    own part is one of.
+    Units that hang together by their members are searched as one, so that a set is sent once.
+    If the whole is too big for a task, its members are dealt to parts, and each is sent to all
+    pairs of parts that its own part is one of. Where that would send more than each unit by
+    itself (of equal units only one, and in parts if need be), the units stay as they are.
     """
     first = members.groupBy("unit").agg(F.min("node").alias("v"))
     edges = members.join(first, "unit").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
     roots = component_roots(edges).withColumnRenamed("root", "whole")
     members = members.join(roots, "node", "left").withColumn("whole", F.coalesce("whole", "node"))
+    members = stored(members.select("whole", "unit", "node", "n"), "join-linked")
+    parts = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
     sets = members.select("whole", "node", "n").distinct()
-    sizes = stored(sets.groupBy("whole").agg(F.sum("n").alias("shingles")), "join-wholes")
-    fits = F.col("shingles") <= BLOCK_SHINGLES
-    whole = sets.join(sizes.where(fits), "whole").select(
-        F.xxhash64("whole").alias("unit"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("block"),
-        "n", "node.*",
-    )
-    big = members.join(sizes.where(~fits).select("whole"), "whole").select("unit", "n", "node")
-    units = big.groupBy("unit").agg(
+    sizes = sets.groupBy("whole").agg(F.sum("n").alias("shingles"))
+    sizes = stored(sizes.select("whole", "shingles", parts.alias("parts")), "join-wholes")
+    big = members.join(sizes.where("parts > 1").select("whole"), "whole")
+    units = big.groupBy("whole", "unit").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.sum("n").alias("shingles")
     )
-    units = units.where("size > 1").groupBy("size", "nodes", "shingles").agg(F.min("unit").alias("unit"))
-    parts = units.select("unit", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    big = big.join(parts, "unit").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return whole.unionByName(
-        big.select(
-            "unit", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-            "block", "n", "node.*",
-        )
+    units = units.where("size > 1").groupBy("whole", "size", "nodes", "shingles").agg(F.min("unit").alias("unit"))
+    units = stored(units.select("whole", "unit", "shingles", parts.alias("parts")), "join-single")
+    apart = units.groupBy("whole").agg(F.sum(F.col("shingles") * F.col("parts")).alias("sent"))
+    sizes = sizes.join(apart, "whole", "left").withColumn(
+        "together", (F.col("parts") == 1) | (F.col("shingles") * F.col("parts") <= F.col("sent"))
+    )
+    whole = sets.join(sizes.where("together").select("whole", "parts"), "whole").select(
+        F.xxhash64("whole").alias("unit"), "parts", "n", "node"
     )
+    left = units.join(sizes.where("not together").select("whole"), "whole").select("unit", "parts")
+    single = big.select("unit", "n", "node").join(left, "unit").select("unit", "parts", "n", "node")
+    dealt = whole.unionByName(single).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(
+        "unit", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+        "block", "n", "node.*",
+    )
 
 
 def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:

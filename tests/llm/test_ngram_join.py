@@ -57,10 +57,12 @@ def corpus(seed, n=150):
     return rows + [(2001, None), (2002, ""), (2003, " \n"), rows[5], (2004, "a b"), (2005, "A  B"), (2006, "a b c")]
 
 
-@pytest.mark.parametrize(("seed", "percent", "width"), [(1, 90, 3), (2, 80, 5), (3, 90, 3)])
+@pytest.mark.parametrize(("seed", "percent", "width"), [(1, 90, 3), (2, 80, 5), (3, 90, 3), (4, 90, 3)])
 def test_groups(spark, rows, monkeypatch, seed, percent, width):
-    if seed == 3:  # blocks of a few texts that meet two at a time
+    if seed == 3:  # parts of a few texts that meet two at a time
         monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
+    if seed == 4:  # parts so small that units are better left as they are
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 20)
     data = corpus(seed)
     frame = rows([(i, t, 1, 2) for i, t in data], "doc_id long, text string, unit int, a int").repartition(3)
     got = ngram_join.join_groups(frame, percent, width).collect()
