@@ -33,8 +33,8 @@ from seatflow.llm.shingles import WIDTH, mix, shingle_sets
 PERCENT = 90
 #: Sizes of sets that are cut into the same blocks differ by this factor at most.
 SIZE_STEP = 1.5
-#: Blocks beyond those that are needed, and so empty blocks that a set may have without
-#: having to say so.
+#: Blocks beyond those that are needed: this many, and a quarter of the differences. A set
+#: leaves out so many of its smallest blocks.
 SPARE = 2
 #: Bits of the map by which block hashes that occur once are left out before a join. 4 MB,
 #: whatever the corpus; a full map leaves out nothing and changes no result.
@@ -71,9 +71,10 @@ def block_hashes(found: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the blocks of a sorted set, one of which any similar but different set shares.
 
     The class of the larger of two similar sets fixes the cut, so a set is cut for its own
-    class and for those that a larger partner can be in. With d differences and d + 1 + SPARE
-    blocks, 1 + SPARE blocks or more are equal. Empty ones are told only by sets that have
-    more than SPARE of them; of two sets, one of which has fewer, an equal block is not empty.
+    class and for those that a larger partner can be in. With d differences and s blocks more
+    than d + 1, at least s + 1 blocks are equal. Of these the largest (of equal size the last)
+    cannot be among the s smallest of either set, since the other s stand before it in both;
+    so each set leaves out its s smallest blocks, of which empty ones are the first.
     """
     n = len(found)
     bounds = size_bounds(100 * n // percent)
@@ -86,13 +87,13 @@ def block_hashes(found: np.ndarray, percent: int) -> np.ndarray:
         differ = 2 * (bounds[k + 1] - 1) * (100 - percent) // (100 + percent)
         if not differ:
             continue  # only equal sets are similar
-        blocks = differ + 1 + SPARE
+        blocks = differ + 1 + differ // 4 + SPARE
         ends = np.searchsorted((high * np.uint64(blocks)) >> np.uint64(32), np.arange(1, blocks, dtype=np.uint64))
         ends = np.concatenate([[0], ends, [n]])
         names = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 40))
         hashes = mix(sums[ends[1:]] - sums[ends[:-1]] + names)
-        filled = ends[1:] > ends[:-1]
-        out.append(hashes if blocks - np.count_nonzero(filled) > SPARE else hashes[filled])
+        largest = np.argsort(ends[1:] - ends[:-1], kind="stable")[-(differ + 1) :]
+        out.append(hashes[largest])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
