@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = pieces.encode(docs, pieces.Vocabulary.load())
+    ids = pieces.encode(docs, pieces.Vocabulary.load(merges=True))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 

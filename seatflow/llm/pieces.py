@@ -11,6 +11,12 @@ known, each chunk is traced back on its own.
 All other texts are one chunk. No piece of such a vocabulary reaches over certain places (in
 front of a word mark, around a line feed), so the parts between them are solved one by one
 and remembered.
+
+A vocabulary made for merges has ranks for scores, which may not be summed. Its encoding still
+is one path: of all sequences of pieces it is the only one whose neighbours, merged on their
+own, stay as they are, for the first merge across a border would happen in the two pieces
+beside it as well. So a state is the whole piece at the boundary instead of its overlap, a
+step scores 0 if the two pieces fit and never otherwise, and the same products find the path.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -53,9 +60,10 @@ class Vocabulary:
     ids: dict[str, int]
     byte_ids: list[int]  # of the 256 bytes
     silent: frozenset[int]  # control and unknown pieces, which decode to nothing
+    merges: bool = False  # the scores give the order of merges and are not summed
 
     @classmethod
-    def load(cls, path: str = MODEL_PATH) -> Vocabulary:
+    def load(cls, path: str = MODEL_PATH, merges: bool = False) -> Vocabulary:
         """Pieces and scores of a SentencePiece model file that has byte pieces."""
         import sentencepiece
 
@@ -68,7 +76,7 @@ class Vocabulary:
         if not all(model.is_byte(i) for i in byte_ids):
             raise ValueError("the vocabulary has no byte pieces")
         scores = {texts[i]: float(model.get_score(i)) for i in plain}
-        return cls(texts, scores, {texts[i]: i for i in plain}, byte_ids, silent)
+        return cls(texts, scores, {texts[i]: i for i in plain}, byte_ids, silent, merges)
 
     @cached_property
     def longest(self) -> int:
@@ -132,8 +140,46 @@ class Vocabulary:
             keys[at], scores[at], ids[at] = key, score, self.ids.get(text, -1)
         return keys, scores, ids
 
+    @cached_property
+    def joins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A hash table of neighbours that together are a piece: hashes, scores and ids of what they make."""
+        ids = self.ids
+        halves = [(p, p[:n], p[n:]) for p in self.scores for n in range(1, len(p)) if p[:n] in ids and p[n:] in ids]
+        size = 1 << max(10, (4 * len(halves)).bit_length())
+        keys, scores, made = np.zeros(size, np.uint64), np.full(size, NEVER), np.full(size, -1, np.int32)
+        taken = {}
+        for piece, left, right in halves:
+            key = (ids[left] * len(self.texts) + ids[right] + 1) * _FACTOR % (1 << 64)
+            at = key >> 64 - (size.bit_length() - 1)
+            while at in taken:
+                at = (at + 1) % size
+            taken[at] = key, self.scores[piece], ids[piece]
+        at = np.fromiter(taken, np.int64, len(taken))
+        for column, values in zip((keys, scores, made), zip(*taken.values(), strict=True), strict=False):
+            column[at] = np.array(values, column.dtype)
+        return keys, scores, made
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (never if there is none) and ids of the pieces that neighbours make."""
+        hashes = (left.astype(np.uint64) * np.uint64(len(self.texts)) + right.astype(np.uint64) + np.uint64(1)) * np.uint64(_FACTOR)
+        at = _found(self.joins, hashes.ravel()).reshape(hashes.shape)
+        return np.where(at >= 0, self.joins[1][at], NEVER), self.joins[2][at]
+
+    @cached_property
+    def fitting(self) -> dict[tuple[str, str], bool]:
+        return {}
+
+    def fits(self, left: str, right: str) -> bool:
+        """Whether neighbours stay as they are when they are merged on their own; nothing may come in front."""
+        found = self.fitting.get((left, right))
+        if found is None:
+            if len(self.fitting) >= REMEMBERED:
+                self.fitting.clear()
+            found = self.fitting[left, right] = merged(left + right, self) == ([left, right] if left else [right])
+        return found
+
     def __getstate__(self) -> dict:
-        names = ("texts", "scores", "ids", "byte_ids", "silent")
+        names = ("texts", "scores", "ids", "byte_ids", "silent", "merges")
         return {k: self.__dict__[k] for k in names}
 
     def arcs(self, text: str, start: int) -> list[tuple[int, float]]:
@@ -235,6 +281,58 @@ def best_paths(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, li
     return best[size], ids
 
 
+def merged(text: str, vocabulary: Vocabulary) -> list[str]:
+    """The pieces that merging leaves: neighbours that together are a piece of the highest score
+    are merged first, of equal ones those in front."""
+    size, score = len(text), vocabulary.scores.get
+    ends, before = list(range(1, size + 1)), list(range(-1, size - 1))  # by start; an end of 0: merged into another
+    heap = [(-found, i, i + 1, i + 2) for i in range(size - 1) if (found := score(text[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, left, right, end = heappop(heap)
+        if ends[left] != right or ends[right] != end:
+            continue
+        ends[left], ends[right] = end, 0
+        if left and (found := score(text[before[left] : end])) is not None:
+            heappush(heap, (-found, before[left], left, end))
+        if end < size:
+            before[end] = left
+            if (found := score(text[left : ends[end]])) is not None:
+                heappush(heap, (-found, left, end, ends[end]))
+    return [text[start:end] for start, end in enumerate(ends) if end]
+
+
+def merged_together(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
+    """``merged`` of texts of one length whose characters all are pieces, a merge of each at a
+    time: a matrix with the ids of the pieces, -1 in front where there are fewer."""
+    n, size = len(texts), len(texts[0])
+    letters, which = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True)
+    here = np.array([vocabulary.ids[chr(c)] for c in letters], np.int32)[which].reshape(n, size)
+    score, made = vocabulary.joined(here[:, :-1], here[:, 1:])
+    ids, rows = np.full((n, size), -1, np.int32), np.arange(n)
+    for left in range(size, 1, -1):
+        at = score.argmax(axis=1)
+        go = score[np.arange(len(rows)), at] > NEVER
+        ids[rows[~go], size - left :] = here[~go]
+        rows, here, score, made, at = (x[go] for x in (rows, here, score, made, at))
+        k = np.arange(len(rows))
+        here[k, at] = made[k, at]
+        stay = np.ones(here.shape, bool)
+        stay[k, at + 1] = False
+        here = here[stay].reshape(len(k), left - 1)
+        stay = np.ones(score.shape, bool)
+        stay[k, at] = False
+        score, made = (x[stay].reshape(len(k), left - 2) for x in (score, made))
+        for near in (at - 1, at):
+            ok = (near >= 0) & (near < left - 2)
+            row, pair = k[ok], near[ok]
+            score[row, pair], made[row, pair] = vocabulary.joined(here[row, pair], here[row, pair + 1])
+        if not len(rows):
+            return ids
+    ids[rows, size - 1 :] = here
+    return ids
+
+
 class Memory(dict):
     """Solved parts: each has a number, under which its ids and its score are kept.
 
@@ -263,16 +361,22 @@ class Memory(dict):
         for length, some in by.items():
             self.update(zip(some, range(len(self), len(self) + len(some)), strict=True))
             if length:
-                score, matrix = best_paths(some, self.vocabulary)
+                if self.vocabulary.merges:
+                    score, matrix = np.zeros(len(some)), merged_together(some, self.vocabulary)
+                else:
+                    score, matrix = best_paths(some, self.vocabulary)
                 used = matrix >= 0
                 ids.append(matrix[used])
                 sizes.append(used.sum(axis=1))
                 scores.append(score)
             else:
                 for part in some:
-                    score, ends = best_path(part, self.vocabulary)
-                    starts = [0, *ends[:-1]]
-                    spelled = [x for a, b in zip(starts, ends, strict=True) for x in self.vocabulary.spell(part[a:b])]
+                    if self.vocabulary.merges:
+                        score, pieces = 0.0, merged(part, self.vocabulary)
+                    else:
+                        score, ends = best_path(part, self.vocabulary)
+                        pieces = [part[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                    spelled = [x for piece in pieces for x in self.vocabulary.spell(piece)]
                     ids.append(np.array(spelled, np.int32))
                     sizes.append(np.array([len(spelled)]))
                     scores.append(np.array([score]))
@@ -314,7 +418,7 @@ _MEMORIES: dict[int, Memory] = {}
 
 def memory_of(vocabulary: Vocabulary) -> Memory:
     """A worker keeps its solved parts from task to task."""
-    key = hash((tuple(vocabulary.scores.items())[:1000], len(vocabulary.texts)))
+    key = hash((tuple(vocabulary.scores.items())[:1000], len(vocabulary.texts), vocabulary.merges))
     if key not in _MEMORIES:
         _MEMORIES.clear()
         _MEMORIES[key] = Memory(vocabulary)
@@ -414,6 +518,103 @@ class Chunk:
         )
 
 
+@dataclass
+class MergeChunk(Chunk):
+    """A chunk for merges, with the characters in front that pieces may start at (none at the text's start).
+
+    A state is a piece that starts before a boundary and ends there or behind. Nodes are counted
+    from the body's start; a node has the starts of the pieces that end there, and with each as
+    bits the states at the chunk's start that a path comes from.
+    """
+
+    behind: str
+
+    def states(self, vocabulary: Vocabulary, at: int) -> list[tuple[int, int]]:
+        """(characters before, characters behind) of all pieces at a node; (0, 0) at the text's start."""
+        text, node = self.behind + self.body + self.ahead, len(self.behind) + at
+        if not node:
+            return [(0, 0)]
+        longest = vocabulary.longest
+        return [
+            (back, over)
+            for back in range(1, min(longest, node) + 1)
+            for over in range(min(longest - back, len(text) - node) + 1)
+            if back + over == 1 or text[node - back : node + over] in vocabulary.scores
+        ]
+
+    def paths(
+        self, vocabulary: Vocabulary, nodes: dict[int, dict[int, int]], low: int, high: int
+    ) -> dict[int, dict[int, int]]:
+        """The nodes that pieces which start from ``low`` up to ``high`` reach from those given."""
+        text, offset = self.behind + self.body + self.ahead, len(self.behind)
+        for node in range(low, high):
+            here = [(text[offset + start : offset + node], bits) for start, bits in nodes.get(node, {}).items()]
+            for end, _ in vocabulary.arcs(text, offset + node) if here else ():
+                piece, bits = text[offset + node : end], 0
+                for left, some in here:
+                    if vocabulary.fits(left, piece):
+                        bits |= some
+                if bits:
+                    nodes.setdefault(end - offset, {})[node] = bits
+        return nodes
+
+    def head(self, vocabulary: Vocabulary, end: int, first: np.ndarray | None = None) -> dict[int, dict[int, int]]:
+        """The nodes up to an end, from all states or from those that ``first`` reaches."""
+        nodes: dict[int, dict[int, int]] = {}
+        for n, (back, over) in enumerate(self.states(vocabulary, 0)):
+            if first is None or first[n] > NEVER:
+                nodes.setdefault(over, {})[-back] = 1 << n
+        return self.paths(vocabulary, nodes, 0, end)
+
+    def tail(self, vocabulary: Vocabulary, high: int) -> dict[int, dict[int, int]]:
+        return self.paths(vocabulary, {high: {high: 1}}, high, len(self.body))
+
+    def transfer(self, vocabulary: Vocabulary, cut: tuple[int, int] | None, middle: float) -> np.ndarray:
+        rows, size = np.arange(len(self.states(vocabulary, 0))), len(self.body)
+        last = [(size + over, size - back) for back, over in self.states(vocabulary, size)]
+        scores = lambda bits, n: np.array([0.0 if bits >> i & 1 else NEVER for i in range(n)])
+        if cut is None:
+            nodes = self.head(vocabulary, size)
+            return np.stack([scores(nodes.get(end, {}).get(start, 0), len(rows)) for end, start in last], 1)
+        low, high = cut
+        bits = 0
+        for some in self.head(vocabulary, low).get(low, {}).values():
+            bits |= some
+        tail = self.tail(vocabulary, high)
+        ends = np.array([0.0 if tail.get(end, {}).get(start) else NEVER for end, start in last])
+        return scores(bits, len(rows))[:, None] + (middle + ends)[None, :]
+
+    def origins(self, vocabulary: Vocabulary, first: np.ndarray) -> list[int]:
+        matrix = self.transfer(vocabulary, self.cuts(vocabulary), 0.0)
+        found = first[: len(matrix), None] + matrix
+        return [int(n) if best > NEVER else -1 for n, best in zip(found.argmax(axis=0), found.max(axis=0), strict=True)]
+
+    def trace(
+        self, vocabulary: Vocabulary, cut: tuple[int, int] | None, middle: np.ndarray, first: np.ndarray, state: int
+    ) -> list[int]:
+        size = len(self.body)
+        back, over = self.states(vocabulary, size)[state]
+        if cut is None:
+            return self.spelled(vocabulary, self.head(vocabulary, size, first), size - back, size + over, 0)
+        low, high = cut
+        head = self.head(vocabulary, low, first)
+        return (
+            self.spelled(vocabulary, head, next(iter(head[low])), low, 0)
+            + middle.tolist()
+            + self.spelled(vocabulary, self.tail(vocabulary, high), size - back, size + over, high)
+        )
+
+    def spelled(self, vocabulary: Vocabulary, nodes: dict[int, dict[int, int]], start: int, end: int, low: int) -> list[int]:
+        """Ids on the path to a piece, of the pieces that start from ``low`` on; each fits one in front."""
+        text, offset, pieces = self.behind + self.body + self.ahead, len(self.behind), []
+        while low <= start < end:
+            piece = text[offset + start : offset + end]
+            pieces.append(piece)
+            before = next(x for x in nodes[start] if vocabulary.fits(text[offset + x : offset + start], piece))
+            start, end = before, start
+        return list(chain.from_iterable(vocabulary.spell(p) for p in reversed(pieces)))
+
+
 def _origin(back: np.ndarray, node: int) -> int:
     while back[node, 0] >= 0:
         node = back[node, 0]
@@ -444,7 +645,22 @@ def scan(matrices: np.ndarray) -> np.ndarray:
 
 def _shifted(out: np.ndarray, step: int) -> np.ndarray:
     left, right = out[:-step], out[step:]
-    return np.concatenate([max_plus(left[i : i + 1024], right[i : i + 1024]) for i in range(0, len(left), 1024)])
+    some = max(1, (1 << 22) // out.shape[1] ** 3)
+    return np.concatenate([max_plus(left[i : i + some], right[i : i + some]) for i in range(0, len(left), some)])
+
+
+def stacked(matrices: list[bytes], states: int) -> np.ndarray:
+    """Matrices of one row after the other, the first from so many states; of fewer states than
+    the largest get states that nothing reaches."""
+    found = []
+    for data in matrices:
+        found.append(np.frombuffer(data, np.float64).reshape(states, -1))
+        states = found[-1].shape[1]
+    most = max(n for x in found for n in x.shape)
+    out = np.full((len(found), most, most), NEVER)
+    for to, x in zip(out, found, strict=True):
+        to[: x.shape[0], : x.shape[1]] = x
+    return out
 
 
 def _lists(ids: list[list[int]]) -> pa.Array:
@@ -483,7 +699,7 @@ PLACE = "row long, place long, places long"
 
 
 def _split(chunk_chars: int, ahead: int):
-    """Chunks of normalized texts, with what their last pieces may reach."""
+    """Chunks of normalized texts, with what their last pieces may reach and their first ones start at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -498,14 +714,15 @@ def _split(chunk_chars: int, ahead: int):
                         pa.array([len(starts)] * len(some), pa.int64()),
                         pa.array([text[i : i + chunk_chars] for i in some], pa.string()),
                         pa.array([text[i + chunk_chars : i + chunk_chars + ahead] for i in some], pa.string()),
-                    ], ["row", "place", "places", "body", "ahead"])
+                        pa.array([text[max(0, i - ahead - 1) : i] for i in some], pa.string()),
+                    ], ["row", "place", "places", "body", "ahead", "behind"])
 
     return run
 
 
-def _chunks(batch: pa.RecordBatch) -> list[Chunk]:
-    columns = batch.column("body").to_pylist(), batch.column("ahead").to_pylist()
-    return [Chunk(body, ahead) for body, ahead in zip(*columns, strict=True)]
+def _chunks(batch: pa.RecordBatch, vocabulary: Vocabulary) -> list[Chunk]:
+    kind, names = (MergeChunk, ["body", "ahead", "behind"]) if vocabulary.merges else (Chunk, ["body", "ahead"])
+    return [kind(*x) for x in zip(*(batch.column(name).to_pylist() for name in names), strict=True)]
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -518,13 +735,13 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> DataFrame:
     """``row, ids`` of ``row, text``: three passes over the chunks, with two scans between them."""
     states = vocabulary.longest
-    chunks = giants.mapInArrow(_split(chunk_chars, states - 1), f"{PLACE}, body string, ahead string")
+    chunks = giants.mapInArrow(_split(chunk_chars, states - 1), f"{PLACE}, body string, ahead string, behind string")
     chunks = stored(chunks, "piece-chunks")
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(vocabulary)
         for batch in _few(batches):
-            chunks_ = _chunks(batch)
+            chunks_ = _chunks(batch, vocabulary)
             cuts = [c.cuts(vocabulary) for c in chunks_]
             scores = memory.score([c.middle(cut) for c, cut in zip(chunks_, cuts, strict=True)])
             found = [c.transfer(vocabulary, *x).tobytes() for c, *x in zip(chunks_, cuts, scores, strict=True)]
@@ -533,8 +750,8 @@ def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> Data
     def reached(table: pa.Table) -> pa.Table:
         """Best scores of the states at the start of each chunk, over all that comes before it."""
         table = table.sort_by("place")
-        stack = np.frombuffer(b"".join(x.as_py() for x in table["matrix"]), np.float64).reshape(-1, states, states)
-        unit = np.full((1, states), NEVER)
+        stack = stacked(table["matrix"].to_pylist(), 1 if vocabulary.merges else states)
+        unit = np.full((1, stack.shape[1]), NEVER)
         unit[0, 0] = 0.0
         firsts = np.concatenate([unit, scan(stack)[:-1, 0]])
         return pa.table({"row": table["row"], "place": table["place"], "first": [x.tobytes() for x in firsts]})
@@ -546,15 +763,16 @@ def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> Data
     def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             firsts = [np.frombuffer(x.as_py(), np.float64) for x in batch.column("first")]
-            found = [c.origins(vocabulary, f) for c, f in zip(_chunks(batch), firsts, strict=True)]
+            found = [c.origins(vocabulary, f) for c, f in zip(_chunks(batch, vocabulary), firsts, strict=True)]
             place = [batch.column("row"), batch.column("place")]
             yield pa.RecordBatch.from_arrays([*place, pa.array(found, pa.list_(pa.int64()))], ["row", "place", "origins"])
 
     def passed(table: pa.Table) -> pa.Table:
         """The state at the end of each chunk on the best path, found from the last one back."""
         table = table.sort_by("place")
-        state, ends = 0, []
-        for origin in reversed(table["origins"].to_pylist()):
+        origins_, ends = table["origins"].to_pylist(), []
+        state = next(i for i, origin in enumerate(origins_[-1]) if origin >= 0)
+        for origin in reversed(origins_):
             ends.append(state)
             state = origin[state]
         return pa.table({"row": table["row"], "place": table["place"], "state": pa.array(ends[::-1], pa.int64())})
@@ -565,7 +783,7 @@ def _giants(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> Data
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(vocabulary)
         for batch in _few(batches):
-            chunks_ = _chunks(batch)
+            chunks_ = _chunks(batch, vocabulary)
             cuts = [c.cuts(vocabulary) for c in chunks_]
             flat, sizes = memory.ids([c.middle(cut) for c, cut in zip(chunks_, cuts, strict=True)])
             middles = np.split(flat, np.cumsum(sizes)[:-1])

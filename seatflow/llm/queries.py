@@ -167,7 +167,7 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @catalog.query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Piece ids of all documents, and whether they spell the text again."""
-    vocabulary = pieces.Vocabulary.load()
+    vocabulary = pieces.Vocabulary.load(merges=True)
     encoded = pieces.encode(table(spark, sf, "documents"), vocabulary, decoded=True)
     return encoded.select(
         "doc_id",

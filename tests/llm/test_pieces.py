@@ -162,3 +162,48 @@ def test_decoded_with_the_ids(spark, rows, vocabulary):
     assert {r["doc_id"]: r["decoded"] for r in got.collect()} == {i: t or "" for i, t in enumerate(texts())}
     spelled = P.decode(rows([(1, None), (2, []), (3, [3 + 0xFF])], "doc_id long, ids array<int>"), vocabulary)
     assert [r["decoded"] for r in spelled.orderBy("doc_id").collect()] == ["", "", ""]
+
+
+@pytest.fixture(scope="module")
+def merging():
+    return P.Vocabulary.load(merges=True)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    """The public library on the model as it is, which merges."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=P.MODEL_PATH)
+
+
+def test_merges_give_the_ids_of_the_given_tokenizer(merging, tokenizer):
+    import duckdb
+
+    given = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall() if t]
+    given += [t for t in [*ODD, *texts()] if t]
+    memory = P.Memory(merging)
+    ids, sizes = memory.ids([P.normalized(t) for t in given])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == tokenizer.encode(given)
+    for text in [*ODD, *texts()]:
+        if text:
+            assert [i for p in P.merged(P.normalized(text), merging) for i in merging.spell(p)] == tokenizer.encode(text)
+
+
+@pytest.mark.parametrize("chunk", [5, 17, 40, 1000])
+def test_chunks_do_not_change_merges(spark, rows, merging, tokenizer, chunk):
+    rng = random.Random(6)
+    more = ["".join(rng.choice("eethrsan tio") for _ in range(200)) for _ in range(20)] + ["e" * 200, " " * 77 + "x", "-" * 131]
+    data = list(enumerate([*texts(), *more]))
+    got = P.encode(rows(data, "doc_id long, text string"), merging, chunk, decoded=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: tokenizer.encode(t or "") for i, t in data}
+    assert {r["doc_id"]: r["decoded"] for r in got} == {i: t or "" for i, t in data}
+    assert len(got) == len(data)
+
+
+def test_query_gives_the_ids_of_the_given_tokenizer(spark, tokenizer):
+    from seatflow.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: tokenizer.encode(r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["ids"] for r in QUERIES["op8_sentencepiece"](spark, sf).collect()} == want
