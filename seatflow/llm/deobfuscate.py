@@ -1,8 +1,8 @@
 """Toxicity: a noisy-channel decoder undoes disguised spelling, then the restored text is scored.
 
 The channel knows three disguises: letters replaced by look-alike signs (leetspeak), letters
-set apart by spaces or marks, and letters repeated three times or more. A token in which one
-of them may be at work spans a lattice of readings; Viterbi takes the likeliest under a
+set apart by spaces or marks, and letters repeated three times or more, also all at once. A token
+in which any may be at work spans a lattice of readings; Viterbi takes the likeliest under a
 character trigram model counted over the whole corpus. All other tokens have one reading.
 The restored words are then looked up in a lexicon learned from labelled texts.
 """
@@ -27,8 +27,13 @@ LOOKALIKES = {
 }
 #: Marks that may be set between single letters.
 APART = set(" .-_*~/\\,:;'`^")
+_APART = "".join(sorted(APART))
 #: Marks dropped at the ends of a token: these end sentences and quote, they spell nothing.
 EDGE = ".,;:!?\"'()[]{}<>*#%&|~^`_-=/\\…«»„“”’‘–—"
+#: Those of them, and the space, that are no look-alikes.
+_BARE = "".join(c for c in EDGE if c not in LOOKALIKES) + " "
+#: Look-alikes that a token without letters must have to be read as a word.
+LEAST_SIGNS = 3
 
 #: Symbols of the character model: 0 for anything between words, 1 to 26 for a to z, other
 #: letters by code point in the rest.
@@ -41,8 +46,10 @@ THRESHOLD = 0.5
 CACHED = 300_000
 
 _RUN = re.compile(r"(.)\1\1")
-_EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
-_SPELLED = re.compile(r"^\w(?:[ .\-_*~/\\,:;'`^]\w){2,}$")
+_EDGE_RUN = re.compile(r"^([^\w\s@$+€])\1{2,}|([^\w\s])\2{2,}$")
+#: Single letters, digits or look-alikes, also repeated, with any number of marks between them.
+_SIGNS, _MARKS = (re.escape("".join(x)) for x in ([c for c in LOOKALIKES if not c.isdigit()], _APART))
+_SPELLED = re.compile(rf"^(?:([^\W_]|[{_SIGNS}])\1*(?:[{_MARKS}]+|$)){{3,}}$")
 
 
 def symbol(char: str) -> int:
@@ -92,33 +99,39 @@ def character_model(documents: DataFrame) -> np.ndarray:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings of each character: ("" or a letter or " ", log cost)."""
+    """Readings of each character: ("" or a letter or " ", log cost).
+
+    Marks in a row are removed at the cost of one.
+    """
     spelled = bool(_SPELLED.match(token))
+    repeated = _repeated(token, spelled)
     out = []
     for i, c in enumerate(token):
         if c.isalpha():
             ways = [(c, 0.0)]
-            if i and token[i - 1] == c and _in_run(token, i):
-                ways.append(("", COLLAPSED))
         else:
             ways = [(" ", KEPT if c in LOOKALIKES else 0.0)]
             ways += [(x, REPLACED) for x in LOOKALIKES.get(c, "")]
             if spelled and c in APART:
-                ways.append(("", REMOVED))
+                ways.append(("", 0.0 if i and token[i - 1] in APART else REMOVED))
+        if i in repeated:
+            ways.append(("", COLLAPSED))
         out.append(ways)
     return out
 
 
-def _in_run(token: str, i: int) -> bool:
-    """Whether the character is part of a run of three or more."""
-    c = token[i]
-    left = i
-    while left and token[left - 1] == c:
-        left -= 1
-    right = i
-    while right + 1 < len(token) and token[right + 1] == c:
-        right += 1
-    return right - left >= 2
+def _repeated(token: str, spelled: bool) -> set[int]:
+    """Places of letters and look-alikes in a run of three or more, but for its first; in a word
+    that is spelled out, the marks between do not end a run."""
+    places = [i for i, c in enumerate(token) if not (spelled and c in APART)]
+    out, start = set(), 0
+    for k in range(1, len(places) + 1):
+        c = token[places[start]]
+        if k == len(places) or token[places[k]] != c:
+            if k - start >= 3 and (c.isalpha() or c in LOOKALIKES):
+                out.update(places[start + 1 : k])
+            start = k
+    return out
 
 
 def restore(token: str, model: np.ndarray) -> str:
@@ -150,10 +163,11 @@ def restore(token: str, model: np.ndarray) -> str:
 
 
 def tokens_of(text: str) -> list[str]:
-    """Distinct lower-case tokens; three or more single characters in a row are one token."""
+    """Distinct lower-case tokens; three or more single characters in a row, also repeated or with
+    marks, are one token."""
     words = text.lower().split()
     found = set(words)
-    single = [i for i, w in enumerate(words) if len(w) == 1]
+    single = [i for i, w in enumerate(words) if len(w) == 1 or _single(w.strip(_APART))]
     start = 0
     for k in range(1, len(single) + 1):
         if k == len(single) or single[k] != single[k - 1] + 1:
@@ -163,14 +177,28 @@ def tokens_of(text: str) -> list[str]:
     return sorted(found)
 
 
+def _single(word: str) -> bool:
+    return len(word) <= 1 or (len(word) > 2 and word == word[0] * len(word))
+
+
 def words_of(token: str, model: np.ndarray) -> list[str]:
-    """The restored words of a token."""
-    core = _EDGE_RUN.sub("", token).strip(EDGE)
-    if not any(c.isalpha() for c in core):
-        return []
+    """The restored words of a token.
+
+    Look-alikes at its ends are punctuation, but of a word that is spelled out or has no letters
+    they may as well be letters: it is read both with and without them.
+    """
+    bare = _EDGE_RUN.sub("", token).strip(_BARE)
+    core = bare.strip(EDGE + " ")
     if core.isalpha() and not _RUN.search(core):
         return [core]
-    return restore(core, model).split()
+    found: list[str] = []
+    for way in dict.fromkeys((core, bare)):
+        letters = any(c.isalpha() for c in way)
+        if not letters and sum(c in LOOKALIKES for c in way) < LEAST_SIGNS:
+            continue
+        if way == core or not letters or _SPELLED.match(way):
+            found += [w for w in restore(way, model).split() if w not in found]
+    return found
 
 
 def features_of(word: str) -> list[str]:

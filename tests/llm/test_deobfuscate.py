@@ -112,3 +112,45 @@ def test_whole_corpus_is_counted(spark, rows):
     z, q = D.symbol("z"), D.symbol("q")
     assert model[z, q, z] > np.log(0.9) and model.shape == (64, 64, 64)
     assert np.allclose(np.exp(model).sum(axis=2), 1, atol=1e-3)
+
+
+@pytest.mark.parametrize(
+    ("token", "word"),
+    [
+        ("$ k a f f ! s h", "skaffish"), ("p | o n k", "plonk"), ("+.r.u.d.d.l.e", "truddle"), ("$.k.@.f.f.!.$.h", "skaffish"),
+        ("p . l . o . n . k", "plonk"), ("p-*-l-*-0-*-n-*-k", "plonk"), ("p l o o o o n k", "plonk"), ("p.l.000.n.k", "plonk"),
+        ("gr0000mble", "gromble"), ("$$$kaffish", "skaffish"), ("( p l o n k )", "plonk"), ("+@|0", "talo"),
+    ],
+)
+def test_disguises_at_once_are_undone(trained, token, word):
+    assert word in D.words_of(token, trained.model)
+
+
+def test_signs_alone_spell_words(trained):
+    assert "".join(D.words_of("+ @ | 0", trained.model)) == "talo"
+
+
+def test_letters_with_marks_in_a_row_are_one_token():
+    assert "x . p . l . o" in D.tokens_of("yes x . p . l . o no") and "x. p. l. o" in D.tokens_of("x. p. l. o yes")
+
+
+def test_many_marks_take_no_time(trained):
+    for token in ("_" * 3000 + "a b", "a" + "._" * 3000 + "?b", "a " * 3000 + "bc"):
+        assert len(D.words_of(token, trained.model)) < 5000
+
+
+@pytest.mark.parametrize(
+    "disguise",
+    [
+        lambda w: " ".join(w).replace("i", "!").replace("s", "$").replace("t", "+").replace("l", "|"),
+        lambda w: " . ".join(w),
+        lambda w: ".-.".join(w).replace("o", "0").replace("a", "@"),
+        lambda w: " ".join(w).replace("l", "l l l l"),
+    ],
+)
+def test_toxic_texts_in_two_disguises_are_caught(spark, trained, disguise):
+    data = corpus(3, 160, disguise)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in D.score(docs, trained).collect()}
+    assert np.mean([score[i] >= 0.5 for i, _, y in data if y]) >= 0.95
+    assert np.mean([score[i] < 0.5 for i, _, y in data if not y]) >= 0.98
