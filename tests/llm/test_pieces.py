@@ -207,3 +207,17 @@ def test_query_gives_the_ids_of_the_given_tokenizer(spark, tokenizer):
     sf = "/root/testdata/sf0.001"
     want = {r["doc_id"]: tokenizer.encode(r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r["doc_id"]: r["ids"] for r in QUERIES["op8_sentencepiece"](spark, sf).collect()} == want
+
+
+def test_texts_above_32768_characters_go_through_the_scan(spark, rows, merging, tokenizer, monkeypatch):
+    seen, giants = [], P._giants
+
+    def noted(frame, *rest):
+        seen.extend(len(r["text"]) for r in frame.collect())
+        return giants(frame, *rest)
+
+    monkeypatch.setattr(P, "_giants", noted)
+    data = [(i, ("many words " * 6000)[:n]) for i, n in enumerate((32_768, 32_769, 50_000))]
+    got = P.encode(rows(data, "doc_id long, text string"), merging).collect()
+    assert sorted(seen) == [32_769, 50_000]
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: tokenizer.encode(t) for i, t in data}
