@@ -23,7 +23,8 @@ ORDER = ["at", "event_id"]
 SLOT = ["user_id", "event_type", "day"]
 
 
-PARTS = ("day(ts) <= 10", "day(ts) BETWEEN 11 AND 20", "day(ts) > 20")
+PARTS = 3
+MICROS = "unix_micros(CAST(ts AS TIMESTAMP))"
 BAD = """SELECT '{"event_id":' || event_id AS value, 'malformed' AS problem FROM events WHERE event_id % 50 = 0
     UNION ALL SELECT '{"event_id":' || event_id || '}', 'no user_id' FROM events WHERE event_id % 50 = 1"""
 
@@ -47,11 +48,18 @@ def _arrive(spark, sf, path, condition):
     lines.repartition(2).write.mode("append").text(path)
 
 
+def _span(spark, sf):
+    """The least time of the events, and the length of a part, in microseconds."""
+    least, most = table(spark, sf, "events").selectExpr(f"min({MICROS})", f"max({MICROS})").first()
+    return least or 0, ((most or 0) - (least or 0)) // PARTS + 1
+
+
 def _in_parts(spark, sf, start):
     """Run a stream to the end, three times from one checkpoint: the events come by time."""
     inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
-    for part in PARTS:
-        _arrive(spark, sf, inbox, part)
+    least, length = _span(spark, sf)
+    for part in range(PARTS):
+        _arrive(spark, sf, inbox, f"({MICROS} - {least}) DIV {length} = {part}")
         run = start(E.read_lines(spark, inbox, max_files=1), out, mark)
         run.awaitTermination()
         if run.exception():
@@ -100,20 +108,21 @@ def _kept(spark, sf, run, keys, **more):
     return St.read_latest(spark, _in_parts(spark, sf, start), EVENT)
 
 
-# The events of a part come in no order, so the state has to outlast a part.
-IN_STATE = {"time": "at", "delay": "11 days"}
+def _in_state(spark, sf):
+    """The events of a part come in no order, so the state has to outlast a part."""
+    return {"time": "at", "delay": f"{_span(spark, sf)[1] // 1_000_000 + 2} seconds"}
 
 
 @query("stream_dedupe", _latest(SLOT))
 def stream_dedupe(spark, sf):
     """Latest record per slot out of the state store."""
-    return _kept(spark, sf, St.run_state, SLOT, **IN_STATE)
+    return _kept(spark, sf, St.run_state, SLOT, **_in_state(spark, sf))
 
 
 @query("stream_latest", _latest(["user_id"]))
 def stream_latest(spark, sf):
     """Latest record per user: the state keeps some days, the table all users."""
-    return _kept(spark, sf, St.run_state, ["user_id"], **IN_STATE)
+    return _kept(spark, sf, St.run_state, ["user_id"], **_in_state(spark, sf))
 
 
 @query("stream_upsert", _latest(["user_id"]))
