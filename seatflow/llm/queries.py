@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, ngram_join, pieces, prefix_forest, quality, va_file, warc
+from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, ngram_join, pieces, prefix_forest, quality, repetition
+from seatflow.llm import va_file, warc
 from seatflow.llm.common import remainder, table
 
 catalog = Catalog()
@@ -228,3 +229,43 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 def op10_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 nearest by cosine of every 50th vector against all."""
     return prefix_forest.nearest_embeddings(table(spark, sf, "embeddings"))
+
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '{SQL_WORD}') AS w FROM d
+), g AS (
+  SELECT r, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM w, (VALUES (3), (10), (101)) AS s(k) WHERE len(w) >= k
+), h AS (
+  SELECT r, k, i, md5(array_to_string(w[i : i + k - 1], ' ')) AS x FROM g
+), t AS (
+  SELECT r, k, i FROM (SELECT r, k, i, count(*) OVER (PARTITION BY r, k, x) AS n FROM h) WHERE n > 1
+), c AS (
+  SELECT r, k, count(DISTINCT i + j) AS n FROM t, range(0, 101) AS o(j) WHERE j < k AND k < 101 OR j = 0 GROUP BY r, k
+), l AS (
+  SELECT r, sum(n - 1)::BIGINT AS n FROM (
+    SELECT r, x, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d)
+    WHERE regexp_matches(x, '{SQL_WORD}') GROUP BY r, x) GROUP BY r
+), f AS (
+  SELECT w.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines, coalesce(a.n, 0) AS n_repeat_words, coalesce(b.n, 0) AS covered, e.n IS NOT NULL AS long
+  FROM w LEFT JOIN l ON w.r = l.r LEFT JOIN c AS a ON w.r = a.r AND a.k = 3
+    LEFT JOIN c AS b ON w.r = b.r AND b.k = 10 LEFT JOIN c AS e ON w.r = e.r AND e.k = 101
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * covered <= 25 * n_words AND NOT long AS kept
+FROM f
+"""
+
+
+@catalog.query("op12_quality_rules", OP12_SQL)
+def op12_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of all documents and what the rules on repetition say of them."""
+    figures = repetition.repetition(table(spark, sf, "documents"))
+    return figures.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
