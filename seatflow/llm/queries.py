@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, deobfuscate, lang_id, mixing, ngram_join, pieces, prefix_forest, quality, repetition
-from seatflow.llm import va_file, warc
+from seatflow.llm import chat_format, collocations, deobfuscate, lang_id, mixing, ngram_join, pieces, prefix_forest
+from seatflow.llm import quality, repetition, va_file, warc
 from seatflow.llm.common import remainder, table
 
 catalog = Catalog()
@@ -269,3 +269,47 @@ def op12_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return figures.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS p, lang, words FROM (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents)
+  ) WHERE len(words) > 0
+), g AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS x
+  FROM (SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(words) >= k)
+), f AS MATERIALIZED (
+  SELECT lang, k, x, string_split(x, ' ') AS w, count(*) AS f FROM g GROUP BY lang, k, x HAVING count(*) >= 30
+), t AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang
+), h AS MATERIALIZED (
+  SELECT lang, x, f AS a, cut, array_to_string(w[1 : cut], ' ') AS h1, array_to_string(w[cut + 1 : k], ' ') AS h2
+  FROM f, (VALUES (1), (2), (3)) AS s(cut) WHERE cut < k
+), c AS (
+  SELECT h.lang, h.x, a, cut, u.f AS l, v.f AS r, (2000000::HUGEINT * a) // (u.f + v.f) AS score
+  FROM h JOIN f AS u ON u.lang = h.lang AND u.x = h1 JOIN f AS v ON v.lang = h.lang AND v.x = h2
+), b AS (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, cut) = 1
+), s AS MATERIALIZED (
+  SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS x, f
+  FROM f, (VALUES (1), (2), (3)) AS s(i), (VALUES (2), (3)) AS o(j) WHERE i + j - 1 <= k AND j < k
+), m AS (
+  SELECT lang, x, max(f) AS longer FROM s GROUP BY lang, x
+), r AS (
+  SELECT b.lang, b.x AS phrase, a, l, r, n, score::BIGINT AS score
+  FROM b JOIN t ON b.lang = t.lang LEFT JOIN m ON m.lang = b.lang AND m.x = b.x
+  WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM r QUALIFY rank <= 2000
+"""
+
+
+@catalog.query("op13_collocations", OP13_SQL)
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 2000 phrases of each language by their score."""
+    return collocations.collocations(table(spark, sf, "documents"))
