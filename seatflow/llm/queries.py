@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatflow.catalog.registry import Catalog
-from seatflow.llm import chat_format, collocations, deobfuscate, lang_id, mixing, ngram_join, pieces, prefix_forest
+from seatflow.llm import alignment, chat_format, collocations, deobfuscate, lang_id, mixing, ngram_join, pieces, prefix_forest
 from seatflow.llm import quality, repetition, va_file, warc
 from seatflow.llm.common import remainder, table
 
@@ -231,6 +231,12 @@ def op10_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_forest.nearest_embeddings(table(spark, sf, "embeddings"))
 
 
+@catalog.query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, and how they are linked."""
+    return alignment.alignment_figures(table(spark, sf, "documents"), alignment.Tokenizers.load())
+
+
 OP12_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
