@@ -41,7 +41,7 @@ INSIDE_PERCENT = 80
 #: Phrases reported of a language.
 TOP = 2000
 #: Words of a shard, about; a longer text is a shard of its own.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bytes of texts that are split at a time, and symbols of a row of a stored index.
 SLICE_BYTES = 1 << 21
 ROW_SYMBOLS = 1 << 16
@@ -58,15 +58,15 @@ class Index:
     """Rows of an FM-index: first symbols, and the row in which a row's suffix goes on."""
 
     def __init__(self, bwt: np.ndarray) -> None:
-        self.first = np.repeat(np.arange(int(bwt.max()) + 1), np.bincount(bwt))
-        self.next = np.argsort(bwt, kind="stable")
+        self.first = np.repeat(np.arange(int(bwt.max()) + 1, dtype=np.int32), np.bincount(bwt))
+        self.next = np.argsort(bwt, kind="stable").astype(np.int32)
 
     def extended(self, intervals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals one word deeper: number of each row's, and the row each starts at."""
         tail = intervals[self.next]
         new = np.ones(len(tail), bool)
         new[1:] = (self.first[1:] != self.first[:-1]) | (tail[1:] != tail[:-1])
-        return np.cumsum(new) - 1, np.flatnonzero(new)
+        return np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
 
 
 def transform(symbols: np.ndarray) -> np.ndarray:
@@ -79,6 +79,15 @@ def transform(symbols: np.ndarray) -> np.ndarray:
     return symbols[order - 1]
 
 
+def _packed(symbols: np.ndarray) -> bytes:
+    """First bytes, then second bytes and so on: the high ones are mostly 0 and shrink when written."""
+    return symbols.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 class _Shard:
     """Words of texts that are gathered for one index."""
 
@@ -106,13 +115,20 @@ class _Shard:
     def rows(self, shard: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         """The index in parts, and the words of the shard with their symbols and counts."""
         ids, words = numbered(np.concatenate(self.data), np.concatenate(self.sizes))
-        pairs = np.concatenate(self.langs).astype(np.int64) * len(words) + ids
+        self.data, self.sizes = [], []
+        pairs = np.concatenate(self.langs) * len(words) + ids
         found, symbols, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        # Frequent words get small symbols, which take few bytes in a stored index.
+        order = np.argsort(-counts, kind="stable")
+        found, counts = found[order], counts[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(1, len(order) + 1, dtype=np.int32)
         last = np.concatenate(self.last)
         sequence = np.zeros(self.n + int(last.sum()), np.int32)
-        sequence[np.arange(self.n) + np.cumsum(last) - last] = symbols + 1
+        sequence[np.arange(self.n) + np.cumsum(last) - last] = place[symbols]
+        del ids, pairs, symbols, last
         bwt = transform(sequence)
-        parts = [bwt[i : i + ROW_SYMBOLS].tobytes() for i in range(0, len(bwt), ROW_SYMBOLS)]
+        parts = [_packed(bwt[i : i + ROW_SYMBOLS]) for i in range(0, len(bwt), ROW_SYMBOLS)]
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
             [
@@ -167,7 +183,7 @@ def _shards(words: int):
 
 def _index(rows: pa.Table) -> Index:
     rows = rows.sort_by("part")
-    return Index(np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in rows["bwt"]]))
+    return Index(np.concatenate([_unpacked(x.as_py()) for x in rows["bwt"]]))
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:

@@ -54,26 +54,27 @@ def suffix_order(keys: np.ndarray, keep_levels: bool = False) -> tuple[np.ndarra
 
     Every sequence has to end in a key that occurs once. Suffixes that already stand alone
     are not sorted again. Level k numbers the suffixes by their first 2**k keys; levels are
-    kept on request only.
+    kept on request only. Fewer than 2**31 keys.
     """
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     first, size = _groups(keys[order])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(first, size)
-    levels = [rank.astype(np.int32)] if keep_levels else []
-    held = np.flatnonzero(np.repeat(size > 1, size))
+    rank = np.empty(n, np.int32)
+    rank[order] = np.repeat(first.astype(np.int32), size)
+    levels = [rank.copy()] if keep_levels else []
+    held = np.flatnonzero(np.repeat(size > 1, size)).astype(np.int32)
     reach = 1
     while len(held):
         at = order[held]
-        key = rank[at] * n + rank[at + reach]
+        key = rank[at].astype(np.int64) * n + rank[at + reach]
         turn = np.argsort(key, kind="stable")
         at = at[turn]
         first, size = _groups(key[turn])
+        del key, turn
         order[held] = at
         rank[at] = np.repeat(held[first], size)
         if keep_levels:
-            levels.append(rank.astype(np.int32))
+            levels.append(rank.copy())
         held = held[np.repeat(size > 1, size)]
         reach *= 2
     return order, levels
@@ -88,7 +89,7 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     a, b = order[pairs - 1], order[pairs]
     for k in range(len(levels) - 1, -1, -1):
         same = levels[k][a] == levels[k][b]
-        step = same.astype(np.int64) << k
+        step = same.astype(np.int32) << k
         out[pairs] += step
         a, b = a + step, b + step
     return out
