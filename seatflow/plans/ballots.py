@@ -32,11 +32,12 @@ from seatflow.functions.metrics import (
     remaining_places,
     risk_tier,
 )
-from seatflow.operators import trends
+from seatflow.operators import deltas, trends
 from seatflow.operators.lookups import attach, map_or_keep, merge_dimension, split_dimension
 from seatflow.operators.ranking import keep_latest
 from seatflow.schemas import SCHOOL_CONTACT_COLUMNS, SCHOOL_FLAG_COLUMNS, SCHOOL_TEXT_COLUMNS
-from seatflow.sources.tables import overwrite_partitioned, replace_partitions, with_audit
+from seatflow.session import fresh_path
+from seatflow.sources.tables import overwrite_partitioned, replace_values, stored, with_audit
 
 # Fixed values of the admission data.
 PRIMARY_LEVELS = ("PRIMARY", "MIXED LEVEL (P1-S4)")
@@ -281,12 +282,8 @@ def mart_school_analysis(
     so rows of unknown schools, which all share the NULL key, neither mix nor
     pile up in one task.
     """
-    scoped = fact.filter(
-        F.col("phase_normalised").isin(*MART_PHASES)
-        & (F.col("registration_year") >= MART_FIRST_YEAR)
-    )
     enriched = attach(
-        scoped, dim, "school_key", ["school_key", *SCHOOL_COLUMNS, *LIFECYCLE_COLUMNS]
+        in_scope(fact), dim, "school_key", ["school_key", *SCHOOL_COLUMNS, *LIFECYCLE_COLUMNS]
     )
     code = F.col("ballot_scenario_code")
     encoded = enriched.withColumns(
@@ -348,19 +345,22 @@ def build(raw_ballots: DataFrame, raw_schools: DataFrame, seeds: Seeds, as_of=No
     return dim, dim_school_generalinfo(primary), fact, mart_school_analysis(fact, dim, as_of)
 
 
+YEAR, NAME = "registration_year", "school_name_clean"
+GROUP = [NAME, "phase_normalised"]
+
+
 def write_by_year(
     df: DataFrame, path: str, files: int | None = None, years: Sequence[int] | None = None
 ) -> None:
     """Partitioned by year and sorted by school and phase, so filters skip files and row groups.
 
     The table is replaced as a whole, so years that are gone from ``df`` leave it. With
-    ``years`` only these are replaced; of them, those without rows keep what was stored.
+    ``years`` only these are replaced; of them, those without rows become empty.
     """
-    by, sort = ["registration_year"], ["school_name_clean", "phase_normalised"]
     if years is not None:
-        replace_partitions(df.filter(F.col(by[0]).isin(*years)), path, by, sort, files)
+        replace_values(df, path, YEAR, years, GROUP, files)
     else:
-        overwrite_partitioned(df, path, by, sort, files)
+        overwrite_partitioned(df, path, [YEAR], GROUP, files)
 
 
 def build_tables(
@@ -378,16 +378,18 @@ def build_tables(
     Every table is read back before the next is built from it, so no step is
     computed twice and a lost executor costs at most one table. Tables named in
     ``keep`` are taken as they are stored: after a load of new results the two
-    dimensions, for example. Fact and mart are replaced whole; ``years`` limits
-    that to some years.
+    dimensions, for example. ``years`` says that raw results changed, came or went
+    in these years only; then the stored tables are refreshed (``refresh_tables``).
     """
+    if years is not None:
+        return refresh_tables(raw_ballots, raw_schools, seeds, path, years, as_of, threshold, keep)
     spark = raw_ballots.sparkSession
     tables: dict[str, DataFrame] = {}
 
     def store(name: str, df: DataFrame, yearly: bool = False) -> DataFrame:
         place = f"{path}/{name}"
         if name not in keep and yearly:
-            write_by_year(df, place, years=years)
+            write_by_year(df, place)
         elif name not in keep:
             df.write.mode("overwrite").parquet(place)
         tables[name] = spark.read.schema(df.schema).parquet(place)
@@ -402,3 +404,108 @@ def build_tables(
         "mart_school_analysis", mart_school_analysis(fact, dim, as_of, threshold), yearly=True
     )
     return tables
+
+
+def in_scope(fact: DataFrame) -> DataFrame:
+    return fact.filter(F.col("phase_normalised").isin(*MART_PHASES) & (F.col(YEAR) >= MART_FIRST_YEAR))
+
+
+def touched_groups(
+    old_fact: DataFrame, new_fact: DataFrame, schools: DataFrame, new_dim: DataFrame, mart: DataFrame, as_of=None
+) -> DataFrame:
+    """School, phase and first year of the groups whose mart rows may change.
+
+    Compared are the rows of the two facts (the changed years are enough), all years of
+    ``schools`` (one column, names of changed dimension rows), and the flag of the current year.
+    """
+    measured = [c for c in new_fact.columns if c not in ("balloting_key", "scraped_at")]
+    rows = deltas.changed_rows(in_scope(old_fact).select(measured), in_scope(new_fact).select(measured))
+    stale = mart.filter(F.col("is_current_year") != is_current_year(F.col(YEAR), as_of))
+    known = mart.select(*GROUP, YEAR).join(schools, NAME, "left_semi")
+    parts = [x.select(*GROUP, YEAR) for x in (rows, stale, known)]
+    return deltas.first_changes(parts[0].unionByName(parts[1]).unionByName(parts[2]), GROUP, YEAR)
+
+
+def refreshed_mart(
+    fact: DataFrame, dim: DataFrame, mart: DataFrame, touched: DataFrame, as_of=None, threshold: float = RISK_THRESHOLD
+) -> DataFrame:
+    """New rows of the touched groups from their first changed year on. The windows see all rows
+    of these groups and none of any other."""
+    groups = deltas.of_groups(fact, touched, GROUP)
+    made = mart_school_analysis(groups, dim, as_of, threshold).select(mart.columns)
+    return deltas.from_first_change(made, touched, GROUP, YEAR)
+
+
+def refresh_tables(
+    raw_ballots: DataFrame,
+    raw_schools: DataFrame,
+    seeds: Seeds,
+    path: str,
+    years: Sequence[int],
+    as_of=None,
+    threshold: float = RISK_THRESHOLD,
+    keep: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """Bring the stored tables to what a full build over the given raw data would make.
+
+    Raw results may differ from those of the last build in ``years`` only: there they may be
+    changed, new or gone. Dimensions may differ in any row, and ``as_of`` may have moved on;
+    a new ``threshold``, or seeds that change names, phases or codes of other years, need a full
+    build. Old and new rows are compared, and of the mart only
+    the groups of school and phase with a difference are computed again, from the first year
+    that differs on. Partitions without a difference are not written.
+
+    What is new is first written beside the tables; then mart, fact and dimensions are replaced
+    in this order. A run that was interrupted is repeated: whatever it left, the facts and
+    dimensions still tell which groups differ.
+    """
+    spark, years = raw_ballots.sparkSession, list(years)
+    primary = stage_primary_schools(raw_schools)
+
+    def at(name: str, like: DataFrame) -> DataFrame:
+        return spark.read.schema(like.schema).parquet(f"{path}/{name}")
+
+    def beside(df: DataFrame, name: str) -> DataFrame:
+        return stored(df, fresh_path(spark, name))
+
+    made = {"dim_school": dim_school(primary, seeds, as_of), "dim_school_generalinfo": dim_school_generalinfo(primary)}
+    old = {name: at(name, df) for name, df in made.items()}
+    new = {name: old[name] if name in keep else beside(df, f"new-{name}") for name, df in made.items()}
+    dim, known = new["dim_school"], old["dim_school"]
+    changed = known.limit(0) if "dim_school" in keep else deltas.changed_rows(known, dim)
+    schools = beside(changed.select(NAME).distinct(), "changed-schools")
+
+    # Facts of the years, and of other years those whose school came to be known or is no more.
+    loaded = fact_balloting(stage_ballots(raw_ballots, seeds), dim)
+    fact = at("fact_balloting", loaded)
+    other = fact.filter(~F.col(YEAR).isin(*years))
+    keyed = other.join(schools, NAME, "left_semi").drop("school_key")
+    keyed = attach(keyed, dim, NAME, [NAME, "school_key"]).select(fact.columns)
+    fresh = beside(loaded.filter(F.col(YEAR).isin(*years)).select(fact.columns).unionByName(keyed), "new-facts")
+    before = fact.filter(F.col(YEAR).isin(*years)).unionByName(other.join(schools, NAME, "left_semi"))
+    now = other.join(schools, NAME, "left_anti").unionByName(fresh)
+
+    like = mart_school_analysis(loaded, dim, as_of, threshold)
+    mart = at("mart_school_analysis", like)
+    touched = beside(touched_groups(before, fresh, schools, dim, mart, as_of), "touched-groups")
+    rows = beside(refreshed_mart(now, dim, mart, touched, as_of, threshold), "new-mart-rows")
+    gone = deltas.from_first_change(mart, touched, GROUP, YEAR)
+    changed_years = _years(rows.select(YEAR).unionByName(gone.select(YEAR)))
+    if changed_years:
+        kept = deltas.before_first_change(mart.filter(F.col(YEAR).isin(*changed_years)), touched, GROUP, YEAR)
+        whole = beside(kept.unionByName(rows), "new-mart")
+        replace_values(whole, f"{path}/mart_school_analysis", YEAR, changed_years, GROUP)
+    fact_years = _years(deltas.changed_rows(before, fresh).select(YEAR))
+    if fact_years:
+        whole = beside(now.filter(F.col(YEAR).isin(*fact_years)), "new-fact")
+        replace_values(whole, f"{path}/fact_balloting", YEAR, fact_years, GROUP)
+    for name, df in new.items():
+        if name not in keep:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    made |= {"fact_balloting": loaded, "mart_school_analysis": like}
+    return {name: at(name, df) for name, df in made.items()}
+
+
+def _years(rows: DataFrame) -> list[int]:
+    """The years that are met; no more than the table has partitions."""
+    return sorted(r[0] for r in rows.distinct().collect())

@@ -112,6 +112,29 @@ def replace_partitions(
     )
 
 
+def replace_values(
+    df: DataFrame,
+    path: str,
+    by: str,
+    values: Sequence,
+    sort: Sequence[str] = (),
+    files: int | None = None,
+) -> None:
+    """Replace the partitions of these values of ``by`` with the rows that ``df`` has of them.
+
+    A stored partition of a value that ``df`` lacks becomes empty. ``df`` is read twice, so it
+    should be a stored table, and not the one at ``path``. A write that failed is repeated.
+    """
+    rows = df.filter(F.col(by).isin(*values))
+    replace_partitions(rows, path, [by], sort, files)
+    held = {r[0] for r in rows.select(by).distinct().collect()}  # no more than there are values
+    empty = df.drop(by).limit(0)
+    known = df.sparkSession.read.schema(df.schema).parquet(path)
+    known = known.filter(F.col(by).isin(*[v for v in values if v not in held]))
+    for value in sorted(r[0] for r in known.select(by).distinct().collect()):
+        empty.write.mode("overwrite").parquet(f"{path}/{by}={value}")
+
+
 def overwrite_table(df: DataFrame, path: str, version: str | None = None) -> None:
     """Truncate and reload; ``version`` adds the run columns."""
     if version is not None:
