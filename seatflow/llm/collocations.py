@@ -41,7 +41,7 @@ INSIDE_PERCENT = 80
 #: Phrases reported of a language.
 TOP = 2000
 #: Words of a shard, about; a longer text is a shard of its own.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 3 << 19
 #: Bytes of texts that are split at a time, and symbols of a row of a stored index.
 SLICE_BYTES = 1 << 21
 ROW_SYMBOLS = 1 << 16
@@ -50,8 +50,8 @@ TASK_SHARDS = 1 << 12
 #: Parts of a language that are cut to TOP before they meet.
 PARTS = 64
 
-_ROWS = "shard long, part int, bwt binary, sym int, lang string, word string, n long"
-_NAMES = ["shard", "part", "bwt", "sym", "lang", "word", "n"]
+_ROWS = "shard long, part int, bwt binary, place long, lang string, word string, n long"
+_NAMES = ["shard", "part", "bwt", "place", "lang", "word", "n"]
 
 
 class Index:
@@ -80,12 +80,14 @@ def transform(symbols: np.ndarray) -> np.ndarray:
 
 
 def _packed(symbols: np.ndarray) -> bytes:
-    """First bytes, then second bytes and so on: the high ones are mostly 0 and shrink when written."""
-    return symbols.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """First bytes, then second bytes and so on, compressed: the high ones are mostly 0."""
+    planes = symbols.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    planes = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
 class _Shard:
@@ -133,14 +135,14 @@ class _Shard:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n, shard)), pa.array(np.arange(n, dtype=np.int32)), pa.array(parts, pa.binary()),
-                pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
             ], _NAMES,
         )
         n = len(found)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(n, shard)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                pa.array(np.arange(1, n + 1, dtype=np.int32)),
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                pa.array((shard << 32) + np.arange(1, n + 1)),
                 pa.array(names, pa.string()).take(pa.array(found // len(words))),
                 words.take(pa.array(found % len(words))).cast(pa.large_string()).cast(pa.string()),
                 pa.array(counts),
@@ -196,7 +198,7 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table({c: pa.array([], pa.int64()) for c in ("w1", "w2", "place", "n")})
     index, shard = _index(left), left["shard"][0].as_py()
     name = np.full(index.first[-1] + 1, -1, np.int64)
-    name[_column(right, "sym")] = _column(right, "id")
+    name[_column(right, "place") & 0xFFFFFFFF] = _column(right, "id")
     one, two = name[index.first], name[index.first[index.next]]
     _, starts = index.extended(index.first)
     sizes = np.diff(np.append(starts, len(one)))
@@ -282,15 +284,14 @@ def collocations(
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
     rows = stored(texts.mapInArrow(_shards(shard_words), _ROWS), "phrase-index")
     index = rows.where("part is not null").select("shard", "part", "bwt").groupBy("shard")
-    place = (F.shiftleft("shard", 32) + F.col("sym")).alias("place")
-    words = rows.where("part is null").select("shard", "sym", place, "lang", "word", "n")
+    words = rows.where("part is null").select("place", "lang", "word", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
 
     known = stored(_frequent(words, ["lang", "word"], least), "phrase-words")
-    pairs = index.cogroup(known.select("shard", "sym", "id").groupBy("shard"))
+    shard = F.shiftright("place", 32).alias("shard")
+    pairs = index.cogroup(known.select(shard, "place", "id").groupBy("shard"))
     pairs = pairs.applyInArrow(_pairs, "w1 long, w2 long, place long, n long")
     pairs = stored(_frequent(pairs, ["w1", "w2"], least), "phrase-pairs")
-    shard = F.shiftright("place", 32).alias("shard")
     longer = index.cogroup(pairs.select(shard, "place", "id").groupBy("shard"))
     longer = longer.applyInArrow(_longer, "b1 long, b2 long, b3 long, n long")
     longer = longer.groupBy("b1", "b2", "b3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
