@@ -21,8 +21,6 @@ EVENT = struct(
 )
 ORDER = ["at", "event_id"]
 SLOT = ["user_id", "event_type", "day"]
-
-
 PARTS = 3
 MICROS = "unix_micros(CAST(ts AS TIMESTAMP))"
 BAD = """SELECT '{"event_id":' || event_id AS value, 'malformed' AS problem FROM events WHERE event_id % 50 = 0
@@ -54,16 +52,25 @@ def _span(spark, sf):
     return least or 0, ((most or 0) - (least or 0)) // PARTS + 1
 
 
-def _in_parts(spark, sf, start):
-    """Run a stream to the end, three times from one checkpoint: the events come by time."""
-    inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
+def _of_part(spark, sf, part):
     least, length = _span(spark, sf)
+    return f"({MICROS} - {least}) DIV {length} = {part}"
+
+
+def _finish(run):
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+
+
+def _in_parts(spark, sf, start, times=1):
+    """Run a stream to the end, part after part from one checkpoint: the events come by time.
+    Each part arrives so many times."""
+    inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
     for part in range(PARTS):
-        _arrive(spark, sf, inbox, f"({MICROS} - {least}) DIV {length} = {part}")
-        run = start(E.read_lines(spark, inbox, max_files=1), out, mark)
-        run.awaitTermination()
-        if run.exception():
-            raise run.exception()
+        for _ in range(times):
+            _arrive(spark, sf, inbox, _of_part(spark, sf, part))
+        _finish(start(E.read_lines(spark, inbox, max_files=2), out, mark))
     return out
 
 
@@ -101,34 +108,76 @@ def _latest(keys):
         ORDER BY "at" DESC, event_id DESC) = 1"""
 
 
-def _kept(spark, sf, run, keys, **more):
+def _delay(spark, sf):
+    """The events of a part come in no order, so the state has to outlast a part."""
+    return f"{_span(spark, sf)[1] // 1_000_000 + 2} seconds"
+
+
+def _once(spark, sf):
+    """Every event once into the changes, though each part of the events arrives twice."""
+    delay = _delay(spark, sf)
+
     def start(lines, out, mark):
-        return run(E.parse_events(lines, EVENT), out, mark, keys=keys, order=ORDER, **more)
+        return St.run_changes(St.once(E.parse_events(lines, EVENT), ["event_id"], "at", delay), out, mark)
 
-    return St.read_latest(spark, _in_parts(spark, sf, start), EVENT)
+    return _in_parts(spark, sf, start, times=2)
 
 
-def _in_state(spark, sf):
-    """The events of a part come in no order, so the state has to outlast a part."""
-    return {"time": "at", "delay": f"{_span(spark, sf)[1] // 1_000_000 + 2} seconds"}
+@query("stream_replay", ALL)
+def stream_replay(spark, sf):
+    """Every event once, though the inbox is replayed after each part."""
+    return spark.read.schema(EVENT).parquet(f"{_once(spark, sf)}/changes").select(*EVENT.names)
 
 
 @query("stream_dedupe", _latest(SLOT))
 def stream_dedupe(spark, sf):
-    """Latest record per slot out of the state store."""
-    return _kept(spark, sf, St.run_state, SLOT, **_in_state(spark, sf))
+    """Latest record per slot over events that the state store let through once."""
+    return St.read_latest(spark, _once(spark, sf), EVENT, SLOT, ORDER)
+
+
+@query(
+    "stream_late",
+    f"""WITH s AS (SELECT min(epoch_us(ts)) AS low, (max(epoch_us(ts)) - min(epoch_us(ts))) // {PARTS} + 1 AS part FROM events)
+    SELECT * FROM ({ALL.replace("FROM events", "FROM events, s WHERE epoch_us(ts) < low + part")})""",
+)
+def stream_late(spark, sf):
+    """The last part of the events arrives first: those of the first part come too late, and go
+    to a table of their own."""
+    inbox, out, raw = (fresh_path(spark, n) for n in ("inbox", "out", "raw"))
+    marks = [fresh_path(spark, "mark") for _ in range(2)]
+    for part in (PARTS - 1, 0):
+        _arrive(spark, sf, inbox, _of_part(spark, sf, part))
+        events = E.read_events(spark, inbox, EVENT)
+        _finish(E.run_append(events, raw, marks[0]))
+        _finish(St.run_changes(St.once(events, ["event_id"], "at", "60 seconds"), out, marks[1]))
+    taken = spark.read.schema(EVENT).parquet(f"{out}/changes")
+    return St.late_events(spark.read.schema(EVENT).parquet(raw), taken, ["event_id"])
 
 
 @query("stream_latest", _latest(["user_id"]))
 def stream_latest(spark, sf):
-    """Latest record per user: the state keeps some days, the table all users."""
-    return _kept(spark, sf, St.run_state, ["user_id"], **_in_state(spark, sf))
+    """Latest record per user: one value of state a user, dropped by a timer when idle."""
+    delay, idle = _delay(spark, sf), _span(spark, sf)[1] // 1000
+
+    def start(lines, out, mark):
+        return St.run_latest(E.parse_events(lines, EVENT), out, mark, ["user_id"], ORDER, "at", delay, idle)
+
+    return St.read_latest(spark, _in_parts(spark, sf, start), EVENT, ["user_id"], ORDER)
 
 
 @query("stream_upsert", _latest(["user_id"]))
 def stream_upsert(spark, sf):
-    """Micro-batches merged into the buckets of a table, without state."""
-    return _kept(spark, sf, St.run_upsert, ["user_id"])
+    """Micro-batches appended without state; after each part the changes are compacted, but
+    those of the last."""
+    generation = iter(range(PARTS))
+
+    def start(lines, out, mark):
+        now = next(generation)
+        if now:
+            St.compact(spark, out, EVENT, ["user_id"], ORDER, now - 1)
+        return St.run_changes(E.parse_events(lines, EVENT), out, mark, generation=now)
+
+    return St.read_latest(spark, _in_parts(spark, sf, start), EVENT, ["user_id"], ORDER)
 
 
 # The exact binary value of a share as a whole number: share * 2**68.

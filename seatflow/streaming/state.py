@@ -1,128 +1,180 @@
-"""Latest record per key, kept by a stream in a plain partitioned table.
+"""Latest record per key out of streams: an append-only table of changes, and the latest over it.
 
-The table at ``path`` is partitioned by a bucket of the keys. A micro-batch reads the buckets
-that its keys fall into, merges them and replaces exactly these by Spark's own dynamic
-partition overwrite; so it costs what its buckets hold, not the whole table. The merged rows
-are first written beside the table. A batch that is replayed after a failure finds them there
-and only replaces the buckets again, whatever state the failure left them in.
+Below ``path`` lie two plain tables. ``changes`` takes what streams bring, each micro-batch as
+one append, in a folder for each stream and generation. ``base`` holds one record per key as of
+the last compaction. Readers take the latest over both, so a record that was appended twice (a
+batch that is replayed, a stream that starts again without its checkpoint, a second stream over
+the same events) counts once, and no batch number has to be remembered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from seatflow.operators.ranking import keep_latest
+from seatflow.session import fresh_path
+from seatflow.sources.tables import stored
 
-BUCKET = "bucket"
-BUCKETS = 16
+STREAM, GENERATION = "stream", "generation"
 
 
-def _with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _stored_schema(schema: T.StructType) -> T.StructType:
-    fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields if f.name != BUCKET]
-    return T.StructType([*fields, T.StructField(BUCKET, T.IntegerType(), True)])
+def _base(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(_nullable(schema)).parquet(f"{path}/base")
 
 
-def _replace(df: DataFrame, path: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
-
-
-def _is_written(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:  # no such folder, or one without finished files
-        return False
+def _changes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    fields = [T.StructField(STREAM, T.StringType()), T.StructField(GENERATION, T.IntegerType())]
+    return spark.read.schema(T.StructType([*_nullable(schema).fields, *fields])).parquet(f"{path}/changes")
 
 
-def make_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """An empty table, unless there is one."""
-    spark.createDataFrame([], _stored_schema(schema)).write.mode("append").partitionBy(BUCKET).parquet(path)
+def _folder(path: str, stream: str, generation: int) -> str:
+    return f"{path}/changes/{STREAM}={stream}/{GENERATION}={generation}"
 
 
-def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One record per key."""
-    return spark.read.schema(_stored_schema(schema)).parquet(path).drop(BUCKET)
+def make_table(spark: SparkSession, path: str, schema: T.StructType, stream: str = "main", generation: int = 0) -> None:
+    """Empty tables to append to and to read, unless there are some."""
+    empty = spark.createDataFrame([], _nullable(schema)).coalesce(1)
+    for folder in (f"{path}/base", _folder(path, stream, generation)):
+        empty.write.mode("append").parquet(folder)
 
 
-def upsert_batch(
-    path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS
+def append_batch(
+    path: str, stream: str = "main", generation: int = 0, enrich: Callable[[DataFrame], DataFrame] | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that merges a micro-batch into the table at ``path``.
+    """``foreachBatch`` function that appends a micro-batch, without a shuffle.
 
-    More buckets make a batch of few keys cheaper; their number must stay as it was.
+    Spark commits the files of a batch as one job. Streams that run at the same time need names
+    of their own, since two jobs must not commit into one folder. ``enrich`` is called for each
+    micro-batch, so tables that it reads are seen as they are by then.
     """
-    beside, done = f"{path}-merged", f"{path}-done"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, schema = batch.sparkSession, _stored_schema(batch.schema)
-        if not _is_written(spark, f"{done}/batch={batch_id}"):
-            fresh = _with_bucket(keep_latest(batch, keys, order), keys, buckets).select(*schema.fieldNames()).persist()
-            touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # no more than there are buckets
-            known = spark.read.schema(schema).parquet(path).filter(F.col(BUCKET).isin(touched))
-            merged = keep_latest(known.unionByName(fresh), keys, order)
-            merged.write.mode("overwrite").partitionBy(BUCKET).parquet(beside)
-            fresh.unpersist()
-            spark.range(1).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
-        _replace(spark.read.schema(schema).parquet(beside), path)
+        rows = enrich(batch) if enrich else batch
+        rows.write.mode("append").parquet(_folder(path, stream, generation))
 
     return run
 
 
-def latest_state(
-    stream: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, delay: str, span: str = "1 day"
-) -> DataFrame:
-    """Stateful aggregation: the record of a key that sorts last by ``order``, per span of time.
-
-    ``time`` is a timestamp column, or text of one. The state of a span is dropped once events
-    ``delay`` after its end were seen; events that are later than that do not count any more.
-    So the state holds the keys of the last spans, not all keys ever seen. ``order`` ends in a
-    unique column, so a restart gives the same answer.
-    """
-    rest = [c for c in stream.columns if c not in keys]
-    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
-    return (
-        timed.groupBy(F.window("_time", span), *keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_record"))
-        .select(*keys, "_record.*")
-        .select(*stream.columns)
-    )
-
-
-def run_upsert(
-    stream: DataFrame,
+def run_changes(
+    rows: DataFrame,
     path: str,
     checkpoint: str,
-    keys: Sequence[str],
-    order: Sequence[str],
-    buckets: int = BUCKETS,
+    stream: str = "main",
+    generation: int = 0,
     mode: str = "append",
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
+    schema: T.StructType | None = None,
 ) -> StreamingQuery:
-    """Merge a stream into the table at ``path``, one micro-batch after the other."""
-    make_table(stream.sparkSession, path, stream.schema)
+    """Append a stream's rows to the changes, one micro-batch after the other, to the end of what
+    has arrived. ``schema`` is that of the enriched rows."""
+    make_table(rows.sparkSession, path, schema or rows.schema, stream, generation)
     return (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(upsert_batch(path, keys, order, buckets))
+        rows.writeStream.outputMode(mode)
+        .foreachBatch(append_batch(path, stream, generation, enrich))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def run_state(
+def read_latest(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """One record per key: the one that sorts last by ``order``, over base and changes.
+
+    Each task cuts its rows to one a key before they are shuffled.
+    """
+    rows = _base(spark, path, schema).unionByName(_changes(spark, path, schema).drop(STREAM, GENERATION))
+    return keep_latest(rows, keys, order)
+
+
+def compact(
+    spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], upto: int
+) -> None:
+    """Take the changes of the generations up to ``upto`` into the base and empty them.
+
+    No running stream may write to these generations: start streams anew with the next one
+    first. A compaction that was interrupted is repeated; what it left counts once.
+    """
+    changes = _changes(spark, path, schema).filter(F.col(GENERATION) <= upto)
+    merged = keep_latest(_base(spark, path, schema).unionByName(changes.drop(STREAM, GENERATION)), keys, order)
+    merged = stored(merged, fresh_path(spark, "compacted"))
+    merged.write.mode("overwrite").parquet(f"{path}/base")
+    for stream, generation in changes.select(STREAM, GENERATION).distinct().collect():
+        merged.limit(0).write.mode("overwrite").parquet(_folder(path, stream, generation))
+
+
+class KeepLatest(StatefulProcessor):
+    """The latest record of a key as one value of state, given out when it changes.
+
+    A timer clears the state of a key once the watermark is ``idle_ms`` past its latest record.
+    There is one timer a key; one that rings too early is set again.
+    """
+
+    STATE = "_state_ms"
+
+    def __init__(self, fields: Sequence[str], order: Sequence[str], state: T.StructType, idle_ms: int) -> None:
+        self.fields, self.order, self.schema, self.idle_ms = list(fields), list(order), state, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", self.schema)
+
+    def _rank(self, record: dict[str, Any]) -> list[tuple]:
+        return [(record[c] is not None, record[c]) for c in self.order]
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        best = max((r.asDict() for r in rows), key=self._rank)
+        known = self.latest.get()
+        if known is not None and self._rank(dict(zip(self.schema.names, known, strict=True))) >= self._rank(best):
+            return
+        self.latest.update(tuple(best[c] for c in self.schema.names))
+        if known is None:
+            self.handle.registerTimer(best[self.STATE] + self.idle_ms)
+        yield Row(**{c: best[c] for c in self.fields})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        known = self.latest.get()
+        if known is not None:
+            due = known[self.schema.names.index(self.STATE)] + self.idle_ms
+            if due > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(due)
+            else:
+                self.latest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def latest_changes(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, delay: str, idle_ms: int
+) -> DataFrame:
+    """The records of a stream that are later, by ``order``, than all of their key before.
+
+    ``time`` is a timestamp column, or text of one. The state holds a row a key, and none of
+    keys without an event for ``idle_ms`` of event time; events that come ``delay`` late do not
+    count any more. ``order`` ends in a unique column, so a restart gives the same answer.
+    """
+    ms = F.unix_millis(F.col("_time"))
+    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    timed = timed.withColumn(KeepLatest.STATE, ms)
+    state = T.StructType([*[f for f in stream.schema.fields if f.name in order], T.StructField(KeepLatest.STATE, T.LongType())])
+    processor = KeepLatest(stream.columns, order, _nullable(state), idle_ms)
+    return timed.groupBy(*keys).transformWithState(processor, _nullable(stream.schema), "Update", "EventTime")
+
+
+def run_latest(
     stream: DataFrame,
     path: str,
     checkpoint: str,
@@ -130,9 +182,23 @@ def run_state(
     order: Sequence[str],
     time: str,
     delay: str,
-    buckets: int = BUCKETS,
+    idle_ms: int,
+    **more: Any,
 ) -> StreamingQuery:
-    """Keep the latest record per key and span in the state store; changed ones go to the table,
-    which also holds what the state has dropped."""
-    changed = latest_state(stream, keys, order, time, delay)
-    return run_upsert(changed, path, checkpoint, keys, order, buckets, mode="update")
+    """Append to the changes only what the state store takes for later than all before it."""
+    return run_changes(latest_changes(stream, keys, order, time, delay, idle_ms), path, checkpoint, mode="update", **more)
+
+
+def once(stream: DataFrame, ids: Sequence[str], time: str, delay: str) -> DataFrame:
+    """The stream's events without those whose ids were there before, for ``delay`` at least.
+
+    The state holds the ids of the last ``delay`` of event time. Events that come later than
+    that are left out, since nobody could tell if they came before; see ``late_events``.
+    """
+    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    return timed.dropDuplicatesWithinWatermark(list(ids)).drop("_time")
+
+
+def late_events(arrived: DataFrame, taken: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """The arrived events, each once, that no event taken has the ids of: they came too late."""
+    return arrived.join(taken.select(*ids), list(ids), "left_anti").dropDuplicates(list(ids))

@@ -100,53 +100,114 @@ def test_rejected_events_keep_their_text(rows):
     assert got == {(lines[3], "no k")} | {(x, "malformed") for x in bad}
 
 
-def run_latest(name, stream, path, mark, keys, order):
+KEYS, ORDER = ["k"], ["at", "id"]
+
+
+def run_latest(name, stream, path, mark, **more):
     if name == "upsert":
-        return St.run_upsert(stream, path, mark, keys, order, buckets=3)
-    return St.run_state(stream, path, mark, keys, order, "at", "100 days", buckets=3)
+        return St.run_changes(stream, path, mark, **more)
+    return St.run_latest(stream, path, mark, KEYS, ORDER, "at", "100 days", 86_400_000, **more)
 
 
 def day(n):
     return f"2024-01-{n:02d}"
 
 
+def latest(spark, path):
+    return sorted(map(tuple, St.read_latest(spark, path, EVENT, KEYS, ORDER).select("k", "at", "id", "v").collect()))
+
+
 @pytest.mark.parametrize("name", ["state", "upsert"])
 def test_latest_by_stream_equals_batch(spark, tmp_path, name):
-    first = [("a", day(1), 1, 1), ("a", day(2), 2, 2), ("b", day(5), 3, 3)]
+    """With restarts, late records, and after them a new checkpoint over the whole inbox."""
+    first = [("a", day(1), 1, 1), ("a", day(2), 2, 2), ("b", day(5), 3, None)]
     late = [("a", day(1), 9, 9), ("b", day(5), 4, 4), ("c", day(1), 5, 5)]
-    keys, order = ["k"], ["at", "id"]
     path, mark, inbox = (str(tmp_path / n) for n in ("t", "mark", "in"))
     for part in (first, late):
         write_events(spark, inbox, part)
-        finish(run_latest(name, E.read_events(spark, inbox, EVENT), path, mark, keys, order))
-    read = lambda: sorted(map(tuple, St.read_latest(spark, path, EVENT).select("k", "at", "id", "v").collect()))
+        finish(run_latest(name, E.read_events(spark, inbox, EVENT), path, mark))
     want = [("a", day(2), 2, 2), ("b", day(5), 4, 4), ("c", day(1), 5, 5)]
-    assert read() == want
-    # A batch that is replayed changes nothing, even if the failure had taken a bucket.
-    batch = spark.createDataFrame([("a", day(7), 7, 7)], EVENT)
-    upsert = St.upsert_batch(path, keys, order, buckets=3)
-    upsert(batch, 99)
-    want = [("a", day(7), 7, 7), *want[1:]]
-    assert read() == want
-    whole = spark.read.parquet(path)
-    lost = whole.filter("k = 'a'").first()["bucket"]
-    rows = [(*r[:3], -1, lost) for r in whole.filter(f"bucket = {lost}").select("k", "at", "id", "v").collect()]
-    St._replace(spark.createDataFrame(rows, "k string, at string, id long, v int, bucket int"), path)
-    assert read() != want
-    upsert(batch, 99)
-    assert read() == want
+    assert latest(spark, path) == want
+    finish(run_latest(name, E.read_events(spark, inbox, EVENT), path, f"{mark}-new"))
+    assert latest(spark, path) == want
+
+
+def test_a_second_checkpoint_loses_nothing(spark, tmp_path):
+    """Both streams start at batch 0; of each, the record counts."""
+    path = str(tmp_path / "t")
+    for n, stream in enumerate(("main", "main", "other"), 1):
+        inbox = str(tmp_path / f"in{n}")
+        write_events(spark, inbox, [(f"k{n}", day(n), n, n)])
+        finish(St.run_changes(E.read_events(spark, inbox, EVENT), path, str(tmp_path / f"mark{n}"), stream=stream))
+    assert [r[0] for r in latest(spark, path)] == ["k1", "k2", "k3"]
+
+
+def test_compaction_keeps_the_latest_and_what_comes_meanwhile(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+
+    def bring(n, generation, rows):
+        write_events(spark, str(tmp_path / f"in{n}"), rows)
+        events = E.read_events(spark, str(tmp_path / f"in{n}"), EVENT)
+        finish(St.run_changes(events, path, str(tmp_path / f"mark{n}"), generation=generation))
+
+    bring(1, 0, [("a", day(1), 1, 1), ("a", day(3), 2, 2), ("b", day(2), 3, 3)])
+    bring(2, 1, [("b", day(4), 4, 4)])
+    want = [("a", day(3), 2, 2), ("b", day(4), 4, 4)]
+    assert latest(spark, path) == want
+
+    def stopped(*_):  # the base is replaced, then the machine is lost
+        raise OSError
+
+    monkeypatch.setattr(St, "_folder", stopped)
+    with pytest.raises(OSError):
+        St.compact(spark, path, EVENT, KEYS, ORDER, 0)
+    monkeypatch.undo()
+    assert latest(spark, path) == want
+    St.compact(spark, path, EVENT, KEYS, ORDER, 0)
+    assert latest(spark, path) == want
+    assert spark.read.parquet(f"{path}/base").count() == 2
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/changes").select("k", "generation").collect()] == [("b", 1)]
+    bring(3, 2, [("a", day(9), 9, 9)])
+    St.compact(spark, path, EVENT, KEYS, ORDER, 2)
+    assert latest(spark, path) == [("a", day(9), 9, 9), ("b", day(4), 4, 4)]
+    assert spark.read.parquet(f"{path}/changes").count() == 0
 
 
 def test_state_expires(spark, tmp_path):
-    """After a week without delay the state holds the newest day alone, the table all keys."""
+    """After a week without delay the state holds the last keys alone, the table all keys."""
     path, mark, inbox = (str(tmp_path / n) for n in ("t", "mark", "in"))
     for n in range(1, 8):
-        write_events(spark, inbox, [(f"k{n}", day(3 * n), n, n)])
-        run = St.run_state(E.read_events(spark, inbox, EVENT), path, mark, ["k"], ["at", "id"], "at", "1 day")
+        write_events(spark, inbox, [(f"k{n}", day(3 * n), n, n), ("often", day(3 * n), 100 + n, n)])
+        run = St.run_latest(
+            E.read_events(spark, inbox, EVENT), path, mark, KEYS, ORDER, "at", "1 day", 4 * 86_400_000
+        )
         finish(run)
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
-    assert kept[-1] <= 2
-    assert St.read_latest(spark, path, EVENT).count() == 7
+    assert 1 <= kept[-1] < 8
+    got = latest(spark, path)
+    assert len(got) == 8 and got[-1] == ("often", day(21), 107, 7)
+
+
+def test_replayed_and_late_events(spark, tmp_path):
+    inbox, path, mark = (str(tmp_path / n) for n in ("in", "t", "mark"))
+    raw, raw_mark = str(tmp_path / "raw"), str(tmp_path / "raw-mark")
+
+    def step(rows):
+        write_events(spark, inbox, rows)
+        events = E.read_events(spark, inbox, EVENT)
+        finish(E.run_append(events, raw, raw_mark))
+        finish(St.run_changes(St.once(events, ["id"], "at", "2 days"), path, mark))
+        return sorted(r[0] for r in spark.read.schema(EVENT).parquet(f"{path}/changes").select("id").collect())
+
+    rows = [("a", day(1), 1, 1), ("b", day(2), 2, 2), ("a", day(1), 1, 1)]
+    assert step(rows) == [1, 2]
+    assert step(rows) == [1, 2]
+    assert step([("c", day(20), 3, 3), *rows]) == [1, 2, 3]
+    assert step([("d", day(5), 4, 4), ("d", day(19), 5, 5)]) == [1, 2, 3, 5]
+    assert step([("d", day(5), 4, 4), ("d", day(5), 4, 4)]) == [1, 2, 3, 5]
+    taken = spark.read.schema(EVENT).parquet(f"{path}/changes")
+    late = St.late_events(spark.read.schema(EVENT).parquet(raw), taken, ["id"])
+    assert [r["id"] for r in late.collect()] == [4]
 
 
 def test_projection(rows):
