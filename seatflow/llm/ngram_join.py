@@ -1,11 +1,14 @@
 """Similarity self-join on shingle sets by T-occurrence search over inverted lists.
 
 Two sets whose Jaccard similarity reaches the threshold have T shingles in common, T following
-from their sizes, and so differ in no more than a known number of shingles. Texts with equal
-sets are one. To bring similar texts together, the range of hashes is cut into more blocks
-than they can differ in: at least one block then holds the same shingles in both, so texts
-that have an equal block form a unit, and texts that share no block are never compared.
-Units that hang together by their members are searched together, as far as a task can.
+from their sizes. Texts with equal sets are one. The shingles are hashes, so the first of a
+set in their order are a random part of it: with a prefix long enough two similar sets are
+sure to have at least so many shingles of their prefixes in common as a known share of their
+sizes. A set with fewer shared ones is similar to none and goes no further; the others leave
+out their most frequent shared shingles, all but one of those they must have in common, and
+still meet in the rarest. So a passage that many texts hold brings them together only where it
+is most of a text. Texts that meet hang together and are searched together, as far as a task
+can.
 
 In a unit the texts are indexed by inverted lists. For a text the long lists of its shingles
 are put aside, the short ones are merged, counting how often each other text occurs; those
@@ -17,35 +20,32 @@ meet two at a time, so nothing is capped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seatflow.llm.common import stored, text_bytes
+from seatflow.llm.common import scored_rows, stored, text_bytes
 from seatflow.llm.components import component_roots
 from seatflow.llm.shingles import WIDTH, mix, shingle_sets
 
 #: Least similarity, in percent.
 PERCENT = 90
-#: Sizes of sets that are cut into the same blocks differ by this factor at most.
-SIZE_STEP = 1.5
-#: Blocks beyond those that are needed: this many, and a quarter of the differences. A set
-#: leaves out so many of its smallest blocks.
-SPARE = 2
-#: Bits of the map by which block hashes that occur once are left out before a join. 4 MB,
-#: whatever the corpus; a full map leaves out nothing and changes no result.
-MAP_BITS = 1 << 25
+#: Shingles that the prefixes of similar sets share at least, in percent of the smaller size.
+PREFIX_PERCENT = 10
+#: Ids that are sent to all tasks at most, some 32 MB; beyond that a join shuffles both sides.
+SENT_IDS = 1 << 21
 #: Shingles of a part of a unit, about: 8 MB.
 BLOCK_SHINGLES = 1 << 20
 #: Weight of the long lists' length in DivideSkip's choice of how many to put aside.
 MU = 0.0085
 
 KEYS = ["a", "b"]
-_A, _B, _C = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F)
+_A, _B = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def overlap(nx, ny, percent: int = PERCENT):
@@ -59,104 +59,60 @@ def _set_key(found: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def size_bounds(upto: int) -> list[int]:
-    """First sizes of the classes, up to one beyond ``upto``."""
-    bounds = [1]
-    while bounds[-1] <= upto:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * SIZE_STEP)))
-    return bounds
+def smallest_partner(n, percent: int):
+    """Least size of a set that is similar to one of n; also the least overlap with any."""
+    return -(-percent * n // 100)
 
 
-def block_hashes(found: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the blocks of a sorted set, one of which any similar but different set shares.
+def shared_of(n):
+    """Shingles that the prefixes share, for sets of n at least."""
+    return 1 + PREFIX_PERCENT * n // 100
 
-    The class of the larger of two similar sets fixes the cut, so a set is cut for its own
-    class and for those that a larger partner can be in. With d differences and s blocks more
-    than d + 1, at least s + 1 blocks are equal. Of these the largest (of equal size the last)
-    cannot be among the s smallest of either set, since the other s stand before it in both;
-    so each set leaves out its s smallest blocks, of which empty ones are the first.
+
+def prefix_of(found: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a sorted set.
+
+    A set of n lacks at most d = n - smallest_partner(n) of its shingles in a similar set. So
+    the first k shingles common to both are among its first d + k, and a prefix of
+    d + shared_of(n) has at least shared_of(m) of them, m being the smaller of the two sizes.
     """
     n = len(found)
-    bounds = size_bounds(100 * n // percent)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found ^ _C), dtype=np.uint64)])
-    high = found >> np.uint64(32)
-    out = []
-    for k in range(len(bounds) - 1):
-        if bounds[k + 1] <= n:
-            continue
-        differ = 2 * (bounds[k + 1] - 1) * (100 - percent) // (100 + percent)
-        if not differ:
-            continue  # only equal sets are similar
-        blocks = differ + 1 + differ // 4 + SPARE
-        ends = np.searchsorted((high * np.uint64(blocks)) >> np.uint64(32), np.arange(1, blocks, dtype=np.uint64))
-        ends = np.concatenate([[0], ends, [n]])
-        names = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 40))
-        hashes = mix(sums[ends[1:]] - sums[ends[:-1]] + names)
-        largest = np.argsort(ends[1:] - ends[:-1], kind="stable")[-(differ + 1) :]
-        out.append(hashes[largest])
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return found[: n - smallest_partner(n, percent) + shared_of(n)]
 
 
 def _keyed(width: int, percent: int):
-    """Size, key and block hashes of the set of every text."""
+    """Size, key and prefix of the set of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            lists = [np.zeros(0, np.int64)] * batch.num_rows
+            lists = [np.zeros(0, np.uint64)] * batch.num_rows
             for text, found in shingle_sets(*text_bytes(batch.column(1)), width):
                 n[text] = len(found)
                 a[text], b[text] = _set_key(found)
-                lists[text] = block_hashes(found, percent)
+                lists[text] = prefix_of(found, percent)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+            hashes = np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (n, a, b)), hashes], ["doc_id", "n", "a", "b", "blocks"]
+                [batch.column(0), *map(pa.array, (n, a, b)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))],
+                ["doc_id", "n", "a", "b", "prefix"],
             )
 
     return run
 
 
-def _hash_map(units: DataFrame) -> np.ndarray:
-    """Bits that are set for the units' hashes. At most MAP_BITS / 64 words come to the driver."""
-    bit = F.col("unit").bitwiseAND(F.lit(MAP_BITS - 1))
-    word = F.expr("shiftleft(1L, int(bit & 63))")
-    rows = units.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("place"), word.alias("word"))
-    rows = rows.groupBy("place").agg(F.bit_or("word").alias("word")).toPandas()
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    out[rows["place"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
-    return out
-
-
-def _is_in(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes & (MAP_BITS - 1)
-    return (known[bit >> 6] >> (bit & 63)) & 1 == 1
-
-
-def _in_map(known: np.ndarray):
-    """Keep the block hashes whose bit is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            hashes = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy())
-            keep = _is_in(known, hashes)
-            row = np.repeat(np.arange(batch.num_rows), sizes)[keep]
-            taken = [batch.column(i).take(pa.array(row)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(hashes[keep])], ["n", "a", "b", "unit"])
-
-    return run
+def _by_ids(df: DataFrame, ids: DataFrame, on, how: str) -> DataFrame:
+    """Join with a stored table of ids, which is sent to all tasks if its size allows it."""
+    return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, on, how)
 
 
-def _sets(width: int, known: np.ndarray):
-    """Whole sets, as bytes, of the texts whose hash is in the map."""
+def _sets(width: int):
+    """Whole sets, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sets = [], [], []
-            wanted = pa.array(_is_in(known, batch.column(0).to_numpy()))
-            for _, found in shingle_sets(*text_bytes(batch.column(1).filter(wanted)), width):
+            for _, found in shingle_sets(*text_bytes(batch.column(0)), width):
                 key = _set_key(found)
                 a.append(key[0])
                 b.append(key[1])
@@ -253,34 +209,30 @@ def forest(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> li
 
 def _search(percent: int):
     """Units, whose members come one after the other, to edges."""
-    names = ["u", "v"]
-    node = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
-    def edges_of(unit: list[tuple]) -> list[tuple]:
-        keys = [x[:2] for x in unit]
-        sides = np.array([x[2] for x in unit])
-        sets = [np.frombuffer(x[3], np.uint64) for x in unit]
+    def edges_of(unit: list[tuple]) -> list[tuple[int, int]]:
+        sides = np.array([x[1] for x in unit])
+        sets = [np.frombuffer(x[2], np.uint64) for x in unit]
         found = forest(sets, sides if sides.min() != sides.max() else None, percent)
-        return [(keys[x], keys[y]) for x, y in found]
+        return [(unit[x][0], unit[y][0]) for x, y in found]
 
-    def batch_of(edges: list[tuple]) -> pa.RecordBatch:
-        columns = [[{"a": e[i][0], "b": e[i][1]} for e in edges] for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(c, node) for c in columns], names)
+    def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
         for batch in batches:
             edges = []
-            unit, left, right, a, b, side = (batch.column(i).to_numpy() for i in range(6))
-            shingles = batch.column(6)
+            unit, left, right, node, side = (batch.column(i).to_numpy() for i in range(5))
+            shingles = batch.column(5)
             for i in range(batch.num_rows):
                 here = (unit[i], left[i], right[i])
                 if here != at:
                     if len(held) > 1:
                         edges += edges_of(held)
                     held, at = [], here
-                held.append((int(a[i]), int(b[i]), int(side[i]), shingles[i].as_py()))
+                held.append((int(node[i]), int(side[i]), shingles[i].as_py()))
             yield batch_of(edges)
         if len(held) > 1:
             yield batch_of(edges_of(held))
@@ -288,10 +240,6 @@ def _search(percent: int):
     return run
 
 
-def _node() -> Column:
-    return F.struct(*KEYS)
-
-
 def _dealt(members: DataFrame) -> DataFrame:
     """What a task has to search at a time: unit, left, right, block, n and key of each member.
 
@@ -328,10 +276,22 @@ def _dealt(members: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select(
         "unit", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-        "block", "n", "node.*",
+        "block", "n", "node",
     )
 
 
+def _keys(width: int):
+    """Both halves of the set's key of every text."""
+
+    def of_texts(column: pa.Array) -> list[pa.Array]:
+        a, b = (np.zeros(len(column), np.int64) for _ in range(2))
+        for text, found in shingle_sets(*text_bytes(column), width):
+            a[text], b[text] = _set_key(found)
+        return [pa.array(a), pa.array(b)]
+
+    return of_texts
+
+
 def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Per row of ``doc_id, text``: doc_id, n_shingles, component_id.
 
@@ -340,47 +300,53 @@ def join_groups(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH
     included. Null and empty texts, and texts of white space, have no shingles and are linked
     with nothing. Repeated rows have equal sets, so they are linked and each is returned; null
     ids are returned and never the smallest. An empty table gives no rows; other columns are
-    not looked at.
+    not looked at. Very long texts are taken whole: a set is held by a task as eight bytes a
+    shingle.
     """
+    return _joined(documents, percent, width).select("doc_id", "n_shingles", "component_id")
+
+
+def _joined(documents: DataFrame, percent: int, width: int) -> DataFrame:
+    """The same, and the key of the row's set."""
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(
-        _keyed(width, percent), f"doc_id {kind}, n long, a long, b long, blocks array<long>"
-    )
-    rows = stored(rows, "join-keys")
-    least = rows.where("n > 0").groupBy(*KEYS).agg(F.min("doc_id").alias("least"))
-    least = stored(least, "join-sets")
-
-    # A unit per block that different sets share. Equal sets count once, however many copies
-    # there are, and counting needs no more than the smallest and the largest key.
-    blocks = rows.select(F.explode("blocks").alias("unit"), "a")
-    units = blocks.groupBy("unit").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-    units = stored(units.where("low <> high").select("unit"), "join-units")
-    shared = rows.select("n", *KEYS, "blocks").mapInArrow(_in_map(_hash_map(units)), "n long, a long, b long, unit long")
-    members = shared.distinct().join(units, "unit").select("unit", "n", _node().alias("node"))
+    rows = docs.mapInArrow(_keyed(width, percent), f"doc_id {kind}, n long, a long, b long, prefix array<long>")
+    rows = stored(rows.withColumn("node", F.monotonically_increasing_id()), "join-keys")
+    # Equal sets count once, however many copies there are; one of their rows stands for them.
+    sets = rows.where("n > 0").groupBy(*KEYS).agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
+    sets = stored(sets, "join-sets")
+
+    # Shingles of prefixes that different sets share. Counts are gathered before the shuffle,
+    # and the join back can be split where a shingle is frequent.
+    first = _by_ids(rows.select("node", "n", "prefix"), sets.select("node"), "node", "left_semi")
+    prefixes = first.select("node", "n", F.explode("prefix").alias("unit"))
+    counts = prefixes.groupBy("unit").agg(F.count("*").alias("times")).where("times > 1")
+    shared = prefixes.join(counts, "unit")
+    own = W.partitionBy("node")
+    must = F.lit(1) + F.floor(PREFIX_PERCENT * F.ceil(F.col("n") * percent / 100) / 100)
+    place = F.row_number().over(own.orderBy(F.desc("times"), F.desc("unit")))
+    members = shared.select("node", "n", "unit", F.count("*").over(own).alias("held"), place.alias("place"))
+    members = members.where((F.col("held") >= must) & (F.col("place") >= must)).select("unit", "n", "node")
     dealt = stored(_dealt(stored(members, "join-members")), "join-dealt")
 
-    # Whole sets of the members only: a map of their ids finds the texts without a shuffle of
-    # texts, and the join by key leaves out what a full map lets through.
-    wanted = dealt.select(*KEYS).distinct().join(least, KEYS)
-    ids = stored(wanted.select(F.xxhash64("least").alias("unit")).distinct(), "join-ids")
-    whole = docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(
-        _sets(width, _hash_map(ids)), "a long, b long, shingles binary"
-    )
-    whole = stored(whole, "join-whole").dropDuplicates(KEYS)
-    ready = dealt.join(whole, KEYS).select("unit", "left", "right", *KEYS, "block", "shingles", "n")
-    ready = ready.repartition("unit", "left", "right").sortWithinPartitions("unit", "left", "right", "n", *KEYS)
-    node = "struct<a:bigint,b:bigint>"
-    edges = ready.drop("n").mapInArrow(_search(percent), f"u {node}, v {node}")
+    # Whole sets of the members only, found by the ids of their documents.
+    wanted = stored(dealt.select("node").distinct().join(sets, "node"), "join-wanted")
+    ids = stored(wanted.select(F.col("least").alias("id")).distinct(), "join-ids")
+    whole = _by_ids(docs, ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    whole = stored(whole.mapInArrow(_sets(width), "a long, b long, shingles binary"), "join-whole").dropDuplicates(KEYS)
+    ready = dealt.join(wanted.select("node", *KEYS), "node").join(whole, KEYS)
+    ready = ready.select("unit", "left", "right", "node", "block", "shingles", "n")
+    ready = ready.repartition("unit", "left", "right").sortWithinPartitions("unit", "left", "right", "n", "node")
+    edges = ready.drop("n").mapInArrow(_search(percent), "u long, v long")
     roots = component_roots(edges)
 
     # The smallest id of each component, and from there to the rows.
-    least = least.select(_node().alias("node"), "least").join(roots, "node", "left")
-    least = least.withColumn("root", F.coalesce("root", "node"))
+    least = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(names, "root").select("node.a", "node.b", "component_id")
-    found = rows.drop("blocks").join(named, KEYS, "left")
+    named = least.join(names, "root").select(*KEYS, "component_id")
+    found = rows.select("doc_id", "n", *KEYS).join(named, KEYS, "left")
     return found.select(
+        *KEYS,
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -393,12 +359,25 @@ def first_of_groups(documents: DataFrame, percent: int = PERCENT, width: int = W
     Rows that repeat both id and text are one document. Documents without words stay, and of
     a group that has no ids at all every text stays once.
     """
-    groups = join_groups(documents, percent, width)
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    kept = documents.join(ids, documents["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    row = F.struct(*[kept[c] for c in kept.columns]).alias("row")
-    same = W.partitionBy("doc_id").orderBy("text")
-    text = F.coalesce("text", F.lit(""))
-    marked = kept.select(row, "doc_id", "text")
-    marked = marked.select("row", F.lag(text).over(same).alias("before"), text.alias("now"))
-    return marked.where(F.col("before").isNull() | (F.col("before") != F.col("now"))).select("row.*")
+    groups = stored(_joined(documents, percent, width), "join-groups")
+    names = documents.columns
+    row = F.struct(*[documents[c] for c in names]).alias("row")
+    docs = documents.where(F.col("doc_id").isNotNull()).select(row, "doc_id", "text")
+    own = F.max(F.col("doc_id") == F.col("component_id")).alias("first")
+    by_id = groups.where("doc_id is not null").groupBy("doc_id").agg(own, F.count("*").alias("rows"))
+    by_id = stored(by_id, "join-by-id")
+    kept = _by_ids(docs, by_id.where("not first").select("doc_id"), "doc_id", "left_anti")
+    # Only ids that are there more than once can repeat a text; the other texts stay in place.
+    often = by_id.where("rows > 1").select("doc_id")
+    single = _by_ids(kept, often, "doc_id", "left_anti").select("row")
+    repeated = _by_ids(kept, often, "doc_id", "left_semi").select("row", "doc_id", "text")
+    # Without ids, a text stays if its group has none either.
+    taken = groups.where("doc_id is null and component_id is not null").select(*KEYS).distinct()
+    nulls, columns = scored_rows(documents.where(F.col("doc_id").isNull()), names, ["long", "long"], _keys(width))
+    nulls = nulls.select(F.struct(*columns).alias("row"), F.col("n0").alias("a"), F.col("n1").alias("b"))
+    nulls = nulls.join(taken, KEYS, "left_anti").select("row", "row.doc_id", "row.text")
+    sortable = [f.name for f in documents.schema.fields if not re.search("map|variant", f.dataType.simpleString())]
+    order = [F.col("row").getField(c) for c in sortable]
+    same = W.partitionBy("doc_id", F.coalesce("text", F.lit(""))).orderBy(*order)
+    repeated = repeated.unionByName(nulls).withColumn("place", F.row_number().over(same)).where("place = 1")
+    return single.unionByName(repeated.select("row")).select(*[F.col("row").getField(c).alias(c) for c in names])

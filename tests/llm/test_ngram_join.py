@@ -1,3 +1,6 @@
+import bisect
+import heapq
+import itertools
 import random
 import re
 
@@ -6,7 +9,7 @@ import pytest
 
 from seatflow.llm import ngram_join
 from seatflow.llm.components import component_roots
-from seatflow.llm.ngram_join import Index, block_hashes, forest, overlap
+from seatflow.llm.ngram_join import Index, forest, overlap, prefix_of, shared_of, smallest_partner
 from seatflow.llm.shingles import shingle_sets
 
 
@@ -59,6 +62,8 @@ def corpus(seed, n=150):
 
 @pytest.mark.parametrize(("seed", "percent", "width"), [(1, 90, 3), (2, 80, 5), (3, 90, 3), (4, 90, 3)])
 def test_groups(spark, rows, monkeypatch, seed, percent, width):
+    if seed == 2:  # ids are joined by shuffle
+        monkeypatch.setattr(ngram_join, "SENT_IDS", 0)
     if seed == 3:  # parts of a few texts that meet two at a time
         monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 300)
     if seed == 4:  # parts so small that units are better left as they are
@@ -76,6 +81,16 @@ def test_first_of_each_group_stays_with_its_columns(spark, rows):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 8, 9]
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 21])
+def test_first_of_groups_keeps_other_texts_of_an_id(rows, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "SENT_IDS", sent)
+    data = [(1, "a b c d", 1), (1, "a b c d", 1), (1, "p q r s", 2), (None, "a b c d", 3), (None, "k l m n", 4)]
+    data += [(None, "k l m n", 5), (None, "", 6), (None, None, 7), (3, "p q r s", 8)]
+    got = ngram_join.first_of_groups(rows(data, "doc_id long, text string, id int"))
+    got = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=repr)
+    assert got == sorted([(1, "a b c d"), (1, "p q r s"), (None, "k l m n"), (None, "")], key=repr)
+
+
 def test_null_ids_and_empty_tables(spark, rows):
     data = [(None, "a b c d"), (5, "a b c d"), (None, "p q r s"), (None, None)]
     got = ngram_join.join_groups(rows(data, "doc_id long, text string")).collect()
@@ -105,23 +120,53 @@ def test_search_finds_all_partners(seed):
 
 
 @pytest.mark.parametrize("percent", [80, 90, 95])
-def test_similar_sets_share_a_block(percent):
-    """Also small sets, and sets on both sides of a bound between size classes."""
+def test_prefixes_of_similar_sets_share_enough(percent):
+    """Enough that each set may leave out all but one of what it has to share."""
     rng = np.random.default_rng(percent)
     tried = 0
     for _ in range(3000):
-        n = int(rng.choice([*range(2, 30), 40, 60, 100, 200, 333]))
+        n = int(rng.choice([*range(1, 30), 40, 60, 100, 200, 333]))
         base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         other = base[rng.random(len(base)) > rng.choice([0.02, 0.05, 0.1])]
         other = np.unique(np.concatenate([other, rng.integers(0, 2**64, rng.integers(0, 2 + n // 12), dtype=np.uint64)]))
         common = len(np.intersect1d(base, other))
-        if len(other) and not np.array_equal(base, other):
-            if 100 * common >= percent * (len(base) + len(other) - common):
-                tried += 1
-                assert set(block_hashes(base, percent)) & set(block_hashes(other, percent))
+        if len(other) and 100 * common >= percent * (len(base) + len(other) - common):
+            tried += 1
+            both = set(prefix_of(base, percent)) & set(prefix_of(other, percent))
+            assert len(both) >= max(shared_of(smallest_partner(len(x), percent)) for x in (base, other))
     assert tried > 150
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_merging_and_probing_as_told(seed):
+    """Partners as found by a heap over the short lists and binary probes of the long ones."""
+    rng = np.random.default_rng(seed)
+    core = rng.choice(5_000, 50, replace=False)
+    sets = [np.unique(np.concatenate([core[rng.random(50) > 0.08], rng.choice(9_000, 4)])).astype(np.uint64) for _ in range(60)]
+    sets.sort(key=len)
+    index = Index(sets)
+    lists = {}
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            lists.setdefault(x, []).append(i)
+    for x, s in enumerate(sets):
+        mine = sorted((lists[t] for t in s.tolist()), key=len)
+        sizes = [len(y) for y in sets]
+        least = int(overlap(len(s), min(sizes[x + 1 :], default=1), 90))
+        aside = min(int(least / (ngram_join.MU * np.log2(len(mine[-1]) + 1) + 1)), least - 1)
+        found = []
+        for y, run in itertools.groupby(heapq.merge(*mine[: len(mine) - aside])):
+            seen = len(list(run))
+            if y <= x or seen < least - aside:
+                continue
+            for long in mine[len(mine) - aside :]:
+                at = bisect.bisect_left(long, y)
+                seen += at < len(long) and long[at] == y
+            if seen >= overlap(len(s), sizes[y], 90):
+                found.append(y)
+        assert index.partners(x, np.arange(len(sets)) > x, 90).tolist() == found
+
+
 def test_overlap_is_the_threshold():
     for nx in range(1, 40):
         for ny in range(nx, 45):
