@@ -14,6 +14,8 @@ from seatflow.session import fresh_path
 
 #: A word: a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Labels whose counts are sent to all tasks at most.
+SENT_LABELS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +53,18 @@ def label_sample(labelled: DataFrame, per_label: int, rows: int) -> DataFrame:
     hashed order of the ids. Each label gets its first row before any gets its second. Rows
     without an id or a label are left out.
 
-    Only ids whose hash lies in a first part of the range are ranked. The part is so large
-    that some four times the rows wanted lie in it, so a frequent label is not ranked whole.
+    Only ids whose hash lies in a first part of the range are ranked. The part is so large that
+    the rows wanted lie in it (more of them by six times the spread of their number), so a
+    frequent label is not shuffled or ranked whole: the labels' counts, a row each, are sent to
+    all tasks, and each task leaves out the other ids as it reads them.
     """
     key = F.md5(F.col("doc_id").cast("string"))
     known = labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     known = known.select("doc_id", "label", key.alias("key"))
-    part = known.groupBy("label").agg((F.lit(4.0 * per_label + 100) / F.count("*")).alias("part"))
+    wanted = float(per_label + 6 * per_label**0.5 + 50)
+    part = known.groupBy("label").agg((F.lit(wanted) / F.count("*")).alias("part"))
+    part = stored(part, "label-parts")
+    part = F.broadcast(part) if part.count() <= SENT_LABELS else part
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2**32
     order = W.partitionBy("label").orderBy("key", "doc_id")
     return (

@@ -21,6 +21,21 @@ def test_sample_is_the_first_of_each_label(spark):
     assert all(set(found[n]) == set(first[n][: len(found[n])]) for n in first)
 
 
+def test_no_shuffle_of_all_labels(spark):
+    """Other ids are left out before any exchange, with broadcasting by estimate off as well."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+        sample = label_sample(rows, 100, 200)
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert plan.index("BroadcastHashJoin") > plan.index("Exchange hashpartitioning(label")
+        assert sample.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_remainder_is_that_of_the_text(spark):
     import zlib
 
