@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -76,7 +77,15 @@ class Vocabulary:
         if not all(model.is_byte(i) for i in byte_ids):
             raise ValueError("the vocabulary has no byte pieces")
         scores = {texts[i]: float(model.get_score(i)) for i in plain}
-        return cls(texts, scores, {texts[i]: i for i in plain}, byte_ids, silent, merges)
+        made = cls(texts, scores, {texts[i]: i for i in plain}, byte_ids, silent, merges)
+        made.fingerprint  # noqa: B018 - once here instead of once a task
+        return made
+
+    @cached_property
+    def fingerprint(self) -> str:
+        """Of all that decides the ids."""
+        told = (self.texts, list(self.scores.items()), list(self.ids.items()), self.byte_ids, sorted(self.silent), self.merges)
+        return sha256(repr(told).encode()).hexdigest()
 
     @cached_property
     def longest(self) -> int:
@@ -413,12 +422,12 @@ class Memory(dict):
         return np.diff(sums[np.concatenate([[0], np.cumsum(parts)])])
 
 
-_MEMORIES: dict[int, Memory] = {}
+_MEMORIES: dict[str, Memory] = {}
 
 
 def memory_of(vocabulary: Vocabulary) -> Memory:
     """A worker keeps its solved parts from task to task."""
-    key = hash((tuple(vocabulary.scores.items())[:1000], len(vocabulary.texts), vocabulary.merges))
+    key = vocabulary.fingerprint
     if key not in _MEMORIES:
         _MEMORIES.clear()
         _MEMORIES[key] = Memory(vocabulary)

@@ -143,6 +143,21 @@ def test_memory_forgets_without_changing_results(vocabulary, monkeypatch):
     assert got == [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
+def test_vocabularies_that_differ_late_share_no_memory(vocabulary):
+    """Of two that differ in one score or id, each has its own."""
+    from dataclasses import replace
+
+    last = list(vocabulary.scores)[-1]
+    others = [
+        replace(vocabulary, scores={**vocabulary.scores, last: -0.5}),
+        replace(vocabulary, ids={**vocabulary.ids, last: 3}),
+        replace(vocabulary, merges=not vocabulary.merges),
+    ]
+    assert len({v.fingerprint for v in [vocabulary, *others]}) == 4
+    assert P.memory_of(vocabulary) is not P.memory_of(others[0])
+    assert P.memory_of(replace(vocabulary)) is P.memory_of(vocabulary)
+
+
 def test_parts_solved_together_are_solved_alike(vocabulary):
     rng = random.Random(4)
     texts = ["".join(rng.choice("▁abethrs.é") for _ in range(n)) for n in range(1, 30) for _ in range(20)]
