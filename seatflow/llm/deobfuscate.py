@@ -214,9 +214,10 @@ class Scorer:
     weights: dict[str, float]
     slope: float = 1.0
     level: float = -2.0
+    strongest: int = 3  # words of a text that count
 
     def evidence(self, texts: Iterable[str | None]) -> np.ndarray:
-        """The sum of the three strongest words of each text."""
+        """The sum of the strongest words of each text, so that length alone is no evidence."""
         cache: dict[str, float] = {}
         out = []
         for text in texts:
@@ -232,7 +233,7 @@ class Scorer:
                     weight = cache[token] = max(weights)
                 if weight > 0:
                     found.append(weight)
-            out.append(sum(sorted(found)[-3:]))
+            out.append(sum(sorted(found)[-self.strongest :]))
         return np.array(out, np.float64)
 
     def chance(self, texts: Iterable[str | None]) -> np.ndarray:
@@ -251,6 +252,7 @@ class Training:
     features: int = 50_000
     least_documents: int = 3
     surety: float = 2.0
+    strongest: int = 3  # words of a text that count; a long text gets no higher score by more
 
 
 def _weights(rows: list[tuple], toxic: float, clean: float, training: Training) -> dict[str, float]:
@@ -299,9 +301,9 @@ def train(documents: DataFrame, labels: DataFrame, training: Training = Training
     size = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
     n = lambda h, y: float(size.get((h, y), 0))
     halves = [
-        Scorer(model, _weights([(r["feature"], r[f"t{h}"], r[f"c{h}"]) for r in rows], n(h, 1), n(h, 0), training))
-        for h in (0, 1)
+        _weights([(r["feature"], r[f"t{h}"], r[f"c{h}"]) for r in rows], n(h, 1), n(h, 0), training) for h in (0, 1)
     ]
+    halves = [Scorer(model, weights, strongest=training.strongest) for weights in halves]
     both = [(r["feature"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in rows]
     weights = _weights(both, n(0, 1) + n(1, 1), n(0, 0) + n(1, 0), training)
 
@@ -320,7 +322,7 @@ def train(documents: DataFrame, labels: DataFrame, training: Training = Training
     slope, level = _line(points["evidence"].to_numpy(np.float64), points["label"].to_numpy(np.float64))
     sampled = np.log((n(0, 1) + n(1, 1) + 1) / (n(0, 0) + n(1, 0) + 1))
     level += np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)) - sampled
-    return Scorer(model, weights, slope, level)
+    return Scorer(model, weights, slope, level, training.strongest)
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
