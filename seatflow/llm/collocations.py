@@ -7,11 +7,12 @@ those of depth d + 1, all at once and in both directions: a row's own interval o
 extended to the right by one word, and that of the row its suffix goes on in (a step of the
 index) is extended to the left. No phrase reaches over an end mark.
 
-Counts of a phrase are summed across the shards that hold it. Only what is frequent in the
-whole corpus is extended: a phrase is counted if the phrases of which it is made are frequent,
-so after the words come the pairs, and after the pairs triples and fours in one go. A phrase
-is named by the least place (shard and interval) where it stands, so no numbering is needed
-and nothing but rows of shards and phrases is shuffled: a frequent word gives one row a shard.
+Counts of a phrase are summed across the shards that hold it. First come the words, then all
+pairs (to leave out those of rare words saves the less the larger the corpus is), and then
+only what is frequent in the whole corpus is extended: triples and fours, in one go, whose
+pairs are all frequent. A phrase is named by the least place (shard and interval) where it
+stands, so no numbering is needed and nothing but rows of shards and phrases is shuffled: a
+frequent word gives one row a shard.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of frequent words of a shard: names of the words, place and count."""
+    """Pairs of words of a shard: names of the words, place and count."""
     if not len(left) or not len(right):
         return pa.table({c: pa.array([], pa.int64()) for c in ("w1", "w2", "place", "n")})
     index, shard = _index(left), left["shard"][0].as_py()
@@ -231,12 +232,11 @@ def _longer(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows of phrases that are frequent in all shards together, with the phrase's name
-    and its count. A phrase has one row a shard."""
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of phrases with the phrase's name and its count in all shards together. A phrase has
+    one row a shard; the one whose place is the name stands for it."""
     same = W.partitionBy(*keys)
-    named = rows.select("*", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("id"))
-    return named.where(F.col("f") >= least).drop("n")
+    return rows.select("*", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("id")).drop("n")
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -287,18 +287,20 @@ def collocations(
     words = rows.where("part is null").select("place", "lang", "word", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
 
-    known = stored(_frequent(words, ["lang", "word"], least), "phrase-words")
+    own, frequent = F.col("id") == F.col("place"), F.col("f") >= least
+    known = _named(words, ["lang", "word"])
+    told = [F.when(own & frequent, F.col(c)).alias(c) for c in ("lang", "word")]
+    known = stored(known.select("place", "id", "f", *told), "phrase-words")
     shard = F.shiftright("place", 32).alias("shard")
     pairs = index.cogroup(known.select(shard, "place", "id").groupBy("shard"))
     pairs = pairs.applyInArrow(_pairs, "w1 long, w2 long, place long, n long")
-    pairs = stored(_frequent(pairs, ["w1", "w2"], least), "phrase-pairs")
+    pairs = stored(_named(pairs, ["w1", "w2"]).where(frequent), "phrase-pairs")
     longer = index.cogroup(pairs.select(shard, "place", "id").groupBy("shard"))
     longer = longer.applyInArrow(_longer, "b1 long, b2 long, b3 long, n long")
     longer = longer.groupBy("b1", "b2", "b3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     longer = stored(longer, "phrase-longer")
 
-    own = F.col("id") == F.col("place")
-    words = known.where(own).select("id", "lang", "word", "f")
+    words = known.where("word is not null").select("id", "lang", "word", "f")
     twos = (
         pairs.where(own).select("id", "w1", "w2", "f")
         .join(words.select(F.col("id").alias("w1"), "lang", F.col("word").alias("p"), F.col("f").alias("fp")), "w1")
