@@ -126,6 +126,41 @@ def gbt_predict(spark, sf):
     return scored.select(*KEYS, "year", *_soundness())
 
 
+@query(
+    "model_error",
+    f"""WITH {SPARSE} SELECT count(*) AS n_rows,
+      CAST(round(CAST(avg(abs(a.rate - b.rate)) AS DECIMAL(38, 12)), 6) AS DOUBLE) AS baseline_mae,
+      true AS below_baseline
+    FROM sparse a JOIN sparse b ON a.entity = b.entity AND a.category = b.category AND b.year = a.year - 1
+    WHERE a.year = 2000 AND a.rate IS NOT NULL AND b.rate IS NOT NULL""",
+)
+def model_error(spark, sf):
+    """The held-out error of the model against that of last year's rate, which it has to beat."""
+    model, split = _trained(spark, sf)
+    held_out = D.predict(model, split.filter("part = 'eval'"), NUMERIC)
+    return D.baseline_errors(held_out, "rate").select(
+        "n_rows", round_to(F.col("baseline_mae"), 6).alias("baseline_mae"),
+        (F.col("model_mae") < F.col("baseline_mae")).alias("below_baseline"),
+    )
+
+
+@query(
+    "model_reload",
+    f"SELECT entity, category, year, true AS same_rate, true AS same_chance FROM ({SQL['prediction_frame']})",
+)
+def model_reload(spark, sf):
+    """Predictions of the model after it was saved and loaded, held against those before."""
+    model, _ = _trained(spark, sf)
+    path = fresh_path(spark, "model")
+    D.save_model(model, path)
+    frame = stored(_frame(spark, sf), fresh_path(spark, "frame"))
+    names = ["predicted_subscription_rate", "predicted_ballot_chance_pct"]
+    before = D.score(model, frame, NUMERIC).select(*KEYS, "year", *names)
+    after = D.score(D.load_model(path), frame, NUMERIC).select(*KEYS, "year", *[F.col(c).alias(f"{c}_again") for c in names])
+    same = [(F.col(c) == F.col(f"{c}_again")).alias(a) for c, a in zip(names, ("same_rate", "same_chance"), strict=True)]
+    return before.join(after, [*KEYS, "year"]).select(*KEYS, "year", *same)
+
+
 @query(
     "gbt_importances",
     f"""SELECT unnest({FEATURES}) AS feature, true AS is_share, true AS shares_sum_to_one""",

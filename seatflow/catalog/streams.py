@@ -165,6 +165,30 @@ def stream_latest(spark, sf):
     return St.read_latest(spark, _in_parts(spark, sf, start), EVENT, ["user_id"], ORDER)
 
 
+PAIR = ["user_id", "event_type"]
+
+
+@query(
+    "stream_interim",
+    f"""SELECT l.*, c_name, n_name FROM ({_latest(PAIR)}) l
+      LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
+)
+def stream_interim(spark, sf):
+    """Latest record per user and type, with the user's places joined while the events arrive."""
+    places = fresh_path(spark, "places")
+    customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
+    known = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    known = known.select(F.col("c_custkey").alias("user_id"), "c_name", "n_name")
+    known.write.parquet(places)
+    shape = struct(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT.fields) + ", c_name string, n_name string")
+
+    def start(lines, out, mark):
+        enrich = St.attach_stored(places, known.schema, "user_id")
+        return St.run_changes(E.parse_events(lines, EVENT), out, mark, enrich=enrich, schema=shape)
+
+    return St.read_latest(spark, _in_parts(spark, sf, start), shape, PAIR, ORDER)
+
+
 @query("stream_upsert", _latest(["user_id"]))
 def stream_upsert(spark, sf):
     """Micro-batches appended without state; after each part the changes are compacted, but

@@ -168,6 +168,26 @@ def train_and_predict(
     return prediction_table(score(model, frame, SCHOOL_NUMERIC), version), record
 
 
+def save_model(model: PipelineModel, path: str, record: DataFrame | None = None) -> None:
+    """The whole model with its indexers, and beside it the run record if one is given."""
+    model.write().overwrite().save(f"{path}/model")
+    if record is not None:
+        log_run(record, f"{path}/runs")
+
+
+def load_model(path: str) -> PipelineModel:
+    """A model as it was saved, in this or another session."""
+    return PipelineModel.load(f"{path}/model")
+
+
+def baseline_errors(scored: DataFrame, target: str, last: str = LAGS[0]) -> DataFrame:
+    """Mean absolute errors, over the held-out rows whose last year is known, of the model and of
+    taking last year's rate for this year's: ``n_rows, model_mae, baseline_mae``."""
+    known = scored.filter(F.col(last).isNotNull())
+    off = lambda c: F.avg(F.abs(F.col(target) - F.col(c)))
+    return known.agg(F.count("*").alias("n_rows"), off("predicted").alias("model_mae"), off(last).alias("baseline_mae"))
+
+
 def importances(model: PipelineModel, spark: SparkSession, limit: int | None = 10) -> DataFrame:
     """Feature weights, heaviest first. Their number is the number of features."""
     names = model.stages[1].getInputCols()

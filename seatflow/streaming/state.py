@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from seatflow.operators.lookups import attach
 from seatflow.operators.ranking import keep_latest
 from seatflow.session import fresh_path
 from seatflow.sources.tables import stored
@@ -65,6 +66,16 @@ def append_batch(
     return run
 
 
+def attach_stored(path: str, schema: T.StructType, on: Sequence[str] | str) -> Callable[[DataFrame], DataFrame]:
+    """``enrich`` function: left join with the stored table at ``path`` as it is when a
+    micro-batch runs, so a dimension that was replaced meanwhile is seen by the next batch."""
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        return attach(batch, batch.sparkSession.read.schema(schema).parquet(path), on)
+
+    return enrich
+
+
 def run_changes(
     rows: DataFrame,
     path: str,

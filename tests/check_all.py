@@ -1,5 +1,6 @@
 """``python tests/check_all.py <sf_dir> [name ...]``: compare all registered queries."""
 
+import os
 import sys
 import time
 import traceback
@@ -14,7 +15,7 @@ from tests.compare import compare, duck  # noqa: E402
 
 def main() -> int:
     sf, names = sys.argv[1], sys.argv[2:]
-    spark = build_session(master="local[8]")
+    spark = build_session(master=os.environ.get("MASTER", "local[8]"))
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = duck(sf), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():

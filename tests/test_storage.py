@@ -210,6 +210,19 @@ def test_replayed_and_late_events(spark, tmp_path):
     assert [r["id"] for r in late.collect()] == [4]
 
 
+def test_a_dimension_that_changed_is_seen_by_the_next_batch(spark, tmp_path):
+    inbox, path, mark, places = (str(tmp_path / n) for n in ("in", "t", "mark", "places"))
+    shape = schemas.struct("k string, at string, id bigint, v int, zone string")
+    for n, zone in ((1, "east"), (2, "west")):
+        dim = spark.createDataFrame([("a", zone), ("z", "none")], "k string, zone string")
+        dim.write.mode("overwrite").parquet(places)
+        write_events(spark, inbox, [("a", day(n), n, n), ("b", day(n), 10 + n, n)])
+        enrich = St.attach_stored(places, dim.schema, "k")
+        finish(St.run_changes(E.read_events(spark, inbox, EVENT), path, mark, enrich=enrich, schema=shape))
+    got = St.read_latest(spark, path, shape, ["id"], ["at"]).collect()
+    assert sorted((r.id, r.k, r.zone) for r in got) == [(1, "a", "east"), (2, "a", "west"), (11, "b", None), (12, "b", None)]
+
+
 def test_projection(rows):
     seeds = rows([("A", "2C", 2026, 40, 33), ("B", "2C", 2026, 10, None)],
                  "school_name string, phase string, registration_year long, vacancy_at_open long,"
