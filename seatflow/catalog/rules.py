@@ -129,6 +129,8 @@ def _rule_sql(rule):
     column, table, where = rule.column, rule.table, rule.where or "true"
     if rule.kind == "not_null":
         count = f"SELECT count(*) FROM {table} WHERE ({where}) AND {column} IS NULL"
+    elif rule.kind == "row_gate":
+        count = f"SELECT CASE WHEN count(*) > 0 THEN 0 ELSE 1 END FROM {table} WHERE {where}"
     elif rule.kind == "unique":
         count = f"""SELECT count(*) FROM (SELECT {column} FROM {table} WHERE {column} IS NOT NULL
             GROUP BY 1 HAVING count(*) > 1)"""
@@ -143,14 +145,14 @@ def _rule_sql(rule):
     return f"SELECT '{table}' AS table_name, '{name}' AS rule, CAST(({count}) AS BIGINT) AS violations"
 
 
-def _tables_sql():
+def _tables_sql(rules):
     views = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in PIPELINE_TABLES.items())
-    rows = " UNION ALL ".join(_rule_sql(r) for r in rules_for(PIPELINE_TABLES))
+    rows = " UNION ALL ".join(map(_rule_sql, rules))
     return f"""{WITH_MART}, {views}, report AS ({rows})
       SELECT *, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status FROM report"""
 
 
-@query("dq_tables", _tables_sql())
+@query("dq_tables", _tables_sql(rules_for(PIPELINE_TABLES)))
 def dq_tables(spark, sf):
     """The rules of the admission tables on the stored pipeline tables."""
     seeds = S.seeds(spark, sf)
@@ -164,3 +166,20 @@ def dq_tables(spark, sf):
     )
     tables |= {"balloting_codes": seeds.balloting_codes, "school_lifecycle": seeds.lifecycle}
     return quality.run_checks(tables, rules_for(tables))
+
+
+BUILT = ("dim_school", "dim_school_generalinfo", "fact_balloting", "mart_school_analysis")
+GATES = [Rule(t, "row_gate") for t in BUILT] + [
+    r for r in rules_for(PIPELINE_TABLES) if r.table in BUILT and r.kind in quality.Gates.KINDS
+]
+
+
+@query("dq_gates", _tables_sql(GATES))
+def dq_gates(spark, sf):
+    """Row gates, missing and unexpected values, counted by the jobs that write the tables."""
+    gates = quality.Gates(GATES, stop=False)
+    ballots.build_tables(
+        S.raw_ballots(spark, sf), S.raw_schools(spark, sf), S.seeds(spark, sf), fresh_path(spark, "gated"),
+        S.PIPELINE_AS_OF, S.PIPELINE_RISK, gates=gates,
+    )
+    return gates.report(spark)

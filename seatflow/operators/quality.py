@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -153,3 +153,48 @@ def run_checks(tables: dict[str, DataFrame], rules: Sequence[Rule]) -> DataFrame
     return report.withColumn(
         "status", F.when(F.col("violations") == 0, "pass").otherwise("fail")
     )
+
+
+class GateError(RuntimeError):
+    """A table that was written breaks a rule."""
+
+
+class Gates:
+    """Rules that are counted by the job that writes a table, without another scan.
+
+    Rules of a kind that one pass can answer are watched: not_null, accepted and row_gate.
+    """
+
+    KINDS = ("not_null", "accepted", "row_gate")
+
+    def __init__(self, rules: Sequence[Rule], stop: bool = True) -> None:
+        self.rules, self.stop = [r for r in rules if r.kind in self.KINDS], stop
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, table: str, df: DataFrame) -> DataFrame:
+        """The frame, counted as it is written. Place it last before the write, so that no task
+        of an earlier stage that is repeated counts twice."""
+        own = [r for r in self.rules if r.table == table]
+        if not own:
+            return df
+        self.seen[table] = Observation(f"gates of {table}")
+        measures = [_scan_measure(r).alias(f"m{i}") for i, r in enumerate(own)]
+        return df.observe(self.seen[table], *measures)
+
+    def violations(self) -> list[tuple[str, str, int]]:
+        """table, rule, violations of all tables written so far."""
+        out = []
+        for table, found in self.seen.items():
+            own = [r for r in self.rules if r.table == table]
+            out += [(table, r.name, found.get[f"m{i}"]) for i, r in enumerate(own)]
+        return out
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """As ``run_checks`` gives it."""
+        rows = spark.createDataFrame(self.violations(), "table_name string, rule string, violations long")
+        return rows.withColumn("status", F.when(F.col("violations") == 0, "pass").otherwise("fail"))
+
+    def check(self) -> None:
+        """Raise if a rule is broken, unless broken rules are only reported."""
+        if self.stop and (broken := [f"{t} {r}: {n}" for t, r, n in self.violations() if n]):
+            raise GateError("; ".join(broken))

@@ -6,8 +6,9 @@ mart are meant to be written with ``write_by_year``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from seatflow.functions.metrics import (
 )
 from seatflow.operators import deltas, trends
 from seatflow.operators.lookups import attach, map_or_keep, merge_dimension, split_dimension
+from seatflow.operators.quality import Gates
 from seatflow.operators.ranking import keep_latest
 from seatflow.schemas import SCHOOL_CONTACT_COLUMNS, SCHOOL_FLAG_COLUMNS, SCHOOL_TEXT_COLUMNS
 from seatflow.session import fresh_path
@@ -350,7 +352,11 @@ GROUP = [NAME, "phase_normalised"]
 
 
 def write_by_year(
-    df: DataFrame, path: str, files: int | None = None, years: Sequence[int] | None = None
+    df: DataFrame,
+    path: str,
+    files: int | None = None,
+    years: Sequence[int] | None = None,
+    watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Partitioned by year and sorted by school and phase, so filters skip files and row groups.
 
@@ -360,7 +366,7 @@ def write_by_year(
     if years is not None:
         replace_values(df, path, YEAR, years, GROUP, files)
     else:
-        overwrite_partitioned(df, path, [YEAR], GROUP, files)
+        overwrite_partitioned(df, path, [YEAR], GROUP, files, watch)
 
 
 def build_tables(
@@ -372,6 +378,7 @@ def build_tables(
     threshold: float = RISK_THRESHOLD,
     keep: Sequence[str] = (),
     years: Sequence[int] | None = None,
+    gates: Gates | None = None,
 ) -> dict[str, DataFrame]:
     """Write dimensions, fact and mart below ``path`` and return the stored tables.
 
@@ -380,7 +387,13 @@ def build_tables(
     ``keep`` are taken as they are stored: after a load of new results the two
     dimensions, for example. ``years`` says that raw results changed, came or went
     in these years only; then the stored tables are refreshed (``refresh_tables``).
+
+    ``gates`` count their rules while the tables are written. If one is broken, the build ends
+    with ``GateError`` after its table; with a new ``path`` a build, readers of the last one
+    never see it.
     """
+    if years is not None and gates is not None:
+        raise ValueError("gates watch whole builds")
     if years is not None:
         return refresh_tables(raw_ballots, raw_schools, seeds, path, years, as_of, threshold, keep)
     spark = raw_ballots.sparkSession
@@ -388,10 +401,13 @@ def build_tables(
 
     def store(name: str, df: DataFrame, yearly: bool = False) -> DataFrame:
         place = f"{path}/{name}"
+        watch = partial(gates.watch, name) if gates else None
         if name not in keep and yearly:
-            write_by_year(df, place)
+            write_by_year(df, place, watch=watch)
         elif name not in keep:
-            df.write.mode("overwrite").parquet(place)
+            (watch(df) if watch else df).write.mode("overwrite").parquet(place)
+        if gates:
+            gates.check()
         tables[name] = spark.read.schema(df.schema).parquet(place)
         return tables[name]
 

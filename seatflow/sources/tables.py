@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,11 +87,20 @@ def append_partitioned(
 
 
 def overwrite_partitioned(
-    df: DataFrame, path: str, by: Sequence[str], sort: Sequence[str] = (), files: int | None = None
+    df: DataFrame,
+    path: str,
+    by: Sequence[str],
+    sort: Sequence[str] = (),
+    files: int | None = None,
+    watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Replace the whole table: partitions that ``df`` does not hold are gone afterwards."""
+    """Replace the whole table: partitions that ``df`` does not hold are gone afterwards.
+
+    ``watch`` gets the rows as they go into the files, to count them on the way.
+    """
+    rows = _clustered(df, by, sort, files)
     (
-        _clustered(df, by, sort, files)
+        (watch(rows) if watch else rows)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy(*by)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatflow import schemas
+from seatflow.operators import quality
 from seatflow.operators.quality import Rule, run_checks
 from seatflow.plans import advisor, ballots, serving
 
@@ -104,6 +105,25 @@ def test_a_rebuild_drops_years_that_are_gone(spark, inputs, tmp_path):
     assert years(some["fact_balloting"]) == before | {2022}
 
 
+def test_gates_are_counted_by_the_writing_jobs(spark, inputs, tmp_path):
+    raw, schools, seeds = inputs
+    rules = [Rule("fact_balloting", "not_null", "school_key"), Rule("fact_balloting", "row_gate"),
+             Rule("dim_school", "unique", "school_key"), Rule("dim_school", "not_null", "school_key"),
+             Rule("mart_school_analysis", "accepted", "phase_normalised", arg=("2B", "2C"))]
+    gates = quality.Gates(rules, stop=False)
+    tables = ballots.build_tables(raw, schools, seeds, str(tmp_path / "a"), AS_OF, gates=gates)
+    got = {(r.table_name, r.rule): (r.violations, r.status) for r in gates.report(spark).collect()}
+    again = run_checks(tables, [r for r in rules if r.kind != "unique"]).collect()
+    assert got == {(r.table_name, r.rule): (r.violations, r.status) for r in again}
+    assert got[("fact_balloting", "not_null:school_key")][0] > 0 and got[("fact_balloting", "row_gate")][0] == 0
+    with pytest.raises(quality.GateError, match="fact_balloting not_null:school_key"):
+        ballots.build_tables(raw, schools, seeds, str(tmp_path / "b"), AS_OF, gates=quality.Gates(rules))
+    assert not (tmp_path / "b" / "mart_school_analysis").exists()
+    empty = quality.Gates([Rule("fact_balloting", "row_gate")])
+    with pytest.raises(quality.GateError, match="row_gate"):
+        ballots.build_tables(raw.limit(0), schools, seeds, str(tmp_path / "c"), AS_OF, gates=empty)
+
+
 def test_phases_in_any_case(spark, built):
     _, _, _, mart = built
     predictions = spark.createDataFrame(
