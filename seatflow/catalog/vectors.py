@@ -1,5 +1,6 @@
 """Nearest vectors, scope gate, hit rate and full retrieval."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatflow.catalog import schools
@@ -200,8 +201,19 @@ CONTEXT = (
 )
 
 
+_CHUNKS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _chunk_table(spark, sf):
-    """All documents in two domains, split, encoded and stored once."""
+    """All documents in two domains, split, encoded and stored once for a session and folder, as
+    a document base is: questions come far more often than documents change."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _CHUNKS:
+        _CHUNKS[place] = _build_chunks(spark, sf)
+    return _CHUNKS[place]
+
+
+def _build_chunks(spark, sf):
     docs = table(spark, sf, "documents").withColumn(
         "source_file", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))
     )
