@@ -7,6 +7,8 @@ from seatflow.catalog.standins import RATED, rated, table
 from seatflow.operators import summaries
 from seatflow.operators.lookups import attach, map_or_keep
 from seatflow.operators.nesting import facet_lists, facet_rows
+from seatflow.session import fresh_path
+from seatflow.sources.tables import replace_partitions
 
 catalog = Catalog()
 query, QUERIES, SQL = catalog.query, catalog.queries, catalog.sql
@@ -102,6 +104,28 @@ def profile(spark, sf):
     return summaries.profile(table(spark, sf, "orders"), "o_custkey", F.year("o_orderdate"))
 
 
+@query(
+    "profile_merged",
+    """SELECT count(*) AS n_rows, count(o_custkey) AS known, true AS distinct_near,
+      count(DISTINCT year(o_orderdate)) AS years FROM orders""",
+)
+def profile_merged(spark, sf):
+    """Profiles of the years put together: one year is appended, another one profiled again,
+    without a look at the rest."""
+    path, cols = fresh_path(spark, "profiles"), ["o_custkey"]
+    rows = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    last = rows.agg(F.max("year")).scalar()
+    for condition in (F.col("year") != last, F.col("year") == last, F.col("year") == 1996):
+        replace_partitions(summaries.profile_parts(rows.filter(condition), "year", cols), path, ["year"])
+    parts = spark.read.parquet(path)
+    exact = rows.agg(F.countDistinct("o_custkey")).scalar()
+    near = F.abs(F.col("o_custkey_distinct") - exact) <= F.greatest(F.lit(2), 0.05 * exact)
+    years = parts.agg(F.countDistinct("year")).scalar().alias("years")
+    return summaries.merged_profile(parts, cols).select(
+        "n_rows", F.col("o_custkey_known").alias("known"), near.alias("distinct_near"), years
+    )
+
+
 GUESS = "(0.9 * l_quantity + 2.0)"
 
 

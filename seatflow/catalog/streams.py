@@ -103,6 +103,42 @@ def stream_append(spark, sf):
     return spark.read.schema(EVENT).parquet(_in_parts(spark, sf, twice))
 
 
+PATHS = {"user_id": ["$.user_id", "$.user.id"], "event_type": ["$.event_type", "$.kind"]}
+
+
+def _in_versions(spark, sf, path):
+    """Events in three layouts by turns: as they are; with a user record, another name of the type
+    and the value as text; and without a value but with a field that nobody knows."""
+    events = table(spark, sf, "events").withColumns(
+        {
+            "day": F.date_format("ts", "yyyy-MM-dd"),
+            "at": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            "kind": F.col("event_type"),
+            "user": F.struct(F.col("user_id").cast("string").alias("id"), F.lit("x").alias("since")),
+            "text": F.col("value").cast("string"),
+        }
+    )
+    own = ["event_id", "day", "at"]
+    layouts = [
+        ["user_id", "event_type", *own, "value"],
+        ["user", "kind", *own, F.col("text").alias("value")],
+        ["user_id", "kind", *own, F.array(F.lit(1)).alias("unknown")],
+    ]
+    for turn, columns in enumerate(layouts):
+        rows = events.filter(F.col("event_id") % 3 == turn).select(F.to_json(F.struct(*columns)).alias("value"))
+        cut = rows.filter(F.crc32("value") % 50 == 0).select(F.substring("value", 1, 9).alias("value"))
+        rows.unionByName(cut).repartition(1).write.mode("append").text(path)
+
+
+@query("event_versions", ALL.replace("value FROM", "CASE WHEN event_id % 3 <> 2 THEN value END AS value FROM"))
+def event_versions(spark, sf):
+    """Typed events out of a stream whose layout changed twice."""
+    inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
+    _in_versions(spark, sf, inbox)
+    _finish(E.run_append(E.parse_versions(E.read_lines(spark, inbox), EVENT, PATHS), out, mark))
+    return spark.read.schema(EVENT).parquet(out)
+
+
 def _latest(keys):
     return f"""SELECT * FROM ({ALL}) QUALIFY row_number() OVER (PARTITION BY {', '.join(keys)}
         ORDER BY "at" DESC, event_id DESC) = 1"""

@@ -29,6 +29,25 @@ def profile(df: DataFrame, entity: str, year: Column) -> DataFrame:
     )
 
 
+def profile_parts(df: DataFrame, part: str, cols: Sequence[str]) -> DataFrame:
+    """Per value of ``part`` what can be added up later: rows, known values and a sketch of the
+    distinct values of each column. Stored by ``part``, a new or changed one is profiled alone."""
+    measures = [F.count("*").alias("n_rows")]
+    for c in cols:
+        measures += [F.count(c).alias(f"{c}_known"), F.hll_sketch_agg(F.col(c).cast("string")).alias(f"{c}_sketch")]
+    return df.groupBy(part).agg(*measures)
+
+
+def merged_profile(parts: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row over all stored parts: n_rows and per column known and distinct values. The latter
+    are estimates, within some percent; ``profile`` counts them exactly by reading all rows."""
+    measures = [F.sum("n_rows").alias("n_rows")]
+    for c in cols:
+        distinct = F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch"))
+        measures += [F.sum(f"{c}_known").alias(f"{c}_known"), distinct.alias(f"{c}_distinct")]
+    return parts.agg(*measures)
+
+
 def regression_metrics(df: DataFrame, truth: str, guess: str, digits: int = 6) -> DataFrame:
     """MAE, RMSE and R2 in one pass over the rows."""
     y, error = F.col(truth), F.col(truth) - F.col(guess)

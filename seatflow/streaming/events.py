@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +52,44 @@ def rejected_events(df: DataFrame, schema: T.StructType, value: str = "value") -
     return rejected.filter(F.col("problem").isNotNull())
 
 
+def _versioned(df: DataFrame, schema: T.StructType, paths: Mapping[str, Sequence[str]], value: str) -> tuple[DataFrame, Column]:
+    """The frame with the fields as columns ``f0``..., and what is wrong with the event."""
+    decoded = df.withColumn("v", F.try_parse_json(F.col(value).cast("string")))
+    fields = [
+        F.coalesce(*[F.try_variant_get("v", p, f.dataType.simpleString()) for p in paths.get(f.name, [f"$.{f.name}"])])
+        for f in schema.fields
+    ]
+    decoded = decoded.withColumns({f"f{i}": c for i, c in enumerate(fields)})
+    problem = F.when(F.col("v").isNull(), F.lit("malformed"))
+    for i, f in enumerate(schema.fields):
+        if not f.nullable:
+            problem = problem.when(F.col(f"f{i}").isNull(), F.lit(f"no {f.name}"))
+    return decoded, problem
+
+
+def parse_versions(
+    df: DataFrame, schema: T.StructType, paths: Mapping[str, Sequence[str]] | None = None, value: str = "value"
+) -> DataFrame:
+    """Typed columns of JSON events whose layout changed over time; for streams and tables.
+
+    Each text is parsed once into a VARIANT. A field is taken from the first of its ``paths``
+    (``$.name`` unless given) that holds a value of its type, or one that can be read as such:
+    a number given as text, for example. Fields that are not asked for do no harm, and missing
+    ones are NULL, which only a required field may not be; see ``rejected_versions``.
+    """
+    decoded, problem = _versioned(df, schema, paths or {}, value)
+    return decoded.filter(problem.isNull()).select(*[F.col(f"f{i}").alias(f.name) for i, f in enumerate(schema.fields)])
+
+
+def rejected_versions(
+    df: DataFrame, schema: T.StructType, paths: Mapping[str, Sequence[str]] | None = None, value: str = "value"
+) -> DataFrame:
+    """``value, problem`` of the events that ``parse_versions`` leaves out."""
+    decoded, problem = _versioned(df, schema, paths or {}, value)
+    rejected = decoded.select(F.col(value).cast("string").alias("value"), problem.alias("problem"))
+    return rejected.filter(F.col("problem").isNotNull())
+
+
 def read_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream of JSON lines that arrive as files below ``path``.
 

@@ -79,6 +79,18 @@ def finish(run):
     assert run.exception() is None
 
 
+def test_events_of_several_layouts(rows):
+    schema = schemas.struct("k string not null, id bigint not null, v double")
+    paths = {"k": ["$.k", "$.key.name"]}
+    lines = ['{"k":"a","id":1,"v":1.5}', '{"key":{"name":"b"},"id":"2","v":"2.5","more":[1]}', '{"k":"c","id":3}',
+             '{"k":"d","id":"x"}', '{"id":5}', '{"k":"e"', "", None, '{"k":"f","id":6,"v":"much"}']
+    frame = rows([(x,) for x in lines], "value string")
+    got = sorted(map(tuple, E.parse_versions(frame, schema, paths).collect()))
+    assert got == [("a", 1, 1.5), ("b", 2, 2.5), ("c", 3, None), ("f", 6, None)]
+    bad = {(r.value, r.problem) for r in E.rejected_versions(frame, schema, paths).collect()}
+    assert bad == {(lines[3], "no id"), (lines[4], "no k"), (lines[5], "malformed"), ("", "malformed"), (None, "malformed")}
+
+
 def test_append_restart_adds_only_new_rows(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     write_events(spark, source, [("a", "1", 1, 1), ("b", "1", 2, 2)])
