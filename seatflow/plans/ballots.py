@@ -275,17 +275,18 @@ def add_trends(
 
 
 def mart_school_analysis(
-    fact: DataFrame, dim: DataFrame, as_of=None, threshold: float = RISK_THRESHOLD
+    fact: DataFrame, dim: DataFrame, as_of=None, threshold: float = RISK_THRESHOLD, on: str = "school_key"
 ) -> DataFrame:
     """Scoped fact with school attributes, ballot groups, trends and risk tier.
 
     The scope filter comes before the windows on purpose: the first scoped year
     must not see earlier ones. Trends run per school name rather than per key,
     so rows of unknown schools, which all share the NULL key, neither mix nor
-    pile up in one task.
+    pile up in one task. With ``on="school_name_clean"``, of which the key is
+    made, join and trends over tables bucketed by the name need no shuffle.
     """
     enriched = attach(
-        in_scope(fact), dim, "school_key", ["school_key", *SCHOOL_COLUMNS, *LIFECYCLE_COLUMNS]
+        in_scope(fact), dim, on, [on, *SCHOOL_COLUMNS, *LIFECYCLE_COLUMNS]
     )
     code = F.col("ballot_scenario_code")
     encoded = enriched.withColumns(

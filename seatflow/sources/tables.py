@@ -144,6 +144,26 @@ def replace_values(
         empty.write.mode("overwrite").parquet(f"{path}/{by}={value}")
 
 
+def save_bucketed(
+    df: DataFrame, name: str, path: str, by: Sequence[str], buckets: int, sort: Sequence[str] = ()
+) -> DataFrame:
+    """Replace the catalog table ``name`` at ``path``, hashed into buckets by ``by``; one shuffle.
+
+    Joins and windows over tables with the same buckets, on ``by`` and maybe more columns, then
+    need none: what is stored once is read many times. The number of buckets is that of the
+    tasks of such a join, so it should follow the size of the largest of the tables.
+    """
+    rows = df.repartition(buckets, *by)
+    (
+        rows.write.mode("overwrite")
+        .bucketBy(buckets, *by)
+        .sortBy(*(sort or by))
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def overwrite_table(df: DataFrame, path: str, version: str | None = None) -> None:
     """Truncate and reload; ``version`` adds the run columns."""
     if version is not None:

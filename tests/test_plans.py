@@ -22,7 +22,7 @@ def shuffles(df) -> int:
 
 
 # Training queries write tables while their plan is built; what they read back is a plain scan.
-TRAINED = {"gbt_predict", "gbt_importances", "run_log", "school_predictions"}
+TRAINED = {"gbt_predict", "gbt_importances", "run_log", "school_predictions", "model_error", "model_reload"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.all_queries()) - TRAINED))
@@ -94,3 +94,17 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     text = plan(catalog.all_queries()["filter_in"](spark, SF))
     assert "PushedFilters: [In(p_type, [ECONOMY,PROMO])]" in text
     assert "ReadSchema: struct<p_partkey:bigint,p_type:string,p_size:int>" in text
+
+
+def test_bucketed_tables_join_and_roll_without_a_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(schools.mart_bucketed(spark, SF))
+        assert "SortMergeJoin" in text and "Window" in text and "Exchange" not in text
+        # Over the plain tables the same mart takes one for each side of the join.
+        stored = schools.tables(spark, SF)
+        made = schools.ballots.mart_school_analysis(stored["fact_balloting"], stored["dim_school"])
+        assert shuffles(made) >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
