@@ -140,7 +140,8 @@ def format_chats(conversations: DataFrame, template: Template = INSTRUCT) -> Dat
     Reads ``conv_id, turn, role, text`` and no other column, so extra columns of any name do
     no harm. Turns are ordered by turn, then role, then text, nulls first; repeated rows are
     turns of their own. A null role or text counts as empty; rows with a null ``conv_id`` are
-    one conversation. An empty table gives no rows. Invalid conversations are kept whole and
+    one conversation. A conversation, very long texts included, is formatted by one task. An
+    empty table gives no rows. Invalid conversations are kept whole and
     marked: ``bad_turn`` is the place of the first turn that the machine has no move for (null
     if none) and ``complete`` says whether it ended in a final state.
     """

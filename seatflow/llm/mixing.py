@@ -143,8 +143,9 @@ def mix_sizes(documents: DataFrame, max_epochs: int = 3, weights: Sequence[int]
 
     The size is the number of words; null and empty texts have none and add nothing. Sources
     are ranked by code point, null last, and get the weights in turn. Rows are judged one by
-    one: repeated rows count each time and share their fate, as do rows without an id. An
-    empty table gives no rows. Other columns are not looked at.
+    one: repeated rows count each time and share their fate, as do rows without an id. A very
+    long text counts with all its words and is taken whole or not at all, so its source may miss
+    its target by as much. An empty table gives no rows. Other columns are not looked at.
     """
     sized, plan = mixing_plan(documents, max_epochs, weights, seed)
     plan = plan.select(F.struct("*").alias("figures"))

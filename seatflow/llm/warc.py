@@ -325,7 +325,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, segment_bytes: int = S
     first two of the full payload also for revisits (theirs come from the response). A null
     html is an empty payload. Each row is a record of its own, also when rows repeat; rows
     that repeat the response's page_id and html are responses like it. A null page_id sorts
-    last and is read back as null. No pages give no rows; other columns are not looked at.
+    last and is read back as null. A very long html is archived in segments and put together
+    again, whole in one task. No pages give no rows; other columns are not looked at.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")

@@ -37,6 +37,13 @@ def test_round_trip(spark, rows, seed):
         assert r["loss_text"] == "".join(x for role, x in want[r["conv_id"]] if role == "assistant")
 
 
+def test_very_long_texts_come_back(spark, rows):
+    data = [(1, 0, "user", "ask </s> " * 60_000, "", 0), (1, 1, "assistant", "[INST] \\ é " * 60_000, "", 0)]
+    found = C.read_chats(C.format_chats(rows(data, SCHEMA))).first()
+    assert [tuple(t) for t in found["turns"]] == [(r, x) for _, _, r, x, *_ in data]
+    assert found["loss_text"] == data[1][3]
+
+
 def test_segments_make_up_the_text(spark, rows):
     data = [(1, 0, "user", "hi </s>", "", 0), (1, 1, "assistant", "yes", "", 0)]
     formatted = C.format_chats(rows(data, SCHEMA))

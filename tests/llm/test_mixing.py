@@ -85,6 +85,13 @@ def test_rows_are_repeated_with_all_columns(spark, rows):
     assert seen == {i: n * times[i] for i, n in rows_of.items() if times[i]}
 
 
+def test_a_very_long_text_counts_with_all_its_words(spark, rows):
+    data = [(1, "long " * 300_000, "a"), (2, "b c", "a"), (3, "d e f", "b")]
+    got = mixing.mix_sizes(rows([(*r, 0, 0) for r in data], SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got) == sorted(brute(data))
+    assert max(r["size"] for r in got) == 300_000
+
+
 def test_nothing_to_mix(spark, rows):
     assert mixing.mix_sizes(rows([], SCHEMA)).count() == 0
     found = mixing.mix_sizes(rows([(1, "", "a", 1, 1), (2, None, None, 1, 1)], SCHEMA)).collect()
