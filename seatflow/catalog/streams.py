@@ -52,8 +52,8 @@ def _span(spark, sf):
     return least or 0, ((most or 0) - (least or 0)) // PARTS + 1
 
 
-def _of_part(spark, sf, part):
-    least, length = _span(spark, sf)
+def _of_part(span, part):
+    least, length = span
     return f"({MICROS} - {least}) DIV {length} = {part}"
 
 
@@ -67,9 +67,10 @@ def _in_parts(spark, sf, start, times=1):
     """Run a stream to the end, part after part from one checkpoint: the events come by time.
     Each part arrives so many times."""
     inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
+    span = _span(spark, sf)
     for part in range(PARTS):
         for _ in range(times):
-            _arrive(spark, sf, inbox, _of_part(spark, sf, part))
+            _arrive(spark, sf, inbox, _of_part(span, part))
         _finish(start(E.read_lines(spark, inbox, max_files=2), out, mark))
     return out
 
@@ -180,9 +181,9 @@ def stream_late(spark, sf):
     """The last part of the events arrives first: those of the first part come too late, and go
     to a table of their own."""
     inbox, out, raw = (fresh_path(spark, n) for n in ("inbox", "out", "raw"))
-    marks = [fresh_path(spark, "mark") for _ in range(2)]
+    marks, span = [fresh_path(spark, "mark") for _ in range(2)], _span(spark, sf)
     for part in (PARTS - 1, 0):
-        _arrive(spark, sf, inbox, _of_part(spark, sf, part))
+        _arrive(spark, sf, inbox, _of_part(span, part))
         events = E.read_events(spark, inbox, EVENT)
         _finish(E.run_append(events, raw, marks[0]))
         _finish(St.run_changes(St.once(events, ["event_id"], "at", "60 seconds"), out, marks[1]))
@@ -193,7 +194,8 @@ def stream_late(spark, sf):
 @query("stream_latest", _latest(["user_id"]))
 def stream_latest(spark, sf):
     """Latest record per user: one value of state a user, dropped by a timer when idle."""
-    delay, idle = _delay(spark, sf), _span(spark, sf)[1] // 1000
+    length = _span(spark, sf)[1]
+    delay, idle = f"{length // 1_000_000 + 2} seconds", length // 1000
 
     def start(lines, out, mark):
         return St.run_latest(E.parse_events(lines, EVENT), out, mark, ["user_id"], ORDER, "at", delay, idle)
