@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seatflow.operators.lookups import attach
 from seatflow.operators.ranking import keep_latest
@@ -125,47 +127,40 @@ def compact(
         merged.limit(0).write.mode("overwrite").parquet(_folder(path, stream, generation))
 
 
-class KeepLatest(StatefulProcessor):
-    """The latest record of a key as one value of state, given out when it changes.
-
-    A timer clears the state of a key once the watermark is ``idle_ms`` past its latest record.
-    There is one timer a key; one that rings too early is set again.
-    """
+ROW, STATE_MS = "_row", "_state_ms"
 
-    STATE = "_state_ms"
 
-    def __init__(self, fields: Sequence[str], order: Sequence[str], state: T.StructType, idle_ms: int) -> None:
-        self.fields, self.order, self.schema, self.idle_ms = list(fields), list(order), state, idle_ms
+def _keep_latest(
+    order: Sequence[str], state: T.StructType, idle_ms: int
+) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The latest record of a key as one value of state, given out when it changes.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.latest = handle.getValueState("latest", self.schema)
+    A time-out clears the state of a key once the watermark is ``idle_ms`` past its latest record.
+    Spark forgets the time-out whenever rows of the key come, so each call sets it.
+    """
+    names = state.fieldNames()
 
-    def _rank(self, record: dict[str, Any]) -> list[tuple]:
-        return [(record[c] is not None, record[c]) for c in self.order]
+    def rank(record: dict[str, Any]) -> list[tuple]:
+        return [(record[c] is not None, record[c]) for c in order]
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        best = max((r.asDict() for r in rows), key=self._rank)
-        known = self.latest.get()
-        if known is not None and self._rank(dict(zip(self.schema.names, known, strict=True))) >= self._rank(best):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
             return
-        self.latest.update(tuple(best[c] for c in self.schema.names))
-        if known is None:
-            self.handle.registerTimer(best[self.STATE] + self.idle_ms)
-        yield Row(**{c: best[c] for c in self.fields})
+        rows = (
+            (rank(row), row, ms) for frame in frames for row, ms in zip(frame[ROW], frame[STATE_MS], strict=True)
+        )
+        top, best, ms = max(rows, key=lambda r: r[0])
+        known = dict(zip(names, group.get, strict=True)) if group.exists else None
+        later = known is None or rank(known) < top
+        if later:
+            group.update((*[best[c] for c in names[:-1]], int(ms)))
+        due = (int(ms) if later else known[STATE_MS]) + idle_ms
+        group.setTimeoutTimestamp(max(due, group.getCurrentWatermarkMs() + 1))
+        if later:
+            yield pd.DataFrame({ROW: [best]})
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        known = self.latest.get()
-        if known is not None:
-            due = known[self.schema.names.index(self.STATE)] + self.idle_ms
-            if due > expiredTimerInfo.getExpiryTimeInMs():
-                self.handle.registerTimer(due)
-            else:
-                self.latest.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def latest_changes(
@@ -176,13 +171,24 @@ def latest_changes(
     ``time`` is a timestamp column, or text of one. The state holds a row a key, and none of
     keys without an event for ``idle_ms`` of event time; events that come ``delay`` late do not
     count any more. ``order`` ends in a unique column, so a restart gives the same answer.
+
+    The function runs in tasks alone, where a package shipped with ``--py-files`` is known. A
+    record travels as one struct, so that pandas leaves whole numbers and NULLs as they are.
     """
-    ms = F.unix_millis(F.col("_time"))
     timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
-    timed = timed.withColumn(KeepLatest.STATE, ms)
-    state = T.StructType([*[f for f in stream.schema.fields if f.name in order], T.StructField(KeepLatest.STATE, T.LongType())])
-    processor = KeepLatest(stream.columns, order, _nullable(state), idle_ms)
-    return timed.groupBy(*keys).transformWithState(processor, _nullable(stream.schema), "Update", "EventTime")
+    timed = timed.select(
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], "_time",
+        F.unix_millis("_time").alias(STATE_MS), F.struct(*stream.columns).alias(ROW),
+    )
+    state = T.StructType([*[stream.schema[c] for c in order], T.StructField(STATE_MS, T.LongType())])
+    found = timed.groupBy(*[f"_key{i}" for i in range(len(keys))]).applyInPandasWithState(
+        _keep_latest(list(order), _nullable(state), idle_ms),
+        T.StructType([T.StructField(ROW, _nullable(stream.schema))]),
+        _nullable(state),
+        "update",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return found.select(f"{ROW}.*")
 
 
 def run_latest(
