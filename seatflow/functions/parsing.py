@@ -66,21 +66,22 @@ def decode_entities(col: Column) -> Column:
 
     The semicolon may be missing after a number and after the old names.
     """
-    return let(col, _decode)
+    return let(col, lambda text: _decode(text))
 
 
-def _decode(col: Column) -> Column:
-    """``decode_entities`` of a plain column or lambda variable."""
+def _decode(col: Column, closed: bool = False) -> Column:
+    """``decode_entities`` of a plain column or lambda variable; with ``closed`` an entity must
+    end in its semicolon, and what lacks it stays as it is."""
     named = F.from_json(F.lit(NAMED), "map<string,string>")
     old = F.from_json(F.lit(OLD_NAMED), "map<string,string>")
 
     def decoded(part: Column) -> Column:
         """A part that began with an ampersand."""
-        number = F.regexp_extract(part, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 0)
+        number = F.regexp_extract(part, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});" + ("" if closed else "?"), 0)
         digits = F.regexp_replace(number, "[#;]", "")
         code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 9), 16, 10)).otherwise(digits)
         name = F.regexp_extract(part, r"^[a-zA-Z][a-zA-Z0-9]{0,31};", 0)
-        short = [F.substring(part, 1, n) for n in OLD_LENGTHS]
+        short = [] if closed else [F.substring(part, 1, n) for n in OLD_LENGTHS]
         text = F.coalesce(
             F.when(number != "", F.concat(_character(code.cast("bigint")), F.substring(part, F.length(number) + 1, F.length(part)))),
             F.when(name != "", F.concat(F.try_element_at(named, name), F.substring(part, F.length(name) + 1, F.length(part)))),
@@ -168,9 +169,13 @@ def first_element(html: Column, tag: str) -> Column:
     return F.get(elements(html, tag), F.lit(0))
 
 
-def inner_text(html: Column) -> Column:
-    """Text of a fragment: every text node stripped, then joined without a gap."""
-    nodes = F.transform(cut(html, ANY_TAG), lambda t: strip(_decode(t)))
+def inner_text(html: Column, closed: bool = False) -> Column:
+    """Text of a fragment: every text node stripped, then joined without a gap.
+
+    With ``closed`` only entities that end in their semicolon are decoded, so that what is left
+    of one at the end of a text that was cut off is kept as it stands.
+    """
+    nodes = F.transform(cut(html, ANY_TAG), lambda t: strip(_decode(t, closed)))
     return F.array_join(nodes, "")
 
 
