@@ -24,6 +24,8 @@ SCHOOL_CATEGORICAL = ("phase", "zone_code", "nature_code")
 SCHOOL_FLAGS = ("sap_ind", "autonomous_ind", "gifted_ind")
 SCHOOL_NUMERIC = (*NUMERIC, "registration_year", *SCHOOL_FLAGS)
 TARGET = "subscription_rate"
+#: Training rows of a task: about this many at most, and at least where there are cores to spare.
+TASK_ROWS, LEAST_ROWS = 1_000_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,11 @@ def _with_gaps_marked(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     )
 
 
+def _n_tasks(rows: int, cores: int) -> int:
+    """Tasks of a pass over the training rows."""
+    return max(1, min(cores, -(-rows // LEAST_ROWS)), -(-rows // TASK_ROWS))
+
+
 def train(
     df: DataFrame,
     target: str,
@@ -70,7 +77,11 @@ def train(
     numeric: Sequence[str],
     params: Params = Params(),
 ) -> PipelineModel:
-    """Fit on all rows; training is distributed over the rows and checkpoints its lineage."""
+    """Fit on all rows; training is distributed over the rows and checkpoints its lineage.
+
+    A tree takes a job over all rows for each of its levels, so these have as many tasks as there
+    are cores, fewer where a task would get next to no rows, and more where it would get too many.
+    """
     use_checkpoints(df.sparkSession)
     marked = _with_gaps_marked(df, numeric)
     indexed = [f"{c}_index" for c in categorical]
@@ -88,10 +99,12 @@ def train(
             maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate,
             subsamplingRate=params.sampling, featureSubsetStrategy=str(params.columns),
             minInstancesPerNode=params.min_leaf,
-            seed=params.seed, checkpointInterval=10, cacheNodeIds=True,
+            # Keeping the node of each row costs more than walking down these flat trees.
+            seed=params.seed, checkpointInterval=10, cacheNodeIds=False,
         ),
     ]
     rows = marked.filter(F.col(target).isNotNull())
+    rows = rows.repartition(_n_tasks(rows.count(), df.sparkSession.sparkContext.defaultParallelism))
     indexer = stages[0].fit(rows)
     # A categorical feature needs a bin per value, and one for values not seen in training.
     stages[-1].setMaxBins(max([64, *(len(labels) + 1 for labels in indexer.labelsArray)]))
