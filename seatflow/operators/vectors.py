@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_ROWS = 20_000
+#: Groups of rows whose nearest tells how near the k-th is at most.
+GROUPS = 256
 QUERY_SLICE = 256
 DIGITS = 6
 OUT_OF_SCOPE = 0.60
@@ -58,20 +60,30 @@ def _nearest(
 ) -> pd.DataFrame:
     """The ``k`` nearest corpus rows of every query, within one block.
 
-    All rows as near as the k-th are looked at, so ties are cut by id alone.
+    All rows as near as the k-th are looked at, so ties are cut by id alone. The k-th least of the
+    minima of groups of rows is no less than the k-th distance, so only rows up to it, and a step
+    of rounding beyond, are rounded and ranked. Vectors without a direction are near to nothing.
     """
-    units = _unit(vectors).T
+    units = _unit(vectors)
+    directed, asked = np.isfinite(units).all(axis=1), np.isfinite(query_units).all(axis=1)
+    units, ids = units[directed].T, ids[directed]
+    query_ids, query_units = query_ids[asked], query_units[asked]
+    rounds = len(ids) // GROUPS
     frames = []
     for start in range(0, len(query_ids), QUERY_SLICE):
         part = slice(start, start + QUERY_SLICE)
-        dist = np.round(1.0 - query_units[part] @ units, DIGITS) + 0.0  # no negative zero
-        dist[np.isnan(dist)] = np.inf
-        edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.inf
-        rows, cols = np.nonzero((dist <= edge) & (dist < np.inf))
-        found = pd.DataFrame(
-            {"query_id": query_ids[part][rows], "id": ids[cols], "distance": dist[rows, cols]}
-        )
+        dist = 1.0 - query_units[part] @ units
+        if rounds and k <= GROUPS:
+            least = dist[:, : rounds * GROUPS].reshape(len(dist), rounds, GROUPS).min(axis=1)
+            edge = np.partition(least, k - 1, axis=1)[:, k - 1 : k] + 2 * 10.0**-DIGITS
+        else:
+            edge = np.inf
+        rows, cols = np.nonzero(dist <= edge)
+        near = np.round(dist[rows, cols], DIGITS) + 0.0  # no negative zero
+        found = pd.DataFrame({"query_id": query_ids[part][rows], "id": ids[cols], "distance": near})
         frames.append(_first(found, k))
+    if not frames:
+        return pd.DataFrame({"query_id": query_ids, "id": ids[:0], "distance": np.empty(0)})
     return pd.concat(frames, ignore_index=True)
 
 
