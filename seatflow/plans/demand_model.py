@@ -77,7 +77,8 @@ def train(
     numeric: Sequence[str],
     params: Params = Params(),
 ) -> PipelineModel:
-    """Fit on all rows; training is distributed over the rows and checkpoints its lineage.
+    """Fit on all rows; training is distributed over the rows and checkpoints its lineage, that of
+    the features included.
 
     A tree takes a job over all rows for each of its levels, so these have as many tasks as there
     are cores, fewer where a task would get next to no rows, and more where it would get too many.
@@ -108,7 +109,9 @@ def train(
     indexer = stages[0].fit(rows)
     # A categorical feature needs a bin per value, and one for values not seen in training.
     stages[-1].setMaxBins(max([64, *(len(labels) + 1 for labels in indexer.labelsArray)]))
-    return Pipeline(stages=[indexer, *stages[1:]]).fit(rows)
+    # The tasks of every job carry the plan of their rows, so the features are written first.
+    ready = PipelineModel([indexer, stages[1]]).transform(rows).select("features", target).checkpoint()
+    return PipelineModel([indexer, stages[1], *Pipeline(stages=stages[2:]).fit(ready).stages])
 
 
 def predict(model: PipelineModel, df: DataFrame, numeric: Sequence[str]) -> DataFrame:
