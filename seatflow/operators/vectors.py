@@ -14,10 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-BLOCK_ROWS = 20_000
-#: Groups of rows whose nearest tells how near the k-th is at most.
+#: A block holds no more rows, and no more bytes of vectors.
+BLOCK_ROWS, BLOCK_BYTES = 65_536, 128 * 2**20
+#: Queries and rows whose products are made at a time, so that they stay in the cache of a core.
+QUERY_SLICE, TILE = 128, 4_096
+#: The rows of a tile make so many groups; the nearest row of a group tells if the others matter.
 GROUPS = 256
-QUERY_SLICE = 256
+#: Numbers of the vectors that are multiplied again in double precision at a time.
+EXACT_NUMBERS = 4 * 2**20
 DIGITS = 6
 OUT_OF_SCOPE = 0.60
 
@@ -55,36 +59,72 @@ def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
+def _tiles(units: np.ndarray) -> list[np.ndarray]:
+    """The rows as columns of single precision, some at a time."""
+    return [np.ascontiguousarray(units[at : at + TILE].T, np.float32) for at in range(0, len(units), TILE)]
+
+
+def _candidates(units: np.ndarray, tiles: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries and groups of rows that may hold one of their ``k`` nearest, and how like a row has to be.
+
+    Products in single precision are off by no more than their length times its precision. The k-th
+    greatest of the greatest of groups is no more than the k-th greatest of the rows, so
+    nothing below it, less twice that error and a step of rounding, is among the ``k`` nearest.
+    """
+    asked = units.astype(np.float32)
+    most = np.empty((len(asked), len(tiles) * GROUPS), np.float32)
+    like = np.empty((len(asked), TILE), np.float32)
+    for t, tile in enumerate(tiles):
+        np.matmul(asked, tile, out=like[:, : tile.shape[1]])
+        like[:, tile.shape[1] :] = -np.inf
+        of_tile = like.reshape(len(asked), -1, GROUPS)
+        of_tile.max(axis=1, out=most[:, t * GROUPS : (t + 1) * GROUPS])
+    coarse = most.reshape(len(asked), -1, GROUPS).max(axis=1) if k <= GROUPS else most
+    edge = np.full(len(asked), -np.inf)
+    if k <= coarse.shape[1]:
+        off = (units.shape[1] + 4) * 2.0**-23
+        edge = np.partition(coarse, -k, axis=1)[:, -k] - (2 * off + 2 * 10.0**-DIGITS)
+    rows, groups = np.nonzero(most >= edge[:, None])
+    return rows, groups, edge
+
+
 def _nearest(
     query_ids: np.ndarray, query_units: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> pd.DataFrame:
     """The ``k`` nearest corpus rows of every query, within one block.
 
-    All rows as near as the k-th are looked at, so ties are cut by id alone. The k-th least of the
-    minima of groups of rows is no less than the k-th distance, so only rows up to it, and a step
-    of rounding beyond, are rounded and ranked. Vectors without a direction are near to nothing.
+    All rows as near as the k-th are looked at, so ties are cut by id alone. Single precision
+    tells which rows can be among them; only these are multiplied in double precision, rounded
+    and ranked. Vectors without a direction are near to nothing.
     """
     units = _unit(vectors)
-    directed, asked = np.isfinite(units).all(axis=1), np.isfinite(query_units).all(axis=1)
-    units, ids = units[directed].T, ids[directed]
+    directed, asked = np.isfinite(units).all(axis=1), np.isfinite(query_units).all(axis=1) & ~pd.isna(query_ids)
+    units, ids = units[directed], ids[directed]
     query_ids, query_units = query_ids[asked], query_units[asked]
-    rounds = len(ids) // GROUPS
-    frames = []
+    if not len(ids) or not len(query_ids):
+        return pd.DataFrame({"query_id": query_ids[:0], "id": ids[:0], "distance": np.empty(0)})
+    places, _ = pd.factorize(ids, sort=True)
+    places = np.where(places < 0, len(ids), places)
+    tiles, in_group = _tiles(units), GROUPS * np.arange(TILE // GROUPS)
+    at_once = max(1, EXACT_NUMBERS // (len(in_group) * max(1, units.shape[1])))
+    found: list[tuple[np.ndarray, ...]] = []
     for start in range(0, len(query_ids), QUERY_SLICE):
-        part = slice(start, start + QUERY_SLICE)
-        dist = 1.0 - query_units[part] @ units
-        if rounds and k <= GROUPS:
-            least = dist[:, : rounds * GROUPS].reshape(len(dist), rounds, GROUPS).min(axis=1)
-            edge = np.partition(least, k - 1, axis=1)[:, k - 1 : k] + 2 * 10.0**-DIGITS
-        else:
-            edge = np.inf
-        rows, cols = np.nonzero(dist <= edge)
-        near = np.round(dist[rows, cols], DIGITS) + 0.0  # no negative zero
-        found = pd.DataFrame({"query_id": query_ids[part][rows], "id": ids[cols], "distance": near})
-        frames.append(_first(found, k))
-    if not frames:
-        return pd.DataFrame({"query_id": query_ids, "id": ids[:0], "distance": np.empty(0)})
-    return pd.concat(frames, ignore_index=True)
+        mine = query_units[start : start + QUERY_SLICE]
+        of, groups, edge = _candidates(mine, tiles, k)
+        near = []
+        for at in range(0, len(of), at_once):
+            rows, group = of[at : at + at_once], groups[at : at + at_once]
+            cols = (group // GROUPS * TILE + group % GROUPS)[:, None] + in_group
+            like = np.einsum("pw,pjw->pj", mine[rows], units[np.minimum(cols, len(ids) - 1)])
+            own, which = np.nonzero((cols < len(ids)) & (like >= edge[rows, None]))
+            near.append((rows[own], cols[own, which], np.round(1.0 - like[own, which], DIGITS) + 0.0))  # no negative zero
+        rows, cols, distance = map(np.concatenate, zip(*near, strict=True))
+        order = np.lexsort((places[cols], distance, rows))
+        rows, cols, distance = rows[order], cols[order], distance[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        found.append((rows[kept] + start, cols[kept], distance[kept]))
+    rows, cols, distance = map(np.concatenate, zip(*found, strict=True))
+    return pd.DataFrame({"query_id": query_ids[rows], "id": ids[cols], "distance": distance})
 
 
 def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -154,9 +194,9 @@ def top_k(
     """``query_id, id, distance, rank``: the ``k`` nearest rows of every query, exactly.
 
     Filter ``corpus`` first for a metadata condition. Both sides are hashed into blocks of
-    about ``block_rows`` rows, and every corpus block meets every query block in one task,
-    which keeps k rows per query. The plan is lazy: the number of blocks is a subquery, which
-    a stored table answers from its footers. Nothing depends on the size but that number.
+    about ``block_rows`` rows, fewer if their vectors are very wide, and every corpus block meets
+    every query block in one task, which keeps k rows per query. The plan is lazy: the number of
+    blocks is a subquery over the sizes of the vectors. Nothing depends on the size but that number.
     """
     base = _sides(corpus, id_col, vector)
     asked = queries.filter(F.col(query_vector).isNotNull()).select(
@@ -165,7 +205,9 @@ def top_k(
     )
 
     def blocks(df: DataFrame) -> Column:
-        return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")).scalar()
+        numbers = F.coalesce(F.sum(F.size("embedding")), F.lit(0))
+        most = F.greatest(F.count("*") / block_rows, numbers * 8 / BLOCK_BYTES)
+        return df.agg(F.greatest(F.lit(1), F.ceil(most)).cast("int")).scalar()
 
     def every(n: Column, alias: str) -> Column:
         return F.explode(F.sequence(F.lit(0), n - 1)).alias(alias)
