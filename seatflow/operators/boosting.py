@@ -22,6 +22,8 @@ STEP = 65_536
 COLUMN_BINS = 2048
 #: The histograms of more tasks than this are added up on the executors.
 MANY_TASKS = 256
+#: One task grows all trees of so many rows sooner than the jobs of their levels would start.
+ONE_TASK_ROWS = 500_000
 LEAST_IMPURITY = 2.0**-52
 ALL_FEATURES = ("all", "auto")
 TREE_PARAMS = (
@@ -284,7 +286,7 @@ def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
     return [x + y for x, y in zip(a, b, strict=True)]
 
 
-def _total(parts: RDD) -> list[np.ndarray]:
+def _total(parts: RDD | Here) -> list[np.ndarray]:
     """Arrays of all tasks added up, in the order of the tasks."""
     if parts.getNumPartitions() > MANY_TASKS:
         return parts.treeReduce(_added)
@@ -300,7 +302,7 @@ def _told(leaves: list[Node], squares: np.ndarray) -> None:
         leaf.stats[2] = own
 
 
-def _only_checkpoint(rows: RDD | None, old: str | None) -> str | None:
+def _only_checkpoint(rows: RDD | Here | None, old: str | None) -> str | None:
     """The checkpoint of these rows if they have one, after which the old one is not needed."""
     new = rows.getCheckpointFile() if rows is not None else None
     if old and (new or rows is None):
@@ -310,6 +312,117 @@ def _only_checkpoint(rows: RDD | None, old: str | None) -> str | None:
     return new or old
 
 
+@dataclass(frozen=True)
+class Settings:
+    trees: int
+    depth: int
+    rate: float
+    sampling: float
+    features: int
+    least: int
+    every: int
+    seed: int
+
+
+class Here:
+    """Parts of rows inside one task, with the calls that growing makes of an RDD."""
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def mapPartitionsWithIndex(self, run, preservesPartitioning=False):
+        return Here([x for i, part in enumerate(self.parts) for x in run(i, iter([part]))])
+
+    def map(self, run):
+        return Here([run(x) for x in self.parts])
+
+    def collect(self) -> list:
+        return self.parts
+
+    def getNumPartitions(self) -> int:
+        return 1
+
+    def persist(self, level):
+        return self
+
+    def unpersist(self): ...
+
+    def checkpoint(self): ...
+
+    def getCheckpointFile(self): ...
+
+
+def _allowed(how: Settings, nodes: list[Node], depth: int, n_features: int, seed: tuple[int, ...]) -> np.ndarray:
+    """Which features may split which node: a share of them for a node of this depth with a variance."""
+    draw = np.random.default_rng(seed)
+    out = np.zeros((len(nodes), n_features), bool)
+    for i, node in enumerate(nodes):
+        if node.depth == depth < how.depth and node.impurity >= LEAST_IMPURITY:
+            out[i, draw.permutation(n_features)[: how.features]] = True
+    return out
+
+
+def _boosted(rows: RDD | Here, layout: Layout, how: Settings) -> list[Node]:
+    """The trees, one after the other. The rows of a tree are kept until those of the next one are."""
+    share, seed, n_features, kind = how.sampling, how.seed, len(layout.bins), layout.place_kind(how.depth)
+    trees: list[Node] = []
+    leaves: list[Node] = []
+    rows, before, written = rows.persist(StorageLevel.MEMORY_AND_DISK), None, None
+    for m in range(how.trees):
+
+        def kept(part, n, m=m):
+            return _sampled(n, share, (seed, m, part)) if share < 1 else np.ones(n, bool)
+
+        nodes: list[Node] = [Node(np.zeros(3), 0)]
+        trees.append(nodes[0])
+        levels: list[Level] = []
+        for depth in range(max(1, how.depth)):
+
+            def count(part, of_part, levels=levels, n=len(nodes), kept=kept):
+                for r in of_part:
+                    # The first level also brings the squares of the leaves of the tree before.
+                    last = np.zeros(0) if levels or r[2] is None else r[2]
+                    yield [last, *_figures(r, levels, n, layout, kept(part, len(r[1])), kind)]
+
+            last, own, *tables = _total(rows.mapPartitionsWithIndex(count))
+            for node, stats in zip(nodes, own.T, strict=True):
+                node.stats = stats
+            if not depth:
+                _told(leaves, last)
+                if before is not None:
+                    before.unpersist()
+                    written = _only_checkpoint(rows, written)
+            _best_splits(layout, nodes, tables, _allowed(how, nodes, depth, n_features, (seed, m, depth)), how.least)
+            if not any(x.children for x in nodes if x.depth == depth):
+                break
+            step, nodes = _level(layout, nodes, kind)
+            levels = [*levels, step]
+        # The first tree is fitted to the labels, those after it to twice the error.
+        leaves, scale = nodes, 1.0 if m else 2.0
+        steps = np.array([x.prediction for x in leaves]) * 2.0 * (how.rate if m else 1.0)
+
+        def explain(part, of_part, levels=levels, steps=steps, scale=scale, kept=kept):
+            for r in of_part:
+                yield _explained(r, levels, steps, scale, kept(part, len(r[1])), kind)
+
+        before, rows = rows, rows.mapPartitionsWithIndex(explain, True).persist(StorageLevel.MEMORY_AND_DISK)
+        if how.every > 0 and (m + 1) % how.every == 0 and m + 1 < how.trees:
+            rows.checkpoint()
+    _told(leaves, _total(rows.map(lambda r: [r[2]]))[0])
+    before.unpersist()
+    rows.unpersist()
+    _only_checkpoint(None, written)
+    return trees
+
+
+def _trees(rows: RDD, layout: Layout, how: Settings, n_rows: int) -> list[Node]:
+    """Few rows are not worth a job for each level: one task takes their parts and grows all trees."""
+    if n_rows > ONE_TASK_ROWS:
+        return _boosted(rows, layout, how)
+    [trees] = rows.coalesce(1).mapPartitions(lambda parts: [_boosted(Here(list(parts)), layout, how)]).collect()
+    return trees
+
+
 def _flat(layout: Layout, tree: Node) -> list[tuple]:
     """The nodes of a tree, each before those below it, as MLlib writes them."""
     out: list[tuple] = []
@@ -338,8 +451,8 @@ class BinnedGBTRegressor(GBTRegressor):
     """MLlib's boosted trees for squared error, and its model, with another way to the trees.
 
     Rows are binned once and kept as a byte or so per feature, and numpy counts them. As in MLlib
-    a tree takes one job for each of its levels, over all rows that it was dealt; bins, splits,
-    gains and steps are MLlib's. Rows and features of a tree are drawn by other random numbers.
+    a tree takes one job for each of its levels over all rows, unless these are few; bins,
+    splits, gains and steps are MLlib's. Rows and features of a tree are drawn by other random numbers.
     """
 
     def _fit_java(self, dataset: DataFrame):
@@ -357,7 +470,7 @@ class BinnedGBTRegressor(GBTRegressor):
             vector_to_array(self.getFeaturesCol()).alias("features"),
             F.col(self.getLabelCol()).cast("double").alias("label"),
         )
-        layout = self._layout(dataset, rows)
+        layout, n_rows = self._layout(dataset, rows)
         schema = "columns array<binary>, label binary"
         kinds = [np.min_scalar_type(layout.width(c) - 1) for c in range(len(layout.columns))]
 
@@ -365,11 +478,11 @@ class BinnedGBTRegressor(GBTRegressor):
             read = [np.frombuffer(x, kind) for x, kind in zip(row["columns"], kinds, strict=True)]
             return read, np.frombuffer(row["label"], np.float64), None
 
-        packed = rows.mapInArrow(_packed(layout), schema).rdd
-        return self._model(spark, layout, self._boosted(packed.map(unpacked), layout))
+        packed = rows.mapInArrow(_packed(layout), schema).rdd.map(unpacked)
+        return self._model(spark, layout, _trees(packed, layout, self._settings(len(layout.bins)), n_rows))
 
-    def _layout(self, dataset: DataFrame, rows: DataFrame) -> Layout:
-        """Bins of the features: values of a category, cuts of a number. As in MLlib these are found
+    def _layout(self, dataset: DataFrame, rows: DataFrame) -> tuple[Layout, int]:
+        """Bins of the features, and the rows: values of a category, cuts of a number. As in MLlib these are found
         on a sample of at least 10,000 rows, or on all rows if there are fewer."""
         n = rows.count()
         if not n:
@@ -382,71 +495,15 @@ class BinnedGBTRegressor(GBTRegressor):
         sample = np.array([r[0] for r in some.select("features").collect()])
         most = min(self.getMaxBins(), n) - 1
         cuts = [None if f in values else thresholds(sample[:, f], most) for f in range(sample.shape[1])]
-        return Layout(cuts, [values[f] if c is None else len(c) + 1 for f, c in enumerate(cuts)])
-
-    def _allowed(self, nodes: list[Node], depth: int, n_features: int, seed: tuple[int, ...]) -> np.ndarray:
-        """Which features may split which node: a share of them for a node of this depth with a variance."""
-        strategy, draw = self.getFeatureSubsetStrategy(), np.random.default_rng(seed)
-        some = n_features if strategy in ALL_FEATURES else int(np.ceil(float(strategy) * n_features))
-        out = np.zeros((len(nodes), n_features), bool)
-        for i, node in enumerate(nodes):
-            if node.depth == depth < self.getMaxDepth() and node.impurity >= LEAST_IMPURITY:
-                out[i, draw.permutation(n_features)[:some]] = True
-        return out
+        return Layout(cuts, [values[f] if c is None else len(c) + 1 for f, c in enumerate(cuts)]), n
 
-    def _boosted(self, rows: RDD, layout: Layout) -> list[Node]:
-        """The trees, one after the other. The rows of a tree are kept until those of the next one are."""
-        share, rate, seed = self.getSubsamplingRate(), self.getStepSize(), abs(self.getSeed())
-        least, every = self.getMinInstancesPerNode(), self.getCheckpointInterval()
-        n_features, kind = len(layout.bins), layout.place_kind(self.getMaxDepth())
-        trees: list[Node] = []
-        leaves: list[Node] = []
-        rows, before, written = rows.persist(StorageLevel.MEMORY_AND_DISK), None, None
-        for m in range(self.getMaxIter()):
-
-            def kept(part, n, m=m):
-                return _sampled(n, share, (seed, m, part)) if share < 1 else np.ones(n, bool)
-
-            nodes: list[Node] = [Node(np.zeros(3), 0)]
-            trees.append(nodes[0])
-            levels: list[Level] = []
-            for depth in range(max(1, self.getMaxDepth())):
-
-                def count(part, of_part, levels=levels, n=len(nodes), kept=kept):
-                    for r in of_part:
-                        # The first level also brings the squares of the leaves of the tree before.
-                        last = np.zeros(0) if levels or r[2] is None else r[2]
-                        yield [last, *_figures(r, levels, n, layout, kept(part, len(r[1])), kind)]
-
-                last, own, *tables = _total(rows.mapPartitionsWithIndex(count))
-                for node, stats in zip(nodes, own.T, strict=True):
-                    node.stats = stats
-                if not depth:
-                    _told(leaves, last)
-                    if before is not None:
-                        before.unpersist()
-                        written = _only_checkpoint(rows, written)
-                _best_splits(layout, nodes, tables, self._allowed(nodes, depth, n_features, (seed, m, depth)), least)
-                if not any(x.children for x in nodes if x.depth == depth):
-                    break
-                step, nodes = _level(layout, nodes, kind)
-                levels = [*levels, step]
-            # The first tree is fitted to the labels, those after it to twice the error.
-            leaves, scale = nodes, 1.0 if m else 2.0
-            steps = np.array([x.prediction for x in leaves]) * 2.0 * (rate if m else 1.0)
-
-            def explain(part, of_part, levels=levels, steps=steps, scale=scale, kept=kept):
-                for r in of_part:
-                    yield _explained(r, levels, steps, scale, kept(part, len(r[1])), kind)
-
-            before, rows = rows, rows.mapPartitionsWithIndex(explain, True).persist(StorageLevel.MEMORY_AND_DISK)
-            if every > 0 and (m + 1) % every == 0 and m + 1 < self.getMaxIter():
-                rows.checkpoint()
-        _told(leaves, _total(rows.map(lambda r: [r[2]]))[0])
-        before.unpersist()
-        rows.unpersist()
-        _only_checkpoint(None, written)
-        return trees
+    def _settings(self, n_features: int) -> Settings:
+        strategy = self.getFeatureSubsetStrategy()
+        return Settings(
+            trees=self.getMaxIter(), depth=self.getMaxDepth(), rate=self.getStepSize(), sampling=self.getSubsamplingRate(),
+            features=n_features if strategy in ALL_FEATURES else int(np.ceil(float(strategy) * n_features)),
+            least=self.getMinInstancesPerNode(), every=self.getCheckpointInterval(), seed=abs(self.getSeed()),
+        )
 
     def _model(self, spark: SparkSession, layout: Layout, trees: list[Node]):
         """The trees as MLlib reads a saved model, read back."""

@@ -31,7 +31,9 @@ def predicted(model, rows):
     return np.array([r.prediction for r in model.transform(rows).select("prediction").collect()])
 
 
-def test_trees_are_those_of_mllib_if_nothing_is_drawn(ready):
+@pytest.mark.parametrize("few", [0, B.ONE_TASK_ROWS], ids=["a job for each level", "one task"])
+def test_trees_are_those_of_mllib_if_nothing_is_drawn(ready, monkeypatch, few):
+    monkeypatch.setattr(B, "ONE_TASK_ROWS", few)
     theirs, ours = GBTRegressor(**SETTINGS).fit(ready), B.BinnedGBTRegressor(**SETTINGS).fit(ready)
     assert np.allclose(predicted(theirs, ready), predicted(ours, ready), rtol=0, atol=1e-9)
     assert np.allclose(theirs.featureImportances.toArray(), ours.featureImportances.toArray(), rtol=0, atol=1e-9)
@@ -48,13 +50,15 @@ def test_rows_and_features_are_drawn_by_seed(ready):
     assert one == again != other
     kept = [B._sampled(50_000, 0.8, (5, tree, 0)) for tree in (0, 1)]
     assert all(abs(k.mean() - 0.8) < 0.01 for k in kept) and (kept[0] != kept[1]).any()
-    draw = B.BinnedGBTRegressor(**some)._allowed([B.Node(np.array([9.0, 3.0, 5.0]), 0)] * 200, 0, 5, (1, 2, 3))
+    how = B.BinnedGBTRegressor(**some)._settings(5)
+    draw = B._allowed(how, [B.Node(np.array([9.0, 3.0, 5.0]), 0)] * 200, 0, 5, (1, 2, 3))
     assert set(draw.sum(axis=1)) == {2} and draw.any(axis=0).all()
 
 
 def test_sums_of_many_tasks_and_cut_lineage_change_nothing(spark, ready, monkeypatch):
     whole = B.BinnedGBTRegressor(**SETTINGS).fit(ready)
     monkeypatch.setattr(B, "MANY_TASKS", 1)
+    monkeypatch.setattr(B, "ONE_TASK_ROWS", 0)
     cut = B.BinnedGBTRegressor(**SETTINGS, checkpointInterval=1).fit(ready)
     assert np.allclose(predicted(whole, ready), predicted(cut, ready), rtol=0, atol=1e-9)
     # Of the rows of four trees none is left behind; those of other tests are.
@@ -65,13 +69,14 @@ def test_sums_of_many_tasks_and_cut_lineage_change_nothing(spark, ready, monkeyp
 
 
 def test_a_task_keeps_bins_and_one_number_of_a_row(spark, monkeypatch):
-    seen, plain = [], B.BinnedGBTRegressor._boosted
+    seen, plain = [], B._trees
 
-    def watched(self, rows, layout):
+    def watched(rows, layout, how, n_rows):
+        assert n_rows == 4000
         seen.append((layout, rows.collect()))
-        return plain(self, rows, layout)
+        return plain(rows, layout, how, n_rows)
 
-    monkeypatch.setattr(B.BinnedGBTRegressor, "_boosted", watched)
+    monkeypatch.setattr(B, "_trees", watched)
     frame = spark.range(4000).selectExpr(
         "CAST(id % 3 AS STRING) AS kind", "rand(1) AS a", "rand(2) AS b", "IF(id % 9 = 0, NULL, id % 5) AS c", "rand(3) AS y"
     )
@@ -84,6 +89,14 @@ def test_a_task_keeps_bins_and_one_number_of_a_row(spark, monkeypatch):
     assert D.predict(model, frame, ["a", "b", "c"]).count() == 4000
 
 
+def test_one_task_grows_the_trees_of_many(ready, monkeypatch):
+    drawn = SETTINGS | {"featureSubsetStrategy": "0.6", "subsamplingRate": 0.7}
+    one = B.BinnedGBTRegressor(**drawn).fit(ready)
+    monkeypatch.setattr(B, "ONE_TASK_ROWS", 0)
+    many = B.BinnedGBTRegressor(**drawn).fit(ready)
+    assert np.allclose(predicted(many, ready), predicted(one, ready), rtol=0, atol=1e-9)
+
+
 def test_columns_hold_every_bin_of_their_features():
     layout = B.Layout([np.array([0.0, 1.5]), None, np.array([]), np.arange(999.0)], [3, 4, 1, 1000])
     features = np.array([[0.0, 3, 7, -5], [1.5, 0, 7, 998], [9.0, 2, 7, 4.5]])
