@@ -16,8 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: A block holds no more rows, and no more bytes of vectors.
 BLOCK_ROWS, BLOCK_BYTES = 65_536, 128 * 2**20
+#: Blocks may be smaller, down to this many rows, so that there are more pairs of them than cores.
+LEAST_ROWS, PAIRS_PER_CORE = 4_096, 16
 #: Queries and rows whose products are made at a time, so that they stay in the cache of a core.
-QUERY_SLICE, TILE = 128, 4_096
+QUERY_SLICE, TILE = 128, 2_048
 #: The rows of a tile make so many groups; the nearest row of a group tells if the others matter.
 GROUPS = 256
 #: Numbers of the vectors that are multiplied again in double precision at a time.
@@ -194,9 +196,10 @@ def top_k(
     """``query_id, id, distance, rank``: the ``k`` nearest rows of every query, exactly.
 
     Filter ``corpus`` first for a metadata condition. Both sides are hashed into blocks of
-    about ``block_rows`` rows, fewer if their vectors are very wide, and every corpus block meets
-    every query block in one task, which keeps k rows per query. The plan is lazy: the number of
-    blocks is a subquery over the sizes of the vectors. Nothing depends on the size but that number.
+    about ``block_rows`` rows, fewer if their vectors are very wide or cores would have nothing to
+    do, and every corpus block meets every query block in one task, which keeps k rows per query.
+    The plan is lazy: the number of blocks is a subquery over the sizes of the vectors. Nothing
+    depends on the size but that number.
     """
     base = _sides(corpus, id_col, vector)
     asked = queries.filter(F.col(query_vector).isNotNull()).select(
@@ -204,9 +207,12 @@ def top_k(
         F.col(query_vector).cast("array<double>").alias("embedding"),
     )
 
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+
     def blocks(df: DataFrame) -> Column:
         numbers = F.coalesce(F.sum(F.size("embedding")), F.lit(0))
-        most = F.greatest(F.count("*") / block_rows, numbers * 8 / BLOCK_BYTES)
+        spread = F.least(F.count("*") / LEAST_ROWS, F.sqrt(F.lit(PAIRS_PER_CORE * cores)))
+        most = F.greatest(F.count("*") / block_rows, numbers * 8 / BLOCK_BYTES, spread)
         return df.agg(F.greatest(F.lit(1), F.ceil(most)).cast("int")).scalar()
 
     def every(n: Column, alias: str) -> Column:

@@ -70,6 +70,10 @@ def test_blocks_are_fewer_for_narrow_vectors_and_bounded_for_wide_ones(spark, mo
         return spark.range(1).select(*[(m + 1).alias(f"b{i}") for i, m in enumerate(met)]).first()
 
     plain = V.F.sequence
-    assert tuple(blocks(60_000, 1)) == (1, 1)
+    assert tuple(blocks(4_000, 1)) == (1, 1)
+    # Four cores: eight by eight pairs.
+    assert tuple(blocks(60_000, 1)) == (8, 8) and tuple(blocks(9_000, 1)) == (3, 3)
+    monkeypatch.setattr(V, "PAIRS_PER_CORE", 0)
+    assert tuple(blocks(60_000, 1)) == (1, 1) and tuple(blocks(66_000, 1)) == (2, 2)
     monkeypatch.setattr(V, "BLOCK_BYTES", 8 * 1000)
     assert tuple(blocks(500, 10)) == (5, 5)
